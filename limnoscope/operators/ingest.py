@@ -62,6 +62,24 @@ def standard_table(readings: DataFrame, weather: DataFrame, hours: int = 3, tole
                              left_ts="timestamp", right_ts="cell", keys=keys)
 
 
+def profile_from_raw(readings: DataFrame, weather: DataFrame, depths: Sequence[float], hours: int = 3,
+                     tolerance: int = 1, measures: dict[str, str] | None = None, ts: str = "timestamp",
+                     keys: Sequence[str] = KEYS, complete: bool = True) -> DataFrame:
+    """The wide table of :func:`grid.profile_table` without the row-level standard table.
+
+    Readings are averaged first, with partial sums on the map side, and the
+    weather is attached to grid cells: the raw readings are never shuffled.
+    """
+    from limnoscope.operators.grid import profile_table
+
+    wide = profile_table(readings, depths, hours, measures, weather=(), ts=ts, keys=keys, complete=complete)
+    have = [c for c in WEATHER_MEASURES if c in weather.columns]
+    cells = weather_cells(weather, hours, keys, have)
+    out = asof_nearest_grid(wide, cells, have, step_hours=hours, tolerance=tolerance, left_ts="cell",
+                            right_ts="cell", keys=keys)
+    return out.dropna(how="any") if complete else out
+
+
 def to_float32(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
     """Storage precision of the standard table; computation stays in double."""
     return df.withColumns({c: F.col(c).cast("float") for c in columns if c in df.columns})
