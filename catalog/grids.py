@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import CONC_COLS, DEPTHS7, TEMP_COLS, WIDE_COLS, floor_sql, per_depth
-from limnoscope.functions.columns import coerce_double, coerce_timestamp, pad_site_id
+from limnoscope.functions.columns import coerce_double, coerce_timestamp, floor_to_grid, pad_site_id
 from limnoscope.operators.align import (
-    asof_nearest, complete_axis, fill_forward, interpolate_time, join_sparse,
+    asof_nearest, asof_nearest_grid, complete_axis, fill_forward, interpolate_time, join_sparse,
 )
 from limnoscope.operators.features import standard_scores, with_season, with_wind
 from limnoscope.operators.grid import (
     cell_means, coarsen, daily_table, profile_table, select_depths, slice_days, unpivot_depths,
 )
-from limnoscope.operators.ingest import norm_stats, standardise
+from limnoscope.operators.ingest import norm_stats, standardise, weather_cells
 from limnoscope.operators.metrics import column_profile, interval_counts, median_interval
 from limnoscope.operators.profile import (
     greedy_depths_by_site, stratification, subset_rmse, thermocline,
@@ -74,6 +74,18 @@ def _(v):
         "MICROSECOND", F.col("timestamp"), F.col("matched_at")) / F.lit(1e6))
 
 
+@query("nearest_cell", "event_id:i site_id:s wind_speed:d air_temp:d",
+       """SELECT event_id, site_id, wind_speed, air_temp FROM (
+            SELECT r.event_id, r.site_id, w.wind_speed, w.air_temp,
+              row_number() OVER (PARTITION BY r.event_id ORDER BY abs(epoch(w.cell) - epoch(r.cell)), w.cell) AS rn
+            FROM (SELECT *, """ + floor_sql('ts', 3) + """ AS cell FROM fast) r
+            LEFT JOIN fast_weather_cells w ON w.site_id = r.site_id
+              AND w.cell BETWEEN r.cell - INTERVAL 6 HOUR AND r.cell + INTERVAL 6 HOUR) WHERE rn = 1""")
+def _(v):
+    left = v.fast.withColumn("timestamp", floor_to_grid("timestamp", 3))
+    return asof_nearest_grid(left, weather_cells(v.fast_weather), ["wind_speed", "air_temp"], step_hours=3, tolerance=2)
+
+
 @query("cell_means", "site_id:s at:s depth:d water_temp:d total_conc:d",
        f"""SELECT site_id, {floor_sql('ts', 3)} AS at, depth, avg(water_temp) AS water_temp,
              avg(total_conc) AS total_conc FROM fast GROUP BY ALL""")

@@ -45,6 +45,37 @@ def asof_nearest_grid(left: DataFrame, right: DataFrame, columns: Sequence[str],
         *[left[c] for c in left.columns], *[nearest[c] for c in columns])
 
 
+def asof_filled_grid(left: DataFrame, cells: DataFrame, columns: Sequence[str], *, step_hours: int,
+                     tolerance: int = 1, left_ts: str = "timestamp", right_ts: str = "cell",
+                     keys: Sequence[str] = KEYS) -> DataFrame:
+    """As :func:`asof_nearest_grid` for a right side that stands for a filled axis.
+
+    Between a station's first and last cell every cell exists, an absent one as
+    nulls, so the nearest cell is the equal one and only ``tolerance`` cells
+    beyond either end borrow the end's values.  Those few rows are added and the
+    rest is one equi join on (station, cell); the axis itself is never built.
+    """
+    keys = list(keys)
+    values = F.struct(*columns)
+    ends = cells.groupBy(*keys).agg(
+        F.min(right_ts).alias("_lo"), F.max(right_ts).alias("_hi"),
+        F.min_by(values, right_ts).alias("_first"), F.max_by(values, right_ts).alias("_last"))
+
+    def beyond(end, sign, i):
+        return F.struct((F.col(end) + F.make_dt_interval(F.lit(0), F.lit(sign * i * step_hours))).alias("_rt"),
+                        F.col("_first" if sign < 0 else "_last").alias("_m"))
+
+    steps = range(1, tolerance + 1)
+    extra = F.array(*[beyond("_lo", -1, i) for i in steps], *[beyond("_hi", 1, i) for i in steps])
+    right = cells.select(*keys, F.col(right_ts).alias("_rt"), *columns)
+    if tolerance:
+        right = right.unionByName(ends.select(*keys, F.inline(extra))
+                                  .select(*keys, "_rt", *[F.col(f"_m.{c}").alias(c) for c in columns]))
+    cond = [left[k] == right[k] for k in keys] + [left[left_ts] == right["_rt"]]
+    return left.join(right, cond, "left").select(
+        *[left[c] for c in left.columns], *[right[c] for c in columns])
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, columns: Sequence[str], *,
                  tolerance_hours: float, left_ts: str = "timestamp", right_ts: str = "timestamp",
                  keys: Sequence[str] = KEYS, matched: str = "matched_at",

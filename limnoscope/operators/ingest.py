@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from limnoscope.functions.columns import coerce_double, coerce_timestamp, floor_to_grid, pad_site_id
-from limnoscope.operators.align import asof_nearest_grid
+from limnoscope.operators.align import asof_filled_grid
 from limnoscope.operators.grid import unpivot_columns
 from limnoscope.schema import EPS, HEADER_NAMES, KEYS, NUMERIC_COLUMNS, WEATHER_MEASURES
 
@@ -32,13 +32,9 @@ def coerce_types(df: DataFrame, numeric: Sequence[str] = NUMERIC_COLUMNS) -> Dat
 
 def weather_cells(weather: DataFrame, hours: int = 3, keys: Sequence[str] = KEYS,
                   measures: Sequence[str] = WEATHER_MEASURES, ts: str = "timestamp",
-                  fill_bins: bool = True) -> DataFrame:
-    """Weather means on the grid.
-
-    With ``fill_bins`` every cell between a station's first and last one exists
-    and an empty cell holds nulls, so a reading in it matches nothing rather
-    than a neighbouring cell.
-    """
+                  fill_bins: bool = False) -> DataFrame:
+    """Weather means on the grid; with ``fill_bins`` also the empty cells between a
+    station's first and last one, as nulls."""
     have = [c for c in measures if c in weather.columns]
     cells = (weather.withColumn("cell", floor_to_grid(ts, hours)).filter(F.col("cell").isNotNull())
              .groupBy(*keys, "cell").agg(*[F.avg(c).alias(c) for c in have]))
@@ -53,13 +49,15 @@ def standard_table(readings: DataFrame, weather: DataFrame, hours: int = 3, tole
                    measures: Sequence[str] = WEATHER_MEASURES) -> DataFrame:
     """Readings floored to the grid with the nearest weather cell attached.
 
-    ``tolerance`` counts grid steps: 1 allows the neighbouring cells.
+    Weather counts as resampled to every cell of its span: a reading in a cell
+    without weather gets nulls, not a neighbour's values.  ``tolerance`` counts
+    the grid steps by which readings may lie outside the span.
     """
     have = [c for c in measures if c in weather.columns]
     gridded = readings.withColumn("timestamp", floor_to_grid("timestamp", hours))
     cells = weather_cells(weather, hours, keys, have)
-    return asof_nearest_grid(gridded, cells, have, step_hours=hours, tolerance=tolerance,
-                             left_ts="timestamp", right_ts="cell", keys=keys)
+    return asof_filled_grid(gridded, cells, have, step_hours=hours, tolerance=tolerance,
+                            left_ts="timestamp", right_ts="cell", keys=keys)
 
 
 def profile_from_raw(readings: DataFrame, weather: DataFrame, depths: Sequence[float], hours: int = 3,
@@ -75,8 +73,8 @@ def profile_from_raw(readings: DataFrame, weather: DataFrame, depths: Sequence[f
     wide = profile_table(readings, depths, hours, measures, weather=(), ts=ts, keys=keys, complete=complete)
     have = [c for c in WEATHER_MEASURES if c in weather.columns]
     cells = weather_cells(weather, hours, keys, have)
-    out = asof_nearest_grid(wide, cells, have, step_hours=hours, tolerance=tolerance, left_ts="cell",
-                            right_ts="cell", keys=keys)
+    out = asof_filled_grid(wide, cells, have, step_hours=hours, tolerance=tolerance, left_ts="cell",
+                           right_ts="cell", keys=keys)
     return out.dropna(how="any") if complete else out
 
 
