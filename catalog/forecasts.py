@@ -1 +1,558 @@
-"""Filled in next."""
+"""Baseline forecasts, scores, calibration."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.registry import query
+from catalog.series import LEVEL_SQL, SAMPLE_SQL, TARGET, cdf_sql, samples, windows
+from limnoscope.functions.scores import (
+    crps_energy, crps_gaussian, crps_pinball, crps_quantiles, pinball, pit, prob_up_gaussian,
+    quantile_at, sorted_quantiles, with_prob_up,
+)
+from limnoscope.operators.conformal import (
+    adjust, calibrate, calibrate_seasonal, calibrate_weighted, previous_year_block, season_pool,
+)
+from limnoscope.operators.features import window_stats
+from limnoscope.operators.forecast import (
+    autoregression, boosted_peak, boosted_trees, change_quantiles, climatology, feature_ablation,
+    level_classifier, month_quantiles, persistence, ridge_forecast, state_probability,
+)
+from limnoscope.operators.labels import class_weights, warning_levels
+from limnoscope.operators.metrics import (
+    apply_isotonic, best_threshold, calibration_table, class_recall, class_summary, day_blocks,
+    direction_rates, errors, evaluation_units, expected_calibration_error, fit_isotonic,
+    interval_summary, member_range, pit_histogram, probability_summary, quantile_ensemble,
+    score_rows, skill, summary_lattice,
+)
+from limnoscope.operators.ranks import roc_auc
+from limnoscope.operators.windows import assign_windows, by_horizon, supervised_windows
+from limnoscope.plans.rolling import member_forecasts
+from limnoscope.schema import QUANTILE_LEVELS
+
+IDS = ("site_id", "window_id")
+LEVELS = QUANTILE_LEVELS
+_L = "[" + ", ".join(str(p) for p in LEVELS) + "]"
+_L3 = (0.1, 0.5, 0.9)
+
+
+def shifted(q: str, by: str) -> str:
+    """SQL list of ``q`` with ``by`` added to each of its nine entries."""
+    return "[" + ", ".join(f"{q}[{i}] + {by}" for i in range(1, len(LEVELS) + 1)) + "]"
+
+
+MEMBER_SQL = SAMPLE_SQL + f""",
+qa AS (SELECT site_id, window_id, h, quantile_cont(delta_h, {_L}) AS qa FROM sl WHERE is_train GROUP BY ALL),
+qm AS (SELECT site_id, window_id, h, month(origin) AS m, quantile_cont(delta_h, {_L}) AS qm FROM sl WHERE is_train
+  GROUP BY ALL HAVING count(*) >= 5),
+ca AS (SELECT site_id, window_id, quantile_cont(conc_0_5, {_L}) AS ca FROM win WHERE is_train_row GROUP BY ALL),
+cm AS (SELECT site_id, window_id, month(day) AS m, quantile_cont(conc_0_5, {_L}) AS cm FROM win WHERE is_train_row
+  GROUP BY ALL HAVING count(*) >= 5),
+test AS (SELECT * FROM sl WHERE NOT is_train),
+fc AS (SELECT t.site_id, t.window_id, t.origin, t.h, t.cur, t.y_h, {shifted('qa', 'cur')} AS q, 'change' AS member
+    FROM test t JOIN qa USING (site_id, window_id, h)
+  UNION ALL SELECT t.site_id, t.window_id, t.origin, t.h, t.cur, t.y_h, {shifted('coalesce(qm, qa)', 'cur')} AS q, 'month_change'
+    FROM test t JOIN qa USING (site_id, window_id, h) LEFT JOIN qm ON qm.site_id = t.site_id AND qm.window_id = t.window_id
+      AND qm.h = t.h AND qm.m = month(t.origin)
+  UNION ALL SELECT t.site_id, t.window_id, t.origin, t.h, t.cur, t.y_h, coalesce(cm, ca) AS q, 'climatology'
+    FROM test t JOIN ca USING (site_id, window_id) LEFT JOIN cm ON cm.site_id = t.site_id AND cm.window_id = t.window_id
+      AND cm.m = month(t.origin))"""
+
+
+def crps_sql(name: str, source: str, levels=LEVELS, q: str = "q", y: str = "y_h") -> str:
+    """CTE ``name``: ``source`` plus ``crps``, by the two-piece integral per segment."""
+    n = len(levels)
+    bounds = [0.0, *levels, 1.0]
+    segs = []
+    for i in range(n + 1):
+        lo = f"k[{i + 1}]"
+        hi = f"k[{i + 2}]"
+        segs.append(f"SELECT rid, {y} AS y, {bounds[i]}::DOUBLE AS a, {bounds[i + 1]}::DOUBLE AS b, {lo} AS lo, {hi} AS hi FROM {name}_k")
+    first, last = f"{q}[1]", f"{q}[{n}]"
+    lo_knot = f"{first} - ({q}[2] - {first}) / {levels[1] - levels[0]} * {levels[0]}"
+    hi_knot = f"{last} + ({last} - {q}[{n - 1}]) / {levels[-1] - levels[-2]} * {1 - levels[-1]}"
+    knots = ", ".join([lo_knot] + [f"{q}[{i}]" for i in range(1, n + 1)] + [hi_knot])
+    def piece(u, v):
+        s = f"(CASE WHEN y <= p0 + p1 * ({u} + {v}) / 2 THEN 1.0 ELSE 0.0 END)"
+        return (f"2 * ({s} * (p0 - y) * ({v} - {u}) + ({s} * p1 - p0 + y) * ({v} * {v} - {u} * {u}) / 2"
+                f" - p1 * ({v} * {v} * {v} - {u} * {u} * {u}) / 3)")
+    return f"""
+{name}_k AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, [{knots}] AS k FROM (SELECT * REPLACE (list_sort({q}) AS {q}) FROM {source})),
+{name}_s AS (SELECT rid, sum({piece('a', 'c')} + {piece('c', 'b')}) AS total FROM (
+    SELECT *, least(greatest((y - p0) / p1, a), b) AS c FROM (
+      SELECT *, lo - p1 * a AS p0 FROM (
+        SELECT *, CASE WHEN abs((hi - lo) / (b - a)) < 1e-12 THEN 1.0 ELSE (hi - lo) / (b - a) END AS p1 FROM ({' UNION ALL '.join(segs)}))))
+  GROUP BY rid),
+{name} AS (SELECT x.*, greatest(CASE WHEN k[{n + 2}] - k[1] < 1e-9 THEN abs({y} - {q}[{(n + 1) // 2}]) ELSE total END, 0.0) AS crps
+  FROM {name}_k x JOIN {name}_s USING (rid))"""
+
+
+SCORED_SQL = MEMBER_SQL + "," + crps_sql("scored0", "fc") + """,
+scored AS (SELECT *, abs(y_h - cur) AS crps_persist, CASE WHEN y_h BETWEEN q[2] AND q[8] THEN 1.0 ELSE 0.0 END AS covered,
+    q[8] - q[2] AS width, pow(y_h - q[5], 2) AS sq_err FROM scored0)"""
+
+
+def members(v):
+    return member_forecasts(v.daily, TARGET)
+
+
+def scored(v):
+    return score_rows(members(v), LEVELS)
+
+
+_QCOLS = " ".join(f"q{i}:d" for i in range(1, 10))
+
+
+@query("member_forecasts", f"site_id:s window_id:i member:s origin:s h:i cur:d y_h:d {_QCOLS}",
+       "SELECT *, " + ", ".join(f"q[{i}] AS q{i}" for i in range(1, 10)) + " FROM fc", ctes=MEMBER_SQL)
+def _(v):
+    return members(v).withColumns({f"q{i}": F.get("q", F.lit(i - 1)) for i in range(1, 10)})
+
+
+@query("crps_rows", "site_id:s window_id:i member:s origin:s h:i crps:d crps_persist:d covered:d width:d sq_err:d",
+       "SELECT * FROM scored", ctes=SCORED_SQL)
+def _(v):
+    return scored(v)
+
+
+@query("crps_three_levels", "site_id:s window_id:i h:i crps:d crps_approx:d n:i",
+       """SELECT site_id, window_id, h, avg(crps) AS crps, avg(pb) AS crps_approx, count(*) AS n FROM (
+            SELECT *, 2.0 / 3 * (""" + " + ".join(f"greatest({p} * (y_h - q[{i + 1}]), ({p} - 1) * (y_h - q[{i + 1}]))" for i, p in enumerate(_L3))
+       + ") AS pb FROM c3) GROUP BY ALL", ctes=MEMBER_SQL + """,
+three AS (SELECT site_id, window_id, origin, h, cur, y_h, [q[2], q[5], q[8]] AS q FROM fc WHERE member = 'change'),""" + crps_sql("c3", "three", _L3))
+def _(v):
+    rows = members(v).filter(F.col("member") == "change").withColumn(
+        "q3", F.array(*[quantile_at("q", LEVELS, p) for p in _L3]))
+    rows = rows.withColumns({"crps_": crps_quantiles(sorted_quantiles("q3"), _L3, "y_h"), "pb": crps_pinball("q3", _L3, "y_h")})
+    return rows.groupBy(*IDS, "h").agg(F.avg("crps_").alias("crps"), F.avg("pb").alias("crps_approx"), F.count(F.lit(1)).alias("n"))
+
+
+@query("other_scores", "site_id:s member:s h:i energy:d pinball_sum:d pit_mean:d gaussian:d n:i",
+       f"""SELECT site_id, member, h, avg(near / 9 - spread / 81 / 2) AS energy, avg(pb) AS pinball_sum, avg(pit) AS pit_mean,
+             avg(sd * (z * ({cdf_sql('z')} * 2 - 1) + 2 * exp(-0.5 * z * z) / sqrt(2 * pi()) - 1 / sqrt(pi()))) AS gaussian, count(*) AS n
+           FROM (SELECT *, (y_h - q[5]) / greatest(sd, 1e-6) AS z FROM (SELECT *, greatest((q[8] - q[2]) / 2.563, 1e-6) AS sd, """
+       + " + ".join(f"abs(q[{i}] - y_h)" for i in range(1, 10)) + " AS near, "
+       + " + ".join(f"2 * abs(q[{i}] - q[{j}])" for i in range(1, 10) for j in range(i + 1, 10)) + " AS spread, "
+       + " + ".join(f"greatest({p} * (y_h - q[{i + 1}]), ({p} - 1) * (y_h - q[{i + 1}]))" for i, p in enumerate(LEVELS)) + " AS pb, ("
+       + " + ".join(f"(CASE WHEN q[{i}] < y_h THEN 1.0 WHEN q[{i}] = y_h THEN 0.5 ELSE 0.0 END)" for i in range(1, 10))
+       + ") / 9 AS pit FROM fc)) GROUP BY ALL", ctes=MEMBER_SQL)
+def _(v):
+    rows = members(v)
+    sd = F.greatest((quantile_at("q", LEVELS, 0.9) - quantile_at("q", LEVELS, 0.1)) / 2.563, F.lit(1e-6))
+    rows = rows.withColumns({"e": crps_energy("q", "y_h"), "p": pinball("q", LEVELS, "y_h"), "t": pit("q", "y_h"),
+                             "g": crps_gaussian(quantile_at("q", LEVELS, 0.5), sd, "y_h")})
+    return rows.groupBy("site_id", "member", "h").agg(
+        F.avg("e").alias("energy"), F.avg("p").alias("pinball_sum"), F.avg("t").alias("pit_mean"),
+        F.avg("g").alias("gaussian"), F.count(F.lit(1)).alias("n"))
+
+
+@query("pit_histogram", "site_id:s member:s bin:i n:i pit_mean:d",
+       """SELECT site_id, member, least(floor(pit * 10), 9) AS bin, count(*) AS n, avg(pit) AS pit_mean FROM (SELECT *, ("""
+       + " + ".join(f"(CASE WHEN q[{i}] < y_h THEN 1.0 WHEN q[{i}] = y_h THEN 0.5 ELSE 0.0 END)" for i in range(1, 10))
+       + ")::DOUBLE / 9 AS pit FROM fc) GROUP BY ALL", ctes=MEMBER_SQL)
+def _(v):
+    return pit_histogram(members(v).withColumn("pit", pit("q", "y_h")), by=("site_id", "member"))
+
+
+@query("persistence_crps", "site_id:s window_id:i h:i crps_persist:d n:i",
+       "SELECT site_id, window_id, h, avg(abs(y_h - cur)) AS crps_persist, count(*) AS n FROM sl WHERE NOT is_train GROUP BY ALL", ctes=SAMPLE_SQL)
+def _(v):
+    rows = persistence(by_horizon(samples(v)).filter(~F.col("is_train")))
+    return rows.withColumn("c", crps_quantiles("q", LEVELS, "y_h")).groupBy(*IDS, "h").agg(
+        F.avg("c").alias("crps_persist"), F.count(F.lit(1)).alias("n"))
+
+
+@query("climatology_forecast", "site_id:s window_id:i h:i crps:d rmse_mean:d n:i",
+       "SELECT site_id, window_id, h, avg(crps) AS crps, sqrt(avg(pow(y_h - mean, 2))) AS rmse_mean, count(*) AS n FROM cc GROUP BY ALL",
+       ctes=SAMPLE_SQL + """, ma AS (SELECT site_id, window_id, quantile_cont(conc_0_5, [0.1, 0.5, 0.9]) AS qa, avg(conc_0_5) AS aa FROM win WHERE is_train_row GROUP BY ALL),
+mm AS (SELECT site_id, window_id, month(day) AS m, quantile_cont(conc_0_5, [0.1, 0.5, 0.9]) AS qm, avg(conc_0_5) AS am FROM win WHERE is_train_row GROUP BY ALL HAVING count(*) >= 5),
+cj AS (SELECT t.*, coalesce(qm, qa) AS q, coalesce(am, aa) AS mean FROM sl t JOIN ma USING (site_id, window_id)
+  LEFT JOIN mm ON mm.site_id = t.site_id AND mm.window_id = t.window_id AND mm.m = month(t.origin) WHERE NOT is_train),""" + crps_sql("cc", "cj", _L3))
+def _(v):
+    rows = windows(v)
+    test = by_horizon(supervised_windows(rows, TARGET)).filter(~F.col("is_train"))
+    fc = climatology(test, month_quantiles(rows.filter("is_train_row"), TARGET), target_day="origin")
+    e = F.col("y_h") - F.col("mean")
+    return fc.withColumn("c", crps_quantiles("q", _L3, "y_h")).groupBy(*IDS, "h").agg(
+        F.avg("c").alias("crps"), F.sqrt(F.avg(e * e)).alias("rmse_mean"), F.count(F.lit(1)).alias("n"))
+
+
+_UNITS = """units AS (SELECT site_id, window_id, member, avg(crps) AS crps, avg(crps_persist) AS cp, avg(covered) AS coverage, avg(width) AS width,
+    sqrt(avg(sq_err)) AS rmse, (avg(crps_persist) - avg(crps)) / avg(crps_persist) * 100 AS skill, count(*) AS n_rows FROM scored GROUP BY ALL),
+units_h AS (SELECT site_id, window_id, member, h, avg(crps) AS crps, avg(crps_persist) AS cp, avg(covered) AS coverage, sqrt(avg(sq_err)) AS rmse,
+    CASE WHEN avg(crps_persist) <> 0 THEN (avg(crps_persist) - avg(crps)) / avg(crps_persist) * 100 END AS skill FROM scored GROUP BY ALL)"""
+_AGG = """avg(crps) AS crps_mean, stddev_pop(crps) AS crps_std, avg(cp) AS crps_persist, avg(skill) AS mean_skill, avg(coverage) AS coverage_mean,
+  avg(rmse) AS rmse_mean, count(*) AS n_units, (avg(cp) - avg(crps)) / avg(cp) * 100 AS skill_of_means"""
+
+
+@query("rolling_report", "site_id:s level:s part:s crps_mean:d crps_std:d crps_persist:d mean_skill:d skill_of_means:d coverage_mean:d rmse_mean:d n_units:i",
+       f"""SELECT site_id, 'window' AS level, CAST(window_id AS VARCHAR) AS part, {_AGG} FROM units GROUP BY ALL
+           UNION ALL SELECT site_id, 'member', member, {_AGG} FROM units GROUP BY ALL
+           UNION ALL SELECT site_id, 'overall', 'all', {_AGG} FROM units GROUP BY site_id
+           UNION ALL SELECT site_id, 'horizon', CAST(h AS VARCHAR), {_AGG} FROM units_h GROUP BY site_id, h""", ctes=SCORED_SQL + "," + _UNITS)
+def _(v):
+    return summary_lattice(scored(v))
+
+
+@query("window_skill", "site_id:s window_id:i member:s crps:d crps_persist:d skill:d coverage:d width:d rmse:d n_rows:i",
+       "SELECT *, cp AS crps_persist FROM units", ctes=SCORED_SQL + "," + _UNITS)
+def _(v):
+    return evaluation_units(scored(v), [*IDS, "member"])
+
+
+@query("member_range", "site_id:s window_id:i best_crps:d avg_crps:d worst_crps:d best_rmse:d avg_rmse:d best_coverage:d avg_coverage:d",
+       """SELECT site_id, window_id, min(crps) AS best_crps, avg(crps) AS avg_crps, max(crps) AS worst_crps, min(rmse) AS best_rmse, avg(rmse) AS avg_rmse,
+            max(coverage) AS best_coverage, avg(coverage) AS avg_coverage FROM units GROUP BY ALL""", ctes=SCORED_SQL + "," + _UNITS)
+def _(v):
+    return member_range(evaluation_units(scored(v), [*IDS, "member"]), IDS)
+
+
+ENSEMBLE_SQL = MEMBER_SQL + """,
+ens0 AS (SELECT site_id, window_id, origin, h, [""" + ", ".join(f"avg(q[{i}])" for i in range(1, 10)) + """] AS q, min(y_h) AS y_h, min(cur) AS cur,
+    count(*) AS n_members FROM fc GROUP BY site_id, window_id, origin, h)"""
+
+
+@query("quantile_ensemble", "site_id:s window_id:i h:i crps:d coverage:d rmse:d skill:d n:i",
+       """SELECT site_id, window_id, h, avg(crps) AS crps, avg(CASE WHEN y_h BETWEEN q[2] AND q[8] THEN 1.0 ELSE 0.0 END) AS coverage,
+            sqrt(avg(pow(y_h - q[5], 2))) AS rmse, CASE WHEN avg(abs(y_h - cur)) <> 0 THEN (avg(abs(y_h - cur)) - avg(crps)) / avg(abs(y_h - cur)) * 100 END AS skill,
+            count(*) AS n FROM ens GROUP BY ALL""", ctes=ENSEMBLE_SQL + "," + crps_sql("ens", "ens0"))
+def _(v):
+    ens = score_rows(quantile_ensemble(members(v), 9, [*IDS, "origin", "h"]), LEVELS)
+    return ens.groupBy(*IDS, "h").agg(
+        F.avg("crps").alias("crps"), F.avg("covered").alias("coverage"), F.sqrt(F.avg("sq_err")).alias("rmse"),
+        F.avg("crps_persist").alias("cp"), F.count(F.lit(1)).alias("n")).withColumn("skill", skill("crps", "cp"))
+
+
+@query("interval_coverage", "site_id:s member:s h:i coverage:d width:d n:i",
+       """SELECT site_id, member, h, avg(CASE WHEN y_h BETWEEN q[2] AND q[8] THEN 1.0 ELSE 0.0 END) AS coverage, avg(q[8] - q[2]) AS width,
+            count(*) AS n FROM fc GROUP BY ALL""", ctes=MEMBER_SQL)
+def _(v):
+    rows = members(v)
+    lo, hi = quantile_at("q", LEVELS, 0.1), quantile_at("q", LEVELS, 0.9)
+    return interval_summary(rows.withColumns({"covered": F.col("y_h").between(lo, hi).cast("double"), "width": hi - lo}),
+                            ["site_id", "member", "h"])
+
+
+@query("errors_by_horizon", "site_id:s member:s h:i rmse:d mae:d n:i",
+       "SELECT site_id, member, h, sqrt(avg(pow(y_h - q[5], 2))) AS rmse, avg(abs(y_h - q[5])) AS mae, count(*) AS n FROM fc GROUP BY ALL", ctes=MEMBER_SQL)
+def _(v):
+    return errors(members(v), quantile_at("q", LEVELS, 0.5), "y_h", ["site_id", "member", "h"])
+
+
+@query("layer_errors", "site_id:s depth:d rmse:d mae:d n:i",
+       """SELECT site_id, depth, sqrt(avg(pow(total_conc - prev, 2))) AS rmse, avg(abs(total_conc - prev)) AS mae, count(*) AS n FROM (
+            SELECT *, lag(total_conc) OVER (PARTITION BY site_id, depth ORDER BY day) AS prev FROM cells) WHERE prev IS NOT NULL GROUP BY ALL""")
+def _(v):
+    from pyspark.sql import Window as W
+    prev = F.lag("total_conc").over(W.partitionBy("site_id", "depth").orderBy("day"))
+    return errors(v.cells.withColumn("prev", prev).filter(F.col("prev").isNotNull()), "prev", "total_conc", ["site_id", "depth"])
+
+
+@query("day_blocks", "site_id:s day_ahead:i crps:d n_steps:i",
+       """SELECT site_id, (h - 1) // 3 + 1 AS day_ahead, avg(c) AS crps, count(*) AS n_steps FROM (
+            SELECT site_id, h, avg(abs(y_h - cur)) AS c FROM sl WHERE NOT is_train GROUP BY ALL) GROUP BY ALL""", ctes=SAMPLE_SQL)
+def _(v):
+    per_h = by_horizon(samples(v)).filter(~F.col("is_train")).groupBy("site_id", "h").agg(
+        F.avg(F.abs(F.col("y_h") - F.col("cur"))).alias("crps"))
+    return day_blocks(per_h, "crps", ["site_id"], steps_per_day=3)
+
+
+# ------------------------------------------------------ probability of a rise
+def _pchip_sql() -> str:
+    """P(rise) from q10, q50, q90 of the change: normal, linear and monotone cubic."""
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    def seg(make):
+        return ("CASE " + " ".join(f"WHEN x{i} <= 0 THEN {make(i)}" for i in (3, 2, 1)) + f" ELSE {make(0)} END")
+    t = seg(lambda i: f"CASE WHEN x{i + 1} > x{i} THEN -x{i} / (x{i + 1} - x{i}) ELSE 0.0 END")
+    lin = seg(lambda i: f"{probs[i]} + t * {probs[i + 1] - probs[i]}")
+    def slope(i):
+        # secants with a guard for tied knots
+        sl = f"({probs[i] - probs[i - 1]} / nullif(x{i} - x{i - 1}, 0))"
+        sr = f"({probs[i + 1] - probs[i]} / nullif(x{i + 1} - x{i}, 0))"
+        w1 = f"(2 * (x{i} - x{i - 1}) + (x{i + 1} - x{i}))"
+        w2 = f"((x{i} - x{i - 1}) + 2 * (x{i + 1} - x{i}))"
+        den = f"(coalesce({w1} / {sl}, 0) + coalesce({w2} / {sr}, 0))"
+        return f"CASE WHEN abs({den}) < 1e-12 THEN 0.0 ELSE ({w1} + {w2}) / {den} END"
+    d = {1: "d1", 2: "d2", 3: "d3"}
+    def cubic(i):
+        h = f"(x{i + 1} - x{i})"
+        left = str(probs[1]) if i == 0 else f"{h} * {d[i]}"
+        right = str(probs[4] - probs[3]) if i == 3 else f"{h} * {d[i + 1]}"
+        return (f"(2*t*t*t - 3*t*t + 1) * {probs[i]} + (t*t*t - 2*t*t + t) * {left}"
+                f" + (3*t*t - 2*t*t*t) * {probs[i + 1]} + (t*t*t - t*t) * {right}")
+    edge = "CASE WHEN x0 >= 0 THEN 0.0 WHEN x4 <= 0 THEN 1.0 ELSE least(greatest({0}, 0.0), 1.0) END"
+    z = "(CASE WHEN sg > 1e-9 THEN x2 / greatest(sg, 1e-12) WHEN x2 > 0 THEN 5.0 WHEN x2 < 0 THEN -5.0 ELSE 0.0 END)"
+    return f"""up AS (SELECT *, least(greatest({cdf_sql('z')}, 1e-6), 1 - 1e-6) AS p_gauss, 1 - ({edge.format(lin)}) AS p_linear,
+    1 - (CASE WHEN x3 - x1 < 1e-9 THEN CASE WHEN x2 > 1e-9 THEN 0.0 WHEN x2 < -1e-9 THEN 1.0 ELSE 0.5 END ELSE {edge.format(seg(cubic))} END) AS p_monotone
+  FROM (SELECT *, {t} AS t, {slope(1)} AS d1, {slope(2)} AS d2, {slope(3)} AS d3, {z} AS z FROM (
+    SELECT *, x1 - (x2 - x1) / 4 AS x0, x3 + (x3 - x2) / 4 AS x4, (x3 - x1) / 2.563 AS sg FROM (
+      SELECT site_id, window_id, origin, h, member, y_h - cur AS delta_h, CASE WHEN y_h > cur THEN 1 ELSE 0 END AS rise,
+        q[2] - cur AS x1, q[5] - cur AS x2, q[8] - cur AS x3 FROM fc))))"""
+
+
+UP_SQL = MEMBER_SQL + "," + _pchip_sql()
+
+
+def rises(v):
+    rows = members(v)
+    low, mid, high = (quantile_at("q", LEVELS, p) - F.col("cur") for p in _L3)
+    rows = rows.withColumns({"d10": low, "d50": mid, "d90": high, "delta_h": F.col("y_h") - F.col("cur"),
+                             "rise": (F.col("y_h") > F.col("cur")).cast("int")})
+    return with_prob_up(rows.withColumn("p_gauss", prob_up_gaussian("d10", "d50", "d90")), "d10", "d50", "d90")
+
+
+@query("rise_probability", "site_id:s window_id:i member:s origin:s h:i p_gauss:d p_linear:d p_monotone:d rise:i", "SELECT * FROM up", ctes=UP_SQL)
+def _(v):
+    return rises(v)
+
+
+@query("rise_scores", "site_id:s h:i accuracy:d brier:d n:i",
+       """SELECT site_id, h, avg(CASE WHEN (p_monotone > 0.5) = (rise = 1) THEN 1.0 ELSE 0.0 END) AS accuracy, avg(pow(p_monotone - rise, 2)) AS brier,
+            count(*) AS n FROM up GROUP BY ALL""", ctes=UP_SQL)
+def _(v):
+    return probability_summary(rises(v), "p_monotone", "rise", ["site_id", "h"])
+
+
+_BINS = """bins AS (SELECT site_id, h, least(greatest(floor(p_gauss * 10), 0), 9) AS bin, count(*) AS n, avg(p_gauss) AS p_mean,
+    avg(rise) AS observed FROM up GROUP BY ALL)"""
+
+
+@query("calibration_table", "site_id:s h:i bin:i n:i p_mean:d observed:d", "SELECT * FROM bins", ctes=UP_SQL + "," + _BINS)
+def _(v):
+    return calibration_table(rises(v), "p_gauss", "rise", ["site_id", "h"])
+
+
+@query("calibration_error", "site_id:s h:i ece:d n:i", "SELECT site_id, h, sum(n * abs(p_mean - observed)) / sum(n) AS ece, sum(n) AS n FROM bins GROUP BY ALL",
+       ctes=UP_SQL + "," + _BINS)
+def _(v):
+    return expected_calibration_error(calibration_table(rises(v), "p_gauss", "rise", ["site_id", "h"]), ["site_id", "h"])
+
+
+@query("roc_auc", "site_id:s member:s h:i n_pos:i n_neg:i auc:d",
+       """SELECT site_id, member, h, sum(rise) AS n_pos, sum(1 - rise) AS n_neg,
+            CASE WHEN sum(rise) > 0 AND sum(1 - rise) > 0 THEN (sum(rise * r) - sum(rise) * (sum(rise) + 1) / 2.0) / (sum(rise) * sum(1 - rise)) END AS auc
+          FROM (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY site_id, member, h, p_gauss) - 1) / 2.0 AS r FROM up
+            WINDOW w AS (PARTITION BY site_id, member, h ORDER BY p_gauss)) GROUP BY ALL""", ctes=UP_SQL)
+def _(v):
+    return roc_auc(rises(v), "p_gauss", "rise", ["site_id", "member", "h"])
+
+
+@query("best_threshold", "site_id:s h:i tau:d accuracy:d n:i",
+       """SELECT site_id, h, tau, ok / n AS accuracy, n FROM (
+            SELECT site_id, h, tau, sum(CASE WHEN (p_gauss > tau) = (rise = 1) THEN 1 ELSE 0 END) AS ok, count(*) AS n
+            FROM up, (SELECT 0.02::DOUBLE + 0.01::DOUBLE * i AS tau FROM range(97) r(i)) GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY site_id, h ORDER BY ok DESC, tau) = 1""", ctes=UP_SQL)
+def _(v):
+    return best_threshold(rises(v), "p_gauss", "rise", ["site_id", "h"])
+
+
+@query("direction_rates", "site_id:s window_id:i h:i up_rate:d constant_accuracy:d n:i",
+       """SELECT site_id, window_id, h, avg(CASE WHEN delta_h > 0 THEN 1.0 ELSE 0.0 END) AS up_rate,
+            greatest(avg(CASE WHEN delta_h > 0 THEN 1.0 ELSE 0.0 END), 1 - avg(CASE WHEN delta_h > 0 THEN 1.0 ELSE 0.0 END)) AS constant_accuracy,
+            count(*) AS n FROM sl WHERE NOT is_train GROUP BY ALL""", ctes=SAMPLE_SQL)
+def _(v):
+    return direction_rates(by_horizon(samples(v)).filter(~F.col("is_train")), [*IDS, "h"])
+
+
+@query("isotonic_calibration", "site_id:s h:i accuracy:d brier:d n:i")
+def _(v):
+    rows = rises(v)
+    model = fit_isotonic(rows, "p_gauss", "rise")
+    return probability_summary(apply_isotonic(model, rows, "p_gauss"), "p_calibrated", "rise", ["site_id", "h"])
+
+
+# ------------------------------------------------------------------ conformal
+# Calibration pool: the change forecasts of all windows but the last test parts;
+# groups are (station, horizon) over many windows.
+POOL_SQL = MEMBER_SQL + """,
+pool0 AS (SELECT site_id, window_id, origin, h, y_h, q[2] AS q10, q[5] AS q50, q[8] AS q90, month(origin) AS m, year(origin) AS yr FROM fc WHERE member = 'change'),
+lastw AS (SELECT site_id, max(window_id) AS lw FROM pool0 GROUP BY site_id),
+calp AS (SELECT p.* FROM pool0 p JOIN lastw USING (site_id) WHERE window_id < lw),
+testp AS (SELECT p.* FROM pool0 p JOIN lastw USING (site_id) WHERE window_id = lw),
+centre AS (SELECT site_id, CAST(floor(median(m)) AS INTEGER) AS c, min(yr) AS ty FROM testp WHERE h = 1 GROUP BY site_id),
+cal AS (SELECT c.*, centre.c AS centre FROM calp c JOIN centre USING (site_id)),
+sides AS (SELECT site_id, h, m, centre, yr, unnest([{'s': 'abs50', 'v': abs(y_h - q50)}, {'s': 'symabs', 'v': greatest(q10 - y_h, y_h - q90)},
+    {'s': 'low', 'v': greatest(q10 - y_h, 0.0)}, {'s': 'up', 'v': greatest(y_h - q90, 0.0)}]) AS z FROM cal),
+sc AS (SELECT site_id, h, m, centre, yr, z.s AS side, z.v AS score FROM sides)"""
+
+
+def pool(v):
+    rows = members(v).filter(F.col("member") == "change").select(
+        *IDS, "origin", "h", "y_h", "cur", *[quantile_at("q", LEVELS, p).alias(n) for p, n in zip(_L3, ("q10", "q50", "q90"))],
+        F.month("origin").alias("month"), F.year("origin").alias("year"))
+    last = rows.groupBy("site_id").agg(F.max("window_id").alias("lw"))
+    rows = rows.join(last, "site_id")
+    cal, test = rows.filter(F.col("window_id") < F.col("lw")), rows.filter(F.col("window_id") == F.col("lw"))
+    centre = test.filter("h = 1").groupBy("site_id").agg(
+        F.floor(F.percentile("month", F.lit(0.5))).cast("int").alias("centre_month"), F.min("year").alias("test_year"))
+    return cal.join(centre, "site_id"), test
+
+
+def _kth(source: str, alpha: float, sides: str) -> str:
+    return f"""SELECT site_id, h, {', '.join(f"max(CASE WHEN side = '{s}' THEN score END) AS adj_{s}" for s in sides.split())}, max(n) AS n_scores FROM (
+      SELECT *, row_number() OVER (PARTITION BY site_id, h, side ORDER BY score) AS rk, count(*) OVER (PARTITION BY site_id, h, side) AS n FROM {source})
+      WHERE rk = greatest(1, least(CAST(ceil((n + 1) * (1.0::DOUBLE - {alpha})) AS BIGINT), n)) GROUP BY ALL"""
+
+
+@query("conformal_adjustment", "site_id:s h:i adj_abs50:d adj_symabs:d adj_low:d adj_up:d n_scores:i",
+       _kth("sc", 0.2, "abs50 symabs low up"), ctes=POOL_SQL)
+def _(v):
+    return calibrate(pool(v)[0], 0.2, ["site_id", "h"])
+
+
+@query("conformal_coverage", "site_id:s method:s coverage:d width:d n:i",
+       " UNION ALL ".join(f"""SELECT site_id, '{m}' AS method, avg(CASE WHEN y_h BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) AS coverage, avg(hi - lo) AS width,
+           count(*) AS n FROM (SELECT *, {lo} AS lo, {hi} AS hi FROM testp JOIN adj USING (site_id, h)) GROUP BY site_id""" for m, lo, hi in (
+           ("raw", "q10", "q90"), ("abs50", "q50 - adj_abs50", "q50 + adj_abs50"),
+           ("symabs", "least(q10 - adj_symabs, q50)", "greatest(q90 + adj_symabs, q50)"), ("cqr", "least(q10 - adj_low, q50)", "greatest(q90 + adj_up, q50)"))),
+       ctes=POOL_SQL + ", adj AS (" + _kth("sc", 0.2, "abs50 symabs low up") + ")")
+def _(v):
+    cal, test = pool(v)
+    joined = test.join(calibrate(cal, 0.2, ["site_id", "h"]), ["site_id", "h"])
+    out = None
+    for method in ("raw", "abs50", "symabs", "cqr"):
+        rows = adjust(joined, method)
+        part = interval_summary(rows.withColumns({
+            "covered": F.col("y_h").between(F.col("lower"), F.col("upper")).cast("double"),
+            "width": F.col("upper") - F.col("lower")}), ["site_id"]).withColumn("method", F.lit(method))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("weighted_conformal", "site_id:s h:i adj_low:d adj_up:d n_scores:i",
+       """SELECT site_id, h, max(CASE WHEN side = 'low' THEN a END) AS adj_low, max(CASE WHEN side = 'up' THEN a END) AS adj_up, max(n) AS n_scores FROM (
+            SELECT site_id, h, side, min(score) FILTER (WHERE cw >= 0.8::DOUBLE * tw OR rn = n) AS a, max(n) AS n FROM (
+              SELECT *, sum(w) OVER (PARTITION BY site_id, h, side ORDER BY score) AS cw, sum(w) OVER (PARTITION BY site_id, h, side) AS tw,
+                row_number() OVER (PARTITION BY site_id, h, side ORDER BY score) AS rn, count(*) OVER (PARTITION BY site_id, h, side) AS n FROM (
+                SELECT *, exp(-pow(least(abs(m - centre) % 12, 12 - abs(m - centre) % 12), 2) / 2.0) AS w FROM sc WHERE side IN ('low', 'up')))
+            GROUP BY ALL) GROUP BY site_id, h""", ctes=POOL_SQL)
+def _(v):
+    return calibrate_weighted(pool(v)[0], 0.2, ["site_id", "h"])
+
+
+@query("season_pool_conformal", "site_id:s h:i adj_low:d adj_up:d n_scores:i", _kth("near", 0.2, "low up"),
+       ctes=POOL_SQL + ", near AS (SELECT * FROM sc WHERE side IN ('low', 'up') AND least(abs(m - centre) % 12, 12 - abs(m - centre) % 12) <= 1)")
+def _(v):
+    return calibrate(season_pool(pool(v)[0]), 0.2, ["site_id", "h"], sides=("low", "up"))
+
+
+@query("season_regression_conformal", "site_id:s h:i adj_low:d adj_up:d n_scores:i",
+       """SELECT site_id, h, max(CASE WHEN side = 'low' THEN a END) AS adj_low, max(CASE WHEN side = 'up' THEN a END) AS adj_up, max(n) AS n_scores FROM (
+            SELECT r.site_id, r.h, r.side, r.n, r.rest + s.lv AS a FROM (
+              SELECT *, row_number() OVER (PARTITION BY site_id, h, side ORDER BY rest) AS rk, count(*) OVER (PARTITION BY site_id, h, side) AS n FROM rest) r
+            JOIN smooth s ON s.site_id = r.site_id AND s.h = r.h AND s.side = r.side AND s.m = r.centre
+            WHERE rk = greatest(1, least(CAST(ceil((n + 1) * (1.0::DOUBLE - 0.2)) AS BIGINT), n))) GROUP BY site_id, h""",
+       ctes=POOL_SQL + """, two AS (SELECT * FROM sc WHERE side IN ('low', 'up')),
+mean_all AS (SELECT site_id, h, side, avg(score) AS a FROM two GROUP BY ALL),
+mean_m AS (SELECT site_id, h, side, m, avg(score) AS a FROM two GROUP BY ALL),
+full_m AS (SELECT x.site_id, x.h, x.side, CAST(r.m AS INTEGER) AS m, coalesce(y.a, x.a) AS a FROM mean_all x CROSS JOIN range(1, 13) r(m)
+  LEFT JOIN mean_m y ON y.site_id = x.site_id AND y.h = x.h AND y.side = x.side AND y.m = r.m),
+smooth AS (SELECT f.site_id, f.h, f.side, f.m, 0.25 * p.a + 0.5 * f.a + 0.25 * n.a AS lv FROM full_m f
+  JOIN full_m p ON p.site_id = f.site_id AND p.h = f.h AND p.side = f.side AND p.m = (f.m + 10) % 12 + 1
+  JOIN full_m n ON n.site_id = f.site_id AND n.h = f.h AND n.side = f.side AND n.m = f.m % 12 + 1),
+rest AS (SELECT t.*, t.score - s.lv AS rest FROM two t JOIN smooth s USING (site_id, h, side, m))""")
+def _(v):
+    return calibrate_seasonal(pool(v)[0], 0.2, ["site_id", "h"])
+
+
+@query("held_out_season", "site_id:s h:i kept:i held:i",
+       """SELECT site_id, h, count(*) FILTER (WHERE NOT held) AS kept, count(*) FILTER (WHERE held) AS held FROM (
+            SELECT *, least(abs(m - centre.c) % 12, 12 - abs(m - centre.c) % 12) <= 1 AND yr = ty - 1 AS held FROM calp JOIN centre USING (site_id)) GROUP BY ALL""",
+       ctes=POOL_SQL)
+def _(v):
+    kept, held = previous_year_block(pool(v)[0], "month", "centre_month", "year", "test_year")
+    ids = ["site_id", "h"]
+    return (kept.groupBy(*ids).agg(F.count(F.lit(1)).alias("kept"))
+            .join(held.groupBy(*ids).agg(F.count(F.lit(1)).alias("held")), ids, "left").na.fill(0, ["held"]))
+
+
+# ------------------------------------------------------------- learned baselines
+FEATURES = ("conc_0_5_last", "conc_0_5_mean", "conc_0_5_std", "conc_0_5_change")
+MORE = ("air_temp_mean", "delta_T", "thermo_grad")
+
+
+def featured(v):
+    """Samples with look-back statistics of the window's own rows."""
+    rows = assign_windows(v.daily.select("site_id", "day", TARGET, "air_temp", "delta_T", "thermo_grad"))
+    rows = window_stats(rows, [TARGET, "air_temp"], "day", keys=IDS)
+    return supervised_windows(rows, TARGET, carry=(*FEATURES, *MORE))
+
+
+@query("ridge_errors", "site_id:s window_id:i h:i rmse:d mae:d n:i")
+def _(v):
+    rows = ridge_forecast(by_horizon(featured(v)), FEATURES).filter(~F.col("is_train"))
+    return errors(rows, "pred", "y_h", [*IDS, "h"])
+
+
+@query("feature_ablation", "site_id:s window_id:i arm:s rmse:d mae:d n:i")
+def _(v):
+    return feature_ablation(by_horizon(featured(v)), {"base": FEATURES, "with_stratification": (*FEATURES, "delta_T", "thermo_grad"),
+                                                      "all": (*FEATURES, *MORE)})
+
+
+@query("autoregression_errors", "site_id:s h:i rmse:d mae:d n:i")
+def _(v):
+    rows = autoregression(v.daily.select("site_id", "day", TARGET), TARGET, "day", order=20, horizon=7)
+    return errors(rows, "pred", "y_h", ["site_id", "h"])
+
+
+@query("boosted_tree_errors", "site_id:s h:i rmse:d mae:d n:i")
+def _(v):
+    rows = by_horizon(featured(v))
+    out = boosted_trees(rows, (*FEATURES, *MORE), horizons=(1, 7), trees=8, depth=3)
+    return errors(out.filter(~F.col("is_train")), "pred", "y_h", ["site_id", "h"])
+
+
+@query("boosted_peak_errors", "site_id:s rmse:d mae:d n:i")
+def _(v):
+    out = boosted_peak(featured(v), (*FEATURES, *MORE), trees=8, depth=3)
+    return errors(out.filter(~F.col("is_train")), "pred_peak", "peak", ["site_id"])
+
+
+def _classified(v):
+    labelled = warning_levels(featured(v))
+    weights = class_weights(labelled.filter("is_train"), balanced=True)
+    return level_classifier(labelled, FEATURES, weights, trees=10, depth=4)
+
+
+@query("level_classifier", "site_id:s accuracy:d ordinal_rmse:d n:i")
+def _(v):
+    return class_summary(_classified(v).filter(~F.col("is_train")), "level", "predicted", ["site_id"])
+
+
+_NAIVE = LEVEL_SQL + """,
+naive AS (SELECT l.*, CAST(l.cur > c1 AS INTEGER) + CAST(l.cur > c2 AS INTEGER) + CAST(l.cur > c3 AS INTEGER) AS predicted
+  FROM levels l JOIN cuts USING (site_id, window_id) WHERE NOT is_train)"""
+
+
+def _naive(v):
+    rows = warning_levels(samples(v)).filter(~F.col("is_train"))
+    return rows.withColumn("predicted", F.size(F.filter("cuts", lambda c: c < F.col("cur"))))
+
+
+@query("level_summary", "site_id:s window_id:i accuracy:d ordinal_rmse:d n:i",
+       """SELECT site_id, window_id, avg(CASE WHEN level = predicted THEN 1.0 ELSE 0.0 END) AS accuracy, sqrt(avg(pow(level - predicted, 2))) AS ordinal_rmse,
+            count(*) AS n FROM naive GROUP BY ALL""", ctes=_NAIVE)
+def _(v):
+    return class_summary(_naive(v), "level", "predicted", IDS)
+
+
+@query("level_recall", "site_id:s level:i recall:d n:i",
+       "SELECT site_id, level, avg(CASE WHEN level = predicted THEN 1.0 ELSE 0.0 END) AS recall, count(*) AS n FROM naive GROUP BY ALL", ctes=_NAIVE)
+def _(v):
+    return class_recall(_naive(v), "level", "predicted", ["site_id"])
+
+
+@query("state_probability", "site_id:s window_id:i p_mean:d observed:d n:i")
+def _(v):
+    rows = featured(v).withColumn("stratified", (F.col("delta_T") > 0).cast("int"))
+    out = state_probability(rows, (*FEATURES, "air_temp_mean"), label="stratified").filter(~F.col("is_train"))
+    return out.groupBy(*IDS).agg(F.avg("p").alias("p_mean"), F.avg(F.col("stratified").cast("double")).alias("observed"), F.count(F.lit(1)).alias("n"))
+
+
+@query("month_change_forecast", "site_id:s window_id:i h:i rmse:d mae:d n:i",
+       "SELECT site_id, window_id, h, sqrt(avg(pow(y_h - q[5], 2))) AS rmse, avg(abs(y_h - q[5])) AS mae, count(*) AS n FROM fc WHERE member = 'month_change' GROUP BY ALL",
+       ctes=MEMBER_SQL)
+def _(v):
+    rows = change_quantiles(by_horizon(samples(v)), by_month=True).filter(~F.col("is_train"))
+    return errors(rows, quantile_at("q", LEVELS, 0.5), "y_h", [*IDS, "h"])
