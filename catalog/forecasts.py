@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalog.registry import query
@@ -11,7 +12,7 @@ from limnoscope.functions.scores import (
     quantile_at, sorted_quantiles, with_prob_up,
 )
 from limnoscope.operators.conformal import (
-    adjust, calibrate, calibrate_seasonal, calibrate_weighted, previous_year_block, season_pool,
+    adjusted_intervals, calibrate, calibrate_seasonal, calibrate_weighted, previous_year_block, season_pool,
 )
 from limnoscope.operators.features import window_stats
 from limnoscope.operators.forecast import (
@@ -109,10 +110,12 @@ def _(v):
     return members(v).withColumns({f"q{i}": F.get("q", F.lit(i - 1)) for i in range(1, 10)})
 
 
-@query("crps_rows", "site_id:s window_id:i member:s origin:s h:i crps:d crps_persist:d covered:d width:d sq_err:d",
-       "SELECT * FROM scored", ctes=SCORED_SQL)
+@query("crps_by_origin", "site_id:s window_id:i member:s origin:s crps:d crps_persist:d covered:d width:d sq_err:d",
+       """SELECT site_id, window_id, member, origin, avg(crps) AS crps, avg(crps_persist) AS crps_persist, avg(covered) AS covered,
+            avg(width) AS width, avg(sq_err) AS sq_err FROM scored GROUP BY ALL""", ctes=SCORED_SQL)
 def _(v):
-    return scored(v)
+    return scored(v).groupBy(*IDS, "member", "origin").agg(
+        *[F.avg(c).alias(c) for c in ("crps", "crps_persist", "covered", "width", "sq_err")])
 
 
 @query("crps_three_levels", "site_id:s window_id:i h:i crps:d crps_approx:d n:i",
@@ -243,7 +246,6 @@ def _(v):
        """SELECT site_id, depth, sqrt(avg(pow(total_conc - prev, 2))) AS rmse, avg(abs(total_conc - prev)) AS mae, count(*) AS n FROM (
             SELECT *, lag(total_conc) OVER (PARTITION BY site_id, depth ORDER BY day) AS prev FROM cells) WHERE prev IS NOT NULL GROUP BY ALL""")
 def _(v):
-    from pyspark.sql import Window as W
     prev = F.lag("total_conc").over(W.partitionBy("site_id", "depth").orderBy("day"))
     return errors(v.cells.withColumn("prev", prev).filter(F.col("prev").isNotNull()), "prev", "total_conc", ["site_id", "depth"])
 
@@ -331,10 +333,10 @@ def _(v):
 @query("roc_auc", "site_id:s member:s h:i n_pos:i n_neg:i auc:d",
        """SELECT site_id, member, h, sum(rise) AS n_pos, sum(1 - rise) AS n_neg,
             CASE WHEN sum(rise) > 0 AND sum(1 - rise) > 0 THEN (sum(rise * r) - sum(rise) * (sum(rise) + 1) / 2.0) / (sum(rise) * sum(1 - rise)) END AS auc
-          FROM (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY site_id, member, h, p_gauss) - 1) / 2.0 AS r FROM up
-            WINDOW w AS (PARTITION BY site_id, member, h ORDER BY p_gauss)) GROUP BY ALL""", ctes=UP_SQL)
+          FROM (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY site_id, member, h, p) - 1) / 2.0 AS r FROM (SELECT *, round(p_gauss, 6) AS p FROM up)
+            WINDOW w AS (PARTITION BY site_id, member, h ORDER BY p)) GROUP BY ALL""", ctes=UP_SQL)
 def _(v):
-    return roc_auc(rises(v), "p_gauss", "rise", ["site_id", "member", "h"])
+    return roc_auc(rises(v).withColumn("p_gauss", F.round("p_gauss", 6)), "p_gauss", "rise", ["site_id", "member", "h"])
 
 
 @query("best_threshold", "site_id:s h:i tau:d accuracy:d n:i",
@@ -377,15 +379,21 @@ sc AS (SELECT site_id, h, m, centre, yr, z.s AS side, z.v AS score FROM sides)""
 
 
 def pool(v):
-    rows = members(v).filter(F.col("member") == "change").select(
+    """Change forecasts of all windows with ``is_test`` for each station's last window,
+    and that window's centre month and year on every row."""
+    rows = change_quantiles(by_horizon(samples(v))).filter(~F.col("is_train")).select(
         *IDS, "origin", "h", "y_h", "cur", *[quantile_at("q", LEVELS, p).alias(n) for p, n in zip(_L3, ("q10", "q50", "q90"))],
         F.month("origin").alias("month"), F.year("origin").alias("year"))
-    last = rows.groupBy("site_id").agg(F.max("window_id").alias("lw"))
-    rows = rows.join(last, "site_id")
-    cal, test = rows.filter(F.col("window_id") < F.col("lw")), rows.filter(F.col("window_id") == F.col("lw"))
-    centre = test.filter("h = 1").groupBy("site_id").agg(
-        F.floor(F.percentile("month", F.lit(0.5))).cast("int").alias("centre_month"), F.min("year").alias("test_year"))
-    return cal.join(centre, "site_id"), test
+    site = W.partitionBy("site_id")
+    rows = rows.withColumn("is_test", F.col("window_id") == F.max("window_id").over(site))
+    first = F.col("is_test") & (F.col("h") == 1)
+    return rows.withColumns({
+        "centre_month": F.floor(F.percentile(F.when(first, F.col("month")), F.lit(0.5)).over(site)).cast("int"),
+        "test_year": F.min(F.when(first, F.col("year"))).over(site)})
+
+
+def cal_pool(v):
+    return pool(v).filter(~F.col("is_test"))
 
 
 def _kth(source: str, alpha: float, sides: str) -> str:
@@ -397,7 +405,7 @@ def _kth(source: str, alpha: float, sides: str) -> str:
 @query("conformal_adjustment", "site_id:s h:i adj_abs50:d adj_symabs:d adj_low:d adj_up:d n_scores:i",
        _kth("sc", 0.2, "abs50 symabs low up"), ctes=POOL_SQL)
 def _(v):
-    return calibrate(pool(v)[0], 0.2, ["site_id", "h"])
+    return calibrate(cal_pool(v), 0.2, ["site_id", "h"])
 
 
 @query("conformal_coverage", "site_id:s method:s coverage:d width:d n:i",
@@ -407,16 +415,12 @@ def _(v):
            ("symabs", "least(q10 - adj_symabs, q50)", "greatest(q90 + adj_symabs, q50)"), ("cqr", "least(q10 - adj_low, q50)", "greatest(q90 + adj_up, q50)"))),
        ctes=POOL_SQL + ", adj AS (" + _kth("sc", 0.2, "abs50 symabs low up") + ")")
 def _(v):
-    cal, test = pool(v)
-    joined = test.join(calibrate(cal, 0.2, ["site_id", "h"]), ["site_id", "h"])
-    out = None
-    for method in ("raw", "abs50", "symabs", "cqr"):
-        rows = adjust(joined, method)
-        part = interval_summary(rows.withColumns({
-            "covered": F.col("y_h").between(F.col("lower"), F.col("upper")).cast("double"),
-            "width": F.col("upper") - F.col("lower")}), ["site_id"]).withColumn("method", F.lit(method))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = pool(v)
+    adjustment = calibrate(rows.filter(~F.col("is_test")), 0.2, ["site_id", "h"])
+    out = adjusted_intervals(rows.filter("is_test").join(adjustment, ["site_id", "h"]))
+    return interval_summary(out.withColumns({
+        "covered": F.col("y_h").between(F.col("lower"), F.col("upper")).cast("double"),
+        "width": F.col("upper") - F.col("lower")}), ["site_id", "method"])
 
 
 @query("weighted_conformal", "site_id:s h:i adj_low:d adj_up:d n_scores:i",
@@ -427,13 +431,13 @@ def _(v):
                 SELECT *, exp(-pow(least(abs(m - centre) % 12, 12 - abs(m - centre) % 12), 2) / 2.0) AS w FROM sc WHERE side IN ('low', 'up')))
             GROUP BY ALL) GROUP BY site_id, h""", ctes=POOL_SQL)
 def _(v):
-    return calibrate_weighted(pool(v)[0], 0.2, ["site_id", "h"])
+    return calibrate_weighted(cal_pool(v), 0.2, ["site_id", "h"])
 
 
 @query("season_pool_conformal", "site_id:s h:i adj_low:d adj_up:d n_scores:i", _kth("near", 0.2, "low up"),
        ctes=POOL_SQL + ", near AS (SELECT * FROM sc WHERE side IN ('low', 'up') AND least(abs(m - centre) % 12, 12 - abs(m - centre) % 12) <= 1)")
 def _(v):
-    return calibrate(season_pool(pool(v)[0]), 0.2, ["site_id", "h"], sides=("low", "up"))
+    return calibrate(season_pool(cal_pool(v)), 0.2, ["site_id", "h"], sides=("low", "up"))
 
 
 @query("season_regression_conformal", "site_id:s h:i adj_low:d adj_up:d n_scores:i",
@@ -452,7 +456,7 @@ smooth AS (SELECT f.site_id, f.h, f.side, f.m, 0.25 * p.a + 0.5 * f.a + 0.25 * n
   JOIN full_m n ON n.site_id = f.site_id AND n.h = f.h AND n.side = f.side AND n.m = f.m % 12 + 1),
 rest AS (SELECT t.*, t.score - s.lv AS rest FROM two t JOIN smooth s USING (site_id, h, side, m))""")
 def _(v):
-    return calibrate_seasonal(pool(v)[0], 0.2, ["site_id", "h"])
+    return calibrate_seasonal(cal_pool(v), 0.2, ["site_id", "h"])
 
 
 @query("held_out_season", "site_id:s h:i kept:i held:i",
@@ -460,7 +464,7 @@ def _(v):
             SELECT *, least(abs(m - centre.c) % 12, 12 - abs(m - centre.c) % 12) <= 1 AND yr = ty - 1 AS held FROM calp JOIN centre USING (site_id)) GROUP BY ALL""",
        ctes=POOL_SQL)
 def _(v):
-    kept, held = previous_year_block(pool(v)[0], "month", "centre_month", "year", "test_year")
+    kept, held = previous_year_block(cal_pool(v), "month", "centre_month", "year", "test_year")
     ids = ["site_id", "h"]
     return (kept.groupBy(*ids).agg(F.count(F.lit(1)).alias("kept"))
             .join(held.groupBy(*ids).agg(F.count(F.lit(1)).alias("held")), ids, "left").na.fill(0, ["held"]))

@@ -14,6 +14,15 @@ def as_col(x) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it.
+
+    A long expression that is repeated in a formula would be repeated in the
+    generated code as well, up to its size limit.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # ---------------------------------------------------------------- casts
 def pad_site_id(site_id, width: int = 4) -> Column:
     """Left-pad with zeros to ``width``; longer ids are kept whole."""
@@ -135,14 +144,16 @@ ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
 def normal_cdf(z) -> Column:
-    z = as_col(z)
-    x = F.abs(z) / F.lit(math.sqrt(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * x)
-    poly = F.lit(0.0)
-    for a in reversed(ERF_A):
-        poly = (poly + F.lit(a)) * t
-    tail = F.lit(0.5) * poly * F.exp(-x * x)
-    return F.when(z >= 0, F.lit(1.0) - tail).otherwise(tail)
+    def cdf(v):
+        x = F.abs(v) / F.lit(math.sqrt(2.0))
+        t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * x)
+        poly = F.lit(0.0)
+        for a in reversed(ERF_A):
+            poly = (poly + F.lit(a)) * t
+        tail = F.lit(0.5) * poly * F.exp(-x * x)
+        return F.when(v >= 0, F.lit(1.0) - tail).otherwise(tail)
+
+    return let(as_col(z), cdf)
 
 
 def normal_pdf(z) -> Column:

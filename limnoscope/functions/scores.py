@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnoscope.functions.columns import as_col, normal_cdf, normal_pdf
+from limnoscope.functions.columns import as_col, let, normal_cdf, normal_pdf
 
 
 def sorted_quantiles(q) -> Column:
@@ -103,8 +103,8 @@ def crps_energy(q, y) -> Column:
 
 def crps_gaussian(mean, std, y) -> Column:
     s = F.greatest(as_col(std), F.lit(1e-6))
-    z = (as_col(y) - as_col(mean)) / s
-    return s * (z * (normal_cdf(z) * 2 - 1) + normal_pdf(z) * 2 - F.lit(1 / math.sqrt(math.pi)))
+    return s * let((as_col(y) - as_col(mean)) / s, lambda z: (
+        z * (normal_cdf(z) * 2 - 1) + normal_pdf(z) * 2 - F.lit(1 / math.sqrt(math.pi))))
 
 
 def pinball(q, levels: Sequence[float], y) -> Column:
@@ -139,73 +139,63 @@ def prob_up_gaussian(q10, q50, q90) -> Column:
     sigma = (q90 - q10) / F.lit(2.563)
     z = (F.when(sigma > 1e-9, q50 / F.greatest(sigma, F.lit(1e-12)))
          .when(q50 > 0, F.lit(5.0)).when(q50 < 0, F.lit(-5.0)).otherwise(F.lit(0.0)))
-    return F.least(F.greatest(normal_cdf(z), F.lit(1e-6)), F.lit(1 - 1e-6))
+    return let(normal_cdf(z), lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)))
 
 
 _PROBS = (0.0, 0.1, 0.5, 0.9, 1.0)
 
 
-def _with_knots(df: DataFrame, q10, q50, q90) -> DataFrame:
-    """Five knots of the distribution and its four segment widths as scratch columns."""
-    q10, q50, q90 = map(as_col, (q10, q50, q90))
-    return df.withColumns({
-        "_x0": q10 - (q50 - q10) / 4, "_x1": q10, "_x2": q50, "_x3": q90,
-        "_x4": q90 + (q90 - q50) / 4,
-    }).withColumns({f"_h{i}": F.col(f"_x{i + 1}") - F.col(f"_x{i}") for i in range(4)})
-
-
-def _by_segment(make) -> Column:
-    """``make(i)`` of the last segment whose left knot is not above 0."""
-    out = make(0)
-    for i in range(1, 4):
-        out = F.when(F.col(f"_x{i}") <= 0, make(i)).otherwise(out)
-    return out
-
-
-def _cdf_at_zero(inner: Column) -> Column:
-    clipped = F.least(F.greatest(inner, F.lit(0.0)), F.lit(1.0))
-    return (F.when(F.col("_x0") >= 0, F.lit(0.0)).when(F.col("_x4") <= 0, F.lit(1.0))
-            .otherwise(clipped))
-
-
 def with_prob_up(df: DataFrame, q10, q50, q90, *, linear="p_linear", monotone="p_monotone") -> DataFrame:
     """P(change > 0) from three quantiles of the change, by a linear and by a
-    monotone cubic (Fritsch-Carlson) distribution function through five knots."""
-    w = _with_knots(df, q10, q50, q90)
-    x = [F.col(f"_x{i}") for i in range(5)]
-    h = [F.col(f"_h{i}") for i in range(4)]
-    dy = [b - a for a, b in zip(_PROBS, _PROBS[1:])]
+    monotone cubic (Fritsch-Carlson) distribution function through five knots.
 
-    def share(i):
-        return F.when(h[i] > 0, -x[i] / h[i]).otherwise(F.lit(0.0))
-
-    w = w.withColumn("_t", _by_segment(share))
-    t = F.col("_t")
-    lin = _by_segment(lambda i: F.lit(_PROBS[i]) + t * F.lit(dy[i]))
-    w = w.withColumn(linear, F.lit(1.0) - _cdf_at_zero(lin))
-
-    # Inner knot slopes: weighted harmonic mean of the neighbouring secants,
-    # written with inverse secants h/dy so that tied knots need no infinity.
-    for i in (1, 2, 3):
-        left, right = h[i - 1] * 2 + h[i], h[i - 1] + h[i] * 2
-        denom = left * h[i - 1] / F.lit(dy[i - 1]) + right * h[i] / F.lit(dy[i])
-        w = w.withColumn(f"_d{i}", F.when(F.abs(denom) < 1e-12, F.lit(0.0))
-                         .otherwise((left + right) / F.when(F.abs(denom) < 1e-12, F.lit(1.0))
-                                    .otherwise(denom)))
-
-    def rise(i, knot):
-        """Knot slope times segment width; at the outer knots that is the step itself."""
-        return F.lit(dy[i]) if knot in (0, 4) else h[i] * F.col(f"_d{knot}")
-
-    def cubic(i):
-        t2, t3 = t * t, t * t * t
-        return ((t3 * 2 - t2 * 3 + 1) * _PROBS[i] + (t3 - t2 * 2 + t) * rise(i, i)
-                + (t2 * 3 - t3 * 2) * _PROBS[i + 1] + (t3 - t2) * rise(i, i + 1))
-
-    mid = as_col(q50)
-    flat = (as_col(q90) - as_col(q10)) < 1e-9
-    cdf = (F.when(flat & (mid > 1e-9), F.lit(0.0)).when(flat & (mid < -1e-9), F.lit(1.0))
-           .when(flat, F.lit(0.5)).otherwise(_cdf_at_zero(_by_segment(cubic))))
-    w = w.withColumn(monotone, F.lit(1.0) - cdf)
-    return w.drop(*[f"_x{i}" for i in range(5)], *[f"_h{i}" for i in range(4)],
-                  "_d1", "_d2", "_d3", "_t")
+    The outer knots continue the outer segments to probability 0 and 1.  The
+    segment that holds 0 is found first and its ends are taken from arrays, so
+    each formula appears once in the generated code.
+    """
+    low, mid, high = map(as_col, (q10, q50, q90))
+    probs = F.array(*[F.lit(p) for p in _PROBS])
+    dy = [b - a for a, b in zip(_PROBS, _PROBS[1:])]
+    w = df.withColumn("_x", F.array(low - (mid - low) / 4, low, mid, high, high + (high - mid) / 4))
+
+    def x(i):
+        return F.get("_x", F.lit(i))
+
+    w = w.withColumn("_h", F.array(*[x(i + 1) - x(i) for i in range(4)]))
+
+    def h(i):
+        return F.get("_h", F.lit(i))
+
+    def inner(i):
+        """Slope at knot i: weighted harmonic mean of the neighbouring secants, written
+        with inverse secants h/dy so that tied knots need no infinity."""
+        left, right = h(i - 1) * 2 + h(i), h(i - 1) + h(i) * 2
+        denom = left * h(i - 1) / F.lit(dy[i - 1]) + right * h(i) / F.lit(dy[i])
+        return F.when(F.abs(denom) >= 1e-12, (left + right) / F.when(F.abs(denom) >= 1e-12, denom)).otherwise(0.0)
+
+    def outer(i):
+        return F.when(h(i) > 0, F.lit(dy[i]) / F.when(h(i) > 0, h(i))).otherwise(0.0)
+
+    at = sum((x(i) <= 0).cast("int") for i in (2, 3)) + (x(1) <= 0).cast("int")
+    w = w.withColumns({"_d": F.array(outer(0), inner(1), inner(2), inner(3), outer(3)), "_i": at})
+    i = F.col("_i")
+    width, left = F.get("_h", i), F.get("_x", i)
+    w = w.withColumns({
+        "_t": F.when(width > 0, -left / F.when(width > 0, width)).otherwise(0.0),
+        "_y0": F.get(probs, i), "_y1": F.get(probs, i + 1),
+        "_r0": width * F.get("_d", i), "_r1": width * F.get("_d", i + 1),
+    })
+    t, y0, y1 = F.col("_t"), F.col("_y0"), F.col("_y1")
+    cubic = ((t * t * t * 2 - t * t * 3 + 1) * y0 + (t * t * t - t * t * 2 + t) * F.col("_r0")
+             + (t * t * 3 - t * t * t * 2) * y1 + (t * t * t - t * t) * F.col("_r1"))
+
+    def at_zero(value):
+        inside = F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+        return F.when(x(0) >= 0, F.lit(0.0)).when(x(4) <= 0, F.lit(1.0)).otherwise(inside)
+
+    flat = (x(3) - x(1)) < 1e-9
+    collapsed = F.when(x(2) > 1e-9, F.lit(0.0)).when(x(2) < -1e-9, F.lit(1.0)).otherwise(F.lit(0.5))
+    return w.withColumns({
+        linear: F.lit(1.0) - at_zero(y0 + t * (y1 - y0)),
+        monotone: F.lit(1.0) - F.when(flat, collapsed).otherwise(at_zero(cubic)),
+    }).drop("_x", "_h", "_d", "_i", "_t", "_y0", "_y1", "_r0", "_r1")

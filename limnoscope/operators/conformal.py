@@ -93,20 +93,28 @@ def calibrate_seasonal(pool: DataFrame, alpha: float, keys: Sequence[str], month
     return _wide(stat.join(levels, ids).withColumn("value_k", total), "value_k", keys, ("low", "up"))
 
 
-def adjust(df: DataFrame, method: str, q10="q10", q50="q50", q90="q90") -> DataFrame:
-    """Apply an adjustment that was joined on; the median stays between the ends."""
+def adjusted_intervals(df: DataFrame, methods: Sequence[str] = ("raw", "abs50", "symabs", "cqr"),
+                       q10="q10", q50="q50", q90="q90") -> DataFrame:
+    """Apply joined-on adjustments: one row per method with ``lower``, ``middle``, ``upper``.
+
+    An adjusted interval always contains the median.
+    """
     lo, mid, hi = map(as_col, (q10, q50, q90))
-    if method == "abs50":
-        lo, hi = mid - F.col("adj_abs50"), mid + F.col("adj_abs50")
-    elif method == "symabs":
-        lo, hi = lo - F.col("adj_symabs"), hi + F.col("adj_symabs")
-    elif method == "cqr":
-        lo, hi = lo - F.col("adj_low"), hi + F.col("adj_up")
-    elif method != "raw":
-        raise ValueError(f"unknown conformal method: {method}")
-    if method == "raw":
-        return df.withColumns({"lower": lo, "middle": mid, "upper": hi})
-    return df.withColumns({"lower": F.least(lo, mid), "middle": mid, "upper": F.greatest(hi, mid)})
+    ends = {
+        "raw": lambda: (lo, hi),
+        "abs50": lambda: (mid - F.col("adj_abs50"), mid + F.col("adj_abs50")),
+        "symabs": lambda: (lo - F.col("adj_symabs"), hi + F.col("adj_symabs")),
+        "cqr": lambda: (lo - F.col("adj_low"), hi + F.col("adj_up")),
+    }
+    rows = []
+    for method in methods:
+        if method not in ends:
+            raise ValueError(f"unknown conformal method: {method}")
+        a, b = ends[method]()
+        if method != "raw":
+            a, b = F.least(a, mid), F.greatest(b, mid)
+        rows.append(F.struct(F.lit(method).alias("method"), a.alias("lower"), mid.alias("middle"), b.alias("upper")))
+    return df.select("*", F.inline(F.array(*rows)))
 
 
 def finite_sample_index(n: int, level: float) -> int:

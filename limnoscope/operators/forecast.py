@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from limnoscope.schema import KEYS, QUANTILE_LEVELS
@@ -51,25 +52,38 @@ def climatology(samples_h: DataFrame, month_q: DataFrame, target_day: str = "tar
             .drop("_month", "_qm", "_qa", "_mm", "_ma"))
 
 
+def own_month_climatology(rows: DataFrame, value: str, day: str = "day",
+                          levels: Sequence[float] = QUANTILE_LEVELS, min_rows: int = 5,
+                          train_row: str = "is_train_row", ids: Sequence[str] = IDS,
+                          name: str = "clim_q") -> DataFrame:
+    """Attach to each day the train quantiles of its own month, or of all train rows
+    when the month has fewer than ``min_rows``: windows, so nothing is joined."""
+    p = F.array(*[F.lit(float(v)) for v in levels])
+    train = F.when(F.col(train_row), F.col(value))
+    all_rows, month_rows = W.partitionBy(*ids), W.partitionBy(*ids, F.month(day))
+    out = rows.withColumn("_qa", F.percentile(train, p).over(all_rows))
+    month_q = F.when(F.count(train).over(month_rows) >= min_rows, F.percentile(train, p).over(month_rows))
+    return out.withColumn(name, F.coalesce(month_q, "_qa")).drop("_qa")
+
+
 def change_quantiles(samples_h: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
                      by_month: bool = False, min_rows: int = 5,
-                     ids: Sequence[str] = IDS) -> DataFrame:
+                     ids: Sequence[str] = IDS, name: str = "q") -> DataFrame:
     """Quantile forecast: the train part's empirical change over ``h`` rows, added to
     the current value.  With ``by_month`` the change of the origin's month is used
-    where the train part has at least ``min_rows`` of it."""
+    where the train part has at least ``min_rows`` of it.
+
+    Samples come partitioned by window, so these windows need no shuffle.
+    """
     p = F.array(*[F.lit(float(v)) for v in levels])
-    train = samples_h.filter("is_train")
-    overall = train.groupBy(*ids, "h").agg(F.percentile("delta_h", p).alias("_qa"))
-    out = samples_h.join(overall, [*ids, "h"])
-    change = F.col("_qa")
+    train = F.when(F.col("is_train"), F.col("delta_h"))
+    change = F.percentile(train, p).over(W.partitionBy(*ids, "h"))
+    out = samples_h.withColumn("_qa", change)
     if by_month:
-        monthly = (train.groupBy(*ids, "h", F.month("origin").alias("_month"))
-                   .agg(F.percentile("delta_h", p).alias("_qm"), F.count(F.lit(1)).alias("_n"))
-                   .filter(F.col("_n") >= min_rows).drop("_n"))
-        out = out.withColumn("_month", F.month("origin")).join(monthly, [*ids, "h", "_month"], "left")
-        change = F.coalesce("_qm", "_qa")
-    return out.withColumn("q", F.transform(change, lambda v: v + F.col("cur"))) \
-        .drop("_qa", "_qm", "_month")
+        month_rows = W.partitionBy(*ids, "h", F.month("origin"))
+        out = out.withColumn("_qa", F.coalesce(
+            F.when(F.count(train).over(month_rows) >= min_rows, F.percentile(train, p).over(month_rows)), "_qa"))
+    return out.withColumn(name, F.transform("_qa", lambda v: v + F.col("cur"))).drop("_qa")
 
 
 # ------------------------------------------------------------- linear baselines

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from limnoscope.functions.columns import floor_to_days, floor_to_grid
@@ -71,8 +72,7 @@ def coarsen(wide: DataFrame, step_hours: int | None = None, step_days: int | Non
     elif step_days == 1:
         out = wide.withColumn("day", F.to_date(cell)).groupBy(*keys, "day").agg(*means)
     else:
-        first = wide.groupBy(*keys).agg(F.to_date(F.min(cell)).alias("_first"))
-        out = (wide.join(first, list(keys))
+        out = (wide.withColumn("_first", F.to_date(F.min(cell).over(W.partitionBy(*keys))))
                .withColumn("day", floor_to_days(F.to_date(cell), "_first", step_days))
                .groupBy(*keys, "day").agg(*means))
     return out.dropna(how="any") if complete else out

@@ -37,43 +37,33 @@ def band_median(cells: DataFrame, value: str = "total_conc", band: tuple[float,
             .agg(F.percentile(value, F.lit(0.5)).alias("band")))
 
 
-def bloom_thresholds(cells: DataFrame, value: str = "total_conc", quantile: float = 0.9,
-                     top_band=TOP_BAND, link_band=LINK_BAND, at: str = "day",
-                     keys: Sequence[str] = KEYS, fit=None) -> DataFrame:
-    """Per station: ``band_q`` and the array ``layers`` of (depth, threshold).
-
-    ``fit`` selects the rows to fit on (a boolean column, e.g. the train rows).
-    """
-    rows = cells if fit is None else cells.filter(fit)
-    band = band_median(rows, value, top_band, at, keys).groupBy(*keys).agg(
-        F.percentile("band", F.lit(quantile)).alias("band_q"))
-    layers = (rows.filter(F.col("depth").between(*link_band)).groupBy(*keys, "depth")
-              .agg(F.percentile(value, F.lit(quantile)).alias("layer_q")))
-    return layers.join(band, list(keys))
-
-
 def bloom_state(cells: DataFrame, value: str = "total_conc", quantile: float = 0.9,
                 min_layers: int = 3, top_band=TOP_BAND, link_band=LINK_BAND, at: str = "day",
                 keys: Sequence[str] = KEYS, fit=None) -> DataFrame:
     """Bloom state per station and time: the band median is above the band's own
     quantile and at least ``min_layers`` layers are above theirs.
 
-    Both the band median and the layer count come from one aggregation over the
-    cells after the (small) layer thresholds are joined on.
+    The cells are brought together by station once; layer thresholds, band
+    medians and the band threshold are windows inside that partitioning, so
+    nothing is shuffled again and nothing is joined.  ``fit`` (a boolean column
+    of the cells) limits the rows the thresholds are fitted on.
     """
-    limits = bloom_thresholds(cells, value, quantile, top_band, link_band, at, keys, fit)
-    layer = limits.select(*keys, "depth", "layer_q")
-    band = limits.groupBy(*keys).agg(F.max("band_q").alias("band_q"))
+    keys = list(keys)
+    fitted = F.lit(True) if fit is None else fit
     lo, hi = min(top_band[0], link_band[0]), max(top_band[1], link_band[1])
-    joined = (cells.filter(F.col("depth").between(lo, hi))
-              .join(layer, [*keys, "depth"], "left"))
-    in_top = F.when(F.col("depth").between(*top_band), F.col(value))
-    state = joined.groupBy(*keys, at).agg(
-        F.percentile(in_top, F.lit(0.5)).alias("band"),
-        F.coalesce(F.sum((F.col(value) > F.col("layer_q")).cast("int")), F.lit(0)).alias("n_layers"))
+    rows = (cells.filter(F.col("depth").between(lo, hi)).withColumn("_fit", fitted)
+            .select(*keys, at, "depth", F.col(value).alias("_v"), "_fit").repartition(*keys))
+    in_link = F.col("depth").between(*link_band)
+    rows = rows.withColumn("_lq", F.percentile(F.when(F.col("_fit") & in_link, F.col("_v")), F.lit(quantile))
+                           .over(W.partitionBy(*keys, "depth")))
+    in_top = F.when(F.col("depth").between(*top_band), F.col("_v"))
+    state = rows.groupBy(*keys, at).agg(
+        F.percentile(in_top, F.lit(0.5)).alias("band"), F.max("_fit").alias("_fit"),
+        F.coalesce(F.sum((F.col("_v") > F.col("_lq")).cast("int")), F.lit(0)).alias("n_layers"))
+    state = state.withColumn("band_q", F.percentile(F.when(F.col("_fit"), F.col("band")), F.lit(quantile))
+                             .over(W.partitionBy(*keys)))
     on = F.coalesce(F.col("band") > F.col("band_q"), F.lit(False)) & (F.col("n_layers") >= min_layers)
-    return (state.join(band, list(keys))
-            .select(*keys, at, "band", "band_q", "n_layers", on.cast("int").alias("bloom")))
+    return state.select(*keys, at, "band", "band_q", "n_layers", on.cast("int").alias("bloom"))
 
 
 def stratified(rows: DataFrame, ts: str = "day", fit_frac: float = 0.7, value: str = "delta_T",
@@ -92,11 +82,10 @@ def warning_levels(samples: DataFrame, cuts: Sequence[float] = WARNING_CUTS,
                    keys: Sequence[str] = ("site_id", "window_id")) -> DataFrame:
     """Level 0..len(cuts) of the peak of the coming days: how many train
     quantiles of the peak lie strictly below it."""
-    peaks = samples.withColumn("peak", F.array_max("y"))
-    q = (peaks.filter("is_train").groupBy(*keys)
-         .agg(F.percentile("peak", F.array(*[F.lit(c) for c in cuts])).alias("cuts")))
-    return peaks.join(q, list(keys)).withColumn(
-        "level", F.size(F.filter("cuts", lambda c: c < F.col("peak"))))
+    peak = F.when(F.col("is_train"), F.col("peak"))
+    q = F.percentile(peak, F.array(*[F.lit(c) for c in cuts])).over(W.partitionBy(*keys))
+    return (samples.withColumn("peak", F.array_max("y")).withColumn("cuts", q)
+            .withColumn("level", F.size(F.filter("cuts", lambda c: c < F.col("peak")))))
 
 
 def bloom_labels(samples: DataFrame, bloom: str | None = "bloom") -> DataFrame:

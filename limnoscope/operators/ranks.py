@@ -34,7 +34,8 @@ def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), weight: s
                   carry: dict[str, Column] | None = None, count: str | None = None) -> DataFrame:
     """One row per (keys, value): ``n`` rows there, ``below`` rows with a smaller
     value, ``total`` rows of the group; with ``weight`` also ``w``, ``w_below``
-    and ``w_total``.  ``carry`` adds aggregates kept per distinct value.  ``count``
+    and ``w_total``.  ``carry`` adds sums kept per distinct value (``<name>_total`` for the group;
+    both sides of the join then read the same shuffled rows).  ``count``
     names a column that says how many rows a row stands for.
     """
     keys = list(keys)
@@ -52,13 +53,16 @@ def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), weight: s
     totals = {"n": "total"} | ({"w": "w_total"} if weight else {})
     # Slices number at most a few thousand per binary order of magnitude of the
     # data, however many rows there are.
-    slices = distinct.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    extra = list(carry or {})
+    slices = distinct.groupBy(*keys, "_slice").agg(
+        *[F.sum(c).alias(f"_{c}") for c in [*sums, *extra]])
     all_rows = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     run = all_rows.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     slices = slices.select(
         *keys, "_slice",
         *[F.coalesce(F.sum(f"_{c}").over(run), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *[F.sum(f"_{c}").over(all_rows).alias(t) for c, t in totals.items()],
+        *[F.sum(f"_{c}").over(all_rows).alias(f"{c}_total") for c in extra],
     )
     inside = (W.partitionBy(*keys, "_slice").orderBy(value)
               .rowsBetween(W.unboundedPreceding, -1))
@@ -67,7 +71,7 @@ def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), weight: s
         *keys, value, *aggs,
         *[(F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(b)
           for c, b in sums.items()],
-        *totals.values(),
+        *totals.values(), *[f"{c}_total" for c in extra],
     )
 
 
@@ -126,11 +130,11 @@ def roc_auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (),
             name: str = "auc") -> DataFrame:
     """Area under the ROC curve from rank sums; null when one class is missing."""
     keys = list(keys)
-    ranked = ranked_values(df, score, keys, carry={"_pos": F.sum(F.col(label).cast("bigint"))})
+    ranked = ranked_values(df, score, keys, carry={"pos": F.sum(F.col(label).cast("bigint"))})
     mean_rank = F.col("below") + (F.col("n") + 1) / F.lit(2.0)
     grouped = ranked.groupBy(*keys) if keys else ranked.groupBy()
-    sums = grouped.agg(F.sum("_pos").alias("n_pos"), F.sum("n").alias("_n"),
-                       F.sum(mean_rank * F.col("_pos")).alias("_r"))
+    sums = grouped.agg(F.max("pos_total").alias("n_pos"), F.max("total").alias("_n"),
+                       F.sum(mean_rank * F.col("pos")).alias("_r"))
     pos, neg = F.col("n_pos"), F.col("_n") - F.col("n_pos")
     auc = F.when((pos > 0) & (neg > 0),
                  (F.col("_r") - pos * (pos + 1) / F.lit(2.0)) / (pos * neg))

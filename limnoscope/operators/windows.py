@@ -41,7 +41,7 @@ def assign_windows(df: DataFrame, d0: dt.date | str | None = None, train_days: i
     most.  Without ``d0`` windows start at the station's first day.
     """
     if d0 is None:
-        df = df.join(first_days(df, day, keys), list(keys))
+        df = df.withColumn("d0", F.min(day).over(W.partitionBy(*keys)))
     else:
         df = df.withColumn("d0", F.lit(str(d0)).cast("date"))
     span = train_days + test_days

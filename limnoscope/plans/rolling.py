@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnoscope.operators.forecast import change_quantiles, climatology, month_quantiles, persistence
+from limnoscope.operators.forecast import change_quantiles, own_month_climatology, persistence
 from limnoscope.operators.metrics import score_rows, summary_lattice
 from limnoscope.operators.windows import assign_windows, by_horizon, supervised_windows
 from limnoscope.schema import HORIZON, LOOK_BACK, QUANTILE_LEVELS
@@ -26,21 +26,16 @@ def member_forecasts(daily: DataFrame, target: str = "conc_0_5",
     """Test-part quantile forecasts of three members: change of the train part,
     change of the same month, and month climatology of the origin's month."""
     rows = assign_windows(daily.select("site_id", "day", target), **protocol)
-    samples = supervised_windows(rows, target, look_back=look_back, horizon=horizon)
-    long = by_horizon(samples)
-    month_q = month_quantiles(rows.filter("is_train_row"), target, levels=levels)
-    keep = ["site_id", "window_id", "origin", "h", "cur", "y_h", "q"]
-    test = ~F.col("is_train")
-    parts = {
-        "change": change_quantiles(long, levels),
-        "month_change": change_quantiles(long, levels, by_month=True),
-        "climatology": climatology(long.filter(test), month_q, target_day="origin"),
-    }
-    out = None
-    for member, df in parts.items():
-        part = df.filter(test).select(*keep, F.lit(member).alias("member"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # One shuffle by window; every step below stays inside this partitioning.
+    rows = rows.repartition("site_id", "window_id")
+    rows = own_month_climatology(rows, target, levels=levels)
+    samples = supervised_windows(rows, target, look_back=look_back, horizon=horizon, carry=("clim_q",))
+    long = change_quantiles(by_horizon(samples), levels, name="change_q")
+    long = change_quantiles(long, levels, by_month=True, name="month_q")
+    members = F.array(*[F.struct(F.lit(m).alias("member"), F.col(c).alias("q")) for m, c in (
+        ("change", "change_q"), ("month_change", "month_q"), ("climatology", "clim_q"))])
+    return long.filter(~F.col("is_train")).select(
+        "site_id", "window_id", "origin", "h", "cur", "y_h", F.inline(members))
 
 
 def persistence_forecast(daily: DataFrame, target: str = "conc_0_5", **options) -> DataFrame:
