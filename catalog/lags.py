@@ -141,7 +141,7 @@ def _(v):
 
 
 # ----------------------------------------------------------- lag screen and edges
-_VARS = ("conc_0_5", "temp_0_5", "wind_speed", "air_temp")
+_VARS = ("conc_0_5", "temp_0_5", "humidity", "air_temp")
 _TAU = 10
 
 

@@ -40,9 +40,17 @@ def asof_nearest_grid(left: DataFrame, right: DataFrame, columns: Sequence[str],
         F.min_by(F.struct(*columns), rank).alias("_m"))
     nearest = nearest.select(*keys, F.col("_cell").alias("_rt"),
                              *[F.col(f"_m.{c}").alias(c) for c in columns])
-    cond = [left[k] == nearest[k] for k in keys] + [left[left_ts] == nearest["_rt"]]
-    return left.join(nearest, cond, "left").select(
-        *[left[c] for c in left.columns], *[nearest[c] for c in columns])
+    return _left_equi(left, nearest, left_ts, columns, keys)
+
+
+def _left_equi(left: DataFrame, right: DataFrame, left_ts: str, columns: Sequence[str],
+               keys: Sequence[str]) -> DataFrame:
+    """Left join on the keys and ``left_ts`` = ``_rt``, key columns kept once."""
+    named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_rt", *columns)
+    cond = F.col(left_ts) == F.col("_rt")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_k_{k}"))
+    return left.join(named, cond, "left").select(*left.columns, *columns)
 
 
 def asof_filled_grid(left: DataFrame, cells: DataFrame, columns: Sequence[str], *, step_hours: int,
@@ -71,9 +79,7 @@ def asof_filled_grid(left: DataFrame, cells: DataFrame, columns: Sequence[str],
     if tolerance:
         right = right.unionByName(ends.select(*keys, F.inline(extra))
                                   .select(*keys, "_rt", *[F.col(f"_m.{c}").alias(c) for c in columns]))
-    cond = [left[k] == right[k] for k in keys] + [left[left_ts] == right["_rt"]]
-    return left.join(right, cond, "left").select(
-        *[left[c] for c in left.columns], *[right[c] for c in columns])
+    return _left_equi(left, right, left_ts, columns, keys)
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, columns: Sequence[str], *,

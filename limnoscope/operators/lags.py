@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from limnoscope.functions.columns import normal_cdf
+from limnoscope.functions.columns import let, normal_cdf
 from limnoscope.schema import KEYS, depth_column
 
 
@@ -245,29 +245,35 @@ def partial_correlations(df: DataFrame, targets: Sequence[str], sources: Sequenc
             F.corr(F.get("_v", F.lit(i)), F.col(b)).alias(f"r_x_{b}") for b in base_names])
         for i, v in enumerate(sources)]).alias("_all"))
     r = by_source.select(*keys, "target", "lag", F.inline("_all")).join(base, [*keys, "target"])
-    # Sources that a condition explains fully make 1 - r^2 vanish.
     names = ["x", *base_names]
-
-    def rho(tab, a, b):
-        return tab[(a, b)] if (a, b) in tab else tab[(b, a)]
-
-    table = {(a, b): f"r_{a}_{b}" for i, a in enumerate(names) for b in names[i + 1:]}
+    table = F.struct(*[F.col(f"r_{a}_{b}").alias(f"{a}_{b}")
+                       for i, a in enumerate(names) for b in names[i + 1:]])
     for given in ("c", "s", "y2", "y1"):
         names = [v for v in names if v != given]
-        new = {}
-        cols = {}
+        table = let(table, _without(given, list(names)))
+    return (r.join(n_rows, list(keys))
+            .select(*keys, "target", "source", "lag", table["x_y"].alias("pcorr"), "n"))
+
+
+def _without(given: str, names: list[str]):
+    """Correlations of ``names`` once ``given`` is removed, from those before; null
+    where ``given`` explains one of the two fully."""
+    order = ["x", "y", "y1", "y2", "s", "c"]
+
+    def step(r):
+        def rho(a, b):
+            return r[f"{a}_{b}"] if order.index(a) < order.index(b) else r[f"{b}_{a}"]
+
+        out = []
         for i, a in enumerate(names):
             for b in names[i + 1:]:
-                ac, bc = F.col(rho(table, a, given)), F.col(rho(table, b, given))
+                ac, bc = rho(a, given), rho(b, given)
                 room = (F.lit(1.0) - ac * ac) * (F.lit(1.0) - bc * bc)
-                name = f"{rho(table, a, b)}_{given}"
-                cols[name] = F.when(room > 1e-12, (F.col(rho(table, a, b)) - ac * bc)
-                                    / F.sqrt(F.when(room > 1e-12, room)))
-                new[(a, b)] = name
-        r = r.withColumns(cols)
-        table = new
-    return (r.join(n_rows, list(keys))
-            .select(*keys, "target", "source", "lag", F.col(table[("x", "y")]).alias("pcorr"), "n"))
+                out.append(F.when(room > 1e-12, (rho(a, b) - ac * bc) / F.sqrt(F.when(room > 1e-12, room)))
+                           .alias(f"{a}_{b}"))
+        return F.struct(*out)
+
+    return step
 
 
 def screen_lags(pcorr: DataFrame, noise: float = 2.0, top_sources: int = 5, top_lags: int = 3,
@@ -300,8 +306,8 @@ def forced_candidates(targets_df: DataFrame, season: Sequence[str], tau_max: int
 def fisher_p(pcorr, n, n_conditions: int = 4):
     """Two-sided p-value of a partial correlation by Fisher's z."""
     r = F.least(F.greatest(pcorr, F.lit(-0.999999)), F.lit(0.999999))
-    z = F.lit(0.5) * F.log((F.lit(1.0) + r) / (F.lit(1.0) - r))
-    return F.lit(2.0) * (F.lit(1.0) - normal_cdf(F.abs(z) * F.sqrt(n - F.lit(n_conditions + 3))))
+    z = let(r, lambda v: F.abs(F.lit(0.5) * F.log((F.lit(1.0) + v) / (F.lit(1.0) - v))))
+    return F.lit(2.0) * (F.lit(1.0) - normal_cdf(z * F.sqrt(n - F.lit(n_conditions + 3))))
 
 
 def benjamini_hochberg(edges: DataFrame, p: str = "p", by: Sequence[str] = KEYS, tie: Sequence[str] = (),

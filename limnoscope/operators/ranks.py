@@ -119,11 +119,12 @@ def with_average_rank(df: DataFrame, value: str, keys: Sequence[str] = (),
     """Attach the 1-based rank, ties averaged; rows without a value get null."""
     keys = list(keys)
     ranked = ranked_values(df, value, keys).select(
-        *keys, F.col(value).alias("_v"),
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"),
         (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias(name))
-    cond = [df[k].eqNullSafe(ranked[k]) for k in keys]
-    cond.append((df[value] + F.lit(0.0)) == ranked["_v"])
-    return df.join(ranked, cond, "left").select(*[df[c] for c in df.columns], ranked[name])
+    cond = (F.col(value) + F.lit(0.0)) == F.col("_v")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(ranked, cond, "left").drop("_v", *[f"_k_{k}" for k in keys])
 
 
 def roc_auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (),
