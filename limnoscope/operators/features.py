@@ -38,13 +38,9 @@ def standard_scores(df: DataFrame, columns: Sequence[str], log: Sequence[str] =
     """Log1p of the non-negative part of ``log`` columns, then z-scores over the
     station's whole series."""
     out = df.withColumns({c: log_concentration(c) for c in log}) if log else df
-    stats = out.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"_m_{c}") for c in columns],
-        *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns])
-    out = out.join(stats, list(keys))
-    return (out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + F.lit(eps))
-                             for c in columns})
-            .drop(*stats.columns[len(keys):]))
+    whole = W.partitionBy(*keys)
+    return out.withColumns({c: (F.col(c) - F.avg(c).over(whole)) / (F.stddev_samp(c).over(whole) + F.lit(eps))
+                            for c in columns})
 
 
 def difference(df: DataFrame, columns: Sequence[str], steps: int, ts: str,

@@ -216,43 +216,61 @@ def partial_correlations(df: DataFrame, targets: Sequence[str], sources: Sequenc
     """Correlation of each target with each source ``lag`` rows earlier, given the
     target's own two previous values and the season.
 
-    The rows hold z-scored columns (so the moments are well scaled).  Plain
-    correlations of the six quantities are aggregated per (target, source, lag);
-    the four conditions are then removed one by one with the recursion
+    The rows hold z-scored columns, so sums of products are well scaled.  One
+    aggregation per (target, lag) takes the sums of the target, its conditions
+    and every source; their plain correlations follow from those, and the four
+    conditions are then removed one by one with the recursion
     ``r_ab.c = (r_ab - r_ac r_bc) / sqrt((1 - r_ac^2)(1 - r_bc^2))``.  A source
     that the conditions explain fully (the target's own lags 1 and 2) gets null.
     """
     order = W.partitionBy(*keys).orderBy(ts)
     s, c = season
     past = F.collect_list(F.array(*[F.col(v) for v in sources])).over(order.rowsBetween(-tau_max, -1))
-    rows = df.withColumn("_pos", F.row_number().over(order))
-    rows = rows.withColumns({"_past": past, **{f"_{t}_1": F.lag(t, 1).over(order) for t in targets},
-                             **{f"_{t}_2": F.lag(t, 2).over(order) for t in targets}})
-    rows = rows.filter(F.col("_pos") > tau_max)
-    n_rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.withColumns({
+        "_pos": F.row_number().over(order), "_n": F.count(F.lit(1)).over(W.partitionBy(*keys)), "_past": past,
+        **{f"_{t}_1": F.lag(t, 1).over(order) for t in targets},
+        **{f"_{t}_2": F.lag(t, 2).over(order) for t in targets}}).filter(F.col("_pos") > tau_max)
     per_target = F.array(*[
         F.struct(F.lit(t).alias("target"), F.col(t).alias("y"), F.col(f"_{t}_1").alias("y1"),
                  F.col(f"_{t}_2").alias("y2")) for t in targets])
-    flat = rows.select(*keys, "_past", F.col(s).alias("s"), F.col(c).alias("c"), F.inline(per_target))
-    base_names = ["y", "y1", "y2", "s", "c"]
-    base_pairs = [(a, b) for i, a in enumerate(base_names) for b in base_names[i + 1:]]
-    base = flat.groupBy(*keys, "target").agg(*[F.corr(a, b).alias(f"r_{a}_{b}") for a, b in base_pairs])
+    flat = rows.select(*keys, "_n", "_past", F.col(s).alias("s"), F.col(c).alias("c"), F.inline(per_target))
     # _past is oldest first: element j lies tau_max - j rows back.
-    lagged = (flat.select(*keys, "target", *base_names, F.posexplode("_past").alias("_j", "_v"))
+    base = ["y", "y1", "y2", "s", "c"]
+    lagged = (flat.select(*keys, "_n", "target", *base, F.posexplode("_past").alias("_j", "_v"))
               .withColumn("lag", F.lit(tau_max) - F.col("_j")))
-    by_source = lagged.groupBy(*keys, "target", "lag").agg(F.array(*[
-        F.struct(F.lit(v).alias("source"), *[
-            F.corr(F.get("_v", F.lit(i)), F.col(b)).alias(f"r_x_{b}") for b in base_names])
-        for i, v in enumerate(sources)]).alias("_all"))
-    r = by_source.select(*keys, "target", "lag", F.inline("_all")).join(base, [*keys, "target"])
-    names = ["x", *base_names]
-    table = F.struct(*[F.col(f"r_{a}_{b}").alias(f"{a}_{b}")
-                       for i, a in enumerate(names) for b in names[i + 1:]])
+    pairs = [(a, b) for i, a in enumerate(base) for b in base[i:]]
+    sums = [F.count(F.lit(1)).cast("double").alias("_m"), F.max("_n").alias("n")]
+    sums += [F.sum(a).alias(f"_s_{a}") for a in base]
+    sums += [F.sum(F.col(a) * F.col(b)).alias(f"_s_{a}_{b}") for a, b in pairs]
+    for i, v in enumerate(sources):
+        x = F.get("_v", F.lit(i))
+        sums += [F.sum(x).alias(f"_x{i}"), F.sum(x * x).alias(f"_x{i}_x")]
+        sums += [F.sum(x * F.col(b)).alias(f"_x{i}_{b}") for b in base]
+    moments = lagged.groupBy(*keys, "target", "lag").agg(*sums)
+
+    def spread(square, total):
+        return F.col(square) - F.col(total) * F.col(total) / F.col("_m")
+
+    moments = moments.withColumns({f"_v_{a}": spread(f"_s_{a}_{a}", f"_s_{a}") for a in base}
+                                  | {f"_v_x{i}": spread(f"_x{i}_x", f"_x{i}") for i in range(len(sources))})
+
+    def rho(product, a, b, va, vb):
+        room = F.col(va) * F.col(vb)
+        cov = F.col(product) - F.col(a) * F.col(b) / F.col("_m")
+        return F.when(room > 0, cov / F.sqrt(F.when(room > 0, room)))
+
+    known = {f"_r_{a}_{b}": rho(f"_s_{a}_{b}", f"_s_{a}", f"_s_{b}", f"_v_{a}", f"_v_{b}") for a, b in pairs if a != b}
+    per_source = F.array(*[
+        F.struct(F.lit(v).alias("source"), *[rho(f"_x{i}_{b}", f"_x{i}", f"_s_{b}", f"_v_x{i}", f"_v_{b}").alias(f"_r_x_{b}") for b in base])
+        for i, v in enumerate(sources)])
+    r = (moments.select(*keys, "target", "lag", "n", *[e.alias(k) for k, e in known.items()], per_source.alias("_all"))
+         .select(*keys, "target", "lag", "n", *known, F.inline("_all")))
+    names = ["x", *base]
+    table = F.struct(*[F.col(f"_r_{a}_{b}").alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i + 1:]])
     for given in ("c", "s", "y2", "y1"):
         names = [v for v in names if v != given]
         table = let(table, _without(given, list(names)))
-    return (r.join(n_rows, list(keys))
-            .select(*keys, "target", "source", "lag", table["x_y"].alias("pcorr"), "n"))
+    return r.select(*keys, "target", "source", "lag", table["x_y"].alias("pcorr"), "n")
 
 
 def _without(given: str, names: list[str]):

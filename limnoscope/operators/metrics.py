@@ -66,24 +66,26 @@ def summary_lattice(scored: DataFrame, keys: Sequence[str] = KEYS, window: str =
     average (window, member, horizon) units.  ``skill_of_means`` compares the
     averaged scores, ``mean_skill`` averages the skill of the units.
     """
-    units_h = evaluation_units(scored, [*keys, window, member, horizon])
-    units = evaluation_units(scored, [*keys, window, member])
-
-    def aggs():
-        return [F.avg("crps").alias("crps_mean"), F.stddev_pop("crps").alias("crps_std"),
-                F.avg("crps_persist").alias("crps_persist"), F.avg("skill").alias("mean_skill"),
-                F.avg("coverage").alias("coverage_mean"), F.avg("rmse").alias("rmse_mean"),
-                F.count(F.lit(1)).alias("n_units")]
-
     k = [F.col(c) for c in keys]
-    sets = units.groupingSets([[*k, F.col(window)], [*k, F.col(member)], k],
-                              *k, F.col(window), F.col(member)).agg(*aggs())
-    level = F.when(F.col(window).isNotNull(), "window").when(F.col(member).isNotNull(), "member").otherwise("overall")
-    part = F.coalesce(F.col(window).cast("string"), F.col(member).cast("string"), F.lit("all"))
-    top = sets.withColumns({"level": level, "part": part}).drop(window, member)
-    by_h = (units_h.groupBy(*keys, horizon).agg(*aggs())
-            .withColumns({"level": F.lit("horizon"), "part": F.col(horizon).cast("string")}).drop(horizon))
-    return top.unionByName(by_h).withColumn("skill_of_means", skill("crps_mean", "crps_persist"))
+    unit = [*k, F.col(window), F.col(member)]
+    # Both kinds of unit in one pass over the scored rows: horizon is null in the
+    # units of all horizons.
+    units = scored.groupingSets([[*unit, F.col(horizon)], unit], *unit, F.col(horizon)).agg(
+        F.avg("crps").alias("crps"), F.avg("crps_persist").alias("crps_persist"),
+        F.avg("covered").alias("coverage"), F.sqrt(F.avg("sq_err")).alias("rmse"),
+    ).withColumn("skill", skill("crps", "crps_persist"))
+
+    def row(level, part):
+        return F.struct(F.lit(level).alias("level"), part.cast("string").alias("part"))
+
+    whole = F.array(row("window", F.col(window)), row("member", F.col(member)), row("overall", F.lit("all")))
+    tags = F.when(F.col(horizon).isNull(), whole).otherwise(F.array(row("horizon", F.col(horizon))))
+    tagged = units.select(*keys, "crps", "crps_persist", "coverage", "rmse", "skill", F.inline(tags))
+    return tagged.groupBy(*keys, "level", "part").agg(
+        F.avg("crps").alias("crps_mean"), F.stddev_pop("crps").alias("crps_std"),
+        F.avg("crps_persist").alias("crps_persist"), F.avg("skill").alias("mean_skill"),
+        F.avg("coverage").alias("coverage_mean"), F.avg("rmse").alias("rmse_mean"),
+        F.count(F.lit(1)).alias("n_units")).withColumn("skill_of_means", skill("crps_mean", "crps_persist"))
 
 
 def quantile_ensemble(forecasts: DataFrame, n_levels: int, by: Sequence[str], q: str = "q",

@@ -27,7 +27,10 @@ def value_slice(x) -> Column:
     """Integer that never decreases with ``x``, for any finite double."""
     v = as_col(x)
     size = F.floor(F.log2(F.abs(v)) * SLICES_PER_DOUBLING) + F.lit(1080 * SLICES_PER_DOUBLING)
-    return (F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))).cast("bigint")
+    slice_ = F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
+    # Never null, so that joins on it add no filter to one side only and both sides
+    # of the self join below can share one shuffle.
+    return F.coalesce(slice_, F.lit(0).cast("bigint"))
 
 
 def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None,
