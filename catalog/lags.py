@@ -236,8 +236,8 @@ def _(v):
        """SELECT site_id, depth, max(n) AS n, n / arg_max(k, pw) AS dominant_period, """ + ", ".join(
            f"coalesce(sum(pw) FILTER (WHERE f >= 1.0::DOUBLE / {b} AND f < 1.0::DOUBLE / {a}), 0) / sum(pw) AS share_{a}_{b}d"
            for a, b in ((2, 7), (7, 30), (30, 180), (180, 730))) + """
-          FROM (SELECT site_id, depth, n, k, k / CAST(n AS DOUBLE) AS f, pow(sum(x * cos(2 * pi() * k * p / n)), 2) + pow(sum(x * sin(2 * pi() * k * p / n)), 2) AS pw
-            FROM sp, range(1, 1300) r(k) WHERE k / CAST(n AS DOUBLE) > 1.0::DOUBLE / 730 AND k / CAST(n AS DOUBLE) <= 0.5 GROUP BY ALL) GROUP BY site_id, depth, n""",
+          FROM (SELECT site_id, depth, n, k, k * (1.0::DOUBLE / n) AS f, pow(sum(x * cos(2 * pi() * k * p / n)), 2) + pow(sum(x * sin(2 * pi() * k * p / n)), 2) AS pw
+            FROM sp, range(1, 1300) r(k) WHERE k * (1.0::DOUBLE / n) > 1.0::DOUBLE / 730 AND k * (1.0::DOUBLE / n) <= 0.5 GROUP BY ALL) GROUP BY site_id, depth, n""",
        ctes="""sp AS (SELECT site_id, depth, total_conc - avg(total_conc) OVER s AS x, row_number() OVER (PARTITION BY site_id, depth ORDER BY day) - 1 AS p,
          count(*) OVER s AS n FROM (SELECT site_id, depth, day, total_conc FROM cells) WINDOW s AS (PARTITION BY site_id, depth) QUALIFY count(*) OVER s >= 512)""")
 def _(v):

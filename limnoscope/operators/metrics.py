@@ -210,9 +210,12 @@ def histogram(df: DataFrame, value: str, bins: int = 60, keys: Sequence[str] = (
     """Equal-width density histogram between minimum and maximum, the last bin closed."""
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull())
-    span = (rows.groupBy(*keys) if keys else rows.groupBy()).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    joined = rows.join(span, keys) if keys else rows.join(F.broadcast(span))  # one row
+    span = [F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n")]
+    if keys:
+        joined = rows.join(rows.groupBy(*keys).agg(*span), keys)
+    else:
+        whole = rows.agg(F.struct(*span)).scalar()
+        joined = rows.withColumn("_span", whole).select("*", "_span.*").drop("_span")
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(F.col("_hi") > F.col("_lo"),
                F.least(F.floor((F.col(value) - F.col("_lo")) / F.when(width > 0, width)),

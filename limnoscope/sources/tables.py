@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,18 +46,3 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 def write_metrics(metrics: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
     """Tidy metric rows."""
     metrics.write.mode(mode).format(fmt).save(path)
-
-
-def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Cut the lineage at a result that several later jobs use.
-
-    Goes to the folder the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests) a folder is made.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix=f"limnoscope-{name}-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(spark.conf.get("spark.checkpoint.dir"), name))
-    return df.checkpoint()

@@ -170,3 +170,12 @@ def test_spectrum_finds_the_period(spark):
     pdf = pd.DataFrame({"site_id": "1", "depth": 0.5, "day": pd.date_range("2020-01-01", periods=1200).date, "v": np.sin(2 * np.pi * t / 20)})
     r = spectral_bands(spark.createDataFrame(pdf), "v", "day", rows_per_day=1).first()
     assert r.dominant_period == pytest.approx(20) and r.share_7_30d == pytest.approx(1)
+
+
+def test_histogram_without_keys(spark):
+    from limnoscope.operators.metrics import histogram
+    v = np.random.default_rng(10).normal(size=400)
+    got = histogram(spark.createDataFrame(pd.DataFrame({"v": v})), "v", 12).orderBy("bin").toPandas()
+    n, edges = np.histogram(v, 12)
+    assert got.set_index("bin")["n"].reindex(range(12), fill_value=0).tolist() == n.tolist()
+    assert got["left_edge"].iloc[0] == pytest.approx(edges[0])
