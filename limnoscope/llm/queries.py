@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limnoscope.llm import jaccard_join
+from limnoscope.llm import jaccard_join, suffix_dedup
 from limnoscope.llm.common import read_table
 
 
@@ -16,8 +16,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents covered by a 400-byte string that starts elsewhere too, removed."""
+    return suffix_dedup.removal_report(read_table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
