@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from limnoscope.llm import jaccard_join, suffix_dedup
-from limnoscope.llm.common import read_table
+from limnoscope.llm import jaccard_join, suffix_dedup, toxicity
+from limnoscope.llm.common import fold, read_table
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labels."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0))
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score",
+                                    (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +32,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
