@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnoscope.llm import jaccard_join, suffix_dedup, toxicity
+from limnoscope.llm import jaccard_join, mixing, packing, suffix_dedup, toxicity
 from limnoscope.llm.common import fold, read_table
 
 
@@ -20,6 +21,22 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' tokens in sequences of at most 4096."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=4096, closing=1)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents for evener shares of languages and qualities; domains are those of the labelled documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    domains = (read_table(spark, sf_dir, "labels").join(docs.select("doc_id", "lang"), "doc_id")
+               .select("doc_id", F.concat_ws("/", "lang", "quality").alias("domain")))
+    mix, rates = mixing.fit_mix(docs, domains)
+    posteriors = F.array(*[F.col(f"p{i}") for i in range(len(mix.classifier.domains))])
+    return rates.select("doc_id", "n_tokens", posteriors.alias("posteriors"), "rate",
+                        F.array(*[F.lit(d) for d in mix.classifier.domains]).alias("domains"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9."""
     return (jaccard_join.jaccard_classes(read_table(spark, sf_dir, "documents"), size=3, percent=90)
@@ -33,6 +50,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
