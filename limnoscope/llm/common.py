@@ -22,7 +22,7 @@ LOWER[65:91] += 32
 _UPPER_TO_LOWER = bytes(LOWER.tolist())
 
 #: Bytes of text that one numpy step works on; bounds a task's memory whatever the batch.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def lower_ascii(text: str) -> str:
@@ -143,11 +143,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     return span_hash(prefix_hash(data), starts, ends), first
 
 
-def list_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+def list_array(values, sizes: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
     """A list column from its values, row after row."""
     offsets = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

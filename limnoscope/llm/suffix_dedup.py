@@ -9,7 +9,7 @@ suffix array:
 
 1. equal whole texts are one class; equal segments are one class too. Whatever
    occurs twice as a whole is a repeat;
-2. different segments of one key are joined to blocks of about a megabyte. A
+2. different segments of one key are joined to blocks of about half a megabyte. A
    block's suffixes are sorted to the needed depth, and common prefixes follow in
    increasing order from breadth-first backward extension on its transform. It
    stops at ``length``: neighbours without a value by then share a whole window;
@@ -46,7 +46,7 @@ GRAM = 16
 #: Parts of a window's length in which an anchor can lie; windows of one part share a core.
 PARTS = 4
 #: Bytes of one block's transform, and different segments of a key that are compared in a block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 MAX_GROUP = 1024
 
 
