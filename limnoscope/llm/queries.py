@@ -8,10 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnoscope.llm import jaccard_join, mixing, packing, suffix_dedup, toxicity
+from limnoscope.llm import (
+    chunk_dedup, embedding_dedup, jaccard_join, language_model, mixing, packing, repetition, suffix_dedup, token_counts, toxicity,
+)
 from limnoscope.llm.common import fold, read_table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of every document."""
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a model of nine tenths of them."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = language_model.fit(docs.where(fold(F.col("doc_id"), 10) != 0).select(F.col("text").cast("string")))
+    scored = language_model.score(docs, model, counts)
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held_out"),
+                         "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition inside every document, and whether it is kept."""
+    return (repetition.repetition_rules(read_table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                    "n_covered", "longest_repeat"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labels."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,17 +66,33 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id"))
 
 
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' repeated chunks, all but the first of each."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("row", F.monotonically_increasing_id())
+    return chunk_dedup.repeated_chunks(docs).select("doc_id", "n_bytes", "n_chunks", "n_removed_chunks", "n_removed", "spans")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of documents covered by a 400-byte string that starts elsewhere too, removed."""
     return suffix_dedup.removal_report(read_table(spark, sf_dir, "documents"), length=400).drop("spans")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of embeddings whose cosine is at least 0.9."""
+    return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_language_model": op2_language_model,
+    "op3_repetition": op3_repetition,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_chunk_dedup": op8_chunk_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {
