@@ -6,16 +6,19 @@ shingles can reach the similarity t only if they share one of their first
 it is the same order everywhere. That gives one filter for each order, and all of
 them must hold:
 
-* order 1 sorts by the number of texts that hold a token, counted for a fixed
-  range of hashes; other tokens come after the rare and before the frequent
-  ones. So passages which many texts share do not join unrelated texts. Its
-  prefixes are the buckets that candidates come from;
-* orders 2 and 3 are two other hash orders, tested on each candidate pair;
-* the pairs left over are verified on the whole sets, in integers.
+* order 1 sorts by the number of texts that hold a token, as a level (its
+  logarithm), and by hash within a level. So passages that many texts share do
+  not join unrelated texts. Its prefixes are the buckets that candidates come from,
+  unless what is left of a set from the shared token on is too little;
+* orders 2 and 3 sort by the level and by two other hashes, and are tested on
+  each candidate pair;
+* the pairs left over are verified on the whole sets, in integers; a bound from
+  16 bits of each token spares most of them that step.
 
 Texts with equal sets are one class and are compared once. Buckets are not
-expanded into all pairs: each member is first compared with one member of its
-bucket, verified links give components, and only members of one bucket that are
+expanded into all pairs: each member is first compared with the member of one of
+its buckets whose own tokens are the most common, the likely original of a group
+of near copies. Verified links give components, and only members of one bucket that are
 still in different components are compared with each other. A pair left out this
 way is already connected, so the components are exact.
 
@@ -27,20 +30,23 @@ other columns of the input are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnoscope.llm.common import (connected_components, list_array, materialise, mix, signed, text_slices, word_hashes)
 
-#: Tokens below this share of the hash range come first in order 1; their counts are known exactly.
-COUNTED_SHARE = 0.25
-#: Tokens whose level (logarithm of the number of texts) tasks are given: at most this many, 5 MB.
-MAX_LEVELS = 1 << 19
-#: From this level on, a token comes after the uncounted ones.
-FREQUENT = 5
+#: Counters of texts per token: tokens share a counter by hash, which any order allows. Each task is given one byte
+#: for each, 16 MB whatever the input; more counters keep more tokens of large corpora apart.
+COUNTERS = 1 << 24
+COUNTER_CHUNKS = 64
+#: Bits of the filter that picks the texts to verify: 2 MB, given to each task.
+FILTER_BITS = 1 << 24
+#: Sets of a block in which pairs are compared.
+HOME_SETS = 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +72,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return out[keep], np.bincount(rows[keep], minlength=len(n))
 
 
-def prefix_length(n, percent: int):
-    """n - ceil(n * percent / 100) + 1, and 0 for an empty set."""
-    return np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
-
-
 def _fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A 64-bit digest of each set; -1 and 0 hashes never cancel because each is mixed first."""
     ends = np.cumsum(sizes)
@@ -80,102 +81,184 @@ def _fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(a ^ mix(b + sizes.astype(np.uint64), 5), 6)
 
 
-def _summaries(size: int, percent: int, id_col: str):
-    """Batches of (id, text) to (id, n_shingles, set_id, counted, further)."""
-    limit = np.uint64(int(COUNTED_SHARE * 2 ** 64))
+def _counters(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes, 31) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _summaries(size: int):
+    """Batches of (id, text, row) to (id, row, n_shingles, set_id), and this task's counters in compressed chunks."""
+    names = ["_id", "_row", "n_shingles", "set_id", "chunk", "counts"]
 
     def run(batches):
+        counts = np.zeros(COUNTERS, np.uint8)
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 hashes, sizes = shingle_sets(data, offsets, size)
-                rows = np.repeat(np.arange(len(sizes)), sizes)
-                early = hashes < limit
-                # behind them: the next tokens in hash order, as many as a prefix can need
-                rank = np.arange(len(hashes)) - (np.cumsum(sizes) - sizes)[rows]
-                n_early = np.bincount(rows[early], minlength=len(sizes))
-                further = ~early & (rank < (n_early + prefix_length(sizes, percent))[rows])
+                slot, n = np.unique(_counters(hashes), return_counts=True)
+                counts[slot] = np.minimum(counts[slot] + n, 255)
+                k = hi - lo
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes.astype(np.int64)),
-                    pa.array(signed(_fingerprints(hashes, sizes))),
-                    list_array(signed(hashes[early]), n_early),
-                    list_array(signed(hashes[further]), np.bincount(rows[further], minlength=len(sizes)))],
-                    names=[id_col, "n_shingles", "set_id", "counted", "further"])
-
-    return run, f"{id_col} long, n_shingles long, set_id long, counted array<long>, further array<long>"
-
-
-def _prefixes(percent: int, known: np.ndarray, level: np.ndarray):
-    """Prefix of each set in order 1: counted tokens by level, the uncounted after level FREQUENT - 1."""
-    def run(frames):
-        for frame in frames:
-            out = []
-            for n, counted, further in zip(frame.n_shingles, frame.counted, frame.further, strict=True):
-                counted, further = np.asarray(counted, np.int64), np.asarray(further, np.int64)
-                rank = np.zeros(len(counted) + len(further), np.int8)
-                rank[len(counted):] = FREQUENT
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, counted), len(known) - 1)
-                    found = known[place] == counted
-                    at = level[place[found]]
-                    rank[:len(counted)][found] = np.where(at < FREQUENT, at, at + 1)
-                order = np.argsort(rank, kind="stable")[:int(prefix_length(np.int64(n), percent))]
-                out.append(np.concatenate((counted, further))[order])
-            yield pd.DataFrame({"set_id": frame.set_id, "n": frame.n_shingles, "tokens": out})
-
-    return run
-
-
-def _order_prefix(hashes: np.ndarray, sizes: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """First tokens of each set in the hash order of ``seed``."""
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((mix(hashes, seed), rows))
-    rank = np.arange(len(hashes)) - (np.cumsum(sizes) - sizes)[rows]
-    keep = rank < prefix_length(sizes, percent)[rows]
-    return hashes[order][keep], np.bincount(rows[keep], minlength=len(sizes))
-
-
-def _members(size: int, percent: int):
-    """Whole sets and their prefixes in orders 2 and 3."""
+                    batch.column(0).slice(lo, k), batch.column(2).slice(lo, k), pa.array(sizes.astype(np.int64)),
+                    pa.array(signed(_fingerprints(hashes, sizes))), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+        parts = counts.reshape(COUNTER_CHUNKS, -1)
+        used = [k for k in range(COUNTER_CHUNKS) if parts[k].any()]
+        if used:
+            none = pa.nulls(len(used), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, none, pa.array(used, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in used], pa.binary())],
+                names=names)
+
+    return run, "_id long, _row long, n_shingles long, set_id long, chunk int, counts binary"
+
+
+def _sum_counters(batches):
+    """Tasks' chunks, one after another, to the levels of each chunk."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts = np.frombuffer(zlib.decompress(raw), np.uint8)
+            if chunk in sums:
+                sums[chunk] += counts
+            else:
+                sums[chunk] = counts.astype(np.int64)
+    levels = [np.log2(np.maximum(c, 1)).astype(np.uint8).tobytes() for c in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "levels"])
+
+
+def _levels(summary: DataFrame) -> np.ndarray:
+    """The level of each counter: ``COUNTERS`` bytes."""
+    out = np.zeros((COUNTER_CHUNKS, COUNTERS // COUNTER_CHUNKS), np.uint8)
+    chunks = summary.where("chunk is not null").select("chunk", "counts").repartition(COUNTER_CHUNKS, "chunk")
+    for r in chunks.mapInArrow(_sum_counters, "chunk int, levels binary").toLocalIterator():
+        out[r.chunk] = np.frombuffer(r.levels, np.uint8)
+    return out.ravel()
+
+
+def prefix_length(n, percent: int):
+    """n - ceil(n * percent / 100) + 1, and 0 for an empty set."""
+    return np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
+
+
+def _first_tokens(rows: np.ndarray, need: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first ``need[row]`` entries of each row in the order of ``keys``, the last key first; their numbers."""
+    order = np.lexsort((*keys, rows))
+    sizes = np.bincount(rows, minlength=len(need))
+    keep = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(need, sizes)
+    return order[keep], np.minimum(sizes, need)
+
+
+def _prefixes(size: int, percent: int, levels: np.ndarray):
+    """Prefixes of each set: tokens of order 1 and how rare they are, 16 bits of each token of orders 2 and 3.
+
+    16 bits can only let a pair pass that verification then drops.
+    """
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(1)):
+                hashes, sizes = shingle_sets(data, offsets, size)
+                rows = np.repeat(np.arange(hi - lo), sizes)
+                level = levels[_counters(hashes)]
+                need = prefix_length(sizes, percent)
+                first, k1 = _first_tokens(rows, need, hashes, level)
+                common = np.bincount(rows[first], weights=level[first], minlength=hi - lo)
+                parts = [pa.array((-100 * common / np.maximum(k1, 1)).astype(np.int32)), list_array(signed(hashes[first]), k1)]
+                for seed in (21, 22):
+                    key = mix(hashes, seed)
+                    chosen, k = _first_tokens(rows, need, key, level)
+                    parts.append(list_array((key[chosen] >> np.uint64(48)).astype(np.uint16).view(np.int16), k))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(signed(_fingerprints(hashes, sizes))), pa.array(sizes.astype(np.int64)), *parts],
+                    names=["id", "set_id", "n", "rarity", "tokens", "second", "third"])
+
+    return run, "id long, set_id long, n long, rarity int, tokens array<long>, second array<short>, third array<short>"
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits of the slots of ``_id``: FILTER_BITS of them whatever the number of ids."""
+    slot = _slot(F.col("_id")) + 1  # bitmaps count from 1
+    parts = (ids.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+             .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        out[(r.bucket - 1) * 4096:r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _slot(column):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def _members(size: int, bits: np.ndarray, short: bool):
+    """Sets of the rows (text, slot) whose slot is in ``bits``, whole or 16 bits of each token; rows without an id pass."""
     def run(batches):
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0)):
+            slot = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+            passed = (slot < 0) | ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+            for _, _, data, offsets in text_slices(batch.column(0).filter(pa.array(passed))):
                 hashes, sizes = shingle_sets(data, offsets, size)
-                second, third = _order_prefix(hashes, sizes, percent, 21), _order_prefix(hashes, sizes, percent, 22)
+                tokens = (hashes & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16) if short else signed(hashes)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(signed(_fingerprints(hashes, sizes))), pa.array(sizes.astype(np.int64)),
-                    list_array(signed(second[0]), second[1]), list_array(signed(third[0]), third[1]),
-                    list_array(signed(hashes), sizes)],
-                    names=["set_id", "n", "second", "third", "shingles"])
+                    pa.array(signed(_fingerprints(hashes, sizes))), pa.array(sizes.astype(np.int64)), list_array(tokens, sizes)],
+                    names=["set_id", "n", "shingles"])
+
+    return run, f"set_id long, n long, shingles array<{'short' if short else 'long'}>"
+
 
-    return run, "set_id long, n long, second array<long>, third array<long>, shingles array<long>"
+def _filtered(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass orders 2 and 3 too."""
+    light = sets.select("set_id", "second", "third")
+    return materialise(
+        pairs.join(light.toDF("a", "a2", "a3"), "a").join(light.toDF("b", "b2", "b3"), "b")
+        .where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"))
 
 
-def _token_levels(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counted tokens of the highest levels that together are at most ``MAX_LEVELS``, and their levels.
+def _sets_of(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, short: bool) -> DataFrame:
+    """Sets of all members of ``pairs``, from one text each."""
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).dropDuplicates()
+    ids = sets.select("set_id", F.col("first_id").alias("_id")).join(wanted, "set_id").where("_id is not null")
+    # a filter of fixed size leaves other texts out before anything is moved; the join makes it exact
+    return (rows.select("_text", F.when(F.col("_id").isNotNull(), _slot(F.col("_id"))).alias("slot"))
+            .mapInArrow(*_members(size, _id_filter(ids), short)).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]))
 
-    Which levels those are follows from the number of tokens of each level, so
-    what tasks are given is bounded whatever the input. A token not given is level 0.
+
+def _reachable(pairs: DataFrame, sets: DataFrame, homes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that can reach the similarity judging by 16 bits of each token.
+
+    Chance only adds to what two sets seem to share, so no link is lost. Pairs
+    are dealt by the home of their first set, and large homes by blocks of sets:
+    a set travels once per block, not once per pair.
     """
-    levels = materialise(
-        sets.select(F.explode("counted").alias("token")).groupBy("token").count().where("count >= 4")
-        .select("token", F.floor(F.log2("count")).cast("byte").alias("level")))
-    room, least = MAX_LEVELS, 127
-    for level, n in levels.groupBy("level").count().orderBy(F.desc("level")).collect():
-        room -= n
-        if room < 0:
-            break
-        least = level
-    found = levels.where(F.col("level") >= least).toPandas().sort_values("token")
-    return found.token.to_numpy(np.int64), found.level.to_numpy(np.int8)
-
-
-def _verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that pass orders 2 and 3 and then reach the similarity."""
-    light = members.select("set_id", "second", "third")
-    passed = (pairs.join(light.toDF("a", "a2", "a3"), "a").join(light.toDF("b", "b2", "b3"), "b")
-              .where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"))
-    whole = members.select("set_id", "n", "shingles")
-    both = passed.join(whole.toDF("a", "na", "sa"), "a").join(whole.toDF("b", "nb", "sb"), "b")
+    placed = pairs.join(homes.toDF("a", "home"), "a")
+    load = (placed.select("home", F.col("a").alias("set_id")).union(placed.select("home", "b")).dropDuplicates()
+            .groupBy("home").agg(F.ceil(F.count("*") / F.lit(HOME_SETS)).cast("int").alias("blocks")))
+    block = lambda c: F.pmod(F.xxhash64(F.lit(9), c), F.col("blocks")).cast("int")
+    key = ["home", "i", "j"]
+    dealt = materialise(placed.join(load, "home").select("home", block("a").alias("i"), block("b").alias("j"), "a", "b"))
+    uses = dealt.select(*key, F.col("a").alias("set_id")).union(dealt.select(*key, "b")).dropDuplicates()
+    held = uses.join(_sets_of(pairs, sets, rows, size, short=True), "set_id").toDF("set_id", "home_", "i_", "j_", "n", "shingles")
+
+    def compare(left, right):
+        tokens = {i: (n, np.asarray(t, np.int16).view(np.uint16)) for i, n, t in zip(right.set_id, right.n, right.shingles, strict=True)}
+        ok, last, seen = np.zeros(len(left), bool), None, np.zeros(1 << 16, bool)
+        order = np.argsort(left.a.to_numpy(), kind="stable")
+        for k, a, b in zip(order.tolist(), left.a.to_numpy()[order].tolist(), left.b.to_numpy()[order].tolist(), strict=True):
+            na, ta = tokens[a]
+            nb, tb = tokens[b]
+            if a != last:
+                seen[:] = False
+                seen[ta] = True
+                last = a
+            most = min(na, int(np.count_nonzero(seen[tb])))
+            ok[k] = 100 * most >= percent * (na + nb - most)
+        return left.loc[ok, ["a", "b"]]
+
+    return materialise(dealt.groupBy(*key).cogroup(held.groupBy("home_", "i_", "j_")).applyInPandas(compare, "a long, b long"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity."""
+    whole = _sets_of(pairs, sets, rows, size, short=False)
+    both = pairs.join(whole.toDF("a", "na", "sa"), "a").join(whole.toDF("b", "nb", "sb"), "b")
 
     def check(frames):
         for f in frames:
@@ -192,65 +275,86 @@ def _possible(n_a, n_b, percent: int):
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
-def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, set_id, component_id and whether it stays (``kept``).
+def _enough(shared, n_a, n_b, percent: int):
+    """``shared`` common tokens reach the similarity."""
+    return shared * (100 + percent) >= (n_a + n_b) * percent
+
+
+def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
+                    row_col: str | None = None) -> DataFrame:
+    """One row per document: id, n_shingles, set_id, component_id, ``row`` (of ``row_col``) and whether it stays (``kept``).
 
     ``component_id`` is the smallest id of the documents connected by links of at
     least ``percent`` per cent, itself included; equal sets are links. ``kept`` is
-    true where the row's id is its component's, and for rows without shingles.
+    true for one row of each component, its smallest id (and row), and for rows
+    without shingles.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    summarise, schema = _summaries(size, percent, "_id")
-    summary = materialise(rows.mapInArrow(summarise, schema))
+    row = F.col(row_col) if row_col else F.lit(0)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), row.cast("long").alias("_row"))
+    scanned = materialise(rows.mapInArrow(*_summaries(size)))
+    summary = scanned.where("chunk is null").drop("chunk", "counts")
+    filled = summary.where("n_shingles > 0")
+    prefixes = rows.mapInArrow(*_prefixes(size, percent, _levels(scanned))).where("n > 0")
     sets = materialise(
-        summary.where("n_shingles > 0").groupBy("set_id")
-        .agg(F.min("_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"),
-             F.min(F.struct(F.size("counted").alias("k"), "counted", "further")).alias("tokens"))
-        .select("set_id", "first_id", "n_shingles", "tokens.counted", "tokens.further"))
-    known, level = _token_levels(sets)
-    prefix = (sets.select("set_id", "n_shingles", "counted", "further")
-              .mapInPandas(_prefixes(percent, known, level), "set_id long, n long, tokens array<long>")
-              .select("set_id", "n", F.explode("tokens").alias("token")))
+        prefixes.groupBy("set_id").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("rarity").alias("rarity"), F.first("tokens").alias("tokens"),
+                                       F.first("second").alias("second"), F.first("third").alias("third")))
+    # ``reach``: tokens of the set from this one on, all that it can share with a set it shares no earlier token with
+    prefix = (sets.select("set_id", "n", "rarity", F.posexplode("tokens").alias("place", "token"))
+              .select("set_id", "n", "rarity", (F.col("n") - F.col("place")).alias("reach"), "token"))
     # buckets of two or more sets, with the member that all others are compared with first
-    shared = prefix.groupBy("token").agg(F.count("*").alias("members"), F.min("set_id").alias("centre")).where("members > 1")
-    bucket = materialise(prefix.join(shared.select("token", "centre"), "token"))
-    candidates = bucket.select("set_id", "n").dropDuplicates()
-    # one text of each set in a bucket; sets that only rows without an id have are looked for among those rows
-    named_rows = (sets.join(candidates, "set_id", "left_semi").where("first_id is not null")
-                  .select(F.col("first_id").alias("_id")).dropDuplicates())
-    texts = rows.join(named_rows, "_id", "left_semi").union(rows.where("_id is null")).select("_text")
-    wanted = materialise(texts.mapInArrow(*_members(size, percent))
-                         .join(candidates.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
-    size_of = candidates.toDF("centre", "n_centre")
-    stars = (bucket.where("set_id <> centre").select("set_id", "n", "centre").dropDuplicates()
-             .join(size_of, "centre").where(_possible(F.col("n"), F.col("n_centre"), percent))
-             .select(F.col("centre").alias("a"), F.col("set_id").alias("b")))
-    links = materialise(_verify(stars, wanted, percent))
+    shared = (prefix.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("rarity", "set_id", "n", "reach")).alias("first"))
+              .where("members > 1").select("token", F.col("first.set_id").alias("centre"), F.col("first.n").alias("centre_n"),
+                                           F.col("first.reach").alias("centre_reach")))
+    bucket = materialise(prefix.select("set_id", "n", "reach", "token").join(shared, "token"))
+    # each member is compared with the centre that it shares most buckets with; what that leaves open comes below
+    stars = (bucket.where("set_id <> centre").where(_possible(F.col("n"), F.col("centre_n"), percent))
+             .where(_enough(F.least("reach", "centre_reach"), F.col("n"), F.col("centre_n"), percent))
+             .groupBy("set_id", "centre").agg(F.count("*").alias("k"))
+             .groupBy("set_id").agg(F.max(F.struct("k", "centre")).alias("best"))
+             .select(F.col("best.centre").alias("a"), F.col("set_id").alias("b")))
+    homes = materialise(bucket.groupBy("set_id").agg(F.min("centre").alias("home")))
+
+    def links_among(candidates: DataFrame) -> DataFrame:
+        passed = _reachable(_filtered(candidates, sets), sets, homes, rows, size, percent)
+        return materialise(_verified(passed, sets, rows, size, percent))
+
+    links = links_among(stars)
     roots = connected_components(links)
     placed = (bucket.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-              .select("token", "set_id", "n", F.coalesce("root", "set_id").alias("root")))
+              .select("token", "set_id", "n", "reach", F.coalesce("root", "set_id").alias("root")))
     mixed = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     open_ = materialise(placed.join(mixed.select("token"), "token", "left_semi"))
-    groups = open_.groupBy("token", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = groups.toDF("token", "root", "l0", "m0"), groups.toDF("token", "root_b", "l1", "m1")
+    groups = open_.groupBy("token", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"))
+    x, y = groups.toDF("token", "root", "l0", "m0", "r0"), groups.toDF("token", "root_b", "l1", "m1", "r1")
     across = (x.join(y, "token").where("root < root_b")
               .where((F.col("m0") * 100 >= F.col("l1") * percent) & (F.col("m1") * 100 >= F.col("l0") * percent))
+              .where(_enough(F.least("r0", "r1"), F.col("l0"), F.col("l1"), percent))
               .select("token", "root", "root_b"))
-    pairs = (across.join(open_.toDF("token", "a", "na", "root"), ["token", "root"])
-             .join(open_.toDF("token", "b", "nb", "root_b"), ["token", "root_b"])
-             .where(_possible(F.col("na"), F.col("nb"), percent))
+    pairs = (across.join(open_.toDF("token", "a", "na", "ra", "root"), ["token", "root"])
+             .join(open_.toDF("token", "b", "nb", "rb", "root_b"), ["token", "root_b"])
+             .where(_possible(F.col("na"), F.col("nb"), percent) & _enough(F.least("ra", "rb"), F.col("na"), F.col("nb"), percent))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates())
-    more = _verify(pairs, wanted, percent)
-    final = connected_components(links.union(more))
-    named = (sets.select("set_id", "first_id").join(final.withColumnRenamed("node", "set_id"), "set_id", "left")
+    final = connected_components(links.union(links_among(pairs)))
+    # the smallest row of each component: ids before null, then rows
+    key = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")
+    firsts = filled.groupBy("set_id").agg(F.min(key).alias("key"))
+    named = (firsts.join(final.withColumnRenamed("node", "set_id"), "set_id", "left")
              .withColumn("root", F.coalesce("root", "set_id")))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = named.join(smallest, "root").select("set_id", "component_id")
-    filled = (summary.where("n_shingles > 0").select("_id", "n_shingles", "set_id").join(component, "set_id")
-              .select("_id", "n_shingles", "set_id", "component_id"))
-    bare = summary.where("n_shingles = 0").select("_id", "n_shingles", F.lit(None).cast("long").alias("set_id"),
-                                                  F.col("_id").alias("component_id"))
-    return filled.union(bare).select(
-        F.col("_id").alias(id_col), "n_shingles", "set_id", "component_id",
-        F.coalesce((F.col("_id") == F.col("component_id")) | (F.col("n_shingles") == 0), F.lit(False)).alias("kept"))
+    smallest = named.groupBy("root").agg(F.min("key").alias("first"))
+    component = named.join(smallest, "root").select("set_id", "first")
+    placed = (filled.select("_id", "_row", "n_shingles", "set_id").join(component, "set_id")
+              .select("_id", "_row", "n_shingles", "set_id", F.col("first._id").alias("component_id"),
+                      (F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_row") == F.col("first._row"))).alias("kept")))
+    bare = summary.where("n_shingles = 0").select("_id", "_row", "n_shingles", F.lit(None).cast("long").alias("set_id"),
+                                                  F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
+    return placed.union(bare).select(F.col("_id").alias(id_col), "n_shingles", "set_id", "component_id", F.col("_row").alias("row"), "kept")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, and every row without shingles; columns stay.
+
+    Rows are told apart by their place, so ``docs`` must be a stored table, whose rows come back in the same order.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    kept = jaccard_classes(numbered, size, percent, id_col, text_col, "_row").where("kept").select(F.col("row").alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)

@@ -43,7 +43,7 @@ CLASSES = GROUPS + SINGLES
 LAST, SKIP = 1 << 13, 1 << 12
 PAIRS = (CLASSES + 1) ** 2
 ROWS = LAST + PAIRS + 2 * SKIP + 1
-TABLE = 1 << 20
+TABLE = 1 << 19
 ALPHA = 0.1
 BATCH, RATE = 8192, 0.5
 CHUNKS = 16
@@ -224,8 +224,8 @@ def fit(texts: DataFrame) -> tuple[LanguageModel, DataFrame]:
     per_ending = counts.groupBy(F.pmod("token", F.lit(ENDINGS)).alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     total, distinct = sum(r.n for r in per_ending), sum(r.v for r in per_ending)
     pairs = np.zeros(ENDINGS * BEFORE, np.float64)
-    for r in counted.where("kind = 1").select("key", "n").collect():  # at most ENDINGS * BEFORE rows
-        pairs[r.key] = r.n
+    cells = counted.where("kind = 1").select("key", "n").toPandas()  # at most ENDINGS * BEFORE rows
+    pairs[cells.key.to_numpy(np.int64)] = cells.n
     group = ending_classes(pairs.reshape(BEFORE, ENDINGS))
     top = counts.orderBy(F.desc("n"), "token").limit(SINGLES).collect()
     singles = np.sort(np.array([r.token for r in top] + [0] * (SINGLES - len(top)), np.int64).view(np.uint64))

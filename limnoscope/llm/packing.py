@@ -19,70 +19,127 @@ table gives an empty result. Numbers of sequences have no meaning and may have g
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import defaultdict
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from limnoscope.llm.common import WORD, materialise
+from limnoscope.llm.common import LOWER, list_array, materialise, prefix_hash, span_hash, text_slices, word_spans
+from limnoscope.llm.token_counts import byte_letters
 
-#: Words whose ids a task remembers.
-CACHE = 1 << 18
-_tokenizers: dict[str, object] = {}
+#: Words whose ids a worker remembers.
+CACHE = 600_000
+_words: dict[str, Words] = {}
+#: Words of Latin letters only: already in Unicode form C, one piece of text to the vocabulary, lower-cased by letter.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+LETTER = np.zeros(256, bool)
+LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+class Words:
+    """Ids of words under a vocabulary, remembered by a worker.
+
+    The vocabulary's pieces never join words across white space, so words can be
+    encoded apart from each other, and each different one once.
+    """
+
+    def __init__(self, path: str):
+        # tasks are the parallel units; threads inside them only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
-
-
-def _ids(path: str, texts: list[str], cache: dict[str, bytes]) -> list[bytes]:
-    """Little-endian ids of each text; the vocabulary never joins words across white space, so words are looked up."""
-    tokenizer = _tokenizer(path)
-    out = []
-    for text in texts:
-        words = WORD.findall(text)
-        missing = [w for w in set(words) if w not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = list(set(words))
-            for word, encoded in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                cache[word] = np.array(encoded.ids, "<u4").tobytes()
-        out.append(b"".join([cache[w] for w in words]))
-    return out
+        self.whole = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.whole.model)  # without the rules that bring text to words
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.stops = np.zeros(256, np.uint32)
+        for mark in ".,":
+            self.stops[ord(mark)], = self.whole.encode(mark, add_special_tokens=False).ids
+        self.clear()
 
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-def _pieces(path: str, limit: int, closing: int, keep_ids: bool):
-    end, width = np.array([closing], "<u4").tobytes(), 4 * limit
+    def add(self, keys: list[int], words: list[str]) -> None:
+        plain = [PLAIN.fullmatch(w) is not None for w in words]
+        letters = [w.lower().encode().decode("latin-1").translate(self.letters) for w in compress(words, plain)]
+        others = [w for w, p in zip(words, plain, strict=True) if not p]
+        merged = iter(self.merges.encode_batch_fast(letters, add_special_tokens=False))
+        whole = iter(self.whole.encode_batch_fast(others, add_special_tokens=False))
+        rows = [next(merged if p else whole).ids for p in plain]
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.place.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
+        self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(rows), np.uint32, int(size.sum())))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, each with the closing id, and the index of each row's first (one more at the end)."""
+        if b"<|" not in data.tobytes():  # special pieces are matched before case is dropped
+            data = LOWER[data]
+        starts, ends, first = word_spans(data, offsets)
+        # a full stop or comma after a letter, at a word's end, is a piece of its own
+        mark = np.where((ends - starts > 1), self.stops[data[ends - 1]], 0) if len(ends) else np.zeros(0, np.uint32)
+        mark = np.where(LETTER[data[np.maximum(ends - 2, 0)]], mark, 0) if len(ends) else mark
+        stem = ends - (mark > 0)
+        unique, one, back = np.unique(span_hash(prefix_hash(data), starts, stem), return_index=True, return_inverse=True)
+        keys = unique.tolist()
+        if len(self.place) + len(keys) > CACHE and not self.place.keys() >= set(keys):
+            self.clear()
+        found = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            raw, known = data.tobytes(), len(self.size)
+            spans = zip(starts[one[new]].tolist(), stem[one[new]].tolist(), strict=True)
+            self.add(unique[new].tolist(), [raw[s:e].decode("utf-8") for s, e in spans])
+            found[new] = np.arange(known, known + len(new))
+        word = found[back]
+        size = self.size[word]
+        rows = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        ahead = np.cumsum(size) - size  # ids of words before this one
+        marks = np.cumsum(mark > 0) - (mark > 0)
+        at = ahead + marks + rows
+        total = int(size.sum())
+        out = np.full(total + int((mark > 0).sum()) + len(offsets) - 1, closing, np.uint32)
+        step = np.arange(total) - np.repeat(ahead, size)
+        out[np.repeat(at, size) + step] = self.flat[np.repeat(self.begin[word], size) + step]
+        out[(at + size)[mark > 0]] = mark[mark > 0]
+        upto = np.concatenate(([0], np.cumsum(size + (mark > 0))))
+        return out, upto[first] + np.arange(len(first))
 
+
+def _known(path: str) -> Words:
+    if path not in _words:
+        _words[path] = Words(path)
+    return _words[path]
+
+
+def _pieces(path: str, limit: int, closing: int, keep_ids: bool):
     def run(batches):
-        cache: dict[str, bytes] = {}
+        words = _known(path)
         for batch in batches:
-            texts = batch.column(1)
-            for lo in range(0, len(texts), 256):
-                columns = defaultdict(list)
-                encoded = _ids(path, [t or "" for t in texts.slice(lo, 256).to_pylist()], cache)
-                for doc, raw in zip(batch.column(0).slice(lo, 256).to_pylist(), encoded, strict=True):
-                    raw += end
-                    for piece, at in enumerate(range(0, len(raw), width)):
-                        part = raw[at:at + width]
-                        columns["doc_id"].append(doc)
-                        columns["piece"].append(piece)
-                        columns["start"].append(at // 4)
-                        columns["length"].append(len(part) // 4)
-                        columns["ids_crc32"].append(zlib.crc32(part))
-                        if keep_ids:
-                            columns["ids"].append(np.frombuffer(part, "<u4").astype(np.int32))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-                yield pa.RecordBatch.from_arrays([pa.array(columns[n], k) for n, k in zip(names, kinds, strict=True)], names=names)
+            for lo, hi, data, offsets in text_slices(batch.column(1)):
+                ids, first = words.encode(data, offsets, closing)
+                n = np.diff(first)
+                pieces = -(-n // limit)
+                row = np.repeat(np.arange(hi - lo), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * limit
+                length = np.minimum(n[row] - start, limit)
+                begin = first[:-1][row] + start
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * b:4 * (b + k)]) for b, k in zip(begin.tolist(), length.tolist(), strict=True)]
+                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start),
+                           pa.array(length), pa.array(crc, pa.int64())]
+                if keep_ids:
+                    columns.append(list_array(ids.astype(np.int32), length))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
     return run, ("doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
