@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from limnoscope.operators.conformal import (
 from limnoscope.operators.features import window_stats
 from limnoscope.operators.forecast import (
     autoregression, boosted_peak, boosted_trees, change_quantiles, climatology, feature_ablation,
-    level_classifier, month_quantiles, persistence, ridge_forecast, state_probability,
+    last_window, level_classifier, month_quantiles, persistence, ridge_forecast, state_probability,
 )
 from limnoscope.operators.labels import class_weights, warning_levels
 from limnoscope.operators.metrics import (
@@ -29,7 +31,7 @@ from limnoscope.operators.metrics import (
 from limnoscope.operators.ranks import roc_auc
 from limnoscope.operators.windows import assign_windows, by_horizon, supervised_windows
 from limnoscope.plans.rolling import member_forecasts
-from limnoscope.schema import QUANTILE_LEVELS
+from limnoscope.schema import QUANTILE_LEVELS, STRIDE_DAYS, TEST_DAYS
 
 IDS = ("site_id", "window_id")
 LEVELS = QUANTILE_LEVELS
@@ -38,8 +40,8 @@ _L3 = (0.1, 0.5, 0.9)
 
 
 def shifted(q: str, by: str) -> str:
-    """SQL list of ``q`` with ``by`` added to each of its nine entries."""
-    return "[" + ", ".join(f"{q}[{i}] + {by}" for i in range(1, len(LEVELS) + 1)) + "]"
+    """SQL list of ``q`` with ``by`` added to each of its nine entries, at nine decimals."""
+    return "[" + ", ".join(f"round({q}[{i}] + {by}, 9)" for i in range(1, len(LEVELS) + 1)) + "]"
 
 
 MEMBER_SQL = SAMPLE_SQL + f""",
@@ -49,43 +51,43 @@ qm AS (SELECT site_id, window_id, h, month(origin) AS m, quantile_cont(delta_h,
 ca AS (SELECT site_id, window_id, quantile_cont(conc_0_5, {_L}) AS ca FROM win WHERE is_train_row GROUP BY ALL),
 cm AS (SELECT site_id, window_id, month(day) AS m, quantile_cont(conc_0_5, {_L}) AS cm FROM win WHERE is_train_row
   GROUP BY ALL HAVING count(*) >= 5),
-test AS (SELECT * FROM sl WHERE NOT is_train),
+test AS (SELECT * REPLACE (round(y_h, 9) AS y_h) FROM sl WHERE NOT is_train),
 fc AS (SELECT t.site_id, t.window_id, t.origin, t.h, t.cur, t.y_h, {shifted('qa', 'cur')} AS q, 'change' AS member
     FROM test t JOIN qa USING (site_id, window_id, h)
   UNION ALL SELECT t.site_id, t.window_id, t.origin, t.h, t.cur, t.y_h, {shifted('coalesce(qm, qa)', 'cur')} AS q, 'month_change'
     FROM test t JOIN qa USING (site_id, window_id, h) LEFT JOIN qm ON qm.site_id = t.site_id AND qm.window_id = t.window_id
       AND qm.h = t.h AND qm.m = month(t.origin)
-  UNION ALL SELECT t.site_id, t.window_id, t.origin, t.h, t.cur, t.y_h, coalesce(cm, ca) AS q, 'climatology'
+  UNION ALL SELECT t.site_id, t.window_id, t.origin, t.h, t.cur, t.y_h, list_transform(coalesce(cm, ca), lambda x: round(x, 9)) AS q, 'climatology'
     FROM test t JOIN ca USING (site_id, window_id) LEFT JOIN cm ON cm.site_id = t.site_id AND cm.window_id = t.window_id
       AND cm.m = month(t.origin))"""
 
 
 def crps_sql(name: str, source: str, levels=LEVELS, q: str = "q", y: str = "y_h") -> str:
-    """CTE ``name``: ``source`` plus ``crps``, by the two-piece integral per segment."""
+    """CTE ``name``: ``source`` plus ``crps``, the squared distance of two distribution functions.
+
+    The forecast's function is linear between its quantiles and continues its outer
+    pieces to 0 and 1. A piece from (left, low) to (right, high) is cut at y; below y
+    its height counts, above y what it lacks to 1, each as width * (a² + ab + b²) / 3.
+    The area between a piece's ends and y, at the ends' heights, joins the pieces; it
+    cancels unless quantiles are tied. A tied piece rises at slope 1 from its place.
+    """
     n = len(levels)
-    bounds = [0.0, *levels, 1.0]
-    segs = []
-    for i in range(n + 1):
-        lo = f"k[{i + 1}]"
-        hi = f"k[{i + 2}]"
-        segs.append(f"SELECT rid, {y} AS y, {bounds[i]}::DOUBLE AS a, {bounds[i + 1]}::DOUBLE AS b, {lo} AS lo, {hi} AS hi FROM {name}_k")
-    first, last = f"{q}[1]", f"{q}[{n}]"
-    lo_knot = f"{first} - ({q}[2] - {first}) / {levels[1] - levels[0]} * {levels[0]}"
-    hi_knot = f"{last} + ({last} - {q}[{n - 1}]) / {levels[-1] - levels[-2]} * {1 - levels[-1]}"
-    knots = ", ".join([lo_knot] + [f"{q}[{i}]" for i in range(1, n + 1)] + [hi_knot])
-    def piece(u, v):
-        s = f"(CASE WHEN y <= p0 + p1 * ({u} + {v}) / 2 THEN 1.0 ELSE 0.0 END)"
-        return (f"2 * ({s} * (p0 - y) * ({v} - {u}) + ({s} * p1 - p0 + y) * ({v} * {v} - {u} * {u}) / 2"
-                f" - p1 * ({v} * {v} * {v} - {u} * {u} * {u}) / 3)")
+    low_tail = f"{q}[1] - ({q}[2] - {q}[1]) * {levels[0] / (levels[1] - levels[0])}"
+    high_tail = f"{q}[{n}] + ({q}[{n}] - {q}[{n - 1}]) * {(1 - levels[-1]) / (levels[-1] - levels[-2])}"
+    places = ", ".join([low_tail, *(f"{q}[{i}]" for i in range(1, n + 1)), high_tail])
+    heights = [0.0, *levels, 1.0]
+    pieces = ", ".join(f"{{'low': {heights[i]}::DOUBLE, 'high': {heights[i + 1]}::DOUBLE, 'lft': x[{i + 1}], 'rgt': x[{i + 2}]}}" for i in range(n + 1))
     return f"""
-{name}_k AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, [{knots}] AS k FROM (SELECT * REPLACE (list_sort({q}) AS {q}) FROM {source})),
-{name}_s AS (SELECT rid, sum({piece('a', 'c')} + {piece('c', 'b')}) AS total FROM (
-    SELECT *, least(greatest((y - p0) / p1, a), b) AS c FROM (
-      SELECT *, lo - p1 * a AS p0 FROM (
-        SELECT *, CASE WHEN abs((hi - lo) / (b - a)) < 1e-12 THEN 1.0 ELSE (hi - lo) / (b - a) END AS p1 FROM ({' UNION ALL '.join(segs)}))))
-  GROUP BY rid),
-{name} AS (SELECT x.*, greatest(CASE WHEN k[{n + 2}] - k[1] < 1e-9 THEN abs({y} - {q}[{(n + 1) // 2}]) ELSE total END, 0.0) AS crps
-  FROM {name}_k x JOIN {name}_s USING (rid))"""
+{name}_x AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, [{places}] AS x FROM (SELECT * REPLACE (list_sort({q}) AS {q}) FROM {source})),
+{name}_p AS (SELECT rid, y, low, high, lft, CASE WHEN abs(far - lft) < 1e-12 * (high - low) THEN lft + high - low ELSE far END AS rgt
+  FROM (SELECT rid, y, piece.low, piece.high, piece.lft, piece.rgt AS far FROM (SELECT rid, {y} AS y, unnest([{pieces}]) AS piece FROM {name}_x))),
+{name}_c AS (SELECT *, low + (high - low) * (cut - lft) / (rgt - lft) AS mid FROM (SELECT *, least(greatest(y, lft), rgt) AS cut FROM {name}_p)),
+{name}_a AS (SELECT rid, sum((cut - lft) * (low * low + low * mid + mid * mid) / 3
+    + (rgt - cut) * ((1 - mid) * (1 - mid) + (1 - mid) * (1 - high) + (1 - high) * (1 - high)) / 3
+    + CASE WHEN lft >= y THEN (1 - low) * (1 - low) * (lft - y) ELSE -low * low * (y - lft) END
+    - CASE WHEN rgt >= y THEN (1 - high) * (1 - high) * (rgt - y) ELSE -high * high * (y - rgt) END) AS area FROM {name}_c GROUP BY rid),
+{name} AS (SELECT o.*, greatest(CASE WHEN x[{n + 2}] - x[1] < 1e-9 THEN abs({y} - {q}[{(n + 1) // 2}]) ELSE area END, 0.0) AS crps
+  FROM {name}_x o JOIN {name}_a USING (rid))"""
 
 
 SCORED_SQL = MEMBER_SQL + "," + crps_sql("scored0", "fc") + """,
@@ -94,7 +96,9 @@ scored AS (SELECT *, abs(y_h - cur) AS crps_persist, CASE WHEN y_h BETWEEN q[2]
 
 
 def members(v):
-    return member_forecasts(v.daily, TARGET)
+    """Forecasts at nine decimals, so that a value on a quantile is on it in SQL too."""
+    return member_forecasts(v.daily, TARGET).withColumns({
+        "q": F.transform("q", lambda x: F.round(x, 9)), "y_h": F.round("y_h", 9)})
 
 
 def scored(v):
@@ -339,13 +343,32 @@ def _(v):
     return roc_auc(rises(v).withColumn("p_gauss", F.round("p_gauss", 6)), "p_gauss", "rise", ["site_id", "member", "h"])
 
 
-@query("best_threshold", "site_id:s h:i tau:d accuracy:d n:i",
-       """SELECT site_id, h, tau, ok / n AS accuracy, n FROM (
-            SELECT site_id, h, tau, sum(CASE WHEN (p_gauss > tau) = (rise = 1) THEN 1 ELSE 0 END) AS ok, count(*) AS n
-            FROM up, (SELECT 0.02::DOUBLE + 0.01::DOUBLE * i AS tau FROM range(97) r(i)) GROUP BY ALL)
-          QUALIFY row_number() OVER (PARTITION BY site_id, h ORDER BY ok DESC, tau) = 1""", ctes=UP_SQL)
+# A threshold is tuned on the test parts of windows that end before the last window's
+# test begins, and judged on that one.
+CLEAR_WINDOWS = -(-TEST_DAYS // STRIDE_DAYS)
+
+
+def tuned_and_judged(rows):
+    newest = rows.withColumn("_w", F.max("window_id").over(W.partitionBy("site_id")))
+    return (newest.filter(F.col("window_id") <= F.col("_w") - CLEAR_WINDOWS).drop("_w"),
+            newest.filter(F.col("window_id") == F.col("_w")).drop("_w"))
+
+
+@query("best_threshold", "site_id:s h:i tau:d tuned_accuracy:d n_tuned:i accuracy:d n:i",
+       f"""SELECT site_id, h, tau, tuned_accuracy, n_tuned, avg(CASE WHEN (p_gauss > tau) = (rise = 1) THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM (
+            SELECT site_id, h, tau, ok / n AS tuned_accuracy, n AS n_tuned FROM (
+              SELECT site_id, h, tau, sum(CASE WHEN (p_gauss > tau) = (rise = 1) THEN 1 ELSE 0 END) AS ok, count(*) AS n
+              FROM (SELECT up.* FROM up JOIN newest USING (site_id) WHERE window_id <= nw - {CLEAR_WINDOWS}),
+                (SELECT 0.02::DOUBLE + 0.01::DOUBLE * i AS tau FROM range(97) r(i)) GROUP BY ALL)
+            QUALIFY row_number() OVER (PARTITION BY site_id, h ORDER BY ok DESC, tau) = 1)
+          JOIN (SELECT up.site_id, up.h, up.p_gauss, up.rise FROM up JOIN newest USING (site_id) WHERE window_id = nw) USING (site_id, h)
+          GROUP BY ALL""", ctes=UP_SQL + ", newest AS (SELECT site_id, max(window_id) AS nw FROM up GROUP BY site_id)")
 def _(v):
-    return best_threshold(rises(v), "p_gauss", "rise", ["site_id", "h"])
+    tune, judge = tuned_and_judged(rises(v))
+    best = best_threshold(tune, "p_gauss", "rise", ["site_id", "h"]).withColumnsRenamed({"accuracy": "tuned_accuracy", "n": "n_tuned"})
+    right = ((F.col("p_gauss") > F.col("tau")) == (F.col("rise") == 1)).cast("double")
+    return (judge.join(best, ["site_id", "h"]).groupBy("site_id", "h", "tau", "tuned_accuracy", "n_tuned")
+            .agg(F.avg(right).alias("accuracy"), F.count(F.lit(1)).alias("n")))
 
 
 @query("direction_rates", "site_id:s window_id:i h:i up_rate:d constant_accuracy:d n:i",
@@ -358,34 +381,38 @@ def _(v):
 
 @query("isotonic_calibration", "site_id:s h:i accuracy:d brier:d n:i")
 def _(v):
-    rows = rises(v)
-    model = fit_isotonic(rows, "p_gauss", "rise")
-    return probability_summary(apply_isotonic(model, rows, "p_gauss"), "p_calibrated", "rise", ["site_id", "h"])
+    tune, judge = (rows.persist() for rows in tuned_and_judged(rises(v)))
+    parts = []
+    for h in range(1, 8):  # a curve per horizon
+        at = F.col("h") == h
+        parts.append(apply_isotonic(fit_isotonic(tune.filter(at), "p_gauss", "rise"), judge.filter(at), "p_gauss"))
+    return probability_summary(reduce(lambda a, b: a.unionByName(b), parts), "p_calibrated", "rise", ["site_id", "h"])
 
 
 # ------------------------------------------------------------------ conformal
-# Calibration pool: the change forecasts of all windows but the last test parts;
-# groups are (station, horizon) over many windows.
-POOL_SQL = MEMBER_SQL + """,
+# Calibration pool: the change forecasts of all windows whose test part ends before the
+# last window's begins; groups are (station, horizon) over many windows.
+POOL_SQL = MEMBER_SQL + f""",
 pool0 AS (SELECT site_id, window_id, origin, h, y_h, q[2] AS q10, q[5] AS q50, q[8] AS q90, month(origin) AS m, year(origin) AS yr FROM fc WHERE member = 'change'),
 lastw AS (SELECT site_id, max(window_id) AS lw FROM pool0 GROUP BY site_id),
-calp AS (SELECT p.* FROM pool0 p JOIN lastw USING (site_id) WHERE window_id < lw),
+calp AS (SELECT p.* FROM pool0 p JOIN lastw USING (site_id) WHERE window_id <= lw - {CLEAR_WINDOWS}),
 testp AS (SELECT p.* FROM pool0 p JOIN lastw USING (site_id) WHERE window_id = lw),
 centre AS (SELECT site_id, CAST(floor(median(m)) AS INTEGER) AS c, min(yr) AS ty FROM testp WHERE h = 1 GROUP BY site_id),
 cal AS (SELECT c.*, centre.c AS centre FROM calp c JOIN centre USING (site_id)),
-sides AS (SELECT site_id, h, m, centre, yr, unnest([{'s': 'abs50', 'v': abs(y_h - q50)}, {'s': 'symabs', 'v': greatest(q10 - y_h, y_h - q90)},
-    {'s': 'low', 'v': greatest(q10 - y_h, 0.0)}, {'s': 'up', 'v': greatest(y_h - q90, 0.0)}]) AS z FROM cal),
+sides AS (SELECT site_id, h, m, centre, yr, unnest([{{'s': 'abs50', 'v': abs(y_h - q50)}}, {{'s': 'symabs', 'v': greatest(q10 - y_h, y_h - q90)}},
+    {{'s': 'low', 'v': greatest(q10 - y_h, 0.0)}}, {{'s': 'up', 'v': greatest(y_h - q90, 0.0)}}]) AS z FROM cal),
 sc AS (SELECT site_id, h, m, centre, yr, z.s AS side, z.v AS score FROM sides)"""
 
 
 def pool(v):
-    """Change forecasts of all windows with ``is_test`` for each station's last window,
-    and that window's centre month and year on every row."""
+    """Change forecasts with ``is_test`` for each station's last window and ``is_cal`` for those
+    that end before its test part, and that window's centre month and year on every row."""
     rows = change_quantiles(by_horizon(samples(v))).filter(~F.col("is_train")).select(
         *IDS, "origin", "h", "y_h", "cur", *[quantile_at("q", LEVELS, p).alias(n) for p, n in zip(_L3, ("q10", "q50", "q90"))],
         F.month("origin").alias("month"), F.year("origin").alias("year"))
     site = W.partitionBy("site_id")
-    rows = rows.withColumn("is_test", F.col("window_id") == F.max("window_id").over(site))
+    newest = F.max("window_id").over(site)
+    rows = rows.withColumns({"is_test": F.col("window_id") == newest, "is_cal": F.col("window_id") <= newest - CLEAR_WINDOWS})
     first = F.col("is_test") & (F.col("h") == 1)
     return rows.withColumns({
         "centre_month": F.floor(F.percentile(F.when(first, F.col("month")), F.lit(0.5)).over(site)).cast("int"),
@@ -393,7 +420,7 @@ def pool(v):
 
 
 def cal_pool(v):
-    return pool(v).filter(~F.col("is_test"))
+    return pool(v).filter("is_cal")
 
 
 def _kth(source: str, alpha: float, sides: str) -> str:
@@ -416,7 +443,7 @@ def _(v):
        ctes=POOL_SQL + ", adj AS (" + _kth("sc", 0.2, "abs50 symabs low up") + ")")
 def _(v):
     rows = pool(v)
-    adjustment = calibrate(rows.filter(~F.col("is_test")), 0.2, ["site_id", "h"])
+    adjustment = calibrate(rows.filter("is_cal"), 0.2, ["site_id", "h"])
     out = adjusted_intervals(rows.filter("is_test").join(adjustment, ["site_id", "h"]))
     return interval_summary(out.withColumns({
         "covered": F.col("y_h").between(F.col("lower"), F.col("upper")).cast("double"),
@@ -496,27 +523,27 @@ def _(v):
 
 @query("autoregression_errors", "site_id:s h:i rmse:d mae:d n:i")
 def _(v):
-    rows = autoregression(v.daily.select("site_id", "day", TARGET), TARGET, "day", order=20, horizon=7)
+    rows = autoregression(v.daily.select("site_id", "day", TARGET), TARGET, "day", order=48, horizon=7)
     return errors(rows, "pred", "y_h", ["site_id", "h"])
 
 
 @query("boosted_tree_errors", "site_id:s h:i rmse:d mae:d n:i")
 def _(v):
-    rows = by_horizon(featured(v))
-    out = boosted_trees(rows, (*FEATURES, *MORE), horizons=(1, 7), trees=8, depth=3)
+    rows = by_horizon(last_window(featured(v)))
+    out = boosted_trees(rows, (*FEATURES, *MORE), horizons=range(1, 8))
     return errors(out.filter(~F.col("is_train")), "pred", "y_h", ["site_id", "h"])
 
 
 @query("boosted_peak_errors", "site_id:s rmse:d mae:d n:i")
 def _(v):
-    out = boosted_peak(featured(v), (*FEATURES, *MORE), trees=8, depth=3)
+    out = boosted_peak(last_window(featured(v)), (*FEATURES, *MORE))
     return errors(out.filter(~F.col("is_train")), "pred_peak", "peak", ["site_id"])
 
 
 def _classified(v):
-    labelled = warning_levels(featured(v))
+    labelled = last_window(warning_levels(featured(v))).persist()
     weights = class_weights(labelled.filter("is_train"), balanced=True)
-    return level_classifier(labelled, FEATURES, weights, trees=10, depth=4)
+    return level_classifier(labelled, (*FEATURES, *MORE), weights)
 
 
 @query("level_classifier", "site_id:s accuracy:d ordinal_rmse:d n:i")
@@ -549,7 +576,10 @@ def _(v):
 
 @query("state_probability", "site_id:s window_id:i p_mean:d observed:d n:i")
 def _(v):
-    rows = featured(v).withColumn("stratified", (F.col("delta_T") > 0).cast("int"))
+    # the label of the stratified state: over the median of the window's train part
+    rows = last_window(featured(v))
+    limit = F.percentile(F.when(F.col("is_train"), F.col("delta_T")), F.lit(0.5)).over(W.partitionBy(*IDS))
+    rows = rows.withColumn("stratified", (F.col("delta_T") > limit).cast("int")).persist()
     out = state_probability(rows, (*FEATURES, "air_temp_mean"), label="stratified").filter(~F.col("is_train"))
     return out.groupBy(*IDS).agg(F.avg("p").alias("p_mean"), F.avg(F.col("stratified").cast("double")).alias("observed"), F.count(F.lit(1)).alias("n"))
 

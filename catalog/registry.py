@@ -1,7 +1,8 @@
 """How a query is registered.
 
 A query names its output columns once, as ``name:type`` with type ``s`` (text),
-``d`` (double, rounded to 6 decimals) or ``i`` (64-bit integer); both the Spark
+``d`` (double, rounded to 6 decimals, by way of 9 so that sums in another order
+do not part at a half) or ``i`` (64-bit integer); both the Spark
 result and the SQL result are brought to that form.
 """
 
@@ -27,7 +28,7 @@ def finish(df: DataFrame, spec: str) -> DataFrame:
     for name, kind in _fields(spec):
         c = F.col(name)
         if kind == "d":
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(F.round(c.cast("double"), 9), 6) + F.lit(0.0)
         elif kind == "i":
             c = c.cast("bigint")
         else:
@@ -41,7 +42,7 @@ def finish_sql(sql: str, spec: str, ctes: str = "") -> str:
     for name, kind in _fields(spec):
         c = f'"{name}"'
         if kind == "d":
-            c = f"round(CAST({c} AS DOUBLE), 6) + 0.0"
+            c = f"round(round(CAST({c} AS DOUBLE), 9), 6) + 0.0"
         elif kind == "i":
             c = f"CAST({c} AS BIGINT)"
         else:

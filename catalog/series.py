@@ -20,12 +20,20 @@ from limnoscope.functions.scores import crps_gaussian
 T, H = 30, 7
 TARGET = "conc_0_5"
 
-WIN_SQL = """
-d0s AS (SELECT site_id, min(day) AS d0 FROM daily GROUP BY site_id),
+#: Number of windows whose train part ends on or before the last day.
+N_WINDOWS_SQL = "greatest(0, CAST(floor((date_diff('day', min(day), max(day)) - 730) / 45.0) AS BIGINT) + 1) AS nw"
+
+
+def window_numbers_sql(source: str) -> str:
+    return f"(SELECT unnest(range((SELECT max(nw) FROM {source}))) AS w)"
+
+
+WIN_SQL = f"""
+d0s AS (SELECT site_id, min(day) AS d0, {N_WINDOWS_SQL} FROM daily GROUP BY site_id),
 win AS (SELECT d.*, CAST(w AS INTEGER) AS window_id, d0 + CAST(45 * w + 730 AS INTEGER) AS train_end,
     d0 + CAST(45 * w + 820 AS INTEGER) AS test_end, d.day < d0 + CAST(45 * w + 730 AS INTEGER) AS is_train_row
-  FROM daily d JOIN d0s USING (site_id), range(17) r(w)
-  WHERE date_diff('day', d0, d.day) >= 45 * w AND date_diff('day', d0, d.day) < 45 * w + 820),
+  FROM daily d JOIN d0s USING (site_id), {window_numbers_sql("d0s")} r
+  WHERE w < nw AND date_diff('day', d0, d.day) >= 45 * w AND date_diff('day', d0, d.day) < 45 * w + 820),
 pos AS (SELECT *, row_number() OVER (PARTITION BY site_id, window_id ORDER BY day) - 1 AS p,
     count(*) OVER (PARTITION BY site_id, window_id) AS n,
     sum(CAST(is_train_row AS INTEGER)) OVER (PARTITION BY site_id, window_id) AS ntr FROM win)"""
@@ -50,11 +58,18 @@ def samples(v, *carry):
 
 @query("rolling_anchors", "site_id:s window_id:i start:s train_end:s test_end:s",
        """SELECT site_id, w AS window_id, d0 + CAST(45 * w AS INTEGER) AS "start", d0 + CAST(45 * w + 730 AS INTEGER) AS train_end,
-            d0 + CAST(45 * w + 820 AS INTEGER) AS test_end FROM d0s, range(17) r(w)""", ctes=WIN_SQL)
+            d0 + CAST(45 * w + 820 AS INTEGER) AS test_end FROM d0s, """ + window_numbers_sql("d0s") + " r WHERE w < nw", ctes=WIN_SQL)
 def _(v):
     return rolling_anchors(first_days(v.daily))
 
 
+@query("rolling_anchors_published", "site_id:s window_id:i start:s train_end:s test_end:s",
+       """SELECT site_id, w AS window_id, d0 + CAST(45 * w AS INTEGER) AS "start", d0 + CAST(45 * w + 730 AS INTEGER) AS train_end,
+            d0 + CAST(45 * w + 820 AS INTEGER) AS test_end FROM d0s, range(17) r(w)""", ctes=WIN_SQL)
+def _(v):
+    return rolling_anchors(first_days(v.daily), n_windows=17)
+
+
 @query("rolling_windows", "site_id:s window_id:i n_rows:i n_train_rows:i first_day:s last_day:s",
        """SELECT site_id, window_id, count(*) AS n_rows, sum(CAST(is_train_row AS INTEGER)) AS n_train_rows,
             min(day) AS first_day, max(day) AS last_day FROM win GROUP BY ALL""", ctes=WIN_SQL)
@@ -144,9 +159,9 @@ def _(v):
 @query("bloom_in_windows", "site_id:s window_id:i n_days:i bloom_days:i band_q:d",
        """SELECT l.site_id, l.window_id, count(*) AS n_days, count(*) FILTER (WHERE band > bq AND n_layers >= 2) AS bloom_days, max(bq) AS band_q
           FROM wlayers l LEFT JOIN wband USING (site_id, window_id, day) JOIN wbq USING (site_id, window_id) GROUP BY ALL""",
-       ctes="""c0 AS (SELECT site_id, min(day) AS d0 FROM cells GROUP BY site_id),
-wc AS (SELECT c.*, CAST(w AS INTEGER) AS window_id, c.day < d0 + CAST(45 * w + 730 AS INTEGER) AS tr FROM cells c JOIN c0 USING (site_id), range(17) r(w)
-  WHERE date_diff('day', d0, c.day) >= 45 * w AND date_diff('day', d0, c.day) < 45 * w + 820),
+       ctes=f"""c0 AS (SELECT site_id, min(day) AS d0, {N_WINDOWS_SQL} FROM cells GROUP BY site_id),
+wc AS (SELECT c.*, CAST(w AS INTEGER) AS window_id, c.day < d0 + CAST(45 * w + 730 AS INTEGER) AS tr FROM cells c JOIN c0 USING (site_id), {window_numbers_sql("c0")} r
+  WHERE w < nw AND date_diff('day', d0, c.day) >= 45 * w AND date_diff('day', d0, c.day) < 45 * w + 820),
 wband AS (SELECT site_id, window_id, day, max(tr) AS tr, median(total_conc) AS band FROM wc WHERE depth BETWEEN 0.5 AND 3.0 GROUP BY ALL),
 wbq AS (SELECT site_id, window_id, quantile_cont(band, 0.75) AS bq FROM wband WHERE tr GROUP BY ALL),
 wlq AS (SELECT site_id, window_id, depth, quantile_cont(total_conc, 0.75) AS lq FROM wc WHERE tr AND depth BETWEEN 0.5 AND 5.0 GROUP BY ALL),
@@ -188,9 +203,13 @@ def _(v):
             count(*) / (any_value(total) * any_value((hi - lo) / 60.0)) AS density FROM (
             SELECT site_id, lo, hi, total, least(floor((z - lo) / ((hi - lo) / 60.0)), 59) AS bin FROM (
               SELECT *, min(z) OVER (PARTITION BY site_id) AS lo, max(z) OVER (PARTITION BY site_id) AS hi, count(*) OVER (PARTITION BY site_id) AS total
-              FROM (SELECT site_id, delta_h / 14.3::DOUBLE AS z FROM sl WHERE is_train))) GROUP BY site_id, bin""", ctes=SAMPLE_SQL)
+              FROM (SELECT site_id, delta_h / scale AS z FROM sl JOIN scale USING (site_id, window_id) WHERE is_train))) GROUP BY site_id, bin""",
+       ctes=SAMPLE_SQL + """,
+scale AS (SELECT site_id, window_id, stddev_pop(delta_h) + 1e-8 AS scale FROM sl WHERE is_train GROUP BY ALL)""")
 def _(v):
-    rows = by_horizon(samples(v)).filter("is_train").select("site_id", (F.col("delta_h") / 14.3).alias("z"))
+    cut = samples(v)
+    rows = (by_horizon(cut).filter("is_train").join(delta_scale(cut), ["site_id", "window_id"])
+            .select("site_id", (F.col("delta_h") / F.col("delta_scale")).alias("z")))
     return histogram(rows, "z", 60, ["site_id"])
 
 

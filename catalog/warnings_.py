@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.blooms import LOOSE_EVENTS, events_sql, loose_events, loose_state, runs_sql
 from catalog.forecasts import MEMBER_SQL, members
 from catalog.registry import query
-from catalog.series import TARGET, windows
+from catalog.series import N_WINDOWS_SQL, TARGET, window_numbers_sql, windows
 from limnoscope.operators.events import events, merge_runs, runs
 from limnoscope.operators.labels import band_median, bloom_state
 from limnoscope.operators.warning import (
@@ -20,12 +20,13 @@ THETAS = (0.2, 0.3, 0.4)
 LEAD = 30
 
 # Warning probability of an origin: the share of its forecast quantiles (all
-# horizons and levels) above the window's train 75 % quantile.
+# horizons and levels) above the window's train 75 % quantile. Only origins of
+# the window's test days count: the first test samples begin before them.
 PROB_SQL = MEMBER_SQL + """,
-p75 AS (SELECT site_id, window_id, quantile_cont(conc_0_5, 0.75) AS limit_ FROM win WHERE is_train_row GROUP BY ALL),
+p75 AS (SELECT site_id, window_id, quantile_cont(conc_0_5, 0.75) AS limit_, max(train_end) AS train_end FROM win WHERE is_train_row GROUP BY ALL),
 alarm AS (SELECT f.site_id, f.window_id, f.origin AS day, f.member, avg((""" + " + ".join(
     f"(CASE WHEN q[{i}] > limit_ THEN 1.0 ELSE 0.0 END)" for i in range(1, 10)) + """) / 9) AS p
-  FROM fc f JOIN p75 USING (site_id, window_id) GROUP BY ALL),
+  FROM fc f JOIN p75 USING (site_id, window_id) WHERE f.origin >= train_end GROUP BY ALL),
 series AS (SELECT site_id, day, avg(p) AS p, count(*) AS n_windows FROM (
   SELECT site_id, window_id, day, avg(p) AS p FROM alarm GROUP BY ALL) GROUP BY ALL)"""
 
@@ -46,11 +47,11 @@ alarms AS (SELECT e.*, NOT EXISTS (SELECT 1 FROM inside i WHERE i.site_id = e.si
 
 
 def alarm_rows(v):
-    """Member probabilities per (station, window, day)."""
+    """Member probabilities per (station, window, day), for days of the window's test part."""
     limit = windows(v).filter("is_train_row").groupBy("site_id", "window_id").agg(
-        F.percentile(TARGET, F.lit(0.75)).alias("limit_"))
+        F.percentile(TARGET, F.lit(0.75)).alias("limit_"), F.max("train_end").alias("train_end"))
     share = F.aggregate("q", F.lit(0.0), lambda a, x: a + F.when(x > F.col("limit_"), 1.0).otherwise(0.0)) / 9
-    return (members(v).join(limit, ["site_id", "window_id"])
+    return (members(v).join(limit, ["site_id", "window_id"]).filter(F.col("origin") >= F.col("train_end"))
             .groupBy("site_id", "window_id", F.col("origin").alias("day"), "member").agg(F.avg(share).alias("p")))
 
 
@@ -107,12 +108,12 @@ def _(v):
     return evaluate_warnings(series(v), loose_events(v), THETAS, LEAD)
 
 
-_RULE = """rule AS (SELECT site_id, day, max(CASE WHEN band > l THEN 1 ELSE 0 END) AS w FROM (
-    SELECT b.*, CAST(w AS INTEGER) AS window_id, b.day < d0 + CAST(45 * w + 730 AS INTEGER) AS tr FROM band_loose b JOIN (SELECT site_id, min(day) AS d0 FROM band_loose GROUP BY site_id) USING (site_id), range(17) r(w)
-    WHERE date_diff('day', d0, b.day) >= 45 * w AND date_diff('day', d0, b.day) < 45 * w + 820) x
-  JOIN (SELECT site_id, window_id, quantile_cont(band, 0.75) AS l FROM (
-    SELECT b.*, CAST(w AS INTEGER) AS window_id, b.day < d0 + CAST(45 * w + 730 AS INTEGER) AS tr FROM band_loose b JOIN (SELECT site_id, min(day) AS d0 FROM band_loose GROUP BY site_id) USING (site_id), range(17) r(w)
-    WHERE date_diff('day', d0, b.day) >= 45 * w AND date_diff('day', d0, b.day) < 45 * w + 820) WHERE tr GROUP BY ALL) USING (site_id, window_id)
+_RULE = f"""rule_days AS (SELECT site_id, min(day) AS d0, {N_WINDOWS_SQL} FROM band_loose GROUP BY site_id),
+rule_rows AS (SELECT b.*, CAST(w AS INTEGER) AS window_id, b.day < d0 + CAST(45 * w + 730 AS INTEGER) AS tr
+  FROM band_loose b JOIN rule_days USING (site_id), {window_numbers_sql("rule_days")} r
+  WHERE w < nw AND date_diff('day', d0, b.day) >= 45 * w AND date_diff('day', d0, b.day) < 45 * w + 820),
+rule AS (SELECT site_id, day, max(CASE WHEN band > l THEN 1 ELSE 0 END) AS w FROM rule_rows
+  JOIN (SELECT site_id, window_id, quantile_cont(band, 0.75) AS l FROM rule_rows WHERE tr GROUP BY ALL) USING (site_id, window_id)
   WHERE NOT tr GROUP BY site_id, day)"""
 
 
@@ -139,9 +140,9 @@ def _(v):
 
 
 @query("lookback_coverage", "site_id:s event_id:i start:s covered:d n_days:i",
-       """SELECT e.site_id, e.event_id, e."start", avg(CASE WHEN EXISTS (SELECT 1 FROM range(17) r(w) WHERE b.day >= s.d0 + CAST(45 * w + 730 AS INTEGER)
-              AND b.day < s.d0 + CAST(45 * w + 820 AS INTEGER)) THEN 1.0 ELSE 0.0 END) AS covered, count(*) AS n_days
-          FROM ev e JOIN (SELECT site_id, min(day) AS d0, max(day) AS hi FROM state_loose GROUP BY site_id) s USING (site_id)
+       """SELECT e.site_id, e.event_id, e."start", avg(CASE WHEN greatest(0, floor((date_diff('day', s.d0, b.day) - 820) / 45.0) + 1)
+              <= least(nw - 1, floor((date_diff('day', s.d0, b.day) - 730) / 45.0)) THEN 1.0 ELSE 0.0 END) AS covered, count(*) AS n_days
+          FROM ev e JOIN (SELECT site_id, min(day) AS d0, max(day) AS hi, """ + N_WINDOWS_SQL + """ FROM state_loose GROUP BY site_id) s USING (site_id)
           JOIN (SELECT e2.site_id, e2.event_id, unnest(generate_series(e2."start" - 30, e2."start" - 1, INTERVAL 1 DAY))::DATE AS day FROM ev e2) b
             ON b.site_id = e.site_id AND b.event_id = e.event_id AND b.day BETWEEN s.d0 AND s.hi GROUP BY ALL
           UNION ALL SELECT e.site_id, e.event_id, e."start", NULL, NULL FROM ev e JOIN (SELECT site_id, min(day) AS d0 FROM state_loose GROUP BY site_id) s USING (site_id)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,13 +31,32 @@ def pad_site_id(site_id, width: int = 4) -> Column:
     return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
 
 
+def finite_or_null(x) -> Column:
+    """NaN becomes null, so that it is skipped by means and found by ``dropna``."""
+    x = as_col(x)
+    return F.when(~F.isnan(x), x)
+
+
+def mean(x) -> Column:
+    """Average that skips null and NaN."""
+    return F.avg(finite_or_null(as_col(x).cast("double")))
+
+
 def coerce_double(x) -> Column:
-    """Number or null: text that is no number becomes null instead of failing."""
-    return as_col(x).try_cast("double")
+    """Number or null: text that is no number, and NaN, becomes null."""
+    return finite_or_null(as_col(x).try_cast("double"))
+
+
+#: Forms of time that spreadsheet exports use besides ISO.
+TIME_FORMATS = ("yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy/M/d", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d",
+                "yyyy.M.d H:m:s", "yyyy.M.d H:m", "yyyy.M.d")
 
 
-def coerce_timestamp(x) -> Column:
-    return as_col(x).try_cast("timestamp_ntz")
+def coerce_timestamp(x, formats: Sequence[str] = TIME_FORMATS) -> Column:
+    """Time or null: ISO text first, then the first of ``formats`` that fits."""
+    text = F.trim(as_col(x).cast("string"))
+    return F.coalesce(text.try_cast("timestamp_ntz"),
+                      *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
 
 
 # ---------------------------------------------------------------- time

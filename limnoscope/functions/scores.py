@@ -133,12 +133,22 @@ def pit(q, y) -> Column:
 
 
 # ------------------------------------------------------- probability of a rise
+# Width of the normal 10-90 range, and the largest |z|.
+NORMAL_RANGE, LARGEST_Z = 2.563, 5.0
+
+
+def _ordered(q10, q50, q90) -> tuple[Column, Column, Column]:
+    """The three quantiles ascending: quantiles of separate models can cross."""
+    low, mid, high = map(as_col, (q10, q50, q90))
+    return F.least(low, mid, high), F.greatest(F.least(low, mid), F.least(F.greatest(low, mid), high)), F.greatest(low, mid, high)
+
+
 def prob_up_gaussian(q10, q50, q90) -> Column:
     """Normal law through the median with the 10-90 range as its width."""
-    q10, q50, q90 = map(as_col, (q10, q50, q90))
-    sigma = (q90 - q10) / F.lit(2.563)
+    q10, q50, q90 = _ordered(q10, q50, q90)
+    sigma = (q90 - q10) / F.lit(NORMAL_RANGE)
     z = (F.when(sigma > 1e-9, q50 / F.greatest(sigma, F.lit(1e-12)))
-         .when(q50 > 0, F.lit(5.0)).when(q50 < 0, F.lit(-5.0)).otherwise(F.lit(0.0)))
+         .when(q50 > 0, F.lit(LARGEST_Z)).when(q50 < 0, F.lit(-LARGEST_Z)).otherwise(F.lit(0.0)))
     return let(normal_cdf(z), lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)))
 
 
@@ -153,10 +163,11 @@ def with_prob_up(df: DataFrame, q10, q50, q90, *, linear="p_linear", monotone="p
     segment that holds 0 is found first and its ends are taken from arrays, so
     each formula appears once in the generated code.
     """
-    low, mid, high = map(as_col, (q10, q50, q90))
+    w = df.withColumns(dict(zip(("_low", "_mid", "_high"), _ordered(q10, q50, q90), strict=True)))
+    low, mid, high = F.col("_low"), F.col("_mid"), F.col("_high")
     probs = F.array(*[F.lit(p) for p in _PROBS])
     dy = [b - a for a, b in zip(_PROBS, _PROBS[1:])]
-    w = df.withColumn("_x", F.array(low - (mid - low) / 4, low, mid, high, high + (high - mid) / 4))
+    w = w.withColumn("_x", F.array(low - (mid - low) / 4, low, mid, high, high + (high - mid) / 4))
 
     def x(i):
         return F.get("_x", F.lit(i))
@@ -198,4 +209,4 @@ def with_prob_up(df: DataFrame, q10, q50, q90, *, linear="p_linear", monotone="p
     return w.withColumns({
         linear: F.lit(1.0) - at_zero(y0 + t * (y1 - y0)),
         monotone: F.lit(1.0) - F.when(flat, collapsed).otherwise(at_zero(cubic)),
-    }).drop("_x", "_h", "_d", "_i", "_t", "_y0", "_y1", "_r0", "_r1")
+    }).drop("_low", "_mid", "_high", "_x", "_h", "_d", "_i", "_t", "_y0", "_y1", "_r0", "_r1")

@@ -52,20 +52,6 @@ def climatology(samples_h: DataFrame, month_q: DataFrame, target_day: str = "tar
             .drop("_month", "_qm", "_qa", "_mm", "_ma"))
 
 
-def own_month_climatology(rows: DataFrame, value: str, day: str = "day",
-                          levels: Sequence[float] = QUANTILE_LEVELS, min_rows: int = 5,
-                          train_row: str = "is_train_row", ids: Sequence[str] = IDS,
-                          name: str = "clim_q") -> DataFrame:
-    """Attach to each day the train quantiles of its own month, or of all train rows
-    when the month has fewer than ``min_rows``: windows, so nothing is joined."""
-    p = F.array(*[F.lit(float(v)) for v in levels])
-    train = F.when(F.col(train_row), F.col(value))
-    all_rows, month_rows = W.partitionBy(*ids), W.partitionBy(*ids, F.month(day))
-    out = rows.withColumn("_qa", F.percentile(train, p).over(all_rows))
-    month_q = F.when(F.count(train).over(month_rows) >= min_rows, F.percentile(train, p).over(month_rows))
-    return out.withColumn(name, F.coalesce(month_q, "_qa")).drop("_qa")
-
-
 def change_quantiles(samples_h: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
                      by_month: bool = False, min_rows: int = 5,
                      ids: Sequence[str] = IDS, name: str = "q") -> DataFrame:
@@ -86,6 +72,22 @@ def change_quantiles(samples_h: DataFrame, levels: Sequence[float] = QUANTILE_LE
     return out.withColumn(name, F.transform("_qa", lambda v: v + F.col("cur"))).drop("_qa")
 
 
+def train_changes(samples_h: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS, min_rows: int = 5,
+                  ids: Sequence[str] = IDS) -> tuple[DataFrame, DataFrame]:
+    """Quantiles of the train part's change: per horizon (``change``), and per horizon and
+    month of the origin with at least ``min_rows`` rows (``month_change``).
+
+    Two aggregations to one row per group; only those rows are joined to what is forecast.
+    """
+    p = F.array(*[F.lit(float(v)) for v in levels])
+    train = samples_h.filter("is_train")
+    overall = train.groupBy(*ids, "h").agg(F.percentile("delta_h", p).alias("change"))
+    monthly = (train.groupBy(*ids, "h", F.month("origin").alias("month"))
+               .agg(F.percentile("delta_h", p).alias("month_change"), F.count("delta_h").alias("_n"))
+               .filter(F.col("_n") >= min_rows).drop("_n"))
+    return overall, monthly
+
+
 # ------------------------------------------------------------- linear baselines
 def ridge_forecast(samples_h: DataFrame, features: Sequence[str], alpha: float = 1.0,
                    ids: Sequence[str] = IDS, name: str = "pred") -> DataFrame:
@@ -169,18 +171,34 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df)
 
 
+def last_window(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Samples of each station's last window: its train part lies before its test part, so a
+    model fitted on these train rows has seen none of the days it is judged on."""
+    newest = F.max("window_id").over(W.partitionBy(*keys))
+    return samples.withColumn("_w", newest).filter(F.col("window_id") == F.col("_w")).drop("_w")
+
+
 def boosted_trees(samples_h: DataFrame, features: Sequence[str], horizons: Sequence[int], trees: int = 60,
                   depth: int = 4, step: float = 0.1, seed: int = 0, name: str = "pred") -> DataFrame:
-    """Gradient-boosted trees, one model per horizon over the train rows of all stations."""
+    """Gradient-boosted trees, one model per horizon over the train rows of all stations.
+
+    Give samples whose train rows hold no day that is scored (:func:`last_window`).
+    They are persisted once; horizons are fitted side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.regression import GBTRegressor
 
-    data = _assembled(samples_h, features)
-    parts = []
-    for h in horizons:
+    data = _assembled(samples_h, features).persist()
+
+    def one(h: int) -> DataFrame:
         rows = data.filter(F.col("h") == h)
         model = GBTRegressor(featuresCol="_x", labelCol="y_h", predictionCol=name, maxIter=trees,
                              maxDepth=depth, stepSize=step, seed=seed).fit(rows.filter("is_train"))
-        parts.append(model.transform(rows).drop("_x"))
+        return model.transform(rows).drop("_x")
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        parts = list(pool.map(one, horizons))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from limnoscope.functions.columns import floor_to_days, floor_to_grid
+from limnoscope.functions.columns import finite_or_null, floor_to_days, floor_to_grid, mean
 from limnoscope.schema import DEPTHS, KEYS, WEATHER_MEASURES, depth_column
 
 
@@ -23,7 +23,7 @@ def cell_means(readings: DataFrame, measures: Sequence[str], hours: int = 3,
     group = [*keys, "cell"] + (["depth"] if by_depth else [])
     return (readings.withColumn("cell", floor_to_grid(ts, hours))
             .filter(F.col("cell").isNotNull())
-            .groupBy(*group).agg(*[F.avg(m).alias(m) for m in measures]))
+            .groupBy(*group).agg(*[mean(m).alias(m) for m in measures]))
 
 
 def day_means(readings: DataFrame, measures: Sequence[str], ts: str = "timestamp",
@@ -31,7 +31,7 @@ def day_means(readings: DataFrame, measures: Sequence[str], ts: str = "timestamp
     """Mean per (station, day, depth) straight from the readings."""
     group = [*keys, "day"] + (["depth"] if by_depth else [])
     return (readings.withColumn("day", F.to_date(ts)).filter(F.col("day").isNotNull())
-            .groupBy(*group).agg(*[F.avg(m).alias(m) for m in measures]))
+            .groupBy(*group).agg(*[mean(m).alias(m) for m in measures]))
 
 
 def profile_table(standard: DataFrame, depths: Sequence[float] = DEPTHS, hours: int = 3,
@@ -46,10 +46,10 @@ def profile_table(standard: DataFrame, depths: Sequence[float] = DEPTHS, hours:
     """
     measures = measures or {"temp": "water_temp", "conc": "total_conc"}
     aggs = [
-        F.avg(F.when(F.col("depth") == F.lit(float(d)), F.col(source))).alias(depth_column(name, d))
+        mean(F.when(F.col("depth") == F.lit(float(d)), F.col(source))).alias(depth_column(name, d))
         for name, source in measures.items() for d in depths
     ]
-    aggs += [F.min(c).alias(c) for c in weather]
+    aggs += [F.min(finite_or_null(c)).alias(c) for c in weather]
     wide = (standard.withColumn("cell", floor_to_grid(ts, hours)).filter(F.col("cell").isNotNull())
             .groupBy(*keys, "cell").agg(*aggs))
     if "temp" in measures:

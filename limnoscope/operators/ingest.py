@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from limnoscope.functions.columns import coerce_double, coerce_timestamp, floor_to_grid, pad_site_id
+from limnoscope.functions.columns import coerce_double, coerce_timestamp, finite_or_null, floor_to_grid, mean, pad_site_id
 from limnoscope.operators.align import asof_filled_grid
 from limnoscope.operators.grid import unpivot_columns
 from limnoscope.schema import EPS, HEADER_NAMES, KEYS, NUMERIC_COLUMNS, WEATHER_MEASURES
@@ -21,7 +21,10 @@ def rename_headers(df: DataFrame, names: dict[str, str] = HEADER_NAMES) -> DataF
 
 
 def coerce_types(df: DataFrame, numeric: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
-    """Numbers to double (null when they do not parse), time to timestamp, padded ids."""
+    """Numbers to double (null when they do not parse or are NaN), time to timestamp, padded ids.
+
+    :func:`unreadable_times` counts the times that are lost.
+    """
     casts = {c: coerce_double(c) for c in numeric if c in df.columns}
     if "timestamp" in df.columns and dict(df.dtypes)["timestamp"] == "string":
         casts["timestamp"] = coerce_timestamp("timestamp")
@@ -30,6 +33,12 @@ def coerce_types(df: DataFrame, numeric: Sequence[str] = NUMERIC_COLUMNS) -> Dat
     return df.withColumns(casts)
 
 
+def unreadable_times(raw: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """One row: ``n_rows``, and the rows whose time text is there but fits no known form (``n_unreadable``)."""
+    lost = F.col(ts).isNotNull() & coerce_timestamp(ts).isNull()
+    return raw.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(lost, 1)).alias("n_unreadable"))
+
+
 def weather_cells(weather: DataFrame, hours: int = 3, keys: Sequence[str] = KEYS,
                   measures: Sequence[str] = WEATHER_MEASURES, ts: str = "timestamp",
                   fill_bins: bool = False) -> DataFrame:
@@ -37,7 +46,7 @@ def weather_cells(weather: DataFrame, hours: int = 3, keys: Sequence[str] = KEYS
     station's first and last one, as nulls."""
     have = [c for c in measures if c in weather.columns]
     cells = (weather.withColumn("cell", floor_to_grid(ts, hours)).filter(F.col("cell").isNotNull())
-             .groupBy(*keys, "cell").agg(*[F.avg(c).alias(c) for c in have]))
+             .groupBy(*keys, "cell").agg(*[mean(c).alias(c) for c in have]))
     if not fill_bins:
         return cells
     from limnoscope.operators.align import complete_axis
@@ -79,8 +88,11 @@ def profile_from_raw(readings: DataFrame, weather: DataFrame, depths: Sequence[f
 
 
 def to_float32(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
-    """Storage precision of the standard table; computation stays in double."""
-    return df.withColumns({c: F.col(c).cast("float") for c in columns if c in df.columns})
+    """Storage precision of the standard table; computation stays in double.
+
+    Depth is a key, not a measure: it keeps its precision, or 0.1 would not be found again.
+    """
+    return df.withColumns({c: F.col(c).cast("float") for c in columns if c in df.columns and c != "depth"})
 
 
 def train_cut(df: DataFrame, ts: str, train_frac: float = 0.7,
@@ -110,16 +122,17 @@ def norm_stats(df: DataFrame, columns: Sequence[str], ts: str = "timestamp",
     """Mean and sample standard deviation of each column over the train prefix.
 
     The prefix is the first ``train_frac`` of the rows by time; rows of the one
-    time in which the quota ends are taken in ``tie`` order.
+    time in which the quota ends are taken in ``tie`` order, equal ones in the
+    order of their values, so the result does not depend on partitioning.
     """
     cut = train_cut(df, ts, train_frac, keys)
     marked = df.join(cut, list(keys)).filter(F.col(ts) <= F.col("cut"))
     whole = marked.filter(F.col(ts) < F.col("cut")).select(*keys, *columns)
-    edge_order = W.partitionBy(*keys).orderBy(*tie)
+    edge_order = W.partitionBy(*keys).orderBy(*tie, *[c for c in columns if c not in tie])
     edge = (marked.filter(F.col(ts) == F.col("cut"))
             .withColumn("_rn", F.row_number().over(edge_order))
             .filter(F.col("_rn") <= F.col("take")).select(*keys, *columns))
-    rows = unpivot_columns(whole.unionByName(edge), columns, keys)
+    rows = unpivot_columns(whole.unionByName(edge), columns, keys).withColumn("value", finite_or_null(F.col("value").cast("double")))
     return (rows.groupBy(*keys, "variable")
             .agg(F.avg("value").alias("mean"), (F.stddev_samp("value") + F.lit(EPS)).alias("std"),
                  F.count("value").alias("n"))

@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -357,32 +356,29 @@ def spectral_bands(series: DataFrame, value: str, ts: str, rows_per_day: int = 8
                    by: Sequence[str] = ("site_id", "depth")) -> DataFrame:
     """Dominant period and power shares of the bands 2-7, 7-30, 30-180, 180-730 days.
 
-    One group is one gridded series (station and depth), whose length the
-    calendar bounds, so its transform fits a task; series are spread over tasks.
+    Only frequencies between 1/730 and 1/2 per day are needed: every row is
+    multiplied with their cosines and sines and summed per (series, frequency),
+    with partial sums before the shuffle, so a series is not held by one task.
     """
-    import numpy as np
-
-    fields = ", ".join(f"{c} {t}" for c, t in series.select(*by).dtypes)
-    names = ["dominant_period"] + [f"share_{a}_{b}d" for a, b in _BANDS]
-    schema = f"{fields}, n bigint, " + ", ".join(f"{n} double" for n in names)
     by = list(by)
-
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(ts)[value].to_numpy(dtype=float)
-        empty = pd.DataFrame(columns=[*by, "n", *names])
-        if len(x) < min_rows:
-            return empty
-        freq = np.fft.rfftfreq(len(x), d=1.0 / rows_per_day)
-        power = np.abs(np.fft.rfft(x - x.mean())) ** 2
-        keep = (freq > 1 / 730) & (freq <= 1 / 2)
-        f, s = freq[keep], power[keep]
-        if not len(s) or s.sum() <= 0:
-            return empty
-        share = s / s.sum()
-        row = {c: pdf[c].iloc[0] for c in by} | {"n": len(x), "dominant_period": 1 / f[int(np.argmax(s))]}
-        for a, b in _BANDS:
-            row[f"share_{a}_{b}d"] = float(share[(f >= 1 / b) & (f < 1 / a)].sum())
-        return pd.DataFrame([row])
-
-    rows = series.filter(F.col(value).isNotNull()).select(*by, ts, F.col(value).cast("double").alias(value))
-    return rows.groupBy(*by).applyInPandas(transform, schema)
+    whole = W.partitionBy(*by)
+    x = F.col(value).cast("double")
+    rows = (series.filter(x.isNotNull() & ~F.isnan(x))
+            .select(*by, (F.row_number().over(whole.orderBy(ts)) - 1).cast("bigint").alias("_p"),
+                    F.count(F.lit(1)).over(whole).alias("n"), (x - F.avg(x).over(whole)).alias("_x"))
+            .filter(F.col("n") >= min_rows))
+    slowest = F.floor(F.col("n") / F.lit(730.0 * rows_per_day)) + 1
+    fastest = F.floor(F.col("n") / F.lit(2.0 * rows_per_day))
+    # the angle's whole turns are taken off in integers
+    angle = F.lit(2 * math.pi) * ((F.col("_p") * F.col("_k")) % F.col("n")) / F.col("n")
+    waves = (rows.filter(slowest <= fastest).select("*", F.explode(F.sequence(slowest, fastest)).alias("_k"))
+             .select(*by, "n", "_k", (F.col("_x") * F.cos(angle)).alias("_c"), (F.col("_x") * F.sin(angle)).alias("_s"))
+             .groupBy(*by, "n", "_k").agg(F.sum("_c").alias("_c"), F.sum("_s").alias("_s")))
+    power = F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")
+    f = F.col("_k") * (F.lit(1.0) / (F.col("n") * F.lit(1.0 / rows_per_day)))
+    bands = [F.sum(F.when((f >= 1 / b) & (f < 1 / a), power).otherwise(0.0)).alias(f"_b{a}") for a, b in _BANDS]
+    sums = waves.groupBy(*by, "n").agg(
+        F.sum(power).alias("_total"), (-F.max(F.struct(power.alias("p"), (-F.col("_k")).alias("k")))["k"]).alias("_top"), *bands)
+    return (sums.filter(F.col("_total") > 0)
+            .select(*by, "n", (F.col("n") / (F.col("_top") * F.lit(float(rows_per_day)))).alias("dominant_period"),
+                    *[(F.col(f"_b{a}") / F.col("_total")).alias(f"share_{a}_{b}d") for a, b in _BANDS]))

@@ -10,50 +10,64 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from limnoscope.schema import (
-    EPS, HORIZON, KEYS, LOOK_BACK, N_WINDOWS, STRIDE_DAYS, TEST_DAYS, TRAIN_DAYS,
+    EPS, HORIZON, KEYS, LOOK_BACK, STRIDE_DAYS, TEST_DAYS, TRAIN_DAYS,
 )
 
 
+def _last_window(first, last, train_days: int, stride_days: int, n_windows: int | None) -> Column:
+    """Number of a station's last window: its train part ends on or before the station's last day."""
+    if n_windows is not None:
+        return F.lit(n_windows - 1)
+    return F.floor((F.datediff(last, first) - F.lit(train_days)) / F.lit(stride_days)).cast("int")
+
+
 def rolling_anchors(first_days: DataFrame, train_days: int = TRAIN_DAYS, test_days: int = TEST_DAYS,
-                    stride_days: int = STRIDE_DAYS, n_windows: int = N_WINDOWS,
-                    first_day: str = "d0", keys: Sequence[str] = KEYS) -> DataFrame:
-    """(start, train_end, test_end) of every window, from one first day per station."""
+                    stride_days: int = STRIDE_DAYS, n_windows: int | None = None,
+                    first_day: str = "d0", last_day: str = "d1", keys: Sequence[str] = KEYS) -> DataFrame:
+    """(start, train_end, test_end) of every window, from one first and last day per station.
+
+    Windows cover the station's whole span: all whose train part ends on or
+    before its last day.  ``n_windows`` asks for that many, span or not.
+    """
     start = F.date_add(F.col(first_day), (F.col("window_id") * stride_days).cast("int"))
-    return (first_days.select(*keys, first_day,
-                              F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))).alias("window_id"))
+    last = _last_window(F.col(first_day), F.col(last_day) if n_windows is None else None, train_days, stride_days, n_windows)
+    return (first_days.select(*keys, first_day, last.alias("_last")).filter(F.col("_last") >= 0)
+            .select(*keys, first_day, F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("window_id"))
             .select(*keys, "window_id", start.alias("start"),
                     F.date_add(start, train_days).alias("train_end"),
                     F.date_add(start, train_days + test_days).alias("test_end")))
 
 
 def first_days(df: DataFrame, day: str = "day", keys: Sequence[str] = KEYS) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min(day).alias("d0"))
+    """First and last day of each station, ``d0`` and ``d1``."""
+    return df.groupBy(*keys).agg(F.min(day).alias("d0"), F.max(day).alias("d1"))
 
 
 def assign_windows(df: DataFrame, d0: dt.date | str | None = None, train_days: int = TRAIN_DAYS,
                    test_days: int = TEST_DAYS, stride_days: int = STRIDE_DAYS,
-                   n_windows: int = N_WINDOWS, day: str = "day",
+                   n_windows: int | None = None, day: str = "day",
                    keys: Sequence[str] = KEYS) -> DataFrame:
     """Copy each day to all windows that contain it, with ``is_train_row``.
 
     The window numbers follow from the day's offset by arithmetic, so there is
     no range join: each row is exploded into ``ceil(span / stride)`` copies at
-    most.  Without ``d0`` windows start at the station's first day.
+    most.  Without ``d0`` windows start at the station's first day.  Windows are
+    those of :func:`rolling_anchors`.
     """
-    if d0 is None:
-        df = df.withColumn("d0", F.min(day).over(W.partitionBy(*keys)))
-    else:
-        df = df.withColumn("d0", F.lit(str(d0)).cast("date"))
+    group = W.partitionBy(*keys)
+    df = df.withColumn("d0", F.min(day).over(group) if d0 is None else F.lit(str(d0)).cast("date"))
     span = train_days + test_days
     off = F.datediff(day, "d0")
     lo = F.greatest(F.lit(0), F.ceil((off - F.lit(span - 1)) / F.lit(stride_days)).cast("int"))
-    hi = F.least(F.lit(n_windows - 1), F.floor(off / F.lit(stride_days)).cast("int"))
+    last = F.max(day).over(group) if n_windows is None else F.lit(None)
+    df = df.withColumn("_last", _last_window(F.col("d0"), last, train_days, stride_days, n_windows))
+    hi = F.least(F.col("_last"), F.floor(off / F.lit(stride_days)).cast("int"))
     ids = F.when((off >= 0) & (lo <= hi), F.sequence(lo, hi))
     start = F.date_add("d0", F.col("window_id") * stride_days)
     return (df.withColumn("window_id", F.explode(ids))
             .withColumns({"train_end": F.date_add(start, train_days),
                           "test_end": F.date_add(start, span)})
-            .withColumn("is_train_row", F.col(day) < F.col("train_end")).drop("d0"))
+            .withColumn("is_train_row", F.col(day) < F.col("train_end")).drop("d0", "_last"))
 
 
 def split_by_position(df: DataFrame, ts: str, train_frac: float = 0.7, val_frac: float = 0.15,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnoscope.operators.forecast import change_quantiles, own_month_climatology, persistence
+from limnoscope.operators.forecast import climatology, month_quantiles, persistence, train_changes
 from limnoscope.operators.metrics import score_rows, summary_lattice
 from limnoscope.operators.windows import assign_windows, by_horizon, supervised_windows
 from limnoscope.schema import HORIZON, LOOK_BACK, QUANTILE_LEVELS
@@ -26,16 +26,23 @@ def member_forecasts(daily: DataFrame, target: str = "conc_0_5",
     """Test-part quantile forecasts of three members: change of the train part,
     change of the same month, and month climatology of the origin's month."""
     rows = assign_windows(daily.select("site_id", "day", target), **protocol)
-    # One shuffle by window; every step below stays inside this partitioning.
+    # One shuffle by window, which the samples and both sets of quantiles start from.
     rows = rows.repartition("site_id", "window_id")
-    rows = own_month_climatology(rows, target, levels=levels)
-    samples = supervised_windows(rows, target, look_back=look_back, horizon=horizon, carry=("clim_q",))
-    long = change_quantiles(by_horizon(samples), levels, name="change_q")
-    long = change_quantiles(long, levels, by_month=True, name="month_q")
-    members = F.array(*[F.struct(F.lit(m).alias("member"), F.col(c).alias("q")) for m, c in (
-        ("change", "change_q"), ("month_change", "month_q"), ("climatology", "clim_q"))])
-    return long.filter(~F.col("is_train")).select(
-        "site_id", "window_id", "origin", "h", "cur", "y_h", F.inline(members))
+    samples = supervised_windows(rows, target, look_back=look_back, horizon=horizon)
+    long = by_horizon(samples)
+    overall, monthly = train_changes(long, levels)
+    climate = month_quantiles(rows.filter("is_train_row"), target, levels=levels)
+    test = climatology(long.filter(~F.col("is_train")), climate, "origin").withColumnRenamed("q", "_clim")
+    test = (test.withColumn("month", F.month("origin")).join(overall, ["site_id", "window_id", "h"], "left")
+            .join(monthly, ["site_id", "window_id", "h", "month"], "left"))
+
+    def ahead(change):
+        return F.transform(change, lambda v: v + F.col("cur"))
+
+    members = F.array(*[F.struct(F.lit(m).alias("member"), q.alias("q")) for m, q in (
+        ("change", ahead(F.col("change"))), ("month_change", ahead(F.coalesce("month_change", "change"))),
+        ("climatology", F.col("_clim")))])
+    return test.select("site_id", "window_id", "origin", "h", "cur", "y_h", F.inline(members))
 
 
 def persistence_forecast(daily: DataFrame, target: str = "conc_0_5", **options) -> DataFrame:

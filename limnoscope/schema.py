@@ -49,8 +49,10 @@ BLOOM_GAP_DAYS = 1
 QUANTILE_LEVELS = (0.05, 0.10, 0.20, 0.35, 0.50, 0.65, 0.80, 0.90, 0.95)
 WARNING_CUTS = (0.75, 0.90, 0.97)
 
-# --- rolling-origin protocol ------------------------------------------------
-TRAIN_DAYS, TEST_DAYS, STRIDE_DAYS, N_WINDOWS = 730, 90, 45, 17
+# --- fixed values: rolling-origin protocol ----------------------------------
+TRAIN_DAYS, TEST_DAYS, STRIDE_DAYS = 730, 90, 45
+# Windows of the published protocol; operators take as many as a station's days hold.
+N_WINDOWS = 17
 LOOK_BACK, HORIZON = 30, 7
 
 # The small epsilon added to every fitted scale.

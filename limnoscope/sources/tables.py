@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limnoscope.operators.ingest import to_float32
 
@@ -13,11 +13,11 @@ from limnoscope.operators.ingest import to_float32
 def write_standard(df: DataFrame, path: str, mode: str = "overwrite", max_rows: int = 5_000_000) -> None:
     """Standard long table as Parquet, one directory per station.
 
-    Rows are spread by (station, year) before writing, so small stations make
-    few files and a station with a third of all rows is not written by one task;
-    files are cut at ``max_rows``.
+    Rows are spread by ranges of (station, time), whose bounds follow from where
+    the rows are, so a station with a third of all rows is written by a third of
+    the tasks; files are cut at ``max_rows``.
     """
-    spread = to_float32(df).repartition(F.col("site_id"), F.year("timestamp"))
+    spread = to_float32(df).repartitionByRange("site_id", "timestamp")
     (spread.write.mode(mode).option("maxRecordsPerFile", max_rows)
      .partitionBy("site_id").parquet(path))
 
@@ -25,12 +25,12 @@ def write_standard(df: DataFrame, path: str, mode: str = "overwrite", max_rows:
 def read_standard(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Standard table; only the named columns are read from the files.
 
-    Station ids are text: ``0902`` must not be read back as a number.
+    Station ids are text: the schema names them so, because a directory name
+    such as ``0902``, ``1e3`` or ``12.0`` would be read back as a number.
     """
-    df = spark.read.parquet(path)
-    if "site_id" in df.columns and dict(df.dtypes)["site_id"] != "string":
-        from limnoscope.functions.columns import pad_site_id
-        df = df.withColumn("site_id", pad_site_id("site_id"))
+    inferred = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField("site_id", T.StringType()) if f.name == "site_id" else f for f in inferred])
+    df = spark.read.schema(schema).parquet(path)
     return df.select(*columns) if columns else df
 
 

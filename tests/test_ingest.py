@@ -99,3 +99,72 @@ def test_stats_use_the_train_part(spark):
 def test_event_table(spark):
     ev = event_table(spark, [("1", "2023-02-01", "2023-02-03"), ("1", "2023-01-15", "2023-01-17")])
     assert [(r.event_id, str(r.start)) for r in ev.orderBy("event_id").collect()] == [(1, "2023-01-15"), (2, "2023-02-01")]
+
+
+@pytest.mark.parametrize("ids", [("00902", "0902"), ("1e3", "1000"), ("12.0", "0012")])
+def test_station_ids_stay_apart(spark, tmp_path, ids):
+    from limnoscope.sources.tables import read_standard, write_standard
+
+    rows = spark.createDataFrame([(i, T0, 0.5, float(k)) for k, i in enumerate(ids)], "site_id string, timestamp timestamp_ntz, depth double, total_conc double")
+    write_standard(rows, str(tmp_path / "s"))
+    back = read_standard(spark, str(tmp_path / "s"))
+    assert {(r.site_id, r.total_conc) for r in back.collect()} == {(i, float(k)) for k, i in enumerate(ids)}
+
+
+def test_depths_are_found_again(spark, tmp_path):
+    from limnoscope.operators.grid import profile_table
+    from limnoscope.sources.tables import read_standard, write_standard
+
+    rows = spark.createDataFrame([("1", T0, 0.1, 18.0, 3.0)], "site_id string, timestamp timestamp_ntz, depth double, water_temp double, total_conc double")
+    write_standard(rows, str(tmp_path / "s"))
+    back = read_standard(spark, str(tmp_path / "s"))
+    wide = profile_table(back, (0.1,), measures={"conc": "total_conc"}, weather=())
+    assert [r.conc_0_1 for r in wide.collect()] == [3.0]
+
+
+def test_nan_is_skipped_by_means(spark):
+    from limnoscope.functions.columns import coerce_double
+    from limnoscope.operators.grid import cell_means, day_means
+
+    nan = float("nan")
+    rows = spark.createDataFrame([("1", T0, 0.5, nan), ("1", T0, 0.5, 4.0), ("1", T0, 1.0, nan)],
+                                 "site_id string, timestamp timestamp_ntz, depth double, total_conc double")
+    for means in (cell_means, day_means):
+        got = {r.depth: r.total_conc for r in means(rows, ["total_conc"]).collect()}
+        assert got == {0.5: 4.0, 1.0: None}
+    assert spark.createDataFrame([("NaN",), ("2",)], "x string").select(coerce_double("x").alias("x")).collect() == [(None,), (2.0,)]
+
+
+def test_forms_of_time(spark):
+    from limnoscope.functions.columns import coerce_timestamp
+    from limnoscope.operators.ingest import unreadable_times
+
+    rows = spark.createDataFrame([("2022-01-01 00:05:00",), ("2022/1/1 0:05",), ("2022/01/01 00:05:00",), (" 2022-1-1 0:5 ",), ("2022/1/1",),
+                                  ("2022-01-01T00:05:00",), ("soon",), (None,)], "timestamp string")
+    got = [r.t for r in rows.select(coerce_timestamp("timestamp").alias("t")).collect()]
+    five = dt.datetime(2022, 1, 1, 0, 5)
+    assert got == [five, five, five, five, T0, five, None, None]
+    assert tuple(unreadable_times(rows).first()) == (8, 1)
+
+
+def test_train_statistics_do_not_depend_on_partitioning(spark):
+    rows = [("1", T0 + dt.timedelta(hours=3 * (k // 6)), 0.5, float(k * 7 % 11)) for k in range(20)]
+    frame = spark.createDataFrame(rows, "site_id string, timestamp timestamp_ntz, depth double, total_conc double")
+    got = [norm_stats(frame.repartition(n, "total_conc"), ["total_conc"]).first() for n in (1, 3, 7)]
+    assert len({(round(r["mean"], 9), round(r["std"], 9), r["n"]) for r in got}) == 1
+
+
+def test_observations_events_and_statistics_files(spark, tmp_path):
+    from limnoscope.sources.raw import read_events, read_observations
+    from limnoscope.sources.tables import read_stats, write_metrics, write_stats
+
+    (tmp_path / "o.csv").write_text("site_id,datetime,variable,observation\n0902,2022-01-02 00:00:00,temp,4.5\n0902,2022-01-01 00:00:00,temp,\n")
+    got = read_observations(spark, str(tmp_path / "o.csv"), sort=True).collect()
+    assert [(r.site_id, r.datetime, r.observation) for r in got] == [("0902", T0, None), ("0902", T0 + dt.timedelta(days=1), 4.5)]
+    (tmp_path / "e.json").write_text('{"site_id": "1", "start": "2023-02-01", "end": "2023-02-03"}\n{"site_id": "1", "start": "2023-01-01", "end": "2023-01-02"}\n')
+    assert [(r.event_id, str(r.start)) for r in read_events(spark, str(tmp_path / "e.json")).collect()] == [(1, "2023-01-01"), (2, "2023-02-01")]
+    stats = spark.createDataFrame([("0902", "temp", 1.5, 0.5, 7)], "site_id string, variable string, mean double, std double, n long")
+    write_stats(stats, str(tmp_path / "stats"))
+    assert read_stats(spark, str(tmp_path / "stats")).collect() == stats.collect()
+    write_metrics(stats, str(tmp_path / "metrics"))
+    assert spark.read.json(str(tmp_path / "metrics")).count() == 1
