@@ -204,14 +204,6 @@ def _members(size: int, bits: np.ndarray, short: bool):
     return run, f"set_id long, n long, shingles array<{'short' if short else 'long'}>"
 
 
-def _filtered(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that pass orders 2 and 3 too."""
-    light = sets.select("set_id", "second", "third")
-    return materialise(
-        pairs.join(light.toDF("a", "a2", "a3"), "a").join(light.toDF("b", "b2", "b3"), "b")
-        .where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"))
-
-
 def _sets_of(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, short: bool) -> DataFrame:
     """Sets of all members of ``pairs``, from one text each."""
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).dropDuplicates()
@@ -222,7 +214,7 @@ def _sets_of(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, shor
 
 
 def _reachable(pairs: DataFrame, sets: DataFrame, homes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that can reach the similarity judging by 16 bits of each token.
+    """The pairs that pass orders 2 and 3, and can reach the similarity judging by 16 bits of each token.
 
     Chance only adds to what two sets seem to share, so no link is lost. Pairs
     are dealt by the home of their first set, and large homes by blocks of sets:
@@ -235,21 +227,25 @@ def _reachable(pairs: DataFrame, sets: DataFrame, homes: DataFrame, rows: DataFr
     key = ["home", "i", "j"]
     dealt = materialise(placed.join(load, "home").select("home", block("a").alias("i"), block("b").alias("j"), "a", "b"))
     uses = dealt.select(*key, F.col("a").alias("set_id")).union(dealt.select(*key, "b")).dropDuplicates()
-    held = uses.join(_sets_of(pairs, sets, rows, size, short=True), "set_id").toDF("set_id", "home_", "i_", "j_", "n", "shingles")
+    short = _sets_of(pairs, sets, rows, size, short=True).join(sets.select("set_id", "second", "third"), "set_id")
+    held = uses.join(short, "set_id").toDF("set_id", "home_", "i_", "j_", "n", "shingles", "second", "third")
 
     def compare(left, right):
-        tokens = {i: (n, np.asarray(t, np.int16).view(np.uint16)) for i, n, t in zip(right.set_id, right.n, right.shingles, strict=True)}
-        ok, last, seen = np.zeros(len(left), bool), None, np.zeros(1 << 16, bool)
+        parts = [[np.asarray(t, np.int16).view(np.uint16) for t in right[c]] for c in ("second", "third", "shingles")]
+        place = {i: k for k, i in enumerate(right.set_id.tolist())}
+        n = right.n.tolist()
+        ok, last, seen = np.zeros(len(left), bool), None, np.zeros((3, 1 << 16), bool)
         order = np.argsort(left.a.to_numpy(), kind="stable")
         for k, a, b in zip(order.tolist(), left.a.to_numpy()[order].tolist(), left.b.to_numpy()[order].tolist(), strict=True):
-            na, ta = tokens[a]
-            nb, tb = tokens[b]
+            x, y = place[a], place[b]
             if a != last:
                 seen[:] = False
-                seen[ta] = True
+                for t in range(3):
+                    seen[t, parts[t][x]] = True
                 last = a
-            most = min(na, int(np.count_nonzero(seen[tb])))
-            ok[k] = 100 * most >= percent * (na + nb - most)
+            if seen[0, parts[0][y]].any() and seen[1, parts[1][y]].any():
+                most = min(n[x], int(np.count_nonzero(seen[2, parts[2][y]])))
+                ok[k] = 100 * most >= percent * (n[x] + n[y] - most)
         return left.loc[ok, ["a", "b"]]
 
     return materialise(dealt.groupBy(*key).cogroup(held.groupBy("home_", "i_", "j_")).applyInPandas(compare, "a long, b long"))
@@ -315,7 +311,7 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: s
     homes = materialise(bucket.groupBy("set_id").agg(F.min("centre").alias("home")))
 
     def links_among(candidates: DataFrame) -> DataFrame:
-        passed = _reachable(_filtered(candidates, sets), sets, homes, rows, size, percent)
+        passed = _reachable(candidates, sets, homes, rows, size, percent)
         return materialise(_verified(passed, sets, rows, size, percent))
 
     links = links_among(stars)
