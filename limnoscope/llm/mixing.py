@@ -139,8 +139,8 @@ def fit_mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | Non
     ``targets`` are weights of domains; without them a domain's weight is the
     square root of its expected tokens. The targets' tokens add up to ``budget``
     times the documents' tokens. It ends when no domain misses its target by more
-    than ``tolerance`` of all tokens, or after ``rounds`` steps (bounds on rates
-    can put targets out of reach).
+    than ``tolerance`` of all tokens, when a step moves none by more than a fifth
+    of that (bounds on rates can put targets out of reach), or after ``rounds`` steps.
     """
     classifier = fit_classifier(docs, domains, id_col, text_col)
     k = len(classifier.domains)
@@ -169,7 +169,9 @@ def fit_mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | Non
         if step % 4 == 3:
             rows = materialise(rows.withColumn("rate", rate))
             rate = F.col("rate")
-        reached = totals(rows, rate)
+        before, reached = reached, totals(rows, rate)
+        if max(abs(a - b) for a, b in zip(before, reached, strict=True)) <= tolerance * everything / 5:
+            break
     names = classifier.domains
     mix = Mix(classifier, steps, float(least), float(most), dict(zip(names, wanted, strict=True)), dict(zip(names, reached, strict=True)))
     return mix, rows.withColumn("rate", rate)
