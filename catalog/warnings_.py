@@ -9,12 +9,12 @@ from catalog.forecasts import MEMBER_SQL, members
 from catalog.registry import query
 from catalog.series import N_WINDOWS_SQL, TARGET, window_numbers_sql, windows
 from limnoscope.operators.events import events, merge_runs, runs
-from limnoscope.operators.labels import band_median, bloom_state
 from limnoscope.operators.warning import (
-    align_events, at_thresholds, daily_probability, episodes, evaluate_warnings, event_hits,
+    align_events, at_thresholds, daily_probability, episodes, event_hits,
     events_in_period, false_alarms, lookback_coverage, threshold_rule,
 )
-from limnoscope.operators.windows import assign_windows, first_days, rolling_anchors
+from limnoscope.operators.windows import first_days, rolling_anchors
+from limnoscope.plans.bloom import rule_warnings, warning_report
 
 THETAS = (0.2, 0.3, 0.4)
 LEAD = 30
@@ -30,7 +30,8 @@ alarm AS (SELECT f.site_id, f.window_id, f.origin AS day, f.member, avg((""" + "
 series AS (SELECT site_id, day, avg(p) AS p, count(*) AS n_windows FROM (
   SELECT site_id, window_id, day, avg(p) AS p FROM alarm GROUP BY ALL) GROUP BY ALL)"""
 
-WARN_SQL = PROB_SQL + "," + LOOSE_EVENTS + """,
+#: Hits, episodes and false alarms of ``series`` against the events ``ev``.
+EVALUATION_SQL = """,
 warn AS (SELECT site_id, theta, day, round(p, 9) > theta AS warn FROM series, (SELECT unnest([0.2::DOUBLE, 0.3::DOUBLE, 0.4::DOUBLE]) AS theta)),
 wpos AS (SELECT *, row_number() OVER (PARTITION BY site_id, theta ORDER BY day) - 1 AS pos FROM warn),
 inside AS (SELECT e.* FROM ev e JOIN (SELECT site_id, min(day) AS lo, max(day) AS hi FROM series GROUP BY site_id) USING (site_id) WHERE e."start" BETWEEN lo AND hi),
@@ -45,6 +46,8 @@ hits AS (SELECT a.*, lw IS NOT NULL AS hit, date_diff('day', e.d0, a."start") AS
 alarms AS (SELECT e.*, NOT EXISTS (SELECT 1 FROM inside i WHERE i.site_id = e.site_id AND e.d1 BETWEEN i."start" AND i."end")
     AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.site_id = e.site_id AND i."start" > e.d1 AND date_diff('day', e.d1, i."start") <= 30) AS false_alarm FROM eps e)"""
 
+WARN_SQL = PROB_SQL + "," + LOOSE_EVENTS + EVALUATION_SQL
+
 
 def alarm_rows(v):
     """Member probabilities per (station, window, day), for days of the window's test part."""
@@ -94,18 +97,21 @@ def _(v):
     return out.withColumn("false_alarm", F.col("false_alarm").cast("int"))
 
 
-@query("warning_report", "site_id:s theta:d n_days:i n_events:i n_hit:i recall:d lead_median:d lead_mean:d lead_min:i lead_max:i "
-       "n_episodes:i false_episodes:i false_days:i false_day_rate:d",
-       """SELECT b.site_id, b.theta, n_days, coalesce(n_events, 0) AS n_events, coalesce(n_hit, 0) AS n_hit, n_hit / n_events AS recall, lead_median, lead_mean,
+_REPORT = ("site_id:s theta:d n_days:i n_events:i n_hit:i recall:d lead_median:d lead_mean:d lead_min:i lead_max:i "
+           "n_episodes:i false_episodes:i false_days:i false_day_rate:d",
+           """SELECT b.site_id, b.theta, n_days, coalesce(n_events, 0) AS n_events, coalesce(n_hit, 0) AS n_hit, n_hit / n_events AS recall, lead_median, lead_mean,
             lead_min, lead_max, coalesce(n_episodes, 0) AS n_episodes, coalesce(fe, 0) AS false_episodes, coalesce(fd, 0) AS false_days,
             coalesce(fd, 0) / n_days AS false_day_rate
           FROM (SELECT site_id, theta, count(*) AS n_days FROM warn GROUP BY ALL) b
           LEFT JOIN (SELECT site_id, theta, count(*) AS n_events, count(*) FILTER (WHERE hit) AS n_hit, median(lead_days) AS lead_median, avg(lead_days) AS lead_mean,
             min(lead_days) AS lead_min, max(lead_days) AS lead_max FROM hits GROUP BY ALL) h USING (site_id, theta)
           LEFT JOIN (SELECT site_id, theta, count(*) AS n_episodes, count(*) FILTER (WHERE false_alarm) AS fe, coalesce(sum(days) FILTER (WHERE false_alarm), 0) AS fd
-            FROM alarms GROUP BY ALL) a USING (site_id, theta)""", ctes=WARN_SQL)
+            FROM alarms GROUP BY ALL) a USING (site_id, theta)""")
+
+
+@query("warning_report", *_REPORT, ctes=WARN_SQL)
 def _(v):
-    return evaluate_warnings(series(v), loose_events(v), THETAS, LEAD)
+    return warning_report(series(v), loose_events(v), THETAS, LEAD)
 
 
 _RULE = f"""rule_days AS (SELECT site_id, min(day) AS d0, {N_WINDOWS_SQL} FROM band_loose GROUP BY site_id),
@@ -122,12 +128,19 @@ rule AS (SELECT site_id, day, max(CASE WHEN band > l THEN 1 ELSE 0 END) AS w FRO
           JOIN (SELECT site_id, count(*) AS n_episodes, sum(length) AS n_warn FROM rr GROUP BY site_id) USING (site_id)""",
        ctes=LOOSE_EVENTS + "," + _RULE + "," + runs_sql("rr", "rule", "w = 1"))
 def _(v):
-    rule = threshold_rule(assign_windows(band_median(v.cells)))
+    rule = rule_warnings(v.cells)
     r = runs(rule, F.col("warn") == 1).groupBy("site_id").agg(
         F.count(F.lit(1)).alias("n_episodes"), F.sum("length").alias("n_warn"))
     return rule.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_days")).join(r, "site_id")
 
 
+@query("baseline_rule_evaluation", *_REPORT, ctes=LOOSE_EVENTS + "," + _RULE + """,
+series AS (SELECT site_id, day, CAST(w AS DOUBLE) AS p FROM rule)""" + EVALUATION_SQL)
+def _(v):
+    rule = rule_warnings(v.cells).withColumn("p", F.col("warn").cast("double"))
+    return warning_report(rule, loose_events(v), THETAS, LEAD)
+
+
 @query("event_alignment", "site_id:s event_id:i start:s end:s nearest_id:i offset_days:i shared_days:i",
        """SELECT r.site_id, r.event_id, r."start", r."end", d.event_id AS nearest_id, abs(date_diff('day', r."start", d."start")) AS offset_days,
             greatest(0, date_diff('day', greatest(r."start", d."start"), least(r."end", d."end")) + 1) AS shared_days
