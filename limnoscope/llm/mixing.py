@@ -85,6 +85,12 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, id_col: str = "doc_id",
     return Classifier([r._domain for r in sums], bias, weights)
 
 
+def _step(rate: Column, miss: list[float], prefix: str, least: float, most: float) -> Column:
+    """One projected step of a rate, from posterior columns named ``prefix`` and a number."""
+    move = sum((F.lit(m) * F.col(f"{prefix}{i}") for i, m in enumerate(miss)), F.lit(0.0))
+    return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), rate - move))
+
+
 @dataclass
 class Mix:
     """A fitted mix: the classifier, the misses of each step, bounds of a rate, targets and totals reached."""
@@ -96,21 +102,20 @@ class Mix:
     targets: dict[str, float]
     reached: dict[str, float]
 
-    def _rate(self, p: Column) -> Column:
-        if not self.steps:
-            return F.least(F.lit(self.most), F.greatest(F.lit(self.least), F.lit(1.0)))
-        steps = F.array(*[F.array(*[F.lit(v) for v in s]) for s in self.steps])
-        return F.aggregate(
-            steps, F.lit(1.0), lambda r, s: F.least(F.lit(self.most), F.greatest(
-                F.lit(self.least), r - F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v))))
-
     def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with ``_rate``, the fitted rate of each row."""
+        """``docs`` with ``_rate``, the fitted rate of each row.
+
+        Posteriors are columns that every step refers to, so texts are read once for all steps.
+        """
         x = features(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
         names = [f"_x{i}" for i in range(len(x))]
         rows = docs.select("*", *[c.alias(n) for c, n in zip(x, names, strict=True)])
-        rows = rows.select(*docs.columns, F.array(*self.classifier.posteriors([F.col(n) for n in names])).alias("_p"))
-        return rows.select(*docs.columns, self._rate(F.col("_p")).alias("_rate"))
+        posteriors = self.classifier.posteriors([F.col(n) for n in names])
+        rows = rows.select(*docs.columns, *[c.alias(f"_p{k}") for k, c in enumerate(posteriors)])
+        rate = F.lit(min(self.most, max(self.least, 1.0)))
+        for miss in self.steps:
+            rate = _step(rate, miss, "_p", self.least, self.most)
+        return rows.select(*docs.columns, rate.alias("_rate"))
 
     def repeat(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``docs`` with every row as often as its rate says; the fraction is decided by a hash of id and text."""
@@ -165,7 +170,7 @@ def fit_mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | Non
         miss = [(a - b) / max(t, 1e-9 * everything) for a, b, t in zip(reached, wanted, own, strict=True)]
         miss = [max(-1e6, min(1e6, m)) for m in miss]
         steps.append(miss)
-        rate = F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), rate - sum((F.lit(m) * F.col(f"p{i}") for i, m in enumerate(miss)), F.lit(0.0))))
+        rate = _step(rate, miss, "p", least, most)
         if step % 4 == 3:
             rows = materialise(rows.withColumn("rate", rate))
             rate = F.col("rate")

@@ -274,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, id_col
         chosen = part if chosen is None else chosen.union(part)
     # at most 2 * class_rows short rows
     sample = materialise(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-                         .join(F.broadcast(chosen), "_id").select("text", "toxic"))
+                         .join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("text", "toxic"))
     sentences = materialise(
         sample.mapInPandas(_sentences, "digest long, toxic int, words array<string>")
         .groupBy("digest").agg(F.min("toxic").alias("toxic"), F.first("words").alias("words")))
