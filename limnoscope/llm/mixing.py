@@ -6,12 +6,13 @@ for each feature) is fitted from one aggregation over them and gives every
 document, labelled or not, posteriors p of all domains. The rates r of documents
 are then fitted so that the expected tokens of each domain, the sum of r * n * p,
 meet the targets: projected gradient steps on the squared misses, each divided by
-the domain's own tokens. A step is one aggregation to one number per domain,
-followed by ``r <- min(most, max(least, r - sum of p * miss))``, which needs no
-exchange. Nothing but those numbers reaches the driver.
+the domain's own tokens. A step is one aggregation to one number per domain.
+Steps are summed before they are projected (the lazy form of the method):
+``r = min(most, max(least, 1 - sum of p * move))``, which needs no exchange and
+no state per document. Nothing but those numbers reaches the driver.
 
-The steps are the same for every document, so a fitted mix is a list of misses
-and can be applied to any table as a column expression.
+The moves are the same for every document, so a fitted mix is one number per
+domain and can be applied to any table as a column expression.
 
 Cases: null and empty texts have no tokens and average features; domains that are
 null, and labels of unknown or null ids, are left out; a document with several
@@ -85,37 +86,31 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, id_col: str = "doc_id",
     return Classifier([r._domain for r in sums], bias, weights)
 
 
-def _step(rate: Column, miss: list[float], prefix: str, least: float, most: float) -> Column:
-    """One projected step of a rate, from posterior columns named ``prefix`` and a number."""
-    move = sum((F.lit(m) * F.col(f"{prefix}{i}") for i, m in enumerate(miss)), F.lit(0.0))
-    return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), rate - move))
+def _rate(moves: list[float], prefix: str, least: float, most: float) -> Column:
+    """The rate 1, moved against the misses and projected, from posterior columns named ``prefix`` and a number."""
+    move = sum((F.lit(m) * F.col(f"{prefix}{i}") for i, m in enumerate(moves)), F.lit(0.0))
+    return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), F.lit(1.0) - move))
 
 
 @dataclass
 class Mix:
-    """A fitted mix: the classifier, the misses of each step, bounds of a rate, targets and totals reached."""
+    """A fitted mix: the classifier, the summed moves along each posterior, bounds of a rate, targets and totals reached."""
 
     classifier: Classifier
-    steps: list[list[float]]
+    moves: list[float]
     least: float
     most: float
     targets: dict[str, float]
     reached: dict[str, float]
 
     def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with ``_rate``, the fitted rate of each row.
-
-        Posteriors are columns that every step refers to, so texts are read once for all steps.
-        """
+        """``docs`` with ``_rate``, the fitted rate of each row."""
         x = features(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
         names = [f"_x{i}" for i in range(len(x))]
         rows = docs.select("*", *[c.alias(n) for c, n in zip(x, names, strict=True)])
         posteriors = self.classifier.posteriors([F.col(n) for n in names])
         rows = rows.select(*docs.columns, *[c.alias(f"_p{k}") for k, c in enumerate(posteriors)])
-        rate = F.lit(min(self.most, max(self.least, 1.0)))
-        for miss in self.steps:
-            rate = _step(rate, miss, "_p", self.least, self.most)
-        return rows.select(*docs.columns, rate.alias("_rate"))
+        return rows.select(*docs.columns, _rate(self.moves, "_p", self.least, self.most).alias("_rate"))
 
     def repeat(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``docs`` with every row as often as its rate says; the fraction is decided by a hash of id and text."""
@@ -151,32 +146,26 @@ def fit_mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | Non
     k = len(classifier.domains)
     if targets is not None and set(targets) - set(classifier.domains):
         raise ValueError(f"no such domains: {sorted(set(targets) - set(classifier.domains))}")
-    start = min(most, max(least, 1.0))
-    rows = materialise(measured(docs, classifier, id_col, text_col).withColumn("rate", F.lit(start)))
+    rows = materialise(measured(docs, classifier, id_col, text_col))
 
-    def totals(frame: DataFrame, rate: Column) -> list[float]:
-        r = frame.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
+    def totals(rate: Column) -> list[float]:
+        r = rows.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
         return [float(v) for v in r]
 
-    own = totals(rows, F.lit(1.0))
+    own = totals(F.lit(1.0))
     everything = max(sum(own), 1e-9)
     weights = [math.sqrt(t) for t in own] if targets is None else [float(targets.get(d, 0.0)) for d in classifier.domains]
     wanted = [budget * everything * w / max(sum(weights), 1e-9) for w in weights]
-    steps: list[list[float]] = []
-    rate, reached = F.col("rate"), totals(rows, F.lit(start))
-    for step in range(rounds):
+    moves = [0.0] * k
+    reached = totals(_rate(moves, "p", least, most))
+    for _ in range(rounds):
         if max(abs(a - b) for a, b in zip(reached, wanted, strict=True)) <= tolerance * everything:
             break
         miss = [(a - b) / max(t, 1e-9 * everything) for a, b, t in zip(reached, wanted, own, strict=True)]
-        miss = [max(-1e6, min(1e6, m)) for m in miss]
-        steps.append(miss)
-        rate = _step(rate, miss, "p", least, most)
-        if step % 4 == 3:
-            rows = materialise(rows.withColumn("rate", rate))
-            rate = F.col("rate")
-        before, reached = reached, totals(rows, rate)
+        moves = [v + max(-1e6, min(1e6, m)) for v, m in zip(moves, miss, strict=True)]
+        before, reached = reached, totals(_rate(moves, "p", least, most))
         if max(abs(a - b) for a, b in zip(before, reached, strict=True)) <= tolerance * everything / 5:
             break
     names = classifier.domains
-    mix = Mix(classifier, steps, float(least), float(most), dict(zip(names, wanted, strict=True)), dict(zip(names, reached, strict=True)))
-    return mix, rows.withColumn("rate", rate)
+    mix = Mix(classifier, moves, float(least), float(most), dict(zip(names, wanted, strict=True)), dict(zip(names, reached, strict=True)))
+    return mix, rows.withColumn("rate", _rate(moves, "p", least, most))
