@@ -213,12 +213,11 @@ def _sets_of(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, shor
             .mapInArrow(*_members(size, _id_filter(ids), short)).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]))
 
 
-def _reachable(pairs: DataFrame, sets: DataFrame, homes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that pass orders 2 and 3, and can reach the similarity judging by 16 bits of each token.
+def _in_blocks(pairs: DataFrame, homes: DataFrame, arrays: DataFrame, passes) -> DataFrame:
+    """The pairs (a, b) for which ``passes(state, position of a, position of b)`` holds.
 
-    Chance only adds to what two sets seem to share, so no link is lost. Pairs
-    are dealt by the home of their first set, and large homes by blocks of sets:
-    a set travels once per block, not once per pair.
+    Pairs are dealt by the home of their first set, and large homes by blocks of
+    sets: a set's arrays travel once per block, not once per pair.
     """
     placed = pairs.join(homes.toDF("a", "home"), "a")
     load = (placed.select("home", F.col("a").alias("set_id")).union(placed.select("home", "b")).dropDuplicates()
@@ -227,30 +226,46 @@ def _reachable(pairs: DataFrame, sets: DataFrame, homes: DataFrame, rows: DataFr
     key = ["home", "i", "j"]
     dealt = materialise(placed.join(load, "home").select("home", block("a").alias("i"), block("b").alias("j"), "a", "b"))
     uses = dealt.select(*key, F.col("a").alias("set_id")).union(dealt.select(*key, "b")).dropDuplicates()
-    short = _sets_of(pairs, sets, rows, size, short=True).join(sets.select("set_id", "second", "third"), "set_id")
-    held = uses.join(short, "set_id").toDF("set_id", "home_", "i_", "j_", "n", "shingles", "second", "third")
+    columns = arrays.columns[2:]
+    held = uses.join(arrays, "set_id").toDF("set_id", "home_", "i_", "j_", "n", *columns)
 
     def compare(left, right):
-        parts = [[np.asarray(t, np.int16).view(np.uint16) for t in right[c]] for c in ("second", "third", "shingles")]
+        parts = [[np.asarray(t, np.int16).view(np.uint16) for t in right[c]] for c in columns]
         place = {i: k for k, i in enumerate(right.set_id.tolist())}
         n = right.n.tolist()
-        ok, last, seen = np.zeros(len(left), bool), None, np.zeros((3, 1 << 16), bool)
+        ok, last, seen = np.zeros(len(left), bool), None, np.zeros((len(columns), 1 << 16), bool)
         order = np.argsort(left.a.to_numpy(), kind="stable")
         for k, a, b in zip(order.tolist(), left.a.to_numpy()[order].tolist(), left.b.to_numpy()[order].tolist(), strict=True):
             x, y = place[a], place[b]
             if a != last:
-                seen[:] = False
-                for t in range(3):
-                    seen[t, parts[t][x]] = True
+                for t, part in enumerate(parts):
+                    if last is not None:
+                        seen[t, part[place[last]]] = False
+                    seen[t, part[x]] = True
                 last = a
-            if seen[0, parts[0][y]].any() and seen[1, parts[1][y]].any():
-                most = min(n[x], int(np.count_nonzero(seen[2, parts[2][y]])))
-                ok[k] = 100 * most >= percent * (n[x] + n[y] - most)
+            ok[k] = passes(seen, [part[y] for part in parts], n[x], n[y])
         return left.loc[ok, ["a", "b"]]
 
     return materialise(dealt.groupBy(*key).cogroup(held.groupBy("home_", "i_", "j_")).applyInPandas(compare, "a long, b long"))
 
 
+def _reachable(pairs: DataFrame, sets: DataFrame, homes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that pass orders 2 and 3, and then can reach the similarity judging by 16 bits of each token.
+
+    Chance only adds to what two sets seem to share, so no link is lost.
+    """
+    def share_prefixes(seen, other, n_a, n_b):
+        return bool(seen[0, other[0]].any() and seen[1, other[1]].any())
+
+    def can_reach(seen, other, n_a, n_b):
+        most = min(n_a, int(np.count_nonzero(seen[0, other[0]])))
+        return 100 * most >= percent * (n_a + n_b - most)
+
+    passed = _in_blocks(pairs, homes, sets.select("set_id", "n", "second", "third"), share_prefixes)
+    short = _sets_of(passed, sets, rows, size, short=True).select("set_id", "n", "shingles")
+    return _in_blocks(passed, homes, short, can_reach)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
     whole = _sets_of(pairs, sets, rows, size, short=False)
