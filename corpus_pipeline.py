@@ -41,7 +41,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated towards evener shares of quality domains; no document is left out, none comes more than four times."""
     domains = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("domain"))
-    mix, _ = mixing.fit_mix(docs, domains, budget=1.25, least=1.0, most=4.0)
+    mix, _ = mixing.fit_mix(docs, domains, budget=1.25, least=1.0, most=4.0, evenness=0.8, rounds=16)
     return mix.repeat(docs)
 
 

@@ -132,12 +132,12 @@ def measured(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", te
 
 
 def fit_mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0,
-            least: float = 0.0, most: float = 16.0, rounds: int = 40, tolerance: float = 1e-4, id_col: str = "doc_id",
+            least: float = 0.0, most: float = 16.0, evenness: float = 0.5, rounds: int = 40, tolerance: float = 1e-4, id_col: str = "doc_id",
             text_col: str = "text") -> tuple[Mix, DataFrame]:
     """The mix, and one row per document with n_tokens, posteriors and ``rate``.
 
-    ``targets`` are weights of domains; without them a domain's weight is the
-    square root of its expected tokens. The targets' tokens add up to ``budget``
+    ``targets`` are weights of domains; without them a domain's weight is its
+    expected tokens to the power ``evenness``. The targets' tokens add up to ``budget``
     times the documents' tokens. It ends when no domain misses its target by more
     than ``tolerance`` of all tokens, when a step moves none by more than a fifth
     of that (bounds on rates can put targets out of reach), or after ``rounds`` steps.
@@ -154,7 +154,7 @@ def fit_mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | Non
 
     own = totals(F.lit(1.0))
     everything = max(sum(own), 1e-9)
-    weights = [math.sqrt(t) for t in own] if targets is None else [float(targets.get(d, 0.0)) for d in classifier.domains]
+    weights = [t ** evenness for t in own] if targets is None else [float(targets.get(d, 0.0)) for d in classifier.domains]
     wanted = [budget * everything * w / max(sum(weights), 1e-9) for w in weights]
     moves = [0.0] * k
     reached = totals(_rate(moves, "p", least, most))

@@ -236,7 +236,7 @@ def _fit_machine(rows: list[tuple[int, list[str], float]], marks: list[str], tox
     whiten = turn[:, good] / np.sqrt(spread[good])
     words = sorted({w for _, ws, _ in rows for w in ws})
     place = {w: i for i, w in enumerate(words)}
-    phi = np.zeros((len(words), whiten.shape[1]))
+    phi = np.zeros((len(words), whiten.shape[1]), np.float32)  # the largest array on the driver
     for i, w in enumerate(words):
         s = subsequences(w.encode())
         k, v = np.fromiter(s, np.int64, len(s)), np.fromiter(s.values(), float, len(s))
