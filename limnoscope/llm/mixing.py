@@ -86,7 +86,7 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, id_col: str = "doc_id",
     return Classifier([r._domain for r in sums], bias, weights)
 
 
-def _rate(moves: list[float], prefix: str, least: float, most: float) -> Column:
+def _rate(moves: list[float] | list[Column], prefix: str, least: float, most: float) -> Column:
     """The rate 1, moved against the misses and projected, from posterior columns named ``prefix`` and a number."""
     move = sum((F.lit(m) * F.col(f"{prefix}{i}") for i, m in enumerate(moves)), F.lit(0.0))
     return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), F.lit(1.0) - move))
@@ -117,7 +117,8 @@ class Mix:
         chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
         times = F.floor(F.col("_rate") + chance).cast("int")
         return (self.apply(docs, text_col).withColumn("_times", F.array_repeat(F.lit(0), times))
-                .select(*docs.columns, F.explode("_times").alias("_time")).drop("_time"))
+                # explode would first filter on the whole rate, written out over the features: more code than Java compiles
+                .select(*docs.columns, F.explode_outer("_times").alias("_time")).where("_time is not null").drop("_time"))
 
 
 def measured(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,12 +133,12 @@ def measured(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", te
 
 
 def fit_mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0,
-            least: float = 0.0, most: float = 16.0, evenness: float = 0.5, rounds: int = 40, tolerance: float = 1e-4, id_col: str = "doc_id",
+            least: float = 0.0, most: float = 16.0, rounds: int = 40, tolerance: float = 1e-4, id_col: str = "doc_id",
             text_col: str = "text") -> tuple[Mix, DataFrame]:
     """The mix, and one row per document with n_tokens, posteriors and ``rate``.
 
-    ``targets`` are weights of domains; without them a domain's weight is its
-    expected tokens to the power ``evenness``. The targets' tokens add up to ``budget``
+    ``targets`` are weights of domains; without them a domain's weight is the
+    square root of its expected tokens. The targets' tokens add up to ``budget``
     times the documents' tokens. It ends when no domain misses its target by more
     than ``tolerance`` of all tokens, when a step moves none by more than a fifth
     of that (bounds on rates can put targets out of reach), or after ``rounds`` steps.
@@ -148,22 +149,28 @@ def fit_mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | Non
         raise ValueError(f"no such domains: {sorted(set(targets) - set(classifier.domains))}")
     rows = materialise(measured(docs, classifier, id_col, text_col))
 
-    def totals(rate: Column) -> list[float]:
-        r = rows.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
+    def totals(moves: list[float] | None) -> list[float]:
+        rate, given = F.lit(1.0), rows
+        if moves is not None:
+            # moves come as a row, not as literals: all steps share one compiled plan, and the driver's memory does not grow with them
+            names = [f"_m{i}" for i in range(k)]
+            row = docs.sparkSession.sql(f"VALUES ({', '.join(f'{m!r}D' for m in moves)})").toDF(*names)
+            rate, given = _rate([F.col(n) for n in names], "p", least, most), rows.crossJoin(F.broadcast(row))
+        r = given.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
         return [float(v) for v in r]
 
-    own = totals(F.lit(1.0))
+    own = totals(None)
     everything = max(sum(own), 1e-9)
-    weights = [t ** evenness for t in own] if targets is None else [float(targets.get(d, 0.0)) for d in classifier.domains]
+    weights = [math.sqrt(t) for t in own] if targets is None else [float(targets.get(d, 0.0)) for d in classifier.domains]
     wanted = [budget * everything * w / max(sum(weights), 1e-9) for w in weights]
     moves = [0.0] * k
-    reached = totals(_rate(moves, "p", least, most))
+    reached = totals(moves)
     for _ in range(rounds):
         if max(abs(a - b) for a, b in zip(reached, wanted, strict=True)) <= tolerance * everything:
             break
         miss = [(a - b) / max(t, 1e-9 * everything) for a, b, t in zip(reached, wanted, own, strict=True)]
         moves = [v + max(-1e6, min(1e6, m)) for v, m in zip(moves, miss, strict=True)]
-        before, reached = reached, totals(_rate(moves, "p", least, most))
+        before, reached = reached, totals(moves)
         if max(abs(a - b) for a, b in zip(before, reached, strict=True)) <= tolerance * everything / 5:
             break
     names = classifier.domains

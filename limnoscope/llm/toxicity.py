@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limnoscope.llm.common import LOWER, WORD_BYTES, materialise, prefix_hash, signed, span_hash, text_slices, word_spans
+from limnoscope.llm.common import LOWER, WORD_BYTES, materialise, prefix_hash, release_memory, signed, span_hash, text_slices, word_spans
 
 LENGTH, SPAN, DECAY = 4, 7, 0.6
 #: Offsets of a subsequence's later characters, and its weight.
@@ -303,6 +303,8 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, id_col
         rows += [(r.toxic, r.words, r.best) for r in part.select("toxic", "words", "best").collect()]
     marks = [r.word for r in telling[:TOXIC_LANDMARKS]] + clean
     table, bias = _fit_machine(rows, marks, set(strong))
+    del rows
+    release_memory()
 
     def featured(batches):
         for batch in batches:
@@ -313,4 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, id_col
     got = sample.mapInArrow(featured, "x array<double>, toxic int").collect()
     x, y = np.array([r.x for r in got]), np.array([r.toxic for r in got], float)
     real = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    return ToxicityModel(share, table, bias, _logistic(x, y, real))
+    curve = _logistic(x, y, real)
+    del got, x
+    release_memory()
+    return ToxicityModel(share, table, bias, curve)

@@ -97,6 +97,27 @@ def test_mixing_meets_targets_within_bounds(spark, docs, no_docs, corpus):
     assert rates.count() == 0 and empty.repeat(no_docs).count() == 0
 
 
+def test_pipeline_mix_asks_for_square_root_shares(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(3)
+    rows = [(i, ("x, y | # " if i % 8 == 0 else "") * 12 + prose(rng, 60)) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(i, int(i % 8 != 0)) for i in range(0, 400, 2)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, fit = [], mixing.fit_mix
+    monkeypatch.setattr(mixing, "fit_mix", lambda *a, **b: seen.append(fit(*a, **b)) or seen[-1])
+    pipeline.mix_domains(spark, table, str(tmp_path))
+    (mix, rates), = seen
+    got = rates.collect()
+    total = sum(r.n_tokens for r in got)
+    root = [sum(r.n_tokens * r[f"p{k}"] for r in got) ** 0.5 for k in range(2)]
+    assert list(mix.targets.values()) == pytest.approx([1.25 * total * r / sum(root) for r in root])
+    # reached against wanted: met, or all that the bound on rates allows
+    assert list(mix.reached.values()) == pytest.approx([sum(r.rate * r.n_tokens * r[f"p{k}"] for r in got) for k in range(2)])
+    assert list(mix.reached.values()) == pytest.approx(list(mix.targets.values()), abs=0.01 * total)
+    assert all(1 <= r.rate <= 4 for r in got)
+
+
 def test_mixing_uses_no_python_in_its_plans(docs, spark):
     domains = spark.createDataFrame([(i, str(i % 2)) for i in range(40)], "doc_id long, domain string")
     mix, rates = mixing.fit_mix(docs, domains)
@@ -105,6 +126,13 @@ def test_mixing_uses_no_python_in_its_plans(docs, spark):
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_repeat_computes_features_once(docs, spark):
+    domains = spark.createDataFrame([(i, str(i % 2)) for i in range(40)], "doc_id long, domain string")
+    mix, _ = mixing.fit_mix(docs, domains)
+    plan = mix.repeat(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") <= 2 * len(mixing.COUNTED)
+
+
 def reference_links(vectors, threshold):
     ok = [i for i, (_, v) in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and np.abs(v).max() > 0]
     links = []
