@@ -131,8 +131,9 @@ def _cleaned(text_at: int):
 
 def remove_chunks(docs: DataFrame, least: int = LEAST, average: int = AVERAGE, most: int = MOST, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """``docs`` without repeated chunks; a character cut in two goes as a whole. ``docs`` must be a stored table."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    """``docs`` without repeated chunks; a character cut in two goes as a whole."""
+    # stored, so that both uses see the same numbers
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = repeated_chunks(numbered, least, average, most, id_col, text_col, "_row").where("n_removed > 0")
     joined = numbered.join(found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "_row", "left")
     return joined.select(*docs.columns, "_spans").mapInArrow(_cleaned(docs.columns.index(text_col)), docs.schema)

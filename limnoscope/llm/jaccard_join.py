@@ -364,8 +364,14 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: s
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, and every row without shingles; columns stay.
 
-    Rows are told apart by their place, so ``docs`` must be a stored table, whose rows come back in the same order.
+    Rows are told apart by a hash of id and text, which every scan computes alike; of rows equal in both any one stays.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = jaccard_classes(numbered, size, percent, id_col, text_col, "_row").where("kept").select(F.col("row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    numbered = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    kept = materialise(
+        jaccard_classes(numbered, size, percent, id_col, text_col, "_row").where("kept").groupBy(F.col("row").alias("_row"))
+        .agg((F.max("n_shingles") > 0).alias("filled"), F.count("*").alias("n")))
+    several = kept.where("filled and n > 1").select("_row")
+    once = numbered.join(kept.where("not filled or n = 1").select("_row"), "_row", "left_semi")
+    if not several.isEmpty():
+        once = once.union(numbered.join(several, "_row", "left_semi").dropDuplicates(["_row"]))
+    return once.select(*docs.columns)

@@ -261,15 +261,15 @@ def fit(texts: DataFrame) -> tuple[LanguageModel, DataFrame]:
     return model, counts
 
 
-def _score(model: LanguageModel):
-    """(row, text) to sums over known frequent tokens, class factors, and the tokens whose counts are to be joined."""
+def _score(model: LanguageModel, id_type: str):
+    """(row, id, text) to sums over known frequent tokens, class factors, and the tokens whose counts are to be joined."""
     base = np.log10(model.total + ALPHA * (model.distinct + 1))
     own = np.log10(np.maximum(model.class_total + ALPHA * (model.class_distinct + 1), ALPHA))
     lift = np.log10(model.frequent_count + ALPHA)
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(2)):
                 ids, first = tokens(data, offsets)
                 n, rows = np.diff(first), np.repeat(np.arange(hi - lo), np.diff(first))
                 unique, back = np.unique(ids, return_inverse=True)
@@ -287,30 +287,29 @@ def _score(model: LanguageModel):
                 add = lambda x: np.bincount(rows, weights=x, minlength=hi - lo)
                 rare = np.flatnonzero(~hit)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(add(hit).astype(np.int64)),
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(add(hit).astype(np.int64)),
                      pa.array(add(value) - n * base), pa.array(add(factor + value - own[classes])),
                      list_array(signed(ids[rare]), np.bincount(rows[rare], minlength=hi - lo))],
-                    names=["row", "n_tokens", "n_known", "base_score", "score", "rare"])
+                    names=["row", "id", "n_tokens", "n_known", "base_score", "score", "rare"])
 
-    return run, "row long, n_tokens long, n_known long, base_score double, score double, rare array<long>"
+    return run, f"row long, id {id_type}, n_tokens long, n_known long, base_score double, score double, rare array<long>"
 
 
 def score(docs: DataFrame, model: LanguageModel, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score and score (log10 probability).
 
-    Rows are told apart by their place, so ``docs`` must be a stored table.
+    Rows are numbered once, with their ids; only the stored numbers are used.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    scored = materialise(numbered.mapInArrow(*_score(model)))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    scored = materialise(numbered.mapInArrow(*_score(model, docs.schema[id_col].dataType.simpleString())))
     # only tokens that are not in the given table move
     rare = scored.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count("*").alias("k"))
     joined = (rare.join(counts, "token", "left")
               .groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("lift"),
                                   F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known")))
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col))
     zero = F.lit(0)
-    return (scored.drop("rare").join(joined, "row", "left").join(ids, "row")
-            .select(id_col, "n_tokens", (F.col("n_known") + F.coalesce("known", zero)).alias("n_known"),
+    return (scored.drop("rare").join(joined, "row", "left")
+            .select(F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("known", zero)).alias("n_known"),
                     F.lit(model.total).cast("long").alias("train_tokens"),
                     (F.col("base_score") + F.coalesce("lift", zero)).alias("base_score"),
                     (F.col("score") + F.coalesce("lift", zero)).alias("score")))

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from limnoscope.llm import chunk_dedup, common, jaccard_join, language_model, packing, repetition, suffix_dedup, token_counts
@@ -327,3 +328,32 @@ def test_transform_finds_repeats_across_texts():
         count = collections.Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
         for t, found in zip(texts, suffix_dedup.repeated_windows(texts, windows, length)):
             assert found.tolist() == [count[t[i:i + length]] > 1 for i in range(len(t) - length + 1)]
+
+
+def test_rows_keep_their_ids_when_a_later_scan_is_split_anew(spark, docs):
+    """Splits of a scan follow the cores of the moment; here a setting changes them after the operator was planned."""
+    setting = "spark.sql.files.minPartitionNum"
+    texts = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    model, counts = language_model.fit(texts.select("text"))
+    places = lambda: {r.doc_id: r.row for r in docs.select("doc_id", F.monotonically_increasing_id().alias("row")).collect()}
+    before = places()
+    want = sorted(((r.doc_id, r.n_tokens, round(r.score, 6)) for r in language_model.score(docs, model, counts).collect()), key=str)
+    kept_want = sorted((r.doc_id for r in jaccard_join.keep_one(docs).collect()), key=str)
+    scored, kept, cleaned = language_model.score(docs, model, counts), jaccard_join.keep_one(docs), chunk_dedup.remove_chunks(docs)
+    spark.conf.set(setting, "1")
+    try:
+        assert places() != before
+        # read anew, as a later stage does
+        assert sorted(((r.doc_id, r.n_tokens, round(r.score, 6)) for r in scored.select("*").collect()), key=str) == want
+        assert sorted((r.doc_id for r in kept.select("*").collect()), key=str) == kept_want
+        assert cleaned.select("*").count() == docs.count()
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_keep_one_leaves_one_of_rows_equal_in_id_and_text(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (3, None, "d"), (3, None, "e"), (None, text, "f"), (4, "other words stand here alone", "g")]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 3, 4]
+    assert {r.lang for r in got} - {"a", "b"} == {"d", "e", "g"}
