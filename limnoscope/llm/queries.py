@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnoscope.llm import (
-    chunk_dedup, embedding_dedup, jaccard_join, language_model, mixing, packing, repetition, suffix_dedup, token_counts, toxicity,
+    chunk_dedup, embedding_dedup, hard_negatives, jaccard_join, language_model, mixing, packing, pii, repetition, suffix_dedup,
+    token_counts, toxicity,
 )
 from limnoscope.llm.common import fold, read_table
 
@@ -82,6 +83,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding; every seventh one counts as of the next label."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: counts and digest of the base spans, and all spans."""
+    found = pii.personal_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[c.alias(name) for name, c in pii.digest_columns().items()])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_model": op2_language_model,
@@ -93,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_pii": op13_pii,
 }
 
 ORACLES: dict[str, str] = {
