@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnoscope.llm import (
-    chunk_dedup, embedding_dedup, hard_negatives, jaccard_join, language_model, mixing, packing, pii, repetition, suffix_dedup,
-    token_counts, toxicity,
+    chunk_dedup, conversation_repair, embedding_dedup, hard_negatives, jaccard_join, language_model, mixing, packing, pii,
+    repetition, suffix_dedup, token_counts, toxicity,
 )
 from limnoscope.llm.common import fold, read_table
 
@@ -83,6 +83,29 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns with faults of known kinds, chosen by a hash of conversation and turn; nulls are one space.
+
+    Dropped turns stay as rows with ``present`` false, so that their conversation is not forgotten.
+    """
+    def shown(name):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    code = F.crc32(F.concat_ws(":", shown("conv_id"), shown("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"), code.alias("code"))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("code") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        (F.col("code") != 0).alias("present"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("code") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    rows = damaged(read_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(rows, present=F.col("present"))[0]
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth embedding; every seventh one counts as of the next label."""
     vectors = read_table(spark, sf_dir, "embeddings")
@@ -107,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_pii": op13_pii,
 }
