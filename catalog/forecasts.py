@@ -18,10 +18,11 @@ from limnoscope.operators.conformal import (
 )
 from limnoscope.operators.features import window_stats
 from limnoscope.operators.forecast import (
-    autoregression, boosted_peak, boosted_trees, change_quantiles, climatology, feature_ablation,
-    last_window, level_classifier, month_quantiles, persistence, ridge_forecast, state_probability,
+    after_train, autoregression, boosted_peak, boosted_quantiles, boosted_trees, change_quantiles, climatology,
+    feature_ablation, level_classifier, month_quantiles, persistence, ridge_forecast,
 )
 from limnoscope.operators.labels import class_weights, warning_levels
+from limnoscope.operators.logistic import state_probability
 from limnoscope.operators.metrics import (
     apply_isotonic, best_threshold, calibration_table, class_recall, class_summary, day_blocks,
     direction_rates, errors, evaluation_units, expected_calibration_error, fit_isotonic,
@@ -32,6 +33,7 @@ from limnoscope.operators.ranks import roc_auc
 from limnoscope.operators.windows import assign_windows, by_horizon, supervised_windows
 from limnoscope.plans.rolling import member_forecasts
 from limnoscope.schema import QUANTILE_LEVELS, STRIDE_DAYS, TEST_DAYS
+from limnoscope.session import settled
 
 IDS = ("site_id", "window_id")
 LEVELS = QUANTILE_LEVELS
@@ -506,7 +508,7 @@ def featured(v):
     """Samples with look-back statistics of the window's own rows."""
     rows = assign_windows(v.daily.select("site_id", "day", TARGET, "air_temp", "delta_T", "thermo_grad"))
     rows = window_stats(rows, [TARGET, "air_temp"], "day", keys=IDS)
-    return supervised_windows(rows, TARGET, carry=(*FEATURES, *MORE))
+    return supervised_windows(rows, TARGET, carry=(*FEATURES, *MORE, "train_end"))
 
 
 @query("ridge_errors", "site_id:s window_id:i h:i rmse:d mae:d n:i")
@@ -521,34 +523,88 @@ def _(v):
                                                       "all": (*FEATURES, *MORE)})
 
 
-@query("autoregression_errors", "site_id:s h:i rmse:d mae:d n:i")
-def _(v):
-    rows = autoregression(v.daily.select("site_id", "day", TARGET), TARGET, "day", order=48, horizon=7)
+_ORDER = 48
+# The twin solves the same normal equations by the same recursion, on lists: ``a`` is the
+# prediction polynomial, ``e`` its error, ``x`` the coefficients of each horizon.
+_AR_SQL = f"""ar0 AS (SELECT site_id, day, conc_0_5 AS v, row_number() OVER (PARTITION BY site_id ORDER BY day) - 1 AS i,
+    count(*) OVER (PARTITION BY site_id) - {_ORDER + 7} AS n FROM daily),
+ar AS (SELECT *, CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS ntr, CAST(floor(n * 0.15::DOUBLE) AS BIGINT) AS nva FROM ar0 WHERE n >= 3),
+arm AS (SELECT site_id, avg(v) AS mu FROM ar WHERE i < ntr + {_ORDER + 6} GROUP BY site_id),
+arx AS (SELECT ar.*, v - mu AS x, mu FROM ar JOIN arm USING (site_id)),
+arr AS (SELECT site_id, list(s ORDER BY k) AS r FROM (SELECT a.site_id, a.i - b.i AS k, sum(a.x * b.x) AS s FROM arx a JOIN arx b
+    ON a.site_id = b.site_id AND b.i <= a.i AND a.i - b.i < {_ORDER + 7} WHERE a.i < a.ntr + {_ORDER + 6} GROUP BY ALL) GROUP BY site_id),
+lev AS (
+  SELECT site_id, 0 AS m, [1.0::DOUBLE] AS a, r[1] AS e, list_transform(range(1, 8), lambda h: [r[h + 1] / r[1]]) AS x FROM arr
+  UNION ALL
+  SELECT site_id, m + 1, a2, e2, list_transform(range(1, 8), lambda h: list_transform(range(0, m + 2), lambda i:
+      coalesce(x[h][i + 1], 0.0) + (r[h + m + 2] - list_sum(list_transform(range(0, m + 1), lambda j: x[h][j + 1] * r[m + 2 - j]))) / e2 * a2[m + 2 - i]))
+  FROM (SELECT *, e * (1 - k * k) AS e2, list_transform(range(0, m + 2), lambda i: coalesce(a[i + 1], 0.0) + k * coalesce(a[m + 2 - i], 0.0)) AS a2
+    FROM (SELECT lev.*, r, -list_sum(list_transform(range(0, m + 1), lambda i: a[i + 1] * r[m + 2 - i])) / e AS k FROM lev JOIN arr USING (site_id) WHERE m < {_ORDER - 1}))),
+phi AS (SELECT site_id, h, j, x[h][j + 1] AS b FROM lev, range(1, 8) hh(h), range(0, {_ORDER}) jj(j) WHERE m = {_ORDER - 1}),
+arp AS (SELECT t.site_id, t.i, h, any_value(t.mu) + sum(b * q.x) AS pred FROM arx t JOIN phi USING (site_id) JOIN arx q ON q.site_id = t.site_id AND q.i = t.i - j
+  WHERE t.i - {_ORDER - 1} >= t.ntr + t.nva AND t.i - {_ORDER - 1} < t.n GROUP BY ALL)"""
+
+
+@query("autoregression_errors", "site_id:s h:i rmse:d mae:d n:i",
+       "SELECT p.site_id, p.h, sqrt(avg(pow(y.v - pred, 2))) AS rmse, avg(abs(y.v - pred)) AS mae, count(*) AS n FROM arp p JOIN ar y ON y.site_id = p.site_id AND y.i = p.i + p.h GROUP BY ALL",
+       ctes=_AR_SQL)
+def _(v):
+    rows = autoregression(v.daily.select("site_id", "day", TARGET), TARGET, "day", order=_ORDER, horizon=7)
     return errors(rows, "pred", "y_h", ["site_id", "h"])
 
 
-@query("boosted_tree_errors", "site_id:s h:i rmse:d mae:d n:i")
+@query("boosted_tree_errors", "site_id:s window_id:i h:i rmse:d mae:d n:i")
+def _(v):
+    out = after_train(boosted_trees(featured(v), (*FEATURES, *MORE)))
+    pairs = F.posexplode(F.arrays_zip(F.col("y").alias("y"), F.col("pred").alias("p"))).alias("_h", "_p")
+    rows = out.select(*IDS, pairs).select(*IDS, (F.col("_h") + 1).alias("h"), F.col("_p.y").alias("y_h"), F.col("_p.p").alias("pred"))
+    return errors(rows, "pred", "y_h", [*IDS, "h"])
+
+
+@query("boosted_peak_errors", "site_id:s window_id:i rmse:d mae:d n:i")
 def _(v):
-    rows = by_horizon(last_window(featured(v)))
-    out = boosted_trees(rows, (*FEATURES, *MORE), horizons=range(1, 8))
-    return errors(out.filter(~F.col("is_train")), "pred", "y_h", ["site_id", "h"])
+    return errors(after_train(boosted_peak(featured(v), (*FEATURES, *MORE))), "pred_peak", "peak", IDS)
 
 
-@query("boosted_peak_errors", "site_id:s rmse:d mae:d n:i")
+@query("boosted_quantile_scores", "site_id:s window_id:i h:i crps:d coverage:d n:i")
 def _(v):
-    out = boosted_peak(last_window(featured(v)), (*FEATURES, *MORE))
-    return errors(out.filter(~F.col("is_train")), "pred_peak", "peak", ["site_id"])
+    out = after_train(boosted_quantiles(featured(v), (*FEATURES, *MORE), _L3, trees=8))
+    pairs = F.posexplode(F.arrays_zip(F.col("y").alias("y"), F.col("q").alias("q"))).alias("_h", "_p")
+    rows = out.select(*IDS, "cur", pairs).select(*IDS, "cur", (F.col("_h") + 1).alias("h"), F.col("_p.y").alias("y_h"), F.col("_p.q").alias("q"))
+    scored = score_rows(rows, _L3)
+    return scored.groupBy(*IDS, "h").agg(F.avg("crps").alias("crps"), F.avg("covered").alias("coverage"), F.count(F.lit(1)).alias("n"))
+
 
+def _weights(labelled):
+    return class_weights(labelled.filter("is_train"), balanced=True)
 
-def _classified(v):
-    labelled = last_window(warning_levels(featured(v))).persist()
-    weights = class_weights(labelled.filter("is_train"), balanced=True)
-    return level_classifier(labelled, (*FEATURES, *MORE), weights)
+
+@query("level_classifier", "site_id:s window_id:i accuracy:d ordinal_rmse:d n:i")
+def _(v):
+    labelled = settled(warning_levels(featured(v)))
+    out = level_classifier(labelled, (*FEATURES, *MORE), _weights(labelled))
+    return class_summary(after_train(out), "level", "predicted", IDS)
 
 
-@query("level_classifier", "site_id:s accuracy:d ordinal_rmse:d n:i")
+@query("model_windows", "site_id:s window_id:i n_train:i n_scored:i last_fitted:s first_origin:s level:i n_level:i weight:d",
+       """SELECT c.*, l.level, l.n AS n_level, l.weight FROM (
+            SELECT site_id, window_id, count(*) FILTER (WHERE is_train) AS n_train, count(*) FILTER (WHERE NOT is_train AND origin >= train_end) AS n_scored,
+              max(target_end) FILTER (WHERE is_train) AS last_fitted, min(origin) FILTER (WHERE NOT is_train AND origin >= train_end) AS first_origin
+            FROM (SELECT *, lead(day, 7) OVER (PARTITION BY site_id, window_id ORDER BY day) AS target_end, day AS origin, p - 29 AS sample, p - 29 < greatest(0, ntr - 36) AS is_train
+              FROM pos) WHERE sample >= 0 AND sample < n - 37 GROUP BY ALL) c
+          JOIN (SELECT site_id, window_id, l AS level, n, sum(n) OVER (PARTITION BY site_id, window_id) / (4.0::DOUBLE * (n + 1)) AS weight FROM (
+            SELECT site_id, window_id, l, count(*) FILTER (WHERE level = l) AS n FROM levels, range(4) r(l) WHERE is_train GROUP BY ALL)) l USING (site_id, window_id)""",
+       ctes=LEVEL_SQL)
 def _(v):
-    return class_summary(_classified(v).filter(~F.col("is_train")), "level", "predicted", ["site_id"])
+    """What the models of every window are fitted on and judged on, and the weights of the levels."""
+    rows = windows(v).withColumn("target_end", F.lead("day", 7).over(W.partitionBy(*IDS).orderBy("day")))
+    labelled = warning_levels(supervised_windows(rows, TARGET, carry=("train_end", "target_end")))
+    judged = ~F.col("is_train") & (F.col("origin") >= F.col("train_end"))
+    counts = labelled.groupBy(*IDS).agg(
+        F.count_if("is_train").alias("n_train"), F.count_if(judged).alias("n_scored"),
+        F.max(F.when(F.col("is_train"), F.col("target_end"))).alias("last_fitted"),
+        F.min(F.when(judged, F.col("origin"))).alias("first_origin"))
+    return counts.join(_weights(labelled).withColumnRenamed("n", "n_level"), list(IDS))
 
 
 _NAIVE = LEVEL_SQL + """,
@@ -577,10 +633,10 @@ def _(v):
 @query("state_probability", "site_id:s window_id:i p_mean:d observed:d n:i")
 def _(v):
     # the label of the stratified state: over the median of the window's train part
-    rows = last_window(featured(v))
+    rows = featured(v)
     limit = F.percentile(F.when(F.col("is_train"), F.col("delta_T")), F.lit(0.5)).over(W.partitionBy(*IDS))
-    rows = rows.withColumn("stratified", (F.col("delta_T") > limit).cast("int")).persist()
-    out = state_probability(rows, (*FEATURES, "air_temp_mean"), label="stratified").filter(~F.col("is_train"))
+    rows = settled(rows.withColumn("stratified", (F.col("delta_T") > limit).cast("int")))
+    out = after_train(state_probability(rows, (*FEATURES, "air_temp_mean"), label="stratified"))
     return out.groupBy(*IDS).agg(F.avg("p").alias("p_mean"), F.avg(F.col("stratified").cast("double")).alias("observed"), F.count(F.lit(1)).alias("n"))
 
 

@@ -49,7 +49,7 @@ def finish_sql(sql: str, spec: str, ctes: str = "") -> str:
             c = f"CAST({c} AS VARCHAR)"
         cols.append(f'{c} AS "{name}"')
     parts = [BASE_SQL.strip()] + ([ctes.strip()] if ctes else [])
-    return ("WITH " + ",\n".join(parts) + ",\nresult AS (\n" + sql.strip() + "\n)\nSELECT "
+    return ("WITH RECURSIVE " + ",\n".join(parts) + ",\nresult AS (\n" + sql.strip() + "\n)\nSELECT "
             + ", ".join(cols) + " FROM result")
 
 

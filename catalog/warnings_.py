@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.blooms import LOOSE_EVENTS, events_sql, loose_events, loose_state, runs_sql
-from catalog.forecasts import MEMBER_SQL, members
+from catalog.forecasts import FEATURES, MEMBER_SQL, MORE, featured, members
 from catalog.registry import query
-from catalog.series import N_WINDOWS_SQL, TARGET, window_numbers_sql, windows
+from catalog.series import N_WINDOWS_SQL, SAMPLE_SQL, TARGET, window_numbers_sql, windows
 from limnoscope.operators.events import events, merge_runs, runs
 from limnoscope.operators.warning import (
     align_events, at_thresholds, daily_probability, episodes, event_hits,
     events_in_period, false_alarms, lookback_coverage, threshold_rule,
 )
 from limnoscope.operators.windows import first_days, rolling_anchors
-from limnoscope.plans.bloom import rule_warnings, warning_report
+from limnoscope.plans.bloom import learned_probability, rule_warnings, warning_report
+from limnoscope.session import settled
 
 THETAS = (0.2, 0.3, 0.4)
 LEAD = 30
@@ -114,6 +115,33 @@ def _(v):
     return warning_report(series(v), loose_events(v), THETAS, LEAD)
 
 
+# ------------------------------------------------------------- learned probability
+#: Members of the ensemble: the look-back of the concentration alone, and with weather and stratification.
+MEMBERS = {"concentration": FEATURES, "surroundings": (*FEATURES, *MORE)}
+
+
+def learned_series(v):
+    return learned_probability(featured(v), loose_state(v), MEMBERS)
+
+
+@query("learned_probability", "site_id:s day:s p:d n_windows:i")
+def _(v):
+    return learned_series(v)
+
+
+@query("learned_probability_days", "site_id:s day:s n_windows:i",
+       "SELECT site_id, day, count(*) AS n_windows FROM (SELECT site_id, window_id, day, p - 29 AS sample, n, train_end, p - 29 < greatest(0, ntr - 36) AS is_train FROM pos)"
+       " WHERE sample >= 0 AND sample < n - 37 AND NOT is_train AND day >= train_end GROUP BY ALL", ctes=SAMPLE_SQL)
+def _(v):
+    """The days that have a learned probability, and from how many windows."""
+    return learned_series(v)
+
+
+@query("learned_warning_report", _REPORT[0])
+def _(v):
+    return warning_report(settled(learned_series(v)), loose_events(v), THETAS, LEAD)
+
+
 _RULE = f"""rule_days AS (SELECT site_id, min(day) AS d0, {N_WINDOWS_SQL} FROM band_loose GROUP BY site_id),
 rule_rows AS (SELECT b.*, CAST(w AS INTEGER) AS window_id, b.day < d0 + CAST(45 * w + 730 AS INTEGER) AS tr
   FROM band_loose b JOIN rule_days USING (site_id), {window_numbers_sql("rule_days")} r

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from limnoscope.schema import KEYS, QUANTILE_LEVELS
+from limnoscope.operators.boosting import boosted_scores
+from limnoscope.schema import HORIZON, KEYS, QUANTILE_LEVELS
 
 IDS = ("site_id", "window_id")
 
@@ -122,134 +123,133 @@ def ridge_forecast(samples_h: DataFrame, features: Sequence[str], alpha: float =
     return samples_h.join(fitted, [*ids, "h"]).withColumn(name, pred).drop("_mx", "_my", "_b")
 
 
-def autoregression(series: DataFrame, value: str, ts: str, order: int = 48, horizon: int = 8,
-                   look_back: int | None = None, train_frac: float = 0.7, val_frac: float = 0.15,
-                   keys: Sequence[str] = KEYS) -> DataFrame:
-    """Least-squares autoregression of each horizon on the last ``order`` values.
+def _levinson(r: Column, order: int, horizon: int) -> Column:
+    """Solutions of ``sum_j r(|i - j|) x(j) = r(h + i)`` for h = 1..horizon, an array of arrays of ``order`` coefficients.
 
-    One group is one gridded series, bounded by the calendar; series are fitted
-    in parallel.  Samples are cut 70/15/15 by position and the test part is
-    returned as rows (origin, h, cur, y_h, pred).  ``order`` is limited to the
-    look-back, as the samples hold no more.
+    ``r`` holds the autocovariances 0 .. order + horizon - 1. The recursion adds one
+    coefficient a step: the prediction polynomial ``a`` and its error ``e`` grow, and each
+    solution is corrected by the reversed polynomial. It stops where the error vanishes,
+    which a series has that its past explains fully.
     """
-    import numpy as np
+    def dot(x, n):
+        """``sum_i x(i) r(n - i)``"""
+        return F.aggregate(F.zip_with(x, F.reverse(F.slice(r, 2, n)), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
 
-    T = look_back or order
-    k = min(order, T)
-    fields = ", ".join(f"{c} {t}" for c, t in series.select(*keys, ts).dtypes)
-    schema = f"{fields}, h int, cur double, y_h double, pred double"
-    keys = list(keys)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        v = pdf[value].to_numpy(dtype=float)
-        n = len(v) - T - horizon
-        if n < 3:
-            return pd.DataFrame(columns=[*keys, ts, "h", "cur", "y_h", "pred"])
-        view = np.lib.stride_tricks.sliding_window_view(v, T + horizon)[:n]
-        past, future = view[:, T - k:T], view[:, T:]
-        n_tr, n_va = int(n * train_frac), int(n * val_frac)
-        design = np.column_stack([np.ones(n), past])
-        coef = np.linalg.lstsq(design[:n_tr], future[:n_tr], rcond=None)[0]
-        test = slice(n_tr + n_va, n)
-        pred = design[test] @ coef
-        m = len(pred)
-        at = pdf[ts].to_numpy()[T - 1:T - 1 + n][test]
-        out = {c: np.repeat(pdf[c].iloc[0], m * horizon) for c in keys}
-        out |= {ts: np.repeat(at, horizon), "h": np.tile(np.arange(1, horizon + 1), m),
-                "cur": np.repeat(past[test, -1], horizon), "y_h": future[test].ravel(), "pred": pred.ravel()}
-        return pd.DataFrame(out)
-
-    rows = series.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias(value))
-    return rows.groupBy(*keys).applyInPandas(fit, schema)
+    def lengthen(acc, n):
+        k = -dot(acc["a"], n) / acc["e"]
+        longer = F.concat(acc["a"], F.array(F.lit(0.0)))
+        a = F.zip_with(longer, F.reverse(longer), lambda u, v: u + k * v)
+        return F.struct(a.alias("a"), (acc["e"] * (F.lit(1.0) - k * k)).alias("e"), acc["x"].alias("x"))
 
+    def correct(acc, n):
+        back = F.reverse(acc["a"])
 
-# --------------------------------------------------------------- learned models
-def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+        def one(x, h):
+            miss = (F.get(r, h + 1 + n) - dot(x, n)) / acc["e"]
+            return F.zip_with(F.concat(x, F.array(F.lit(0.0))), back, lambda u, v: u + miss * v)
 
-    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df)
+        return F.struct(acc["a"].alias("a"), acc["e"].alias("e"), F.transform(acc["x"], one).alias("x"))
 
+    r0 = F.get(r, F.lit(0))
+    first = F.transform(F.slice(r, 2, horizon), lambda v: F.array(v / r0))
+    start = F.struct(F.array(F.lit(1.0)).alias("a"), r0.alias("e"), first.alias("x")).cast("struct<a:array<double>,e:double,x:array<array<double>>>")
 
-def last_window(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Samples of each station's last window: its train part lies before its test part, so a
-    model fitted on these train rows has seen none of the days it is judged on."""
-    newest = F.max("window_id").over(W.partitionBy(*keys))
-    return samples.withColumn("_w", newest).filter(F.col("window_id") == F.col("_w")).drop("_w")
+    def step(acc, n):
+        # One at a time: the second half reads what the first has made.
+        grown = F.element_at(F.transform(F.array(lengthen(acc, n)), lambda made: F.when(made["e"] > r0 * 1e-12, correct(made, n))), 1)
+        padded = F.struct(F.concat(acc["a"], F.array(F.lit(0.0))).alias("a"), acc["e"].alias("e"),
+                          F.transform(acc["x"], lambda x: F.concat(x, F.array(F.lit(0.0)))).alias("x"))
+        return F.coalesce(grown, padded)
 
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(order - 1)), start, step, lambda acc: acc["x"]) if order > 1 else first
+    none = F.array_repeat(F.array_repeat(F.lit(0.0), order), horizon)
+    return F.when(r0 > 1e-12, solved).otherwise(none)
 
-def boosted_trees(samples_h: DataFrame, features: Sequence[str], horizons: Sequence[int], trees: int = 60,
-                  depth: int = 4, step: float = 0.1, seed: int = 0, name: str = "pred") -> DataFrame:
-    """Gradient-boosted trees, one model per horizon over the train rows of all stations.
 
-    Give samples whose train rows hold no day that is scored (:func:`last_window`).
-    They are persisted once; horizons are fitted side by side.
+def autoregression(series: DataFrame, value: str, ts: str, order: int = 48, horizon: int = 8,
+                   look_back: int | None = None, train_frac: float = 0.7, val_frac: float = 0.15,
+                   keys: Sequence[str] = KEYS) -> DataFrame:
+    """Autoregression of each horizon on the last ``order`` values, from the train part's autocovariances.
+
+    Samples are cut 70/15/15 by position; rows that train samples touch give the mean and
+    the autocovariances (one aggregation of each row's products with the rows before it).
+    The normal equations of all horizons are solved by recursion on the few numbers left
+    per series, and applied to the look-back of the test samples. Returns rows (origin, h,
+    cur, y_h, pred). ``order`` is limited to the look-back.
     """
-    from concurrent.futures import ThreadPoolExecutor
+    T, keys = look_back or order, list(keys)
+    p = min(order, T)
+    n_lags = p + horizon
+    at = W.partitionBy(*keys).orderBy(ts)
+    rows = (series.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("_v"))
+            .withColumns({"_i": F.row_number().over(at) - 1, "_n": F.count(F.lit(1)).over(W.partitionBy(*keys)) - F.lit(T + horizon)})
+            .filter(F.col("_n") >= 3))
+    n_train, n_val = F.floor(F.col("_n") * F.lit(train_frac)), F.floor(F.col("_n") * F.lit(val_frac))
+    in_train = F.col("_i") < n_train + F.lit(T + horizon - 1)
+    rows = rows.withColumn("_mean", F.avg(F.when(in_train, F.col("_v"))).over(W.partitionBy(*keys)))
+    rows = rows.withColumn("_x", F.col("_v") - F.col("_mean"))
+    # The row itself and those before it, the nearest first.
+    past = F.reverse(F.collect_list("_x").over(at.rowsBetween(-(n_lags - 1), 0)))
+    rows = rows.withColumns({"_past": past, "_y": F.array(*[F.lead("_v", h).over(at) for h in range(1, horizon + 1)])})
+    lagged = [F.sum(F.col("_x") * F.coalesce(F.get("_past", F.lit(k)), F.lit(0.0))) for k in range(n_lags)]
+    fitted = (rows.filter(in_train).groupBy(*keys).agg(F.array(*lagged).alias("_r"))
+              .select(*keys, _levinson(F.col("_r"), p, horizon).alias("_phi")))
+    sample = F.col("_i") - F.lit(T - 1)
+    test = rows.filter((sample >= n_train + n_val) & (sample < F.col("_n"))).join(fitted, keys)
+
+    def forecast(phi):
+        terms = F.zip_with(phi, F.slice("_past", 1, p), lambda b, x: b * x)
+        return F.col("_mean") + F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+
+    pairs = F.posexplode(F.arrays_zip(F.col("_y").alias("y"), F.transform("_phi", forecast).alias("p"))).alias("_h", "_p")
+    return (test.select(*keys, ts, F.col("_v").alias("cur"), pairs)
+            .select(*keys, ts, (F.col("_h") + 1).alias("h"), "cur", F.col("_p.y").alias("y_h"), F.col("_p.p").alias("pred")))
 
-    from pyspark.ml.regression import GBTRegressor
 
-    data = _assembled(samples_h, features).persist()
+# --------------------------------------------------------------- learned models
+def after_train(samples: DataFrame, train_end: str = "train_end") -> DataFrame:
+    """Samples to judge a window's model on: all their target days lie after its train part.
 
-    def one(h: int) -> DataFrame:
-        rows = data.filter(F.col("h") == h)
-        model = GBTRegressor(featuresCol="_x", labelCol="y_h", predictionCol=name, maxIter=trees,
-                             maxDepth=depth, stepSize=step, seed=seed).fit(rows.filter("is_train"))
-        return model.transform(rows).drop("_x")
+    The first samples that are not train samples begin before the cut; their first target
+    days are days the model has been fitted on.
+    """
+    return samples.filter(~F.col("is_train") & (F.col("origin") >= F.col(train_end)))
 
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        parts = list(pool.map(one, horizons))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
+def boosted_trees(samples: DataFrame, features: Sequence[str], ids: Sequence[str] = IDS, name: str = "pred", **options) -> DataFrame:
+    """Gradient-boosted trees, one model per window and horizon; ``name`` holds the horizons' forecasts as an array."""
+    return boosted_scores(samples, features, F.col("y"), ids=ids, name=name, **options)
 
-def boosted_peak(samples: DataFrame, features: Sequence[str], trees: int = 60, depth: int = 4,
-                 step: float = 0.1, seed: int = 0, name: str = "pred_peak") -> DataFrame:
-    """The same for the highest value of the coming rows."""
-    from pyspark.ml.regression import GBTRegressor
 
-    data = _assembled(samples.withColumn("peak", F.array_max("y")), features)
-    model = GBTRegressor(featuresCol="_x", labelCol="peak", predictionCol=name, maxIter=trees,
-                         maxDepth=depth, stepSize=step, seed=seed).fit(data.filter("is_train"))
-    return model.transform(data).drop("_x")
+def boosted_quantiles(samples: DataFrame, features: Sequence[str], levels: Sequence[float] = (0.1, 0.5, 0.9), horizon: int = HORIZON,
+                      ids: Sequence[str] = IDS, **options) -> DataFrame:
+    """Boosted quantile forecasts per window and horizon: ``q``, an array over horizons of arrays over ``levels``, in order.
 
+    All levels of all horizons grow in the same rounds.
+    """
+    each = [float(p) for _ in range(horizon) for p in levels]
+    targets = F.flatten(F.transform(F.slice("y", 1, horizon), lambda v: F.array_repeat(v, len(levels))))
+    out = boosted_scores(samples, features, targets, ids=ids, loss="quantile", levels=each, name="_q", **options)
+    q = F.array(*[F.array_sort(F.slice("_q", h * len(levels) + 1, len(levels))) for h in range(horizon)])
+    return out.withColumn("q", q).drop("_q")
 
-def level_classifier(labelled: DataFrame, features: Sequence[str], weights: DataFrame,
-                     ids: Sequence[str] = IDS, trees: int = 60, depth: int = 6, seed: int = 0) -> DataFrame:
-    """Warning level by a random forest on class-weighted train rows; ``predicted`` on all rows."""
-    from pyspark.ml.classification import RandomForestClassifier
 
-    data = _assembled(labelled.join(weights.select(*ids, "level", "weight"), [*ids, "level"], "left")
-                      .withColumn("_label", F.col("level").cast("double")), features)
-    model = RandomForestClassifier(featuresCol="_x", labelCol="_label", weightCol="weight", numTrees=trees,
-                                   maxDepth=depth, seed=seed, predictionCol="_p", probabilityCol="_pr",
-                                   rawPredictionCol="_raw").fit(data.filter("is_train"))
-    return (model.transform(data).withColumn("predicted", F.col("_p").cast("int"))
-            .drop("_x", "_label", "_p", "_pr", "_raw"))
+def boosted_peak(samples: DataFrame, features: Sequence[str], ids: Sequence[str] = IDS, name: str = "pred_peak", **options) -> DataFrame:
+    """The same for the highest value of the coming rows."""
+    out = samples.withColumn("peak", F.array_max("y"))
+    return boosted_scores(out, features, F.array("peak"), ids=ids, name="_s", **options).withColumn(name, F.get("_s", F.lit(0))).drop("_s")
 
 
-def state_probability(labelled: DataFrame, features: Sequence[str], label: str = "bloom",
-                      reg: float = 0.01, name: str = "p") -> DataFrame:
-    """Probability of a two-valued state by weighted logistic regression.
+def level_classifier(labelled: DataFrame, features: Sequence[str], weights: DataFrame, n_levels: int = 4, ids: Sequence[str] = IDS,
+                     **options) -> DataFrame:
+    """Warning level of every window by boosted trees on its class-weighted train rows; ``predicted`` on all rows.
 
-    Rows are weighted inversely to the frequency of their class in the train part.
+    One model per level tells it from the others; the level with the highest odds is predicted, the lower on a tie.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    train = labelled.filter("is_train")
-    counts = train.groupBy(F.col(label).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    share = counts.agg(F.sum("_n")).scalar()
-    weights = counts.withColumn("_w", share / (F.lit(2.0) * (F.col("_n") + 1)))
-    data = _assembled(labelled.withColumn("_label", F.col(label).cast("double")), features)
-    fit_rows = (data.filter("is_train")
-                .join(F.broadcast(weights), F.col(label) == F.col("_c")))  # two rows
-    model = LogisticRegression(featuresCol="_x", labelCol="_label", weightCol="_w", regParam=reg, maxIter=50,
-                               predictionCol="_p", probabilityCol="_pr", rawPredictionCol="_raw").fit(fit_rows)
-    return (model.transform(data).withColumn(name, F.get(vector_to_array("_pr"), F.lit(1)))
-            .drop("_x", "_label", "_p", "_pr", "_raw"))
+    data = labelled.join(weights.select(*ids, "level", F.col("weight").alias("_weight")), [*ids, "level"], "left")
+    targets = F.array(*[(F.col("level") == i).cast("double") for i in range(n_levels)])
+    out = boosted_scores(data, features, targets, weight=F.col("_weight"), ids=ids, loss="logistic", name="_odds", **options)
+    return out.withColumn("predicted", (F.array_position("_odds", F.array_max("_odds")) - 1).cast("int")).drop("_odds", "_weight")
 
 
 def feature_ablation(samples_h: DataFrame, arms: dict[str, Sequence[str]], by: Sequence[str] = IDS,

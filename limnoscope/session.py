@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "limnoscope", master: str | None = None, **conf) -> SparkSession:
@@ -38,3 +39,20 @@ def local_session(cores: int | str | None = None, **conf) -> SparkSession:
         **{"spark.sql.shuffle.partitions": cores, "spark.driver.memory": "12g",
            "spark.ui.showConsoleProgress": "false", **conf},
     )
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the reliable checkpoint folder and read from there.
+
+    Iterative fits cut their lineage here, so that a lost executor costs one round at
+    most. The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
+    local session gets a folder of its own.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
