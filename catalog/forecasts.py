@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,11 +19,12 @@ from limnoscope.operators.forecast import (
     after_train, autoregression, boosted_peak, boosted_quantiles, boosted_trees, change_quantiles, climatology,
     feature_ablation, level_classifier, month_quantiles, persistence, ridge_forecast,
 )
+from limnoscope.operators.isotonic import apply_isotonic, isotonic_curves
 from limnoscope.operators.labels import class_weights, warning_levels
 from limnoscope.operators.logistic import state_probability
 from limnoscope.operators.metrics import (
-    apply_isotonic, best_threshold, calibration_table, class_recall, class_summary, day_blocks,
-    direction_rates, errors, evaluation_units, expected_calibration_error, fit_isotonic,
+    best_threshold, calibration_table, class_recall, class_summary, day_blocks,
+    direction_rates, errors, evaluation_units, expected_calibration_error,
     interval_summary, member_range, pit_histogram, probability_summary, quantile_ensemble,
     score_rows, skill, summary_lattice,
 )
@@ -381,14 +380,33 @@ def _(v):
     return direction_rates(by_horizon(samples(v)).filter(~F.col("is_train")), [*IDS, "h"])
 
 
-@query("isotonic_calibration", "site_id:s h:i accuracy:d brier:d n:i")
-def _(v):
-    tune, judge = (rows.persist() for rows in tuned_and_judged(rises(v)))
-    parts = []
-    for h in range(1, 8):  # a curve per horizon
-        at = F.col("h") == h
-        parts.append(apply_isotonic(fit_isotonic(tune.filter(at), "p_gauss", "rise"), judge.filter(at), "p_gauss"))
-    return probability_summary(reduce(lambda a, b: a.unionByName(b), parts), "p_calibrated", "rise", ["site_id", "h"])
+# The twin takes each point's value from the definition: the highest, over starts at or
+# before it, of the lowest mean over ends at or after it.
+_ISO_SQL = UP_SQL + f""", newest AS (SELECT site_id, max(window_id) AS nw FROM up GROUP BY site_id),
+tune AS (SELECT site_id, h, round(p_gauss, 3) AS p, rise FROM up JOIN newest USING (site_id) WHERE window_id <= nw - {CLEAR_WINDOWS}),
+pts AS (SELECT *, row_number() OVER w AS i, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM (
+  SELECT site_id, h, p, sum(rise)::DOUBLE AS s, count(*)::DOUBLE AS n FROM tune GROUP BY ALL) WINDOW w AS (PARTITION BY site_id, h ORDER BY p)),
+flat AS (SELECT site_id, h, min(p) = max(p) OR sum(s) = 0 OR sum(s) = sum(n) AS flat, least(greatest(sum(s) / sum(n), 1e-6), 1 - 1e-6) AS mean FROM pts GROUP BY ALL),
+ends AS (SELECT a.site_id, a.h, a.i AS a, b.i AS b, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.site_id, a.h, a.i ORDER BY b.i DESC) AS low
+  FROM pts a JOIN pts b ON a.site_id = b.site_id AND a.h = b.h AND a.i <= b.i),
+iso AS (SELECT p.site_id, p.h, p.p, CASE WHEN any_value(flat) THEN any_value(mean) ELSE max(low) END AS f FROM ends e
+  JOIN pts p ON p.site_id = e.site_id AND p.h = e.h AND p.i = e.b JOIN flat g ON g.site_id = p.site_id AND g.h = p.h GROUP BY ALL),
+judge AS (SELECT up.site_id, up.h, round(p_gauss, 3) AS p, rise FROM up JOIN newest USING (site_id) WHERE window_id = nw),
+low_ AS (SELECT j.*, i.p AS p0, i.f AS f0 FROM judge j ASOF LEFT JOIN iso i ON i.site_id = j.site_id AND i.h = j.h AND j.p >= i.p),
+both_ AS (SELECT l.*, i.p AS p1, i.f AS f1 FROM low_ l ASOF LEFT JOIN iso i ON i.site_id = l.site_id AND i.h = l.h AND l.p <= i.p),
+told AS (SELECT site_id, h, rise, CASE WHEN p0 IS NULL THEN f1 WHEN p1 IS NULL THEN f0 WHEN p1 = p0 THEN f0 ELSE f0 + (f1 - f0) * (p - p0) / (p1 - p0) END AS c FROM both_)"""
+
+
+@query("isotonic_calibration", "site_id:s h:i accuracy:d brier:d n:i",
+       "SELECT site_id, h, avg(CASE WHEN (round(c, 9) > 0.5) = (rise = 1) THEN 1.0 ELSE 0.0 END) AS accuracy, avg(pow(round(c, 9) - rise, 2)) AS brier, count(*) AS n FROM told GROUP BY ALL",
+       ctes=_ISO_SQL)
+def _(v):
+    """One curve per station and horizon, at three decimals of the probability."""
+    ids = ["site_id", "h"]
+    tune, judge = tuned_and_judged(settled(rises(v).select(*IDS, "h", "p_gauss", "rise")))
+    curves = isotonic_curves(tune, "p_gauss", "rise", ids, decimals=3)
+    out = apply_isotonic(judge, curves, "p_gauss", ids, decimals=3)
+    return probability_summary(out.withColumn("p_calibrated", F.round("p_calibrated", 9)), "p_calibrated", "rise", ids)
 
 
 # ------------------------------------------------------------------ conformal

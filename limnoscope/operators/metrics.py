@@ -170,28 +170,6 @@ def direction_rates(samples_h: DataFrame, by: Sequence[str], delta: str = "delta
             .withColumn("constant_accuracy", F.greatest("up_rate", F.lit(1.0) - F.col("up_rate"))))
 
 
-def fit_isotonic(calibration: DataFrame, p: str, outcome: str):
-    """Isotonic calibration over all rows of ``calibration`` with the ML library.
-
-    Rows are first collapsed to distinct probabilities with their counts as
-    weights, which leaves the fit unchanged.
-    """
-    from pyspark.ml.regression import IsotonicRegression
-
-    rows = calibration.groupBy(F.col(p).alias("p")).agg(
-        F.avg(F.col(outcome).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight",
-                              predictionCol="p_calibrated").fit(rows)
-
-
-def apply_isotonic(model, df: DataFrame, p: str, name: str = "p_calibrated") -> DataFrame:
-    out = model.transform(df.withColumn("p", F.col(p)) if p != "p" else df)
-    if p != "p":
-        out = out.drop("p")
-    return out.withColumnRenamed("p_calibrated", name).withColumn(
-        name, F.least(F.greatest(F.col(name), F.lit(0.0)), F.lit(1.0)))
-
-
 # --------------------------------------------------------------- class labels
 def class_summary(df: DataFrame, label: str, predicted: str, by: Sequence[str]) -> DataFrame:
     d = F.col(label) - F.col(predicted)
