@@ -4,9 +4,10 @@ A ``percentile`` aggregate or a ``row_number`` window holds a whole group in
 one task.  That is fine for rows of a regridded station (their count is bounded
 by the calendar) but not for pooled groups such as "every forecast of horizon
 3", which may be a third of all rows.  Here rows are first collapsed to
-distinct values (map-side, so ties cost nothing), the values are cut into
-order-preserving slices, and the running counts are taken per slice plus the
-total of the slices below.
+distinct values (map-side, so ties cost nothing) and stored; groups beyond
+:data:`slices.ROWS_A_SLICE` values are cut into order-preserving slices at sampled
+quantiles, the running counts are taken per slice, and the totals of the slices
+below, one row per slice, are added.
 """
 
 from __future__ import annotations
@@ -17,65 +18,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from limnoscope.functions.columns import as_col
-
-# Slices per doubling of the value: 4096 keep a slice below 0.02 % in width.
-SLICES_PER_DOUBLING = 4096
-
-
-def value_slice(x) -> Column:
-    """Integer that never decreases with ``x``, for any finite double."""
-    v = as_col(x)
-    size = F.floor(F.log2(F.abs(v)) * SLICES_PER_DOUBLING) + F.lit(1080 * SLICES_PER_DOUBLING)
-    slice_ = F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
-    # Never null, so that joins on it add no filter to one side only and both sides
-    # of the self join below can share one shuffle.
-    return F.coalesce(slice_, F.lit(0).cast("bigint"))
+from limnoscope.operators.slices import join_keys, sliced
+from limnoscope.session import settled
 
 
 def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None,
-                  carry: dict[str, Column] | None = None, count: str | None = None) -> DataFrame:
+                  carry: dict[str, Column] | None = None, count: str | None = None,
+                  rows_a_slice: int | None = None) -> DataFrame:
     """One row per (keys, value): ``n`` rows there, ``below`` rows with a smaller
     value, ``total`` rows of the group; with ``weight`` also ``w``, ``w_below``
-    and ``w_total``.  ``carry`` adds sums kept per distinct value (``<name>_total`` for the group;
-    both sides of the join then read the same shuffled rows).  ``count``
-    names a column that says how many rows a row stands for.
+    and ``w_total``.  ``carry`` adds sums kept per distinct value (``<name>_total`` for the group).
+    ``count`` names a column that says how many rows a row stands for.
     """
-    keys = list(keys)
-    x = F.col(value)
+    keys, x = list(keys), F.col(value)
     aggs = {"n": F.sum(count) if count else F.count(F.lit(1))}
     if weight:
         aggs["w"] = F.sum(weight)
     aggs |= carry or {}
     # Adding 0.0 turns -0.0 into 0.0, so both fall into one group.
-    distinct = (df.filter(x.isNotNull() & ~F.isnan(x)).withColumn(value, x + F.lit(0.0))
-                .withColumn("_slice", value_slice(value))
-                .groupBy(*keys, "_slice", value)
-                .agg(*[c.alias(k) for k, c in aggs.items()]))
+    rows = df.filter(x.isNotNull() & ~F.isnan(x)).withColumn(value, x + F.lit(0.0))
+    group = keys or ["_all"]
+    if not keys:
+        rows = rows.withColumn("_all", F.lit(0))
+    distinct = settled(rows.groupBy(*group, value).agg(*[c.alias(k) for k, c in aggs.items()]))
     sums = {"n": "below"} | ({"w": "w_below"} if weight else {})
-    totals = {"n": "total"} | ({"w": "w_total"} if weight else {})
-    # Slices number at most a few thousand per binary order of magnitude of the
-    # data, however many rows there are.
-    extra = list(carry or {})
-    slices = distinct.groupBy(*keys, "_slice").agg(
-        *[F.sum(c).alias(f"_{c}") for c in [*sums, *extra]])
-    all_rows = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    run = all_rows.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = slices.select(
-        *keys, "_slice",
-        *[F.coalesce(F.sum(f"_{c}").over(run), F.lit(0)).alias(f"_off_{c}") for c in sums],
-        *[F.sum(f"_{c}").over(all_rows).alias(t) for c, t in totals.items()],
-        *[F.sum(f"_{c}").over(all_rows).alias(f"{c}_total") for c in extra],
-    )
-    inside = (W.partitionBy(*keys, "_slice").orderBy(value)
-              .rowsBetween(W.unboundedPreceding, -1))
-    joined = distinct.join(slices, [*keys, "_slice"])
-    return joined.select(
-        *keys, value, *aggs,
-        *[(F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(b)
-          for c, b in sums.items()],
-        *totals.values(), *[f"{c}_total" for c in extra],
-    )
+    totals = {"n": "total"} | ({"w": "w_total"} if weight else {}) | {c: f"{c}_total" for c in carry or {}}
+    parts = sliced(distinct, value, group, rows_a_slice)
+    inside = W.partitionBy(*group, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    whole = W.partitionBy(*group)
+    run = whole.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = parts.groupBy(*group, "_slice").agg(*[F.sum(c).alias(f"_{c}") for c in totals])
+    slices = slices.select(*group, "_slice", *[F.coalesce(F.sum(f"_{c}").over(run), F.lit(0)).alias(f"_off_{c}") for c in sums],
+                           *[F.sum(f"_{c}").over(whole).alias(t) for c, t in totals.items()])
+    return join_keys(parts, slices, [*group, "_slice"]).select(
+        *keys, value, *aggs, *[(F.col(f"_off_{c}") + F.col(f"_in_{c}")).alias(b) for c, b in sums.items()], *totals.values())
 
 
 def pooled_quantiles(df: DataFrame, value: str, probs: dict[str, float],
