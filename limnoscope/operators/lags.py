@@ -16,7 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from limnoscope.functions.columns import let, normal_cdf
+from limnoscope.operators.slices import numbered
 from limnoscope.schema import KEYS, depth_column
+from limnoscope.session import settled
 
 
 def depth_correlation(wide: DataFrame, depths: Sequence[float], prefix: str = "conc",
@@ -352,28 +354,46 @@ def top_edges(edges: DataFrame, alpha: float = 0.05, per_target: int = 12, p: st
 _BANDS = ((2, 7), (7, 30), (30, 180), (180, 730))
 
 
+def _factor(n, waves):
+    """The divisor of ``n`` that makes the two steps of the transform cheapest."""
+    divisors = F.filter(F.sequence(F.lit(1).cast("long"), n), lambda p: n % p == 0)
+    cost = F.transform(divisors, lambda p: F.struct((n * F.least(p, waves) + waves * n / p).alias("cost"), p.alias("p")))
+    return F.array_min(cost)["p"]
+
+
 def spectral_bands(series: DataFrame, value: str, ts: str, rows_per_day: int = 8, min_rows: int = 512,
-                   by: Sequence[str] = ("site_id", "depth")) -> DataFrame:
+                   by: Sequence[str] = ("site_id", "depth"), rows_a_slice: int | None = None) -> DataFrame:
     """Dominant period and power shares of the bands 2-7, 7-30, 30-180, 180-730 days.
 
-    Only frequencies between 1/730 and 1/2 per day are needed: every row is
-    multiplied with their cosines and sines and summed per (series, frequency),
-    with partial sums before the shuffle, so a series is not held by one task.
+    Only frequencies between 1/730 and 1/2 per day are needed. With ``n = p q`` and
+    position ``t = q a + b`` the transform takes two aggregations: first over ``a``, for
+    each ``b`` and each remainder of the frequency by ``p``, then over ``b``, turned by
+    ``b k / n``. A row is copied ``p`` times, not once per frequency, and sums are partial
+    before each shuffle. ``p`` is the divisor of ``n`` for which that is cheapest; for a
+    prime ``n`` the first step does nothing and the second is the plain transform.
+    Positions come from slices, so no task holds a series.
     """
     by = list(by)
-    whole = W.partitionBy(*by)
     x = F.col(value).cast("double")
-    rows = (series.filter(x.isNotNull() & ~F.isnan(x))
-            .select(*by, (F.row_number().over(whole.orderBy(ts)) - 1).cast("bigint").alias("_p"),
-                    F.count(F.lit(1)).over(whole).alias("n"), (x - F.avg(x).over(whole)).alias("_x"))
-            .filter(F.col("n") >= min_rows))
-    slowest = F.floor(F.col("n") / F.lit(730.0 * rows_per_day)) + 1
-    fastest = F.floor(F.col("n") / F.lit(2.0 * rows_per_day))
-    # the angle's whole turns are taken off in integers
-    angle = F.lit(2 * math.pi) * ((F.col("_p") * F.col("_k")) % F.col("n")) / F.col("n")
-    waves = (rows.filter(slowest <= fastest).select("*", F.explode(F.sequence(slowest, fastest)).alias("_k"))
-             .select(*by, "n", "_k", (F.col("_x") * F.cos(angle)).alias("_c"), (F.col("_x") * F.sin(angle)).alias("_s"))
-             .groupBy(*by, "n", "_k").agg(F.sum("_c").alias("_c"), F.sum("_s").alias("_s")))
+    rows = settled(series.filter(x.isNotNull() & ~F.isnan(x)).select(*by, F.col(ts).alias("_t"), x.alias("_v")))
+    slowest = (F.floor(F.col("n") / F.lit(730.0 * rows_per_day)) + 1).alias("_k0")
+    fastest = F.floor(F.col("n") / F.lit(2.0 * rows_per_day)).alias("_k1")
+    sizes = (rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("_mean")).filter(F.col("n") >= min_rows)
+             .select(*by, "n", "_mean", slowest, fastest).filter("_k0 <= _k1")
+             .withColumn("_p", _factor(F.col("n"), F.col("_k1") - F.col("_k0") + 1)).withColumn("_q", (F.col("n") / F.col("_p")).cast("long")))
+    at = numbered(rows, F.col("_t").cast("timestamp").cast("double"), by, ["_t"], "_i", "_size", rows_a_slice)
+    turn = F.lit(-2 * math.pi)
+    # The angles' whole turns are taken off in integers.
+    first = (at.join(sizes, by).select(*by, "n", "_k0", "_k1", "_p", "_q", (F.col("_v") - F.col("_mean")).alias("_x"), F.floor(F.col("_i") / F.col("_q")).alias("_a"),
+                                       (F.col("_i") % F.col("_q")).alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p") - 1)).alias("_r"))
+             .withColumn("_w", turn * (F.col("_a") * F.col("_r") % F.col("_p")) / F.col("_p"))
+             .groupBy(*by, "n", "_k0", "_k1", "_p", "_b", "_r").agg(F.sum(F.col("_x") * F.cos("_w")).alias("_c"), F.sum(F.col("_x") * F.sin("_w")).alias("_s")))
+    # The first frequency of the band with this remainder; a remainder may have none.
+    lowest = F.col("_k0") + F.pmod(F.col("_r") - F.col("_k0"), F.col("_p"))
+    waves = (first.filter(lowest <= F.col("_k1")).select(*by, "n", "_b", "_c", "_s", F.explode(F.sequence(lowest, F.col("_k1"), F.col("_p"))).alias("_k"))
+             .withColumn("_w", turn * (F.col("_b") * F.col("_k") % F.col("n")) / F.col("n"))
+             .groupBy(*by, "n", "_k").agg(F.sum(F.col("_c") * F.cos("_w") - F.col("_s") * F.sin("_w")).alias("_c"),
+                                          F.sum(F.col("_c") * F.sin("_w") + F.col("_s") * F.cos("_w")).alias("_s")))
     power = F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")
     f = F.col("_k") * (F.lit(1.0) / (F.col("n") * F.lit(1.0 / rows_per_day)))
     bands = [F.sum(F.when((f >= 1 / b) & (f < 1 / a), power).otherwise(0.0)).alias(f"_b{a}") for a, b in _BANDS]

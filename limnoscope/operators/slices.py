@@ -13,6 +13,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from limnoscope.functions.columns import as_col
@@ -50,3 +51,21 @@ def sliced(rows: DataFrame, at, keys: Sequence[str], rows_a_slice: int | None =
     wanted = F.least(F.lit(n), F.ceil(F.col("_size") / F.lit(size)))
     number = F.floor(F.when(x.isNotNull() & F.col("_cuts").isNotNull(), below).otherwise(0) * wanted / F.lit(n)).cast("int")
     return join_keys(rows, cuts, keys).withColumn(name, number).drop("_cuts", "_size")
+
+
+def numbered(rows: DataFrame, at, keys: Sequence[str], order: Sequence[str], name: str = "_pos", total: str = "_n",
+             rows_a_slice: int | None = None) -> DataFrame:
+    """``rows`` (stored or settled) with their position from 0 in ``order`` and the size of their group.
+
+    ``at`` is numeric and never decreases in ``order``. Positions are counted inside slices;
+    the rows of the slices before come from one row per slice.
+    """
+    keys = list(keys)
+    parts = sliced(rows, at, keys, rows_a_slice)
+    place = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order)) - 1
+    counts = parts.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    whole = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*keys, "_slice", before.alias("_before"), F.sum("_c").over(whole).alias(total))
+    return (join_keys(parts.withColumn("_place", place), counts, [*keys, "_slice"])
+            .withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_slice", "_before", "_place"))
