@@ -186,27 +186,29 @@ def _(v):
 
 _GRID_FILL = """axis AS (SELECT site_id, unnest(generate_series(lo, hi, INTERVAL 3 HOUR)) AS cell FROM (
       SELECT site_id, min(cell) AS lo, max(cell) AS hi FROM fast_wide GROUP BY site_id)),
-    full_grid AS (SELECT a.site_id, a.cell, w.temp_0_5, w.conc_0_5, row_number() OVER (PARTITION BY a.site_id ORDER BY a.cell) AS pos
+    full_grid AS (SELECT a.site_id, a.cell, """ + ", ".join(f"w.{c}" for c in WIDE_COLS) + """, row_number() OVER (PARTITION BY a.site_id ORDER BY a.cell) AS pos
       FROM axis a LEFT JOIN fast_wide w USING (site_id, cell))"""
 
 
 def _full_grid(v):
-    wide = v.fast_wide.select("site_id", "cell", "temp_0_5", "conc_0_5")
-    return complete_axis(wide, "cell", "INTERVAL 3 HOURS")
+    return complete_axis(v.fast_wide.select("site_id", "cell", *WIDE_COLS), "cell", "INTERVAL 3 HOURS")
 
 
-@query("interpolated_grid", "site_id:s at:s temp_0_5:d conc_0_5:d",
+@query("interpolated_grid", "site_id:s at:s " + " ".join(f"{c}:d" for c in WIDE_COLS),
        """SELECT site_id, cell AS at, """ + ", ".join(
            f"""CASE WHEN a_{c} IS NULL THEN b_{c}.v WHEN b_{c} IS NULL THEN a_{c}.v WHEN a_{c}.t = b_{c}.t THEN a_{c}.v
-               ELSE a_{c}.v + (b_{c}.v - a_{c}.v) * (epoch(cell) - epoch(a_{c}.t)) / (epoch(b_{c}.t) - epoch(a_{c}.t)) END AS {c}"""
-           for c in ("temp_0_5", "conc_0_5")) + " FROM (SELECT site_id, cell, " + ", ".join(
+               ELSE a_{c}.v + (b_{c}.v - a_{c}.v) * (epoch(cell) - epoch(a_{c}.t)) / (epoch(b_{c}.t) - epoch(a_{c}.t)) END + 1e-8 AS {c}"""
+           for c in WIDE_COLS) + " FROM (SELECT site_id, cell, " + ", ".join(
            f"""last_value(CASE WHEN {c} IS NOT NULL THEN {{'v': {c}, 't': cell}} END IGNORE NULLS) OVER (PARTITION BY site_id ORDER BY cell
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a_{c},
                first_value(CASE WHEN {c} IS NOT NULL THEN {{'v': {c}, 't': cell}} END IGNORE NULLS) OVER (PARTITION BY site_id ORDER BY cell
                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b_{c}"""
-           for c in ("temp_0_5", "conc_0_5")) + " FROM full_grid)", ctes=_GRID_FILL)
+           for c in WIDE_COLS) + " FROM full_grid)", ctes=_GRID_FILL)
 def _(v):
-    return interpolate_time(_full_grid(v), ["temp_0_5", "conc_0_5"]).withColumn("at", F.col("cell"))
+    # Shares of a gap often give halves of the sixth decimal, which two engines round
+    # differently; a hundred-millionth more, here and in the twin, makes them no ties.
+    filled = interpolate_time(_full_grid(v), WIDE_COLS).withColumns({c: F.col(c) + F.lit(1e-8) for c in WIDE_COLS})
+    return filled.withColumn("at", F.col("cell"))
 
 
 @query("interpolated_limited", "site_id:s at:s conc_0_5:d",

@@ -69,7 +69,7 @@ def _(v):
     return feature_correlation(_trend(v), ["trend_dT", "d_thermo_grad"], ["conc_0_5_ahead"])
 
 
-_N_BOOT = 100
+_N_BOOT = 500
 _CDF = "[" + ", ".join(repr(x) for x in __import__("limnoscope.operators.lags", fromlist=["x"]).POISSON1_CDF) + "]"
 
 

@@ -5,18 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from limnoscope.functions.columns import as_col, hours_between
+from limnoscope.operators.slices import join_keys, known_around, numbered
 from limnoscope.schema import KEYS
-
-
-def backward(ts: str, keys: Sequence[str]):
-    """Frame over the current and all later rows, as a growing frame of the
-    reversed order: a frame with an open far end would be rescanned per row."""
-    return (W.partitionBy(*keys).orderBy(F.col(ts).desc())
-            .rowsBetween(W.unboundedPreceding, 0))
+from limnoscope.session import settled
 
 
 def asof_nearest_grid(left: DataFrame, right: DataFrame, columns: Sequence[str], *,
@@ -85,99 +79,98 @@ def asof_filled_grid(left: DataFrame, cells: DataFrame, columns: Sequence[str],
 def asof_nearest(left: DataFrame, right: DataFrame, columns: Sequence[str], *,
                  tolerance_hours: float, left_ts: str = "timestamp", right_ts: str = "timestamp",
                  keys: Sequence[str] = KEYS, matched: str = "matched_at",
-                 chunk_hours: int | None = None) -> DataFrame:
+                 rows_a_slice: int | None = None) -> DataFrame:
     """Nearest right row within a tolerance at arbitrary times, ties to the earlier.
 
-    Time is cut into chunks at least as long as the tolerance and each right row
-    is copied to the chunks its reach touches (two at most), so the window that
-    carries the neighbours covers one chunk of a station and never a whole
-    station.  Of several right rows at one instant the first by value is used.
+    Only the distinct instants of both sides are put in order, in slices of bounded size
+    that carry their last and first right row to each other; a station, or a station's
+    day, that owns a third of all rows is cut like any other.  The matches are joined back
+    to the left rows by instant.  Of several right rows at one instant the first by value
+    is used.
     """
     keys = list(keys)
-    chunk = chunk_hours or max(24, int(tolerance_hours) + 1)
-    if chunk < tolerance_hours:
-        raise ValueError("chunk_hours must not be shorter than the tolerance")
-    origin = F.lit("1970-01-01").cast("timestamp_ntz")
-
-    def number(t: Column) -> Column:
-        return F.floor(hours_between(t, origin) / F.lit(float(chunk)))
-
-    reach = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(tolerance_hours * 3600)))
     payload = F.struct(F.col(right_ts).alias("_rt"), *[F.col(c) for c in columns])
     one = (right.filter(F.col(right_ts).isNotNull())
            .groupBy(*keys, F.col(right_ts).alias("_t")).agg(F.min(payload).alias("_p")))
-    copies = one.withColumn("_chunk", F.explode(F.sequence(
-        number(F.col("_t") - reach), number(F.col("_t") + reach))))
-    rows = left.select(*keys, F.col(left_ts).alias("_t"), number(F.col(left_ts)).alias("_chunk"),
-                       F.struct(*left.columns).alias("_row"))
-    both = rows.unionByName(copies, allowMissingColumns=True)
-    part = W.partitionBy(*keys, "_chunk")
-    upto = part.orderBy("_t").rangeBetween(W.unboundedPreceding, W.currentRow)
-    since = part.orderBy(F.col("_t").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    both = both.select(
-        "_t", "_row",
-        F.last("_p", ignorenulls=True).over(upto).alias("_prev"),
-        F.last("_p", ignorenulls=True).over(since).alias("_next"))
-    back = hours_between("_t", "_prev._rt")
-    ahead = hours_between("_next._rt", "_t")
-    pick = (F.when(back.isNotNull() & (back <= tolerance_hours)
-                   & (ahead.isNull() | (back <= ahead)), F.col("_prev"))
-            .when(ahead.isNotNull() & (ahead <= tolerance_hours), F.col("_next")))
-    return (both.filter(F.col("_row").isNotNull()).withColumn("_m", pick)
-            .select("_row.*", F.col("_m._rt").alias(matched),
-                    *[F.col(f"_m.{c}").alias(c) for c in columns]))
+    asked = left.filter(F.col(left_ts).isNotNull()).groupBy(*keys, F.col(left_ts).alias("_t")).agg(F.lit(True).alias("_asked"))
+    both = asked.unionByName(one, allowMissingColumns=True)
+    both = settled(both.withColumn("_at", seconds_of("_t")))
+    near = known_around(both, "_at", keys, {"p": F.col("_p")}, rows_a_slice=rows_a_slice).filter("_asked")
+    prev, following = F.col("_prev_p"), F.col("_next_p")
+    back = hours_between("_t", prev["_rt"])
+    ahead = hours_between(following["_rt"], "_t")
+    pick = (F.when(back.isNotNull() & (back <= tolerance_hours) & (ahead.isNull() | (back <= ahead)), prev)
+            .when(ahead.isNotNull() & (ahead <= tolerance_hours), following))
+    matches = near.select(*keys, "_t", pick.alias("_m")).filter(F.col("_m").isNotNull())
+    rows = join_keys(left.withColumn("_t", F.col(left_ts)), matches, [*keys, "_t"])
+    return rows.select(*left.columns, F.col("_m._rt").alias(matched), *[F.col(f"_m.{c}").alias(c) for c in columns])
+
+
+def seconds_of(ts) -> Column:
+    """A date or timestamp as seconds, a number in the same order."""
+    return as_col(ts).cast("timestamp").cast("double")
+
+
+#: Grid times of one array at most, when an axis is completed.
+AXIS_BLOCK = 4096
 
 
 def complete_axis(df: DataFrame, ts: str, step: Column | str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Every grid time between a station's first and last one; new rows hold nulls."""
+    """Every grid time between a station's first and last one; new rows hold nulls.
+
+    ``step`` is a day-time interval.  The axis is made in blocks, so a stray far time makes
+    many rows but no long array.
+    """
     keys = list(keys)
     step = F.expr(step) if isinstance(step, str) else step
-    axis = (df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-            .select(*keys, F.explode(F.sequence("_lo", "_hi", step)).alias(ts)))
+    epoch = F.lit("1970-01-01").cast("timestamp")
+    micros = F.unix_micros(epoch + step)
+    n = F.floor((F.unix_micros(F.col("_hi").cast("timestamp")) - F.unix_micros(F.col("_lo").cast("timestamp"))) / micros)
+    spans = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi")).filter(F.col("_lo").isNotNull())
+    blocks = spans.select(*keys, "_lo", n.alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(n / F.lit(AXIS_BLOCK)))).alias("_b"))
+    first = F.col("_b") * AXIS_BLOCK
+    axis = (blocks.select(*keys, "_lo", F.explode(F.sequence(first, F.least(first + (AXIS_BLOCK - 1), F.col("_n")))).alias("_i"))
+            .select(*keys, (F.col("_lo") + step * F.col("_i")).cast(df.schema[ts].dataType).alias(ts)))
     return axis.join(df, [*keys, ts], "left")
 
 
 def interpolate_time(df: DataFrame, columns: Sequence[str], ts: str = "cell",
-                     keys: Sequence[str] = KEYS, limit: int | None = None) -> DataFrame:
+                     keys: Sequence[str] = KEYS, limit: int | None = None, rows_a_slice: int | None = None) -> DataFrame:
     """Linear interpolation in time.
 
     Without ``limit`` both ends are held flat.  With ``limit`` only the first
     ``limit`` rows of a gap are filled, forward only, and the last value is held
     after the end; nothing is filled before the first value.
+
+    All columns are filled in one pass over slices of a station's rows; each slice carries
+    its first and last known values to the others.
     """
-    order = W.partitionBy(*keys).orderBy(ts)
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    since = backward(ts, keys)
-    out = df.withColumn("_pos", F.row_number().over(order))
-    around = {}
-    for c in columns:
-        known = F.when(F.col(c).isNotNull() & ~F.isnan(c),
-                       F.struct(F.col(c).alias("v"), F.col(ts).alias("t"), F.col("_pos").alias("p")))
-        around[f"_a_{c}"] = F.last(known, ignorenulls=True).over(upto)
-        around[f"_b_{c}"] = F.last(known, ignorenulls=True).over(since)
-    out = out.withColumns(around)
+    rows = settled(df.withColumn("_at", seconds_of(ts)))
+    if limit is not None:
+        rows = settled(numbered(rows, "_at", keys, [ts], "_pos", "_size", rows_a_slice))
+    position = F.col("_pos") if limit is not None else F.lit(0).cast("long")
+    known = {f"c{i}": F.when(F.col(c).isNotNull() & ~F.isnan(c), F.struct(F.col(c).alias("v"), F.col(ts).alias("t"), position.alias("p")))
+             for i, c in enumerate(columns)}
+    out = known_around(rows, "_at", keys, known, rows_a_slice=rows_a_slice)
     filled = {}
-    for c in columns:
-        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+    for i, c in enumerate(columns):
+        a, b = F.col(f"_prev_c{i}"), F.col(f"_next_c{i}")
         share = hours_between(ts, a["t"]) / hours_between(b["t"], a["t"])
-        inner = F.when(a["p"] == b["p"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * share)
+        inner = F.when(a["t"] == b["t"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * share)
         if limit is None:
             filled[c] = (F.when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(inner))
         else:
             near = F.col("_pos") - a["p"] <= limit
             filled[c] = F.when(near & b.isNull(), a["v"]).when(near, inner)
-    return out.withColumns(filled).drop("_pos", *around)
+    return out.withColumns(filled).select(*df.columns)
 
 
 def fill_forward(df: DataFrame, columns: Sequence[str], ts: str = "cell",
-                 keys: Sequence[str] = KEYS) -> DataFrame:
+                 keys: Sequence[str] = KEYS, rows_a_slice: int | None = None) -> DataFrame:
     """Carry the last value forward; the head takes the first value there is."""
-    order = W.partitionBy(*keys).orderBy(ts)
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    since = backward(ts, keys)
-    return df.withColumns({
-        c: F.coalesce(F.last(c, ignorenulls=True).over(upto),
-                      F.last(c, ignorenulls=True).over(since)) for c in columns})
+    rows = settled(df.withColumn("_at", seconds_of(ts)))
+    out = known_around(rows, "_at", keys, {f"c{i}": F.col(c) for i, c in enumerate(columns)}, rows_a_slice=rows_a_slice)
+    return out.withColumns({c: F.coalesce(f"_prev_c{i}", f"_next_c{i}") for i, c in enumerate(columns)}).select(*df.columns)
 
 
 def join_sparse(df: DataFrame, sparse: DataFrame, columns: Sequence[str],

@@ -94,33 +94,43 @@ def feature_correlation(df: DataFrame, features: Sequence[str], targets: Sequenc
 POISSON1_CDF = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9))
 
 
+#: Rows of a group that are weighed together.
+BOOTSTRAP_CHUNK = 512
+
+
 def bootstrap_correlation(df: DataFrame, x: str, y: str, row_id: Sequence[str], n_boot: int = 500,
                           seed: int = 0, keys: Sequence[str] = KEYS, min_rows: int = 30) -> DataFrame:
     """95 % interval of the correlation from Poisson-weighted resamples.
 
     The weight of a row in a resample is a Poisson(1) draw from a hash of (seed,
     resample, row id), so the result does not depend on partitioning and no
-    resample is ever materialised: only its weighted moments are summed.
+    resample is ever materialised: only its weighted moments are summed.  Rows are
+    gathered in chunks, dealt by hash; a chunk gives the moments of all resamples, so
+    what is exploded is chunks times resamples, not rows times resamples.
     """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     centre = rows.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"),
                                      F.count(F.lit(1)).alias("n"))
     rows = rows.join(centre, list(keys)).filter(F.col("n") >= min_rows)
-    token = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"),
-                              *[F.col(c).cast("string") for c in row_id]))
-    u = F.conv(F.substring(token, 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32))
-    weight = F.lit(len(POISSON1_CDF))
-    for k in reversed(range(len(POISSON1_CDF))):
-        weight = F.when(u < POISSON1_CDF[k], F.lit(k)).otherwise(weight)
-    draws = (rows.select(*keys, "n", *[c for c in row_id if c not in keys],
-                         (F.col(x) - F.col("_mx")).alias("_x"), (F.col(y) - F.col("_my")).alias("_y"),
-                         F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"))
-             .withColumn("_w", weight.cast("double")).filter("_w > 0"))
-    w, a, b = F.col("_w"), F.col("_x"), F.col("_y")
-    sums = draws.groupBy(*keys, "b").agg(
-        F.sum(w).alias("sw"), F.sum(w * a).alias("sx"), F.sum(w * b).alias("sy"),
-        F.sum(w * a * a).alias("sxx"), F.sum(w * b * b).alias("syy"), F.sum(w * a * b).alias("sxy"),
-        F.max("n").alias("n"))
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in row_id])
+    chunk = F.pmod(F.xxhash64(name), F.ceil(F.col("n") / F.lit(BOOTSTRAP_CHUNK)))
+    chunks = (rows.select(*keys, "n", chunk.alias("_chunk"), F.struct(name.alias("id"), (F.col(x) - F.col("_mx")).alias("x"), (F.col(y) - F.col("_my")).alias("y")).alias("_r"))
+              .groupBy(*keys, "n", "_chunk").agg(F.collect_list("_r").alias("_rows")))
+
+    def weighed(row, b):
+        token = F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), row["id"]))
+        return F.struct((F.conv(F.substring(token, 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32))).alias("u"), row["x"].alias("x"), row["y"].alias("y"))
+
+    def add(acc, r):
+        w = sum(((r["u"] >= c).cast("double") for c in POISSON1_CDF), F.lit(0.0))
+        parts = {"w": w, "x": w * r["x"], "y": w * r["y"], "xx": w * r["x"] * r["x"], "yy": w * r["y"] * r["y"], "xy": w * r["x"] * r["y"]}
+        return F.struct(*[(acc[k] + v).alias(k) for k, v in parts.items()])
+
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("w", "x", "y", "xx", "yy", "xy")])
+    resamples = F.transform(F.sequence(F.lit(1), F.lit(n_boot)),
+                            lambda b: F.aggregate(F.transform("_rows", lambda row: weighed(row, b)), zero, add))
+    sums = (chunks.select(*keys, "n", F.posexplode(resamples).alias("b", "_m")).groupBy(*keys, "b")
+            .agg(*[F.sum(f"_m.{k}").alias(f"s{k}") for k in ("w", "x", "y", "xx", "yy", "xy")], F.max("n").alias("n")).filter("sw > 0"))
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("sw")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("sw")
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("sw")

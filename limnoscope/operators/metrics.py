@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from limnoscope.functions.columns import as_col
 from limnoscope.functions.scores import crps_quantiles, quantile_at
+from limnoscope.operators.slices import known_around
 from limnoscope.schema import KEYS, QUANTILE_LEVELS
+from limnoscope.session import settled
 
 
 def errors(df: DataFrame, prediction: Column | str, observed: Column | str,
@@ -66,21 +67,23 @@ def summary_lattice(scored: DataFrame, keys: Sequence[str] = KEYS, window: str =
     average (window, member, horizon) units.  ``skill_of_means`` compares the
     averaged scores, ``mean_skill`` averages the skill of the units.
     """
-    k = [F.col(c) for c in keys]
-    unit = [*k, F.col(window), F.col(member)]
-    # Both kinds of unit in one pass over the scored rows: horizon is null in the
-    # units of all horizons.
-    units = scored.groupingSets([[*unit, F.col(horizon)], unit], *unit, F.col(horizon)).agg(
-        F.avg("crps").alias("crps"), F.avg("crps_persist").alias("crps_persist"),
-        F.avg("covered").alias("coverage"), F.sqrt(F.avg("sq_err")).alias("rmse"),
-    ).withColumn("skill", skill("crps", "crps_persist"))
-
-    def row(level, part):
-        return F.struct(F.lit(level).alias("level"), part.cast("string").alias("part"))
-
-    whole = F.array(row("window", F.col(window)), row("member", F.col(member)), row("overall", F.lit("all")))
-    tags = F.when(F.col(horizon).isNull(), whole).otherwise(F.array(row("horizon", F.col(horizon))))
-    tagged = units.select(*keys, "crps", "crps_persist", "coverage", "rmse", "skill", F.inline(tags))
+    unit = [*keys, window, member]
+    # The scored rows are read once, into sums per unit and horizon; all else follows from these.
+    metrics = ("crps", "crps_persist", "covered", "sq_err")
+    states = scored.groupBy(*unit, horizon).agg(*[F.sum(c).alias(f"_s_{c}") for c in metrics], *[F.count(c).alias(f"_n_{c}") for c in metrics])
+    per_unit = states.groupBy(*unit).agg(
+        F.collect_list(F.struct(F.col(horizon).alias("h"), *[F.col(f"_{k}_{c}").alias(f"{k}_{c}") for k in "sn" for c in metrics])).alias("_h"),
+        F.struct(*[F.sum(f"_{k}_{c}").alias(f"{k}_{c}") for k in "sn" for c in metrics]).alias("_all"))
+
+    def row(level, part, sums):
+        mean = {c: sums[f"s_{c}"] / F.when(sums[f"n_{c}"] > 0, sums[f"n_{c}"]) for c in metrics}
+        return F.struct(F.lit(level).alias("level"), part.cast("string").alias("part"), mean["crps"].alias("crps"), mean["crps_persist"].alias("crps_persist"),
+                        mean["covered"].alias("coverage"), F.sqrt(mean["sq_err"]).alias("rmse"))
+
+    whole = F.col("_all")
+    rows = F.concat(F.array(row("window", F.col(window), whole), row("member", F.col(member), whole), row("overall", F.lit("all"), whole)),
+                    F.transform("_h", lambda s: row("horizon", s["h"], s)))
+    tagged = per_unit.select(*keys, F.inline(rows)).withColumn("skill", skill("crps", "crps_persist"))
     return tagged.groupBy(*keys, "level", "part").agg(
         F.avg("crps").alias("crps_mean"), F.stddev_pop("crps").alias("crps_std"),
         F.avg("crps_persist").alias("crps_persist"), F.avg("skill").alias("mean_skill"),
@@ -210,28 +213,20 @@ def pit_histogram(df: DataFrame, pit: str = "pit", bins: int = 10, by: Sequence[
 
 
 # --------------------------------------------------------------- data profile
-def interval_counts(df: DataFrame, ts: str, keys: Sequence[str] = KEYS) -> DataFrame:
+def interval_counts(df: DataFrame, ts: str, keys: Sequence[str] = KEYS, rows_a_slice: int | None = None) -> DataFrame:
     """How often each sampling interval (seconds) occurs between consecutive readings.
 
-    Readings at one instant are counted first (their mutual interval is 0), then
-    consecutive instants are compared per day; the step from one day to the next
-    pairs the day's last instant with the next day that has any.  No window
-    spans a station's raw readings.
+    Readings at one instant are counted first (their mutual interval is 0); then each
+    instant is compared with the one before it, in slices of bounded size.
     """
     keys = list(keys)
-    instants = (df.filter(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("_t"))
-                .agg(F.count(F.lit(1)).alias("_n")).withColumn("_d", F.to_date("_t")))
-    day = W.partitionBy(*keys, "_d").orderBy("_t")
-    within = instants.withColumn("_prev", F.lag("_t").over(day))
-    zero = within.select(*keys, F.lit(0.0).alias("seconds"), (F.col("_n") - 1).alias("n")).filter("n > 0")
-    seconds = F.timestamp_diff("MICROSECOND", F.col("_prev"), F.col("_t")) / F.lit(1e6)
-    inside = within.filter(F.col("_prev").isNotNull()).select(*keys, seconds.alias("seconds"), F.lit(1).cast("bigint").alias("n"))
-    ends = instants.groupBy(*keys, "_d").agg(F.min("_t").alias("_t"), F.max("_t").alias("_last"))
-    across = (ends.withColumn("_prev", F.lag("_last").over(W.partitionBy(*keys).orderBy("_d")))
-              .filter(F.col("_prev").isNotNull())
-              .select(*keys, seconds.alias("seconds"), F.lit(1).cast("bigint").alias("n")))
-    return (zero.unionByName(inside).unionByName(across)
-            .groupBy(*keys, "seconds").agg(F.sum("n").alias("n")))
+    instants = (df.filter(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_n")))
+    instants = settled(instants.withColumn("_at", F.unix_micros(F.col("_t").cast("timestamp"))))
+    zero = instants.select(*keys, F.lit(0.0).alias("seconds"), (F.col("_n") - 1).alias("n")).filter("n > 0")
+    before = known_around(instants, "_at", keys, {"t": F.col("_at")}, strict=True, rows_a_slice=rows_a_slice)
+    steps = before.filter(F.col("_prev_t").isNotNull()).select(
+        *keys, ((F.col("_at") - F.col("_prev_t")) / F.lit(1e6)).alias("seconds"), F.lit(1).cast("bigint").alias("n"))
+    return zero.unionByName(steps).groupBy(*keys, "seconds").agg(F.sum("n").alias("n"))
 
 
 def median_interval(counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

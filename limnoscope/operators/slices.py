@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,3 +69,31 @@ def numbered(rows: DataFrame, at, keys: Sequence[str], order: Sequence[str], nam
     counts = counts.select(*keys, "_slice", before.alias("_before"), F.sum("_c").over(whole).alias(total))
     return (join_keys(parts.withColumn("_place", place), counts, [*keys, "_slice"])
             .withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_slice", "_before", "_place"))
+
+
+def known_around(rows: DataFrame, at: str, keys: Sequence[str], known: dict[str, Column], strict: bool = False,
+                 rows_a_slice: int | None = None) -> DataFrame:
+    """``rows`` (stored or settled) with, for each entry of ``known``, ``_prev_<name>`` and ``_next_<name>``.
+
+    These are the nearest non-null values of the expression at or before, and at or after,
+    the row in the order of the numeric column ``at``; with ``strict`` the row itself does
+    not count. Rows of one instant see each other (without ``strict``). Slices are searched
+    on their own; one row per slice carries its first and last known value to the others.
+    """
+    keys = list(keys)
+    parts = sliced(rows, at, keys, rows_a_slice).withColumns({f"_k_{name}": c for name, c in known.items()})
+    inside = W.partitionBy(*keys, "_slice")
+    up, down = inside.orderBy(at), inside.orderBy(F.col(at).desc())
+    up, down = ((w.rowsBetween(W.unboundedPreceding, -1) if strict else w.rangeBetween(W.unboundedPreceding, W.currentRow)) for w in (up, down))
+    ends = parts.groupBy(*keys, "_slice").agg(
+        *[F.max_by(f"_k_{n}", F.when(F.col(f"_k_{n}").isNotNull(), F.col(at))).alias(f"_l_{n}") for n in known],
+        *[F.min_by(f"_k_{n}", F.when(F.col(f"_k_{n}").isNotNull(), F.col(at))).alias(f"_f_{n}") for n in known])
+    whole = W.partitionBy(*keys)
+    before, after = whole.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1), whole.orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_slice", *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_b_{n}") for n in known],
+                       *[F.last(f"_f_{n}", ignorenulls=True).over(after).alias(f"_a_{n}") for n in known])
+    parts = parts.withColumns({f"_prev_{n}": F.last(f"_k_{n}", ignorenulls=True).over(up) for n in known}
+                              | {f"_next_{n}": F.last(f"_k_{n}", ignorenulls=True).over(down) for n in known})
+    out = join_keys(parts, ends, [*keys, "_slice"]).withColumns(
+        {f"_prev_{n}": F.coalesce(f"_prev_{n}", f"_b_{n}") for n in known} | {f"_next_{n}": F.coalesce(f"_next_{n}", f"_a_{n}") for n in known})
+    return out.drop("_slice", *[f"_{c}_{n}" for c in "kba" for n in known])

@@ -121,6 +121,71 @@ def false_alarms(warnings: DataFrame, events: DataFrame, thresholds: Sequence[fl
                        (~excused).alias("false_alarm"))
 
 
+def warning_sweep(series: DataFrame, events: DataFrame, thresholds: Sequence[float] = THRESHOLDS,
+                  lead_days: int = LEAD_DAYS, value: str = "p", day: str = "day",
+                  keys: Sequence[str] = KEYS) -> DataFrame:
+    """Events, episodes and day counts at all thresholds from one pass over days and event starts.
+
+    A day holds its warnings as a bit mask, one bit per threshold, so no row is copied per
+    threshold. Days and the starts of the events inside the series' period are merged in
+    one order per station; running values carry the last warning, the start of the running
+    episode and the reach of the events begun so far, and one look back from the end
+    carries the next event. Rows of the result: ``what`` = days (``n_days``), event
+    (``event_id``, ``start``, ``end``, ``hit``, ``lead_days``) or episode (``start``,
+    ``end``, ``days``, ``false_alarm``), as defined in :func:`event_hits` and
+    :func:`false_alarms`.
+    """
+    keys, taus = list(keys), [float(t) for t in thresholds]
+    if len(taus) > 62:
+        raise ValueError("at most 62 thresholds fit the mask of a day")
+    p = F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")), F.lit(float("-inf")))
+    mask = sum((F.when(p > t, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(taus)), F.lit(0).cast("long"))
+    in_order = W.partitionBy(*keys).orderBy("day")
+    rows = series.select(*keys, F.col(day).alias("day"), mask.alias("_mask"))
+    rows = rows.select(*keys, "day", F.lit(1).alias("_kind"), (F.row_number().over(in_order) - 1).alias("_pos"), "_mask",
+                       F.coalesce(F.lag("_mask").over(in_order), F.lit(0)).alias("_before"), F.coalesce(F.lead("_mask").over(in_order), F.lit(0)).alias("_after"))
+    marks = events.select(*keys, F.col("start").alias("day"), F.lit(0).alias("_kind"), F.struct("event_id", "start", "end").alias("_ev"))
+    whole = W.partitionBy(*keys)
+    on_day = F.when(F.col("_kind") == 1, F.col("day"))
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumns(
+        {"_lo": F.min(on_day).over(whole), "_hi": F.max(on_day).over(whole), "_n": F.count(on_day).over(whole)})
+    both = both.filter(F.col("_ev").isNull() | F.col("day").between(F.col("_lo"), F.col("_hi")))
+    # An event sorts before the row of its own day: only earlier rows count for it.
+    upto = whole.orderBy("day", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    later = whole.orderBy(F.col("day").desc(), F.col("_kind").desc()).rowsBetween(W.unboundedPreceding, 0)
+
+    def bit(column, i):
+        return F.col(column).bitwiseAND(F.lit(1 << i).cast("long")) != 0
+
+    carried = {"_last": F.last("_pos", ignorenulls=True).over(upto), "_inside": F.max("_ev.end").over(upto),
+               "_next": F.last("_ev.start", ignorenulls=True).over(later)}
+    for i in range(len(taus)):
+        begins = bit("_mask", i) & ~bit("_before", i)
+        carried |= {f"_lw{i}": F.last(F.when(bit("_mask", i), F.col("_pos")), ignorenulls=True).over(upto),
+                    f"_ls{i}": F.last(F.when(begins, F.struct("day", "_pos")), ignorenulls=True).over(upto)}
+    swept = both.withColumns(carried)
+    at = F.coalesce(F.col("_last") + 1, F.lit(0))
+    excused = (F.coalesce(F.col("_inside") >= F.col("day"), F.lit(False))
+               | F.coalesce(F.datediff("_next", "day") <= lead_days, F.lit(False)))
+    none = {"n_days": "long", "event_id": dict(events.dtypes)["event_id"], "start": "date", "end": "date", "hit": "boolean", "lead_days": "int",
+            "days": "long", "false_alarm": "boolean"}
+
+    def told(what, t, **values):
+        return F.struct(F.lit(t).alias("theta"), F.lit(what).alias("what"),
+                        *[values.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in none.items()])
+
+    out = []
+    for i, t in enumerate(taus):
+        hit = F.coalesce(F.col(f"_lw{i}") >= F.greatest(F.lit(0), at - F.lit(lead_days)), F.lit(False))
+        out += [
+            F.when(F.col("_pos") == 0, told("days", t, n_days=F.col("_n"))),
+            F.when(F.col("_ev").isNotNull(), told("event", t, event_id=F.col("_ev.event_id"), start=F.col("_ev.start"), end=F.col("_ev.end"), hit=hit,
+                                                  lead_days=F.when(hit, F.datediff("day", f"_ls{i}.day")))),
+            F.when(F.col("_ev").isNull() & bit("_mask", i) & ~bit("_after", i),
+                   told("episode", t, start=F.col(f"_ls{i}.day"), end=F.col("day"), days=F.col("_pos") - F.col(f"_ls{i}._pos") + 1, false_alarm=~excused))]
+    return swept.select(*keys, F.inline(F.filter(F.array(*out), lambda r: r.isNotNull())))
+
+
 def evaluate_warnings(series: DataFrame, events: DataFrame, thresholds: Sequence[float] = THRESHOLDS,
                       lead_days: int = LEAD_DAYS, value: str = "p", day: str = "day",
                       keys: Sequence[str] = KEYS) -> DataFrame:
@@ -128,21 +193,14 @@ def evaluate_warnings(series: DataFrame, events: DataFrame, thresholds: Sequence
 
     ``recall`` is null for a station without an event in the period.
     """
-    ids = [*keys, "theta"]
-    warnings = at_thresholds(series, thresholds, value, day, keys)
-    inside = events_in_period(series, events, day, keys)
-    base = warnings.groupBy(*ids).agg(F.count(F.lit(1)).alias("n_days"))
-    hits = event_hits(warnings, inside, thresholds, lead_days, keys).groupBy(*ids).agg(
-        F.count(F.lit(1)).alias("n_events"), F.sum(F.col("hit").cast("bigint")).alias("n_hit"),
-        F.percentile("lead_days", F.lit(0.5)).alias("lead_median"),
-        F.avg("lead_days").alias("lead_mean"), F.min("lead_days").alias("lead_min"),
-        F.max("lead_days").alias("lead_max"))
-    wrong = F.col("false_alarm")
-    alarms = false_alarms(warnings, inside, thresholds, lead_days, keys).groupBy(*ids).agg(
-        F.count(F.lit(1)).alias("n_episodes"), F.sum(wrong.cast("bigint")).alias("false_episodes"),
-        F.sum(F.when(wrong, F.col("days")).otherwise(0)).alias("false_days"))
-    out = base.join(hits, ids, "left").join(alarms, ids, "left").na.fill(
-        0, ["n_events", "n_hit", "n_episodes", "false_episodes", "false_days"])
+    swept = warning_sweep(series, events, thresholds, lead_days, value, day, keys)
+    event, wrong = F.col("what") == "event", F.coalesce(F.col("false_alarm"), F.lit(False))
+    out = swept.groupBy(*keys, "theta").agg(
+        F.max("n_days").alias("n_days"), F.count_if(event).alias("n_events"), F.count_if(F.col("hit")).alias("n_hit"),
+        F.percentile("lead_days", F.lit(0.5)).alias("lead_median"), F.avg("lead_days").alias("lead_mean"),
+        F.min("lead_days").alias("lead_min"), F.max("lead_days").alias("lead_max"),
+        F.count_if(F.col("what") == "episode").alias("n_episodes"), F.count_if(wrong).alias("false_episodes"),
+        F.coalesce(F.sum(F.when(wrong, F.col("days"))), F.lit(0)).alias("false_days"))
     return (out.withColumn("recall", F.when(F.col("n_events") > 0,
                                             F.col("n_hit") / F.greatest(F.col("n_events"), F.lit(1))))
             .withColumn("false_day_rate", F.col("false_days") / F.col("n_days")))

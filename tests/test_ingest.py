@@ -78,7 +78,7 @@ def test_asof_matches_pandas(spark):
                          tolerance=pd.Timedelta("1h")).set_index("i")["w"].sort_index()
     sl = spark.createDataFrame(left).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
     sr = spark.createDataFrame(right).withColumns({"timestamp": F.col("timestamp").cast("timestamp_ntz"), "w": F.nanvl("w", F.lit(None))})
-    got = asof_nearest(sl, sr, ["w"], tolerance_hours=1, chunk_hours=5).toPandas().set_index("i")["w"].sort_index()
+    got = asof_nearest(sl, sr, ["w"], tolerance_hours=1, rows_a_slice=5).toPandas().set_index("i")["w"].sort_index()
     pd.testing.assert_series_equal(got, want, check_names=False)
 
 
