@@ -11,6 +11,7 @@ from limnoscope.operators.events import (
     merge_runs, run_summary, runs, runs_by_year, surface_dropout, threshold_sensitivity,
 )
 from limnoscope.operators.labels import band_median, bloom_state, layer_quantiles
+from limnoscope.schema import WEATHER_MEASURES
 
 # Loose thresholds: the given values are independent draws, so a strict state
 # (90 % and three layers) hardly ever lasts two days.
@@ -233,7 +234,7 @@ def _(v):
     return out.withColumn("ratio", F.col("event_mean") / F.col("before_mean"))
 
 
-_CTX = ("wind_speed", "air_temp", "rainfall")
+_CTX = (*WEATHER_MEASURES, "delta_T", "thermo_grad")
 
 
 @query("event_context", "site_id:s variable:s event_mean:d event_p25:d event_p75:d other_mean:d other_p25:d other_p75:d",
@@ -241,17 +242,19 @@ _CTX = ("wind_speed", "air_temp", "rainfall")
            f"{agg} FILTER (WHERE {cond}) AS {n}_{st}" for n, cond in (("event", "ie"), ("other", "NOT ie"))
            for st, agg in (("mean", f"avg({c})"), ("p25", f"quantile_cont({c}, 0.25)"), ("p75", f"quantile_cont({c}, 0.75)")))}
            FROM ctx GROUP BY site_id""" for c in _CTX),
-       ctes=LOOSE_EVENTS + """, ctx AS (SELECT w.*, EXISTS (SELECT 1 FROM ev e WHERE e.site_id = w.site_id AND w.day BETWEEN e."start" AND e."end") AS ie
-         FROM weather_days w SEMI JOIN state_loose s ON s.site_id = w.site_id AND s.day = w.day)""")
+       ctes=LOOSE_EVENTS + """, ctx AS (SELECT w.*, d."delta_T", d.thermo_grad, EXISTS (SELECT 1 FROM ev e WHERE e.site_id = w.site_id AND w.day BETWEEN e."start" AND e."end") AS ie
+         FROM weather_days w JOIN daily d ON d.site_id = w.site_id AND d.day = w.day SEMI JOIN state_loose s ON s.site_id = w.site_id AND s.day = w.day)""")
 def _(v):
     state = loose_state(v)
-    days = v.weather.groupBy("site_id", F.to_date("timestamp").alias("day")).agg(*[F.avg(c).alias(c) for c in _CTX])
+    days = v.weather.groupBy("site_id", F.to_date("timestamp").alias("day")).agg(*[F.avg(c).alias(c) for c in WEATHER_MEASURES])
+    # Stratification is known on complete days only.
+    days = days.join(v.daily.select("site_id", "day", "delta_T", "thermo_grad"), ["site_id", "day"])
     days = days.join(state.select("site_id", "day"), ["site_id", "day"], "left_semi")
     return event_context(flag_event_rows(days, events(state, F.col("bloom") == 1)), _CTX)
 
 
 _RISE = LOOSE_EVENTS + """,
-lq90 AS (SELECT site_id, depth, quantile_cont(total_conc, 0.9) AS q FROM cells WHERE depth IN (0.5, 3.0, 5.0, 10.0) GROUP BY ALL),
+lq90 AS (SELECT site_id, depth, quantile_cont(total_conc, 0.9) AS q FROM cells GROUP BY ALL),
 hits AS (SELECT e.site_id, e.event_id, c.depth, c.day, e."start" FROM ev e JOIN cells c ON c.site_id = e.site_id
     AND c.day BETWEEN e."start" - 21 AND e."end" JOIN lq90 l ON l.site_id = c.site_id AND l.depth = c.depth AND c.total_conc >= l.q),
 rises AS (SELECT site_id, event_id, depth, coalesce(max(CASE WHEN CAST(day AS TIMESTAMP) < CAST("start" AS TIMESTAMP) - INTERVAL 6 HOUR THEN day END),
@@ -261,7 +264,7 @@ leads AS (SELECT r.site_id, r.event_id, r.depth, r.rise_at, CAST(date_diff('day'
 
 
 def _rises(v):
-    return layer_rise(v.cells, loose_events(v), depths=(0.5, 3.0, 5.0, 10.0))
+    return layer_rise(v.cells, loose_events(v))
 
 
 @query("layer_rise", "site_id:s event_id:i depth:d rise_day:s lead_days:d", "SELECT *, rise_at AS rise_day FROM leads", ctes=_RISE)

@@ -311,9 +311,9 @@ def _(v):
            f"""SELECT site_id, '{c}' AS variable, count(*) AS n_rows, count({c}) AS n_values, avg({c}) AS mean,
                  quantile_cont({c}, 0.05) AS p5, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.95) AS p95,
                  1 - count({c}) / count(*) AS null_share FROM fast_standard GROUP BY site_id"""
-           for c in ("water_temp", "total_conc", "wind_speed", "rainfall")))
+           for c in ("water_temp", "total_conc", *WEATHER_MEASURES)))
 def _(v):
-    return column_profile(v.fast_standard, ["water_temp", "total_conc", "wind_speed", "rainfall"], ["site_id"])
+    return column_profile(v.fast_standard, ["water_temp", "total_conc", *WEATHER_MEASURES], ["site_id"])
 
 
 @query("sampling_interval", "site_id:s median_seconds:d n_intervals:i",
@@ -355,25 +355,26 @@ def _(v):
     return subset_rmse(v.daily, _SUBSETS, DEPTHS7)
 
 
+_BUDGET = 5
+
+
 def _greedy_sql():
-    """Two greedy steps in SQL: every single depth, then every pair that extends the best."""
-    one = " UNION ALL ".join(
-        f"SELECT site_id, {d} AS d1, {_rebuild_sql((d,))} AS rmse FROM daily GROUP BY site_id" for d in DEPTHS7)
-    two = " UNION ALL ".join(
-        f"SELECT site_id, {a} AS d1, {b} AS d2, {_rebuild_sql(tuple(sorted((a, b))))} AS rmse FROM daily GROUP BY site_id"
-        for a in DEPTHS7 for b in DEPTHS7 if a != b)
-    return one, two
+    """Errors of all subsets up to the budget, then one greedy step after the other."""
+    subsets = [[i for i in range(len(DEPTHS7)) if mask >> i & 1] for mask in range(1, 1 << len(DEPTHS7))]
+    scored = [f"SELECT site_id, {sum(1 << i for i in s)} AS mask, {len(s)} AS k, {_rebuild_sql(tuple(DEPTHS7[i] for i in s))} AS rmse FROM daily GROUP BY site_id"
+              for s in subsets if len(s) <= _BUDGET]
+    ctes = ["subsets AS (" + " UNION ALL ".join(scored) + ")",
+            "step1 AS (SELECT site_id, mask, mask AS added, rmse FROM subsets WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY rmse, mask) = 1)"]
+    for k in range(2, _BUDGET + 1):
+        ctes.append(f"""step{k} AS (SELECT s.site_id, s.mask, s.mask - p.mask AS added, s.rmse FROM subsets s JOIN step{k - 1} p ON p.site_id = s.site_id
+            AND s.k = {k} AND s.mask & p.mask = p.mask QUALIFY row_number() OVER (PARTITION BY s.site_id ORDER BY s.rmse, s.mask) = 1)""")
+    depth = "CASE added " + " ".join(f"WHEN {1 << i} THEN {d}" for i, d in enumerate(DEPTHS7)) + " END"
+    return " UNION ALL ".join(f"SELECT site_id, {k} AS step, {depth} AS depth, rmse FROM step{k}" for k in range(1, _BUDGET + 1)), ", ".join(ctes)
 
 
-_ONE, _TWO = _greedy_sql()
+_GREEDY, _GREEDY_CTES = _greedy_sql()
 
 
-@query("greedy_depths", "site_id:s step:i depth:d rmse:d",
-       """SELECT site_id, 1 AS step, d1 AS depth, rmse FROM first_step
-          UNION ALL SELECT site_id, 2, d2, rmse FROM second_step""",
-       ctes=f"""singles AS ({_ONE}), pairs AS ({_TWO}),
-         first_step AS (SELECT * FROM singles QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY rmse, d1) = 1),
-         second_step AS (SELECT p.* FROM pairs p JOIN first_step f USING (site_id, d1)
-           QUALIFY row_number() OVER (PARTITION BY p.site_id ORDER BY p.rmse, p.d2) = 1)""")
+@query("greedy_depths", "site_id:s step:i depth:d rmse:d", _GREEDY, ctes=_GREEDY_CTES)
 def _(v):
-    return greedy_depths_by_site(v.daily, DEPTHS7, 2)
+    return greedy_depths_by_site(v.daily, DEPTHS7, _BUDGET)

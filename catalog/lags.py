@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.series import cdf_sql
-from catalog.views import DEPTHS7, per_depth
+from catalog.views import DEPTHS7, WIDE_COLS, per_depth
 from limnoscope.operators.features import difference, standard_scores, trend_features, with_season
 from limnoscope.operators.grid import coarsen, unpivot_columns
 from limnoscope.operators.lags import (
@@ -47,9 +47,12 @@ def _(v):
     return correlation_by_period(v.daily, "conc_0_5", "conc_10", F.year("day"))
 
 
-_TREND = """tr0 AS (SELECT site_id, cell, "delta_T" - lag("delta_T", 8) OVER w AS "trend_dT", thermo_grad - lag(thermo_grad, 8) OVER w AS d_thermo_grad,
-    lead(conc_0_5, 8) OVER w - conc_0_5 AS ahead FROM fast_wide WINDOW w AS (PARTITION BY site_id ORDER BY cell)),
+_TREND = """tr0 AS (SELECT site_id, cell, "delta_T" - lag("delta_T", 8) OVER w AS "trend_dT",
+    CASE WHEN p > 8 THEN regr_slope("delta_T", p) OVER (PARTITION BY site_id ORDER BY cell ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) END AS "slope_dT", thermo_grad - lag(thermo_grad, 8) OVER w AS d_thermo_grad,
+    lead(conc_0_5, 8) OVER w - conc_0_5 AS ahead
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY site_id ORDER BY cell) AS DOUBLE) AS p FROM fast_wide) WINDOW w AS (PARTITION BY site_id ORDER BY cell)),
 pairs AS (SELECT site_id, cell, 'trend_dT' AS feature, round("trend_dT", 9) + 0.0 AS x, round(ahead, 9) + 0.0 AS y FROM tr0
+  UNION ALL SELECT site_id, cell, 'slope_dT', round("slope_dT", 9) + 0.0, round(ahead, 9) + 0.0 FROM tr0
   UNION ALL SELECT site_id, cell, 'd_thermo_grad', round(d_thermo_grad, 9) + 0.0, round(ahead, 9) + 0.0 FROM tr0),
 ok AS (SELECT * FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL)"""
 
@@ -57,7 +60,7 @@ ok AS (SELECT * FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL)"""
 def _trend(v):
     """Values at nine decimals, so that ranks tie alike whatever the order of sums."""
     rows = difference(trend_features(v.fast_wide, "cell", drop_head=False), ["conc_0_5"], 8, "cell", suffix="_ahead", ahead=True)
-    return rows.withColumns({c: F.round(c, 9) for c in ("trend_dT", "d_thermo_grad", "conc_0_5_ahead")})
+    return rows.withColumns({c: F.round(c, 9) for c in ("trend_dT", "slope_dT", "d_thermo_grad", "conc_0_5_ahead")})
 
 
 @query("feature_correlation", "site_id:s feature:s pearson:d spearman:d n:i",
@@ -66,7 +69,7 @@ def _trend(v):
               rank() OVER (PARTITION BY site_id, feature ORDER BY y) + (count(*) OVER (PARTITION BY site_id, feature, y) - 1) / 2.0 AS ry FROM ok) GROUP BY ALL""",
        ctes=_TREND)
 def _(v):
-    return feature_correlation(_trend(v), ["trend_dT", "d_thermo_grad"], ["conc_0_5_ahead"])
+    return feature_correlation(_trend(v), ["trend_dT", "slope_dT", "d_thermo_grad"], ["conc_0_5_ahead"])
 
 
 _N_BOOT = 500
@@ -86,7 +89,7 @@ def _(v):
                                  ["site_id", "day"], n_boot=_N_BOOT)
 
 
-_LONG = """lng AS (SELECT site_id, day, 'conc_0_5' AS variable, conc_0_5 AS value FROM daily UNION ALL SELECT site_id, day, 'temp_0_5', temp_0_5 FROM daily),
+_LONG = "lng AS (" + " UNION ALL ".join(f"SELECT site_id, day, '{c}' AS variable, {c} AS value FROM daily" for c in WIDE_COLS) + """),
 num AS (SELECT *, row_number() OVER (PARTITION BY site_id, variable ORDER BY day) AS p, count(*) OVER (PARTITION BY site_id, variable) AS n,
     value - avg(value) OVER (PARTITION BY site_id, variable) AS x FROM lng),
 acf AS (SELECT a.site_id, a.variable, CAST(b.p - a.p AS INTEGER) AS lag, sum(a.x * b.x) / max(v.ss) AS acf, max(a.n) AS n FROM num a
@@ -96,7 +99,7 @@ _BOUND = _LONG + """, dl AS (SELECT site_id, variable, coalesce(min(lag) FILTER
 
 
 def _long(v):
-    return unpivot_columns(v.daily, ["conc_0_5", "temp_0_5"], ["site_id", "day"])
+    return unpivot_columns(v.daily, WIDE_COLS, ["site_id", "day"])
 
 
 @query("autocorrelation", "site_id:s variable:s lag:i acf:d n:i", "SELECT * FROM acf", ctes=_LONG)
@@ -141,20 +144,20 @@ def _(v):
 
 
 # ----------------------------------------------------------- lag screen and edges
-_VARS = ("conc_0_5", "temp_0_5", "humidity", "air_temp")
-_TAU = 10
+_VARS = ("conc_0_5", "conc_3", "conc_10", "temp_0_5", "temp_10", "delta_T", "thermo_grad", "wind_speed", "pressure", "air_temp", "humidity", "rainfall")
+_TAU = 60
 
 
 def _screen_sql():
     z = ", ".join(f"({c} - avg({c}) OVER s) / (stddev_samp({c}) OVER s + 1e-12) AS {c}" for c in _VARS)
     parts = []
-    for t in ("conc_0_5", "temp_0_5"):
+    for t in _VARS:
         for s in _VARS:
             parts.append(f"""SELECT a.site_id, '{t}' AS target, '{s}' AS source, a.p - b.p AS lag, a.{t} AS y, a.{t}_1 AS y1, a.{t}_2 AS y2, a.ss AS s, a.cc AS c,
                b.{s} AS x, a.n FROM zz a JOIN zz b ON b.site_id = a.site_id AND b.p < a.p AND b.p >= a.p - {_TAU} WHERE a.p > {_TAU}""")
     names = ["x", "y", "y1", "y2", "s", "c"]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    ctes = [f"""zz AS (SELECT *, {", ".join(f"lag({t}, {k}) OVER w AS {t}_{k}" for t in ("conc_0_5", "temp_0_5") for k in (1, 2))} FROM (
+    ctes = [f"""zz AS (SELECT *, {", ".join(f"lag({t}, {k}) OVER w AS {t}_{k}" for t in _VARS for k in (1, 2))} FROM (
         SELECT site_id, day, {z}, (sin(2 * pi() * dayofyear(day) / 365.25)) AS ss, cos(2 * pi() * dayofyear(day) / 365.25) AS cc,
           row_number() OVER (PARTITION BY site_id ORDER BY day) AS p, count(*) OVER s AS n FROM daily WINDOW s AS (PARTITION BY site_id))
         WINDOW w AS (PARTITION BY site_id ORDER BY p))""",
@@ -182,7 +185,7 @@ PC_SQL = _screen_sql()
 def _pcorr(v):
     rows = standard_scores(v.daily.select("site_id", "day", *_VARS), _VARS)
     rows = with_season(rows.withColumn("cell", F.col("day").cast("timestamp_ntz")))
-    return partial_correlations(rows, ["conc_0_5", "temp_0_5"], list(_VARS), _TAU, "day")
+    return partial_correlations(rows, list(_VARS), list(_VARS), _TAU, "day")
 
 
 @query("partial_correlations", "site_id:s target:s source:s lag:i pcorr:d n:i", "SELECT * FROM pc", ctes=PC_SQL)
@@ -200,11 +203,11 @@ def _(v):
 
 
 @query("forced_candidates", "site_id:s target:s source:s lag:i",
-       """SELECT site_id, target, source, lag FROM (SELECT DISTINCT site_id FROM daily), (SELECT unnest(['conc_0_5', 'temp_0_5']) AS target),
-            (SELECT unnest(['season_sin', 'season_cos']) AS source), range(1, 11) r(lag)
-          UNION ALL SELECT site_id, target, target, lag FROM (SELECT DISTINCT site_id FROM daily), (SELECT unnest(['conc_0_5', 'temp_0_5']) AS target), range(1, 3) r(lag)""")
+       f"""SELECT site_id, target, source, lag FROM (SELECT DISTINCT site_id FROM daily), (SELECT unnest({list(_VARS)}) AS target),
+            (SELECT unnest(['season_sin', 'season_cos']) AS source), range(1, {_TAU + 1}) r(lag)
+          UNION ALL SELECT site_id, target, target, lag FROM (SELECT DISTINCT site_id FROM daily), (SELECT unnest({list(_VARS)}) AS target), range(1, 3) r(lag)""")
 def _(v):
-    targets = v.daily.select("site_id").distinct().select("site_id", F.explode(F.array(F.lit("conc_0_5"), F.lit("temp_0_5"))).alias("target"))
+    targets = v.daily.select("site_id").distinct().select("site_id", F.explode(F.array(*[F.lit(c) for c in _VARS])).alias("target"))
     return forced_candidates(targets, ("season_sin", "season_cos"), _TAU)
 
 

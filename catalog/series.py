@@ -234,8 +234,8 @@ def _(v):
 
 def _slow_sql():
     cols, fills = [], []
-    for c, std in ((TARGET, True), ("air_temp", False)):
-        for d in (30, 60):
+    for c, std in ((TARGET, True), ("air_temp", True)):
+        for d in (30, 60, 90):
             fr = f"(PARTITION BY site_id ORDER BY day ROWS BETWEEN {d} PRECEDING AND 1 PRECEDING)"
             ok = f"count({c}) OVER {fr} >= {d // 2}"
             cols.append(f"CASE WHEN {ok} THEN avg({c}) OVER {fr} END AS slow_{c}_mean_{d}d")
@@ -256,7 +256,7 @@ _SLOW, _SLOW_COLS = _slow_sql()
 @query("slow_features", "site_id:s day:s " + " ".join(f"{c}:d" for c in _SLOW_COLS), _SLOW)
 def _(v):
     return slow_features(v.daily.select("site_id", "day", TARGET, "air_temp"), [TARGET, "air_temp"], "day",
-                         windows=(30, 60), std_columns=(TARGET,))
+                         std_columns=(TARGET, "air_temp"))
 
 
 @query("trend_features", "site_id:s at:s trend_dT:d slope_dT:d d_thermo_grad:d",
