@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.series import LEVEL_SQL, SAMPLE_SQL, TARGET, cdf_sql, samples, windows
+from catalog.views import floor_sql
 from limnoscope.functions.scores import (
     crps_energy, crps_gaussian, crps_pinball, crps_quantiles, pinball, pit, prob_up_gaussian,
     quantile_at, sorted_quantiles, with_prob_up,
@@ -30,7 +31,7 @@ from limnoscope.operators.metrics import (
 )
 from limnoscope.operators.ranks import roc_auc
 from limnoscope.operators.windows import assign_windows, by_horizon, supervised_windows
-from limnoscope.plans.rolling import member_forecasts
+from limnoscope.plans.rolling import member_forecasts, restored_forecast, skill_by_grid
 from limnoscope.schema import QUANTILE_LEVELS, STRIDE_DAYS, TEST_DAYS
 from limnoscope.session import settled
 
@@ -409,6 +410,66 @@ def _(v):
     return probability_summary(out.withColumn("p_calibrated", F.round("p_calibrated", 9)), "p_calibrated", "rise", ids)
 
 
+# --------------------------------------------------- transformed targets, grids
+_KIND_SQL = {"abs_delta": ("y_h - cur", "cur + {t}"), "rel_delta": ("(y_h - cur) / greatest(cur, 1.0)", "cur + greatest(cur, 1.0) * {t}"),
+             "log_ratio": ("ln(1 + y_h) - ln(1 + cur)", "exp(ln(1 + cur) + {t}) - 1"), "abs_log": ("ln(1 + y_h)", "exp({t}) - 1")}
+_RESTORE_SQL = SAMPLE_SQL + ", targets AS (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, *, {make} AS t FROM sl" for k, (make, _) in _KIND_SQL.items()) + f"""),
+scales AS (SELECT kind, site_id, window_id, stddev_pop(t) + 1e-8 AS scale FROM targets WHERE is_train GROUP BY ALL),
+fitted AS (SELECT kind, site_id, window_id, h, quantile_cont(t / scale, {list(_L3)}) AS tq FROM targets JOIN scales USING (kind, site_id, window_id) WHERE is_train GROUP BY ALL),
+back AS (SELECT t.*, list_transform(tq, lambda v: CASE kind """ + " ".join(
+    f"WHEN '{k}' THEN {undo.format(t='(v * scale)')}" for k, (_, undo) in _KIND_SQL.items()) + """ END) AS q
+  FROM targets t JOIN fitted USING (kind, site_id, window_id, h) JOIN scales USING (kind, site_id, window_id) WHERE NOT is_train)"""
+
+
+@query("restored_quantiles", "kind:s site_id:s window_id:i h:i q10:d q50:d q90:d mae:d n:i",
+       "SELECT kind, site_id, window_id, h, avg(q[1]) AS q10, avg(q[2]) AS q50, avg(q[3]) AS q90, avg(abs(y_h - q[2])) AS mae, count(*) AS n FROM back GROUP BY ALL",
+       ctes=_RESTORE_SQL)
+def _(v):
+    """Quantiles forecast on four transformed, scaled targets, back in concentration."""
+    long = settled(by_horizon(samples(v)))
+    out = None
+    for kind in _KIND_SQL:
+        rows = restored_forecast(long, kind, _L3).withColumn("kind", F.lit(kind))
+        part = rows.groupBy("kind", *IDS, "h").agg(
+            *[F.avg(F.get("q", F.lit(i))).alias(n) for i, n in enumerate(("q10", "q50", "q90"))],
+            F.avg(F.abs(F.col("y_h") - F.get("q", F.lit(1)))).alias("mae"), F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Thirty days of readings: windows of twenty train and five test days, three apart.
+_GRIDS = {"3h": (3, 16, 8), "12h": (12, 4, 2), "1D": (24, 2, 1)}
+_SHORT = {"train_days": 20, "test_days": 5, "stride_days": 3}
+
+
+def _grid_sql():
+    parts, last = [], []
+    for g, (step, t, h) in _GRIDS.items():
+        n = g.lower()
+        parts.append(f"""g{n} AS (SELECT site_id, {floor_sql('cell', step)} AS ts_, avg(conc_0_5) AS c FROM fast_wide GROUP BY ALL),
+s{n} AS (SELECT site_id, min(CAST(ts_ AS DATE)) AS d0, greatest(0, CAST(floor((date_diff('day', min(CAST(ts_ AS DATE)), max(CAST(ts_ AS DATE))) - 20) / 3.0) AS BIGINT) + 1) AS nw FROM g{n} GROUP BY site_id),
+w{n} AS (SELECT g.*, CAST(w AS INTEGER) AS window_id, date_diff('day', d0, CAST(ts_ AS DATE)) < 3 * w + 20 AS tr FROM g{n} g JOIN s{n} USING (site_id),
+  (SELECT unnest(range((SELECT max(nw) FROM s{n}))) AS w) r WHERE w < nw AND date_diff('day', d0, CAST(ts_ AS DATE)) >= 3 * w AND date_diff('day', d0, CAST(ts_ AS DATE)) < 3 * w + 25),
+p{n} AS (SELECT *, row_number() OVER o - 1 AS p, count(*) OVER (PARTITION BY site_id, window_id) AS n, sum(CAST(tr AS INTEGER)) OVER (PARTITION BY site_id, window_id) AS ntr,
+  {', '.join(f'lead(c, {k}) OVER o AS y{k}' for k in range(1, h + 1))} FROM w{n} WINDOW o AS (PARTITION BY site_id, window_id ORDER BY ts_)),
+l{n} AS (SELECT site_id, window_id, c AS cur, p - {t - 1} < greatest(0, ntr - {t + h - 1}) AS is_train, unnest([{', '.join(f"{{'h': {k}, 'y': y{k}}}" for k in range(1, h + 1))}]) AS z
+  FROM p{n} WHERE p - {t - 1} >= 0 AND p - {t - 1} < n - {t + h})""")
+        last.append(f"SELECT '{g}' AS grid, {step} AS step, site_id, window_id, cur, is_train, z.h AS h, z.y AS y_h FROM l{n}")
+    parts.append("every AS (" + " UNION ALL ".join(last) + ")")
+    parts.append(f"""chg AS (SELECT grid, site_id, window_id, h, quantile_cont(y_h - cur, {list(LEVELS)}) AS dq FROM every WHERE is_train GROUP BY ALL),
+gfc AS (SELECT e.*, list_transform(dq, lambda v: v + cur) AS q FROM every e JOIN chg USING (grid, site_id, window_id, h) WHERE NOT is_train)""")
+    return ", ".join(parts) + "," + crps_sql("gs", "gfc")
+
+
+@query("skill_by_grid", "grid:s site_id:s window_id:i h:i lead_hours:i crps:d crps_persist:d skill:d n:i",
+       """SELECT *, CASE WHEN crps_persist <> 0 THEN 100 * (crps_persist - crps) / crps_persist END AS skill FROM (
+            SELECT grid, site_id, window_id, h, h * step AS lead_hours, avg(crps) AS crps, avg(abs(y_h - cur)) AS crps_persist, count(*) AS n FROM gs GROUP BY ALL)""",
+       ctes=_grid_sql())
+def _(v):
+    return skill_by_grid(v.fast_wide, _GRIDS, TARGET, **_SHORT)
+
+
 # ------------------------------------------------------------------ conformal
 # Calibration pool: the change forecasts of all windows whose test part ends before the
 # last window's begins; groups are (station, horizon) over many windows.

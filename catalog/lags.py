@@ -146,18 +146,20 @@ def _(v):
 # ----------------------------------------------------------- lag screen and edges
 _VARS = ("conc_0_5", "conc_3", "conc_10", "temp_0_5", "temp_10", "delta_T", "thermo_grad", "wind_speed", "pressure", "air_temp", "humidity", "rainfall")
 _TAU = 60
+# The screen and the edges: as many sources as one plan takes beside the windows that rank them.
+_SCREENED, _TARGETS, _SCREEN_TAU = ("conc_0_5", "temp_0_5", "humidity", "air_temp"), ("conc_0_5", "temp_0_5"), 10
 
 
-def _screen_sql():
-    z = ", ".join(f"({c} - avg({c}) OVER s) / (stddev_samp({c}) OVER s + 1e-12) AS {c}" for c in _VARS)
+def _screen_sql(sources, targets, tau):
+    z = ", ".join(f"({c} - avg({c}) OVER s) / (stddev_samp({c}) OVER s + 1e-12) AS {c}" for c in sources)
     parts = []
-    for t in _VARS:
-        for s in _VARS:
+    for t in targets:
+        for s in sources:
             parts.append(f"""SELECT a.site_id, '{t}' AS target, '{s}' AS source, a.p - b.p AS lag, a.{t} AS y, a.{t}_1 AS y1, a.{t}_2 AS y2, a.ss AS s, a.cc AS c,
-               b.{s} AS x, a.n FROM zz a JOIN zz b ON b.site_id = a.site_id AND b.p < a.p AND b.p >= a.p - {_TAU} WHERE a.p > {_TAU}""")
+               b.{s} AS x, a.n FROM zz a JOIN zz b ON b.site_id = a.site_id AND b.p < a.p AND b.p >= a.p - {tau} WHERE a.p > {tau}""")
     names = ["x", "y", "y1", "y2", "s", "c"]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    ctes = [f"""zz AS (SELECT *, {", ".join(f"lag({t}, {k}) OVER w AS {t}_{k}" for t in _VARS for k in (1, 2))} FROM (
+    ctes = [f"""zz AS (SELECT *, {", ".join(f"lag({t}, {k}) OVER w AS {t}_{k}" for t in targets for k in (1, 2))} FROM (
         SELECT site_id, day, {z}, (sin(2 * pi() * dayofyear(day) / 365.25)) AS ss, cos(2 * pi() * dayofyear(day) / 365.25) AS cc,
           row_number() OVER (PARTITION BY site_id ORDER BY day) AS p, count(*) OVER s AS n FROM daily WINDOW s AS (PARTITION BY site_id))
         WINDOW w AS (PARTITION BY site_id ORDER BY p))""",
@@ -179,18 +181,18 @@ def _screen_sql():
     return ", ".join(ctes)
 
 
-PC_SQL = _screen_sql()
+PC_SQL = _screen_sql(_SCREENED, _TARGETS, _SCREEN_TAU)
 
 
-def _pcorr(v):
-    rows = standard_scores(v.daily.select("site_id", "day", *_VARS), _VARS)
+def _pcorr(v, sources=_SCREENED, targets=_TARGETS, tau=_SCREEN_TAU):
+    rows = standard_scores(v.daily.select("site_id", "day", *sources), sources)
     rows = with_season(rows.withColumn("cell", F.col("day").cast("timestamp_ntz")))
-    return partial_correlations(rows, list(_VARS), list(_VARS), _TAU, "day")
+    return partial_correlations(rows, list(targets), list(sources), tau, "day")
 
 
-@query("partial_correlations", "site_id:s target:s source:s lag:i pcorr:d n:i", "SELECT * FROM pc", ctes=PC_SQL)
+@query("partial_correlations", "site_id:s target:s source:s lag:i pcorr:d n:i", "SELECT * FROM pc", ctes=_screen_sql(_VARS, _VARS, _TAU))
 def _(v):
-    return _pcorr(v)
+    return _pcorr(v, _VARS, _VARS, _TAU)
 
 
 @query("lag_screen", "site_id:s target:s source:s lag:i pcorr:d source_rank:i lag_rank:i",

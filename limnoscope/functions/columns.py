@@ -157,6 +157,16 @@ def from_target(kind: str, current, target, floor: float = 1.0) -> Column:
     raise ValueError(f"unknown target kind: {kind}")
 
 
+def quantiles_from_target(kind: str, current, quantiles, scale=1.0, floor: float = 1.0) -> Column:
+    """A quantile forecast of a scaled target, an array, back to concentration.
+
+    ``scale`` is what the target was divided by (:func:`windows.target_scale`). All
+    transforms increase with the target, so the order of the levels is kept.
+    """
+    unit = as_col(scale) if not isinstance(scale, float) else F.lit(scale)
+    return F.transform(as_col(quantiles), lambda q: from_target(kind, current, q * unit, floor))
+
+
 # ---------------------------------------------------------------- normal law
 # --- fixed values: Abramowitz & Stegun 7.1.26, |error| <= 1.5e-7 ------------
 ERF_P = 0.3275911

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from limnoscope.functions.columns import to_target
 from limnoscope.schema import (
     EPS, HORIZON, KEYS, LOOK_BACK, STRIDE_DAYS, TEST_DAYS, TRAIN_DAYS,
 )
@@ -140,6 +141,12 @@ def delta_scale(samples: DataFrame, keys: Sequence[str] = ("site_id", "window_id
                                 F.count("_d").alias("n_deltas")))
 
 
+def target_scale(samples_h: DataFrame, kind: str, keys: Sequence[str] = ("site_id", "window_id"), floor: float = 1.0) -> DataFrame:
+    """Population std of a transformed target over all train samples and horizons of a window, plus epsilon: ``scale``."""
+    target = to_target(kind, "cur", "y_h", floor)
+    return samples_h.filter("is_train").groupBy(*keys).agg((F.stddev_pop(target) + F.lit(EPS)).alias("scale"), F.count(target).alias("n_targets"))
+
+
 def window_norm_stats(rows: DataFrame, columns: Sequence[str],
                       keys: Sequence[str] = ("site_id", "window_id")) -> DataFrame:
     """Train-row mean and sample std (+ epsilon) per window and column, long form."""

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnoscope.operators.forecast import climatology, month_quantiles, persistence, train_changes
-from limnoscope.operators.metrics import score_rows, summary_lattice
-from limnoscope.operators.windows import assign_windows, by_horizon, supervised_windows
+from limnoscope.functions.columns import quantiles_from_target, to_target
+from limnoscope.operators.forecast import climatology, month_quantiles, train_changes
+from limnoscope.operators.grid import coarsen
+from limnoscope.operators.metrics import score_rows, skill, summary_lattice
+from limnoscope.operators.windows import assign_windows, by_horizon, supervised_windows, target_scale
 from limnoscope.schema import HORIZON, LOOK_BACK, QUANTILE_LEVELS
 
 
@@ -45,9 +47,43 @@ def member_forecasts(daily: DataFrame, target: str = "conc_0_5",
     return test.select("site_id", "window_id", "origin", "h", "cur", "y_h", F.inline(members))
 
 
-def persistence_forecast(daily: DataFrame, target: str = "conc_0_5", **options) -> DataFrame:
-    samples = window_samples(daily, target, **options)
-    return persistence(by_horizon(samples).filter(~F.col("is_train")))
+def restored_forecast(samples_h: DataFrame, kind: str, levels: Sequence[float] = QUANTILE_LEVELS,
+                      ids: Sequence[str] = ("site_id", "window_id")) -> DataFrame:
+    """Quantile forecast made on a transformed and scaled target and brought back: test rows with ``q`` in concentration.
+
+    The forecast of a horizon is the train part's quantiles of the target in units of the
+    window's scale; :func:`columns.quantiles_from_target` undoes scale and transform with
+    each row's current value.
+    """
+    ids = list(ids)
+    scaled = samples_h.join(target_scale(samples_h, kind, ids).select(*ids, "scale"), ids).withColumn("_t", to_target(kind, "cur", "y_h") / F.col("scale"))
+    p = F.array(*[F.lit(float(v)) for v in levels])
+    fitted = scaled.filter("is_train").groupBy(*ids, "h").agg(F.percentile("_t", p).alias("_q"))
+    test = scaled.filter(~F.col("is_train")).join(fitted, [*ids, "h"])
+    return test.withColumn("q", quantiles_from_target(kind, "cur", F.col("_q"), F.col("scale"))).drop("_t", "_q")
+
+
+def skill_by_grid(wide: DataFrame, grids: dict[str, tuple[int, int, int]], target: str = "conc_0_5",
+                  levels: Sequence[float] = QUANTILE_LEVELS, cell: str = "cell", **protocol) -> DataFrame:
+    """CRPS of the change forecast and of persistence per grid, window and horizon, and the skill in percent.
+
+    ``grids`` names a grid by its step in hours, look-back and horizon in steps; ``wide`` is
+    on the finest one. Windows are cut by calendar day on every grid, so that equal windows
+    and equal lead times (``lead_hours``) can be compared.
+    """
+    out = None
+    for grid, (step, look_back, horizon) in grids.items():
+        rows = coarsen(wide.select("site_id", cell, target), step_hours=step, cell=cell).withColumn("day", F.to_date(cell))
+        samples = supervised_windows(assign_windows(rows, **protocol), target, ts=cell, look_back=look_back, horizon=horizon)
+        long = by_horizon(samples)
+        change, _ = train_changes(long, levels)
+        test = long.filter(~F.col("is_train")).join(change, ["site_id", "window_id", "h"])
+        scored = score_rows(test.withColumn("q", F.transform("change", lambda v: v + F.col("cur"))), levels)
+        part = scored.groupBy("site_id", "window_id", "h").agg(
+            F.avg("crps").alias("crps"), F.avg("crps_persist").alias("crps_persist"), F.count(F.lit(1)).alias("n"))
+        part = part.select(F.lit(grid).alias("grid"), "*", (F.col("h") * step).alias("lead_hours"), skill("crps", "crps_persist").alias("skill"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def rolling_report(daily: DataFrame, target: str = "conc_0_5",
