@@ -46,11 +46,11 @@ def sliced(rows: DataFrame, at, keys: Sequence[str], rows_a_slice: int | None =
     if n <= 1:
         return rows.withColumn(name, F.lit(0))
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    cuts = settled(rows.groupBy(*keys).agg(F.approx_percentile(x, probs, F.lit(20 * n)).alias("_cuts"), F.count(F.lit(1)).alias("_size")))
-    below = F.size(F.filter("_cuts", lambda c: c < x))
-    wanted = F.least(F.lit(n), F.ceil(F.col("_size") / F.lit(size)))
-    number = F.floor(F.when(x.isNotNull() & F.col("_cuts").isNotNull(), below).otherwise(0) * wanted / F.lit(n)).cast("int")
-    return join_keys(rows, cuts, keys).withColumn(name, number).drop("_cuts", "_size")
+    cuts = settled(rows.groupBy(*keys).agg(F.approx_percentile(x, probs, F.lit(20 * n)).alias("_slice_cuts"), F.count(F.lit(1)).alias("_slice_rows")))
+    below = F.size(F.filter("_slice_cuts", lambda c: c < x))
+    wanted = F.least(F.lit(n), F.ceil(F.col("_slice_rows") / F.lit(size)))
+    number = F.floor(F.when(x.isNotNull() & F.col("_slice_cuts").isNotNull(), below).otherwise(0) * wanted / F.lit(n)).cast("int")
+    return join_keys(rows, cuts, keys).withColumn(name, number).drop("_slice_cuts", "_slice_rows")
 
 
 def numbered(rows: DataFrame, at, keys: Sequence[str], order: Sequence[str], name: str = "_pos", total: str = "_n",
