@@ -137,3 +137,15 @@ def remove_chunks(docs: DataFrame, least: int = LEAST, average: int = AVERAGE, m
     found = repeated_chunks(numbered, least, average, most, id_col, text_col, "_row").where("n_removed > 0")
     joined = numbered.join(found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "_row", "left")
     return joined.select(*docs.columns, "_spans").mapInArrow(_cleaned(docs.columns.index(text_col)), docs.schema)
+
+
+def chunk_report(docs: DataFrame, least: int = LEAST, average: int = AVERAGE, most: int = MOST, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """The report of :func:`repeated_chunks` with the text that is left as ``text`` (null stays null)."""
+    # stored, so that both uses see the same numbers
+    numbered = materialise(docs.select(F.col(id_col), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")))
+    found = repeated_chunks(numbered, least, average, most, id_col, "text", "row")
+    joined = numbered.select("row", "text").join(found, "row")
+    columns = [id_col, "n_bytes", "n_chunks", "n_removed_chunks", "n_removed", "spans", "text"]
+    shown = joined.select(*columns, F.col("spans").alias("cut_at"))
+    return shown.mapInArrow(_cleaned(columns.index("text")), shown.schema[:-1])

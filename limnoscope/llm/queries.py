@@ -68,9 +68,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' repeated chunks, all but the first of each."""
-    docs = read_table(spark, sf_dir, "documents").withColumn("row", F.monotonically_increasing_id())
-    return chunk_dedup.repeated_chunks(docs).select("doc_id", "n_bytes", "n_chunks", "n_removed_chunks", "n_removed", "spans")
+    """Documents' repeated chunks, all but the first of each, and what is left of the texts."""
+    return chunk_dedup.chunk_report(read_table(spark, sf_dir, "documents"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
