@@ -626,7 +626,7 @@ arp AS (SELECT t.site_id, t.i, h, any_value(t.mu) + sum(b * q.x) AS pred FROM ar
 
 @query("autoregression_errors", "site_id:s h:i rmse:d mae:d n:i",
        "SELECT p.site_id, p.h, sqrt(avg(pow(y.v - pred, 2))) AS rmse, avg(abs(y.v - pred)) AS mae, count(*) AS n FROM arp p JOIN ar y ON y.site_id = p.site_id AND y.i = p.i + p.h GROUP BY ALL",
-       ctes=_AR_SQL)
+       ctes=_AR_SQL, recursive=True)
 def _(v):
     rows = autoregression(v.daily.select("site_id", "day", TARGET), TARGET, "day", order=_ORDER, horizon=7)
     return errors(rows, "pred", "y_h", ["site_id", "h"])

@@ -197,7 +197,7 @@ def _full_grid(v):
 @query("interpolated_grid", "site_id:s at:s " + " ".join(f"{c}:d" for c in WIDE_COLS),
        """SELECT site_id, cell AS at, """ + ", ".join(
            f"""CASE WHEN a_{c} IS NULL THEN b_{c}.v WHEN b_{c} IS NULL THEN a_{c}.v WHEN a_{c}.t = b_{c}.t THEN a_{c}.v
-               ELSE a_{c}.v + (b_{c}.v - a_{c}.v) * (epoch(cell) - epoch(a_{c}.t)) / (epoch(b_{c}.t) - epoch(a_{c}.t)) END + 1e-8 AS {c}"""
+               ELSE a_{c}.v + (b_{c}.v - a_{c}.v) * (epoch(cell) - epoch(a_{c}.t)) / (epoch(b_{c}.t) - epoch(a_{c}.t)) END AS {c}"""
            for c in WIDE_COLS) + " FROM (SELECT site_id, cell, " + ", ".join(
            f"""last_value(CASE WHEN {c} IS NOT NULL THEN {{'v': {c}, 't': cell}} END IGNORE NULLS) OVER (PARTITION BY site_id ORDER BY cell
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a_{c},
@@ -205,9 +205,7 @@ def _full_grid(v):
                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b_{c}"""
            for c in WIDE_COLS) + " FROM full_grid)", ctes=_GRID_FILL)
 def _(v):
-    # Shares of a gap often give halves of the sixth decimal, which two engines round
-    # differently; a hundred-millionth more, here and in the twin, makes them no ties.
-    filled = interpolate_time(_full_grid(v), WIDE_COLS).withColumns({c: F.col(c) + F.lit(1e-8) for c in WIDE_COLS})
+    filled = interpolate_time(_full_grid(v), WIDE_COLS)
     return filled.withColumn("at", F.col("cell"))
 
 
