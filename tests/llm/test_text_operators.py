@@ -357,3 +357,21 @@ def test_keep_one_leaves_one_of_rows_equal_in_id_and_text(spark):
     got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert sorted(r.doc_id for r in got) == [1, 3, 3, 4]
     assert {r.lang for r in got} - {"a", "b"} == {"d", "e", "g"}
+
+
+def test_chunk_report_shows_what_is_left(docs, corpus, no_docs):
+    got = chunk_dedup.chunk_report(docs).collect()
+    assert len(got) == len(corpus) and chunk_dedup.chunk_report(no_docs).count() == 0
+    left = {}
+    for r in got:
+        left.setdefault(r.doc_id, []).append(r)
+    for doc_id, text in corpus:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        fits = [r for r in left[doc_id] if r.n_bytes == len(raw) and (r.text is None) == (text is None)]
+        kept = []
+        for r in fits:
+            parts, at = [], 0
+            for s in r.spans:
+                parts, at = [*parts, raw[at:s.a]], s.b
+            kept.append(b"".join([*parts, raw[at:]]).decode("utf-8", "ignore") == (r.text or ""))
+        assert any(kept), doc_id
