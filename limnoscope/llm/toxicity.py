@@ -7,15 +7,18 @@ spans seven at most, so insults with inserted or missing characters still match
 characters. A sentence is as toxic as its worst word, a text as its worst sentences.
 
 Fitting takes a bounded sample of labelled texts (``class_rows`` of each label,
-by hash of the id). Their different sentences are the training rows: a sentence
-of a toxic text is an example if it holds a word that toxic sentences prefer,
-sentences that clean texts have are counter-examples. Landmarks are the words
-that tell labels apart best and the most frequent clean ones; the kernel to them,
-whitened, is the feature space of a squared-hinge machine. Because each kernel is
-a sum over subsequences, the machine is one table of a weight per subsequence
-(2**20 entries, fixed), which is all that scoring tasks are given. A logistic
-curve over a text's worst words, fitted on the sample's texts with the labels'
-real shares, gives the score.
+by hash of the id). A sentence stands for its worst word. Every sentence of a clean
+text is a counter-example; of a toxic text it is only known that some sentence is
+toxic, so the machine finds out which: the first guess of each toxic text is its
+word with the largest log-odds, and each round then takes, from all words of all
+sentences, those that the last machine finds worst (toxic texts) or nearly toxic
+(clean texts). No list of words gates the examples. Landmarks are chosen among the
+guesses and among clean words by k-means++ seeding on kernel distances; the kernel
+to them, whitened, is the feature space of a squared-hinge machine. Because each
+kernel is a sum over subsequences, the machine is one table of a weight per
+subsequence (2**20 entries, fixed), which is all that scoring tasks are given. A
+logistic curve over a text's worst words, fitted on the sample's texts with the
+labels' real shares, gives the score.
 
 Cases: null and empty texts score as texts without words; repeated rows score
 alike; labels that are null, or whose id is null, are left out, and an id with
@@ -49,8 +52,13 @@ STOPS = np.zeros(256, bool)
 STOPS[[10, 33, 46, 63]] = True
 
 CLASS_ROWS = 5000
-SENTENCES = 6000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 64
+#: Clean words that the first machine sees: the most frequent ones, and others by hash.
+FREQUENT_WORDS, OTHER_WORDS = 1000, 4000
+#: Rounds of choosing examples, and words that a text of the sample gives at most.
+ROUNDS, TOXIC_WORDS, CLEAN_WORDS = 3, 8, 4
+#: Words whose features are worked out in one step.
+STEP_WORDS = 256
 FEATURES = 6
 
 
@@ -167,29 +175,50 @@ class ToxicityModel:
         return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
-def _sentences(frames):
-    """Labelled texts to (digest of the sentence, its label, its words without punctuation)."""
-    drop = bytes(i for i in range(256) if CODES[LOWER[i]] == 255)
+_DROP = bytes(i for i in range(256) if CODES[LOWER[i]] == 255)
+
+
+def _plain(raw: bytes) -> str:
+    """A lower-cased word without punctuation."""
+    return raw.translate(None, _DROP).decode("utf-8", "ignore")
+
+
+def _words(frames):
+    """Texts to their different words."""
     for frame in frames:
-        out = []
-        for text, toxic in zip(frame.text, frame.toxic, strict=True):
-            raw = bytes(LOWER[np.frombuffer((text or "").encode(), np.uint8)])
-            for part in raw.replace(b"!", b".").replace(b"?", b".").replace(b"\n", b".").split(b"."):
-                words = {w.translate(None, drop) for w in WORD_BYTES.findall(part)} - {b""}
-                if words:
-                    joined = b" ".join(sorted(words))
-                    spot = np.frombuffer(joined, np.uint8)
-                    digest = signed(span_hash(prefix_hash(spot), np.zeros(1, np.int64), np.full(1, len(spot))))[0]
-                    out.append((int(digest), int(toxic), sorted(w.decode("utf-8", "ignore") for w in words)))
-        yield pd.DataFrame(out, columns=["digest", "toxic", "words"])
-
-
-def _witness(odds: dict[str, float]):
-    """The largest log-odds of each sentence's words."""
+        found = []
+        for text in frame.text:
+            raw = bytes(LOWER[np.frombuffer((text or "").encode("utf-8", "ignore"), np.uint8)])
+            found.append(sorted({_plain(w) for w in WORD_BYTES.findall(raw)} - {""}))
+        yield pd.DataFrame({"node": frame.node, "toxic": frame.toxic, "words": found})
+
+
+def _witnesses(table: np.ndarray, bias: float):
+    """Texts to examples: the worst words of a toxic text's sentences, those of a clean text that are near the margin."""
     def run(frames):
         for frame in frames:
-            best = [max((odds.get(w, 0.0) for w in words), default=0.0) for words in frame.words]
-            yield frame.assign(best=best)
+            out = []
+            for text, toxic in zip(frame.text, frame.toxic, strict=True):
+                data = LOWER[np.frombuffer((text or "").encode("utf-8", "ignore"), np.uint8)]
+                starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+                if not len(starts):
+                    continue
+                _, one, back = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+                margin = word_margins(data, starts[one], ends[one], table, bias)[back]
+                sentence = np.cumsum(STOPS[data])[starts]
+                order = np.lexsort((-margin, sentence))
+                new = np.ones(len(order), bool)
+                new[1:] = sentence[order[1:]] != sentence[order[:-1]]
+                worst = order[new]
+                worst = worst[np.argsort(-margin[worst], kind="stable")]
+                near = int((margin[worst] > (0 if toxic else -1)).sum())
+                words = {}
+                for i in worst[:max(near, int(toxic))].tolist():
+                    words.setdefault(_plain(data[starts[i]:ends[i]].tobytes()), margin[i])
+                    if len(words) == (TOXIC_WORDS if toxic else CLEAN_WORDS):
+                        break
+                out += [(int(toxic), w) for w in words if w]
+            yield pd.DataFrame(out, columns=["toxic", "word"])
 
     return run
 
@@ -224,38 +253,89 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def _fit_machine(rows: list[tuple[int, list[str], float]], marks: list[str], toxic: set[str]) -> tuple[np.ndarray, float]:
-    """Table of subsequence weights and bias, from sentences (label, words, log-odds of the best word)."""
-    parts = [subsequences(w.encode()) for w in marks]
-    keys = np.unique(np.fromiter((k for p in parts for k in p), np.int64))
-    grid = np.zeros((len(keys), len(marks)))
-    for j, p in enumerate(parts):
-        grid[np.searchsorted(keys, list(p)), j] = list(p.values())
-    spread, turn = np.linalg.eigh(grid.T @ grid)
-    good = spread > 1e-6 * spread[-1]
-    whiten = turn[:, good] / np.sqrt(spread[good])
-    words = sorted({w for _, ws, _ in rows for w in ws})
-    place = {w: i for i, w in enumerate(words)}
-    phi = np.zeros((len(words), whiten.shape[1]), np.float32)  # the largest array on the driver
-    for i, w in enumerate(words):
-        s = subsequences(w.encode())
-        k, v = np.fromiter(s, np.int64, len(s)), np.fromiter(s.values(), float, len(s))
-        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        hit = keys[at] == k
-        if hit.any():
-            phi[i] = (v[hit] @ grid[at[hit]]) @ whiten
-    y = np.array([1.0 if label else -1.0 for label, _, _ in rows])
-    cost = np.where(y > 0, 1.0, 1.0) * 4.0
-    members = [np.array([place[w] for w in ws]) for _, ws, _ in rows]
-    prior = np.array([1.0 if w in toxic else 0.0 for w in words])
-    pick = np.array([m[np.argmax(prior[m])] for m in members])
-    for _ in range(4):  # a sentence stands for the word that the last machine finds worst
-        w = _machine(phi[pick], y, cost)
-        margin = phi @ w[:-1] + w[-1]
-        pick = np.array([m[np.argmax(margin[m])] for m in members])
+def _joined(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of words one after the other, starts and ends."""
+    raw = [w.encode() for w in words]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+    return np.frombuffer(b"".join(raw), np.uint8), np.append(0, ends[:-1]).astype(np.int64)[:len(raw)], ends
+
+
+def _table(word: str) -> np.ndarray:
+    """The subsequences of one word as a table of weights."""
     table = np.zeros(1 << 20, np.float32)
-    table[keys] = grid @ (whiten @ w[:-1])
-    return table, float(w[-1])
+    parts = subsequences(word.encode())
+    table[list(parts)] = list(parts.values())
+    return table
+
+
+def landmarks(words: list[str], weights: np.ndarray, n: int, seed: int) -> list[str]:
+    """``n`` of the words, each drawn by weight times the squared kernel distance to those drawn before."""
+    rng = np.random.default_rng(seed)
+    data, starts, ends = _joined(words)
+    own = np.fromiter((sum(v * v for v in subsequences(w.encode()).values()) for w in words), float, len(words))
+    far, chosen = np.full(len(words), np.inf), []
+    for _ in range(min(n, len(words))):
+        gain = weights * (own if not chosen else far)
+        gain[chosen] = 0.0
+        if not gain.sum() > 0:
+            break
+        at = int(rng.choice(len(words), p=gain / gain.sum()))
+        chosen.append(at)
+        near = word_margins(data, starts, ends, _table(words[at]), 0.0)
+        far = np.minimum(far, np.maximum(own + own[at] - 2 * near, 0.0))
+    return [words[i] for i in chosen]
+
+
+class Landmarks:
+    """Whitened kernel features of words to a few landmark words."""
+
+    def __init__(self, marks: list[str]):
+        parts = [subsequences(w.encode()) for w in marks]
+        self.keys = np.unique(np.fromiter((k for p in parts for k in p), np.int64))
+        self.grid = np.zeros((len(self.keys), len(marks)), np.float32)
+        for j, p in enumerate(parts):
+            self.grid[np.searchsorted(self.keys, list(p)), j] = list(p.values())
+        spread, turn = np.linalg.eigh((self.grid.T @ self.grid).astype(float))
+        good = spread > 1e-5 * spread[-1]
+        self.whiten = turn[:, good] / np.sqrt(spread[good])
+        self.slot = np.full(1 << 20, -1, np.int32)
+        self.slot[self.keys] = np.arange(len(self.keys))
+
+    def features(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.whiten.shape[1]), np.float32)
+        for lo in range(0, len(words), STEP_WORDS):
+            part = words[lo:lo + STEP_WORDS]
+            codes, word, sizes = _coded(*_joined(part))
+            rows, of, weights = [], [], []
+            for a, b, c, weight in PATTERNS:
+                m = max(len(codes) - c, 0)
+                key = (codes[:m] << 15) | (codes[a:a + m] << 10) | (codes[b:b + m] << 5) | codes[c:c + m]
+                hit = (word[:m] == word[c:c + m]) & (self.slot[key] >= 0)
+                rows.append(self.slot[key[hit]])
+                of.append(word[:m][hit])
+                weights.append(np.full(int(hit.sum()), weight))
+            rows, of, weights = np.concatenate(rows), np.concatenate(of), np.concatenate(weights)
+            order = np.argsort(of, kind="stable")
+            first = np.flatnonzero(np.diff(of[order], prepend=-1))
+            if len(first):
+                got = np.add.reduceat(self.grid[rows[order]] * weights[order, None].astype(np.float32), first, axis=0)
+                out[lo + of[order[first]]] = got @ self.whiten / _lengths_norm(sizes)[of[order[first]], None]
+        return out
+
+    def table(self, weights: np.ndarray) -> np.ndarray:
+        """Weights of features as weights of subsequences."""
+        table = np.zeros(1 << 20, np.float32)
+        table[self.keys] = self.grid @ (self.whiten @ weights)
+        return table
+
+
+def _fit_machine(space: Landmarks, bad: dict[str, int], fine: dict[str, int]) -> tuple[np.ndarray, float]:
+    """Table of subsequence weights and bias, from example words and the number of texts that give them."""
+    words = [*bad, *fine]
+    y = np.repeat([1.0, -1.0], [len(bad), len(fine)])
+    cost = 4.0 * np.log2(1.0 + np.array([*bad.values(), *fine.values()], float))
+    w = _machine(space.features(words), y, cost)
+    return space.table(w[:-1]), float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, id_col: str = "doc_id",
@@ -272,38 +352,40 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, id_col
     for label in (0, 1):
         part = marked.where(F.col("toxic") == label).orderBy(F.xxhash64("_id"), "_id").limit(class_rows)
         chosen = part if chosen is None else chosen.union(part)
-    # at most 2 * class_rows short rows
+    # at most 2 * class_rows short rows; copies of a text count once
     sample = materialise(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-                         .join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("text", "toxic"))
-    sentences = materialise(
-        sample.mapInPandas(_sentences, "digest long, toxic int, words array<string>")
-        .groupBy("digest").agg(F.min("toxic").alias("toxic"), F.first("words").alias("words")))
-    n = {r.toxic: r["count"] for r in sentences.groupBy("toxic").count().collect()}
-    bad, fine = n.get(1, 0), n.get(0, 0)
-    if not bad or not fine:
+                         .join(F.broadcast(chosen), "_id").groupBy(F.sha2(F.col("text").cast("binary"), 256))
+                         .agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+                         .select(F.monotonically_increasing_id().alias("node"), "text", "toxic"))
+    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not n.get(1) or not n.get(0):
         return ToxicityModel(share)
-    words = materialise(sentences.select("toxic", F.explode("words").alias("word")).groupBy("word")
-                        .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
-                        .where("bad + fine > 1"))
-    expected = F.lit(bad / (bad + fine)) * (F.col("bad") + F.col("fine"))
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("fine") + 0.5) / (fine + 1.0))
-    telling = (words.where("bad >= 2").withColumn("odds", odds).where("odds > 1.5")
-               .withColumn("gain", F.col("bad") * F.log(F.col("bad") / expected))
-               .orderBy(F.desc("gain"), "word").limit(600).collect())
-    clean = [r.word for r in words.where("fine > 0").withColumn("odds", odds).where("odds < 0.3")
-             .orderBy(F.desc("fine"), "word").limit(CLEAN_LANDMARKS).collect()]
-    strong = {r.word: r.odds for r in telling}
-    if not strong or not clean:
+    words = materialise(sample.mapInPandas(_words, "node long, toxic int, words array<string>")
+                        .select("node", "toxic", F.explode("words").alias("word")))
+    counts = materialise(words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
+                         .withColumn("odds", F.log((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.log((F.col("fine") + 0.5) / (n[0] + 1.0))))
+    guesses = (words.where("toxic = 1").join(counts, "word").groupBy("node")
+               .agg(F.max_by("word", F.struct("odds", "word")).alias("word"))
+               .groupBy("word").count().orderBy("word").collect())
+    bad = {r.word: r["count"] for r in guesses}
+    clean = counts.where("fine > 0 and odds < 0.3").select("word", "fine")
+    fine = {r.word: r.fine for part in (clean.orderBy(F.desc("fine"), "word").limit(FREQUENT_WORDS),
+                                        clean.orderBy(F.xxhash64("word"), "word").limit(OTHER_WORDS))
+            for r in part.collect()}
+    if not bad or not fine:
         return ToxicityModel(share)
-    seen = sentences.mapInPandas(_witness(strong), "digest long, toxic int, words array<string>, best double")
-    rows = []
-    for part in (seen.where("toxic = 1 and best > 0").orderBy(F.desc("best"), "digest").limit(SENTENCES),
-                 seen.where("toxic = 0").orderBy(F.desc("best"), "digest").limit(SENTENCES // 3),
-                 seen.where("toxic = 0").orderBy("digest").limit(SENTENCES)):
-        rows += [(r.toxic, r.words, r.best) for r in part.select("toxic", "words", "best").collect()]
-    marks = [r.word for r in telling[:TOXIC_LANDMARKS]] + clean
-    table, bias = _fit_machine(rows, marks, set(strong))
-    del rows
+    space = Landmarks(landmarks(list(bad), np.array(list(bad.values()), float), TOXIC_LANDMARKS, 1)
+                      + landmarks(list(fine), np.log2(1.0 + np.array(list(fine.values()), float)), CLEAN_LANDMARKS, 2))
+    table, bias = _fit_machine(space, bad, fine)
+    for _ in range(ROUNDS):
+        got = (sample.select("text", "toxic").mapInPandas(_witnesses(table, bias), "toxic int, word string")
+               .groupBy("toxic", "word").count().orderBy("toxic", "word").collect())
+        bad = {r.word: r["count"] for r in got if r.toxic}
+        for r in got:
+            if not r.toxic:  # what was a counter-example once stays one
+                fine[r.word] = max(fine.get(r.word, 0), r["count"])
+        table, bias = _fit_machine(space, bad, fine)
+    del space, got
     release_memory()
 
     def featured(batches):
@@ -312,7 +394,7 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, id_col
             x = np.vstack(parts) if parts else np.zeros((0, FEATURES))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    got = sample.mapInArrow(featured, "x array<double>, toxic int").collect()
+    got = sample.select("text", "toxic").mapInArrow(featured, "x array<double>, toxic int").collect()
     x, y = np.array([r.x for r in got]), np.array([r.toxic for r in got], float)
     real = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     curve = _logistic(x, y, real)
