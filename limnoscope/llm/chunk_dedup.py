@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnoscope.llm.common import cut, list_array, materialise, text_slices
+from limnoscope.llm.common import cut, free_names, list_array, materialise, text_slices
 
 #: Numbers of the gear, from a fixed seed.
 GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -133,10 +133,11 @@ def remove_chunks(docs: DataFrame, least: int = LEAST, average: int = AVERAGE, m
                   text_col: str = "text") -> DataFrame:
     """``docs`` without repeated chunks; a character cut in two goes as a whole."""
     # stored, so that both uses see the same numbers
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = repeated_chunks(numbered, least, average, most, id_col, text_col, "_row").where("n_removed > 0")
-    joined = numbered.join(found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "_row", "left")
-    return joined.select(*docs.columns, "_spans").mapInArrow(_cleaned(docs.columns.index(text_col)), docs.schema)
+    row, spans = free_names(docs, "_row", "_spans")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = repeated_chunks(numbered, least, average, most, id_col, text_col, row).where("n_removed > 0")
+    joined = numbered.join(found.select(F.col("row").alias(row), F.col("spans").alias(spans)), row, "left")
+    return joined.select(*docs.columns, spans).mapInArrow(_cleaned(docs.columns.index(text_col)), docs.schema)
 
 
 def chunk_report(docs: DataFrame, least: int = LEAST, average: int = AVERAGE, most: int = MOST, id_col: str = "doc_id",

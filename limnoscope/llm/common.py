@@ -57,6 +57,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with underscores behind those that ``df`` has already (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(column, parts: int):
     """Remainder of crc32 of the value as text."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(parts)
@@ -88,20 +99,37 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 
 # ---------------------------------------------------------------- hashes
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Polynomials modulo a prime; two bases, so that a hash has 62 bits. Modulo a power of two, there would be
+#: strings (Thue-Morse) that collide whatever the base.
+_PRIME = (1 << 31) - 1
+_BASES = (0x2545F491, 0x1B873593)
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Remainders by the prime of values below 2**63."""
+    prime, bits = np.uint64(_PRIME), np.uint64(31)
+    x = (x & prime) + (x >> bits)
+    x = (x & prime) + (x >> bits)
+    return np.where(x >= prime, x - prime, x)
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:  # what is there, times base**done
+        more = min(done, n - done)
+        out[done:done + more] = _folded(out[:more] * np.uint64(pow(base, done, _PRIME)))
+        done += more
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base, its powers 0..n-1 and those of its inverse."""
+    if not _powers or len(_powers[0][0]) < n:
         size = max(n, SLICE_BYTES + 1)
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _powers[key] = np.multiply.accumulate(row)
-    return _powers["up"][:n], _powers["down"][:n]
+        _powers[:] = [(_powers_of(b, size), _powers_of(pow(b, -1, _PRIME), size)) for b in _BASES]
+    return [(up[:n], down[:n]) for up, down in _powers]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -113,16 +141,20 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums: the hash of bytes [s, e) is ``(H[e] - H[s]) * base**-s``."""
-    up, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=out[1:])
+    """Running polynomial sums, a row for each base: bytes [s, e) have the hash ``(H[e] - H[s]) * base**-s``."""
+    out = np.zeros((len(_BASES), len(data) + 1), np.uint64)
+    prime, bits, letters = np.uint64(_PRIME), np.uint64(31), data.astype(np.uint64) + np.uint64(1)
+    for row, (up, _) in zip(out, powers(len(data)), strict=True):
+        term = letters * up
+        np.cumsum((term & prime) + (term >> bits), out=row[1:])  # below 2**63 for texts below 2**31 bytes
     return out
 
 
 def span_hash(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = powers(len(running))
-    return mix((running[ends] - running[starts]) * down[starts])
+    """Hash of each span, wherever it stands."""
+    high, low = (_folded(_folded(row[ends] - row[starts]) * down[starts])
+                 for row, (_, down) in zip(running, powers(running.shape[1]), strict=True))
+    return mix((high << np.uint64(31)) | low)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnoscope.llm.common import (connected_components, list_array, materialise, mix, signed, text_slices, word_hashes)
+from limnoscope.llm.common import (connected_components, free_names, list_array, materialise, mix, signed, text_slices, word_hashes)
 
 #: Counters of texts per token: tokens share a counter by hash, which any order allows. Each task is given one byte
 #: for each, 16 MB whatever the input; more counters keep more tokens of large corpora apart.
@@ -366,12 +366,13 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
 
     Rows are told apart by a hash of id and text, which every scan computes alike; of rows equal in both any one stays.
     """
-    numbered = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    row, = free_names(docs, "_row")
+    numbered = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
     kept = materialise(
-        jaccard_classes(numbered, size, percent, id_col, text_col, "_row").where("kept").groupBy(F.col("row").alias("_row"))
+        jaccard_classes(numbered, size, percent, id_col, text_col, row).where("kept").groupBy(F.col("row").alias(row))
         .agg((F.max("n_shingles") > 0).alias("filled"), F.count("*").alias("n")))
-    several = kept.where("filled and n > 1").select("_row")
-    once = numbered.join(kept.where("not filled or n = 1").select("_row"), "_row", "left_semi")
+    several = kept.where("filled and n > 1").select(row)
+    once = numbered.join(kept.where("not filled or n = 1").select(row), row, "left_semi")
     if not several.isEmpty():
-        once = once.union(numbered.join(several, "_row", "left_semi").dropDuplicates(["_row"]))
+        once = once.union(numbered.join(several, row, "left_semi").dropDuplicates([row]))
     return once.select(*docs.columns)

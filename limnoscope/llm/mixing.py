@@ -19,23 +19,27 @@ null, and labels of unknown or null ids, are left out; a document with several
 domains counts in each; repeated rows get equal rates; without any label all
 documents are one domain ``""``; targets are normalised, unknown names among them
 are refused; a domain without a target gets what its name says in ``targets`` as
-0; an empty table gives an empty result. Columns of the input stay untouched.
+0; more than ``MOST_DOMAINS`` domains: the smallest that no target names are one
+domain ``OTHER``; an empty table gives an empty result. Columns of the input stay untouched.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnoscope.llm.common import materialise
+from limnoscope.llm.common import free_names, materialise
 
 #: Strings that are counted, and the pattern of a token.
 COUNTED = (" ", "\n", ".", ",", "|", "#", "$", "%", "*", "e", "a", "o", "t", "é", "ó", "ä", "ch", "th")
 TOKEN = r"[^\x20\x09-\x0D]+"
+#: Domains that are told apart by themselves, and the name of all others together.
 MOST_DOMAINS = 64
+OTHER = "(other)"
 
 
 def features(text: Column) -> list[Column]:
@@ -63,19 +67,26 @@ class Classifier:
 
 
 def fit_classifier(docs: DataFrame, domains: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   domain_col: str = "domain") -> Classifier:
-    """Fits on every document that ``domains`` (``id_col``, ``domain_col``) names; at most ``MOST_DOMAINS`` domains."""
+                   domain_col: str = "domain", named: Sequence[str] = ()) -> Classifier:
+    """Fits on every document that ``domains`` (``id_col``, ``domain_col``) names.
+
+    Beyond ``MOST_DOMAINS`` domains, those ``named`` and the largest ones stay and all others are one domain, ``OTHER``.
+    """
     marked = (domains.select(F.col(id_col).alias("_id"), F.col(domain_col).cast("string").alias("_domain"))
               .where("_id is not null and _domain is not null").dropDuplicates())
     x = features(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     names = [f"_x{i}" for i in range(len(x))]
     # features before the join: numbers move, texts do not
     rows = docs.select(F.col(id_col).alias("_id"), *[c.alias(n) for c, n in zip(x, names, strict=True)]).join(marked, "_id")
+    largest = (rows.groupBy("_domain").agg(F.count("*").alias("n"))
+               .orderBy(F.desc(F.col("_domain").isin(list(named))), F.desc("n"), "_domain")
+               .limit(max(MOST_DOMAINS, len(named)) + 1).collect())
+    if len(largest) > max(MOST_DOMAINS, len(named)):
+        own = [r._domain for r in largest[:-2]] if len(named) < MOST_DOMAINS else list(named)
+        rows = rows.withColumn("_domain", F.when(F.col("_domain").isin(own), F.col("_domain")).otherwise(F.lit(OTHER)))
     sums = (rows.groupBy("_domain").agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names],
                                         *[F.sum(F.col(n) * F.col(n)).alias("s" + n) for n in names])
-            .orderBy("_domain").limit(MOST_DOMAINS + 1).collect())
-    if len(sums) > MOST_DOMAINS:
-        raise ValueError(f"more than {MOST_DOMAINS} domains")
+            .orderBy("_domain").collect())  # one short row a domain
     if not sums:
         return Classifier([""], [0.0], [[0.0] * len(names)])
     total = sum(r.n for r in sums)
@@ -86,9 +97,9 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, id_col: str = "doc_id",
     return Classifier([r._domain for r in sums], bias, weights)
 
 
-def _rate(moves: list[float] | list[Column], prefix: str, least: float, most: float) -> Column:
-    """The rate 1, moved against the misses and projected, from posterior columns named ``prefix`` and a number."""
-    move = sum((F.lit(m) * F.col(f"{prefix}{i}") for i, m in enumerate(moves)), F.lit(0.0))
+def _rate(moves: list[float] | list[Column], posteriors: list[str], least: float, most: float) -> Column:
+    """The rate 1, moved against the misses and projected, from the names of the posterior columns."""
+    move = sum((F.lit(m) * F.col(p) for m, p in zip(moves, posteriors, strict=True)), F.lit(0.0))
     return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), F.lit(1.0) - move))
 
 
@@ -103,22 +114,24 @@ class Mix:
     targets: dict[str, float]
     reached: dict[str, float]
 
-    def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with ``_rate``, the fitted rate of each row."""
+    def apply(self, docs: DataFrame, text_col: str = "text", rate_col: str = "_rate") -> DataFrame:
+        """``docs`` with ``rate_col``, the fitted rate of each row."""
         x = features(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        names = [f"_x{i}" for i in range(len(x))]
+        names = free_names(docs, *[f"_x{i}" for i in range(len(x))])
         rows = docs.select("*", *[c.alias(n) for c, n in zip(x, names, strict=True)])
         posteriors = self.classifier.posteriors([F.col(n) for n in names])
-        rows = rows.select(*docs.columns, *[c.alias(f"_p{k}") for k, c in enumerate(posteriors)])
-        return rows.select(*docs.columns, _rate(self.moves, "_p", self.least, self.most).alias("_rate"))
+        shares = free_names(docs, *[f"_p{k}" for k in range(len(posteriors))])
+        rows = rows.select(*docs.columns, *[c.alias(n) for c, n in zip(posteriors, shares, strict=True)])
+        return rows.select(*docs.columns, _rate(self.moves, shares, self.least, self.most).alias(rate_col))
 
     def repeat(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``docs`` with every row as often as its rate says; the fraction is decided by a hash of id and text."""
         chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
-        times = F.floor(F.col("_rate") + chance).cast("int")
-        return (self.apply(docs, text_col).withColumn("_times", F.array_repeat(F.lit(0), times))
+        rate, each, time = free_names(docs, "_rate", "_times", "_time")
+        times = F.floor(F.col(rate) + chance).cast("int")
+        return (self.apply(docs, text_col, rate).withColumn(each, F.array_repeat(F.lit(0), times))
                 # explode would first filter on the whole rate, written out over the features: more code than Java compiles
-                .select(*docs.columns, F.explode_outer("_times").alias("_time")).where("_time is not null").drop("_time"))
+                .select(*docs.columns, F.explode_outer(each).alias(time)).where(F.col(time).isNotNull()).drop(time))
 
 
 def measured(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,11 +156,12 @@ def fit_mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | Non
     than ``tolerance`` of all tokens, when a step moves none by more than a fifth
     of that (bounds on rates can put targets out of reach), or after ``rounds`` steps.
     """
-    classifier = fit_classifier(docs, domains, id_col, text_col)
+    classifier = fit_classifier(docs, domains, id_col, text_col, named=tuple(targets or ()))
     k = len(classifier.domains)
     if targets is not None and set(targets) - set(classifier.domains):
         raise ValueError(f"no such domains: {sorted(set(targets) - set(classifier.domains))}")
     rows = materialise(measured(docs, classifier, id_col, text_col))
+    shares = [f"p{i}" for i in range(k)]
 
     def totals(moves: list[float] | None) -> list[float]:
         rate, given = F.lit(1.0), rows
@@ -155,7 +169,7 @@ def fit_mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | Non
             # moves come as a row, not as literals: all steps share one compiled plan, and the driver's memory does not grow with them
             names = [f"_m{i}" for i in range(k)]
             row = docs.sparkSession.sql(f"VALUES ({', '.join(f'{m!r}D' for m in moves)})").toDF(*names)
-            rate, given = _rate([F.col(n) for n in names], "p", least, most), rows.crossJoin(F.broadcast(row))
+            rate, given = _rate([F.col(n) for n in names], shares, least, most), rows.crossJoin(F.broadcast(row))
         r = given.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
         return [float(v) for v in r]
 
@@ -175,4 +189,4 @@ def fit_mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | Non
             break
     names = classifier.domains
     mix = Mix(classifier, moves, float(least), float(most), dict(zip(names, wanted, strict=True)), dict(zip(names, reached, strict=True)))
-    return mix, rows.withColumn("rate", _rate(moves, "p", least, most))
+    return mix, rows.withColumn("rate", _rate(moves, shares, least, most))

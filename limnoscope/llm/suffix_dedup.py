@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnoscope.llm.common import (cut, list_array, materialise, merge_spans, mix, prefix_hash, sha256_hex, signed,
+from limnoscope.llm.common import (cut, free_names, list_array, materialise, merge_spans, mix, prefix_hash, sha256_hex, signed,
                                    span_hash, text_slices)
 
 #: Bytes of a k-gram that can be an anchor.
@@ -381,7 +381,8 @@ def _cleaned(text_at: int):
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated bytes; other columns and rows stay. A character cut in two goes as a whole."""
-    found = repeats(docs, length, text_col).where("n_removed > 0").select(F.col("sha").alias("_sha"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
-    joined = keyed.join(found, "_sha", "left").select(*docs.columns, "_spans")
+    sha, spans = free_names(docs, "_sha", "_spans")
+    found = repeats(docs, length, text_col).where("n_removed > 0").select(F.col("sha").alias(sha), F.col("spans").alias(spans))
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+    joined = keyed.join(found, sha, "left").select(*docs.columns, spans)
     return joined.mapInArrow(_cleaned(docs.columns.index(text_col)), docs.schema)

@@ -9,10 +9,11 @@ characters. A sentence is as toxic as its worst word, a text as its worst senten
 Fitting takes a bounded sample of labelled texts (``class_rows`` of each label,
 by hash of the id). A sentence stands for its worst word. Every sentence of a clean
 text is a counter-example; of a toxic text it is only known that some sentence is
-toxic, so the machine finds out which: the first guess of each toxic text is its
-word with the largest log-odds, and each round then takes, from all words of all
+toxic, so the machine finds out which: the first guess of each toxic text are its
+words with the largest log-odds, and each round then takes, from all words of all
 sentences, those that the last machine finds worst (toxic texts) or nearly toxic
-(clean texts). No list of words gates the examples. Landmarks are chosen among the
+(clean texts). No list of words gates the examples. Examples with a letter put in
+are examples too. Landmarks are chosen among the
 guesses and among clean words by k-means++ seeding on kernel distances; the kernel
 to them, whitened, is the feature space of a squared-hinge machine. Because each
 kernel is a sum over subsequences, the machine is one table of a weight per
@@ -34,6 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +57,12 @@ CLASS_ROWS = 5000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 64
 #: Clean words that the first machine sees: the most frequent ones, and others by hash.
 FREQUENT_WORDS, OTHER_WORDS = 1000, 4000
+#: Words of a toxic text that are guessed at first.
+GUESSES = 4
 #: Rounds of choosing examples, and words that a text of the sample gives at most.
 ROUNDS, TOXIC_WORDS, CLEAN_WORDS = 3, 8, 4
+#: Copies of an example with a letter put in that the machine sees too, and letters such an example has at least.
+SPOILT, MIN_SPOILT = 3, 5
 #: Words whose features are worked out in one step.
 STEP_WORDS = 256
 FEATURES = 6
@@ -329,11 +335,24 @@ class Landmarks:
         return table
 
 
+def _spoilt(words: dict[str, int]) -> dict[str, float]:
+    """Words of five letters or more, each with one letter put in at a place of its own, at a quarter of the weight."""
+    rng = np.random.default_rng(3)
+    out: dict[str, float] = {}
+    for word, n in words.items():
+        if len(word) >= MIN_SPOILT and n > 1:
+            for at in rng.permutation(np.arange(1, len(word)))[:SPOILT].tolist():
+                letter = chr(97 + int(rng.integers(26)))
+                out[word[:at] + letter + word[at:]] = n / (4.0 * SPOILT)
+    return out
+
+
 def _fit_machine(space: Landmarks, bad: dict[str, int], fine: dict[str, int]) -> tuple[np.ndarray, float]:
     """Table of subsequence weights and bias, from example words and the number of texts that give them."""
-    words = [*bad, *fine]
-    y = np.repeat([1.0, -1.0], [len(bad), len(fine)])
-    cost = 4.0 * np.log2(1.0 + np.array([*bad.values(), *fine.values()], float))
+    odd = _spoilt(bad)
+    words = [*bad, *odd, *fine]
+    y = np.repeat([1.0, 1.0, -1.0], [len(bad), len(odd), len(fine)])
+    cost = 4.0 * np.log2(1.0 + np.array([*bad.values(), *odd.values(), *fine.values()], float))
     w = _machine(space.features(words), y, cost)
     return space.table(w[:-1]), float(w[-1])
 
@@ -364,9 +383,10 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, id_col
                         .select("node", "toxic", F.explode("words").alias("word")))
     counts = materialise(words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
                          .withColumn("odds", F.log((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.log((F.col("fine") + 0.5) / (n[0] + 1.0))))
-    guesses = (words.where("toxic = 1").join(counts, "word").groupBy("node")
-               .agg(F.max_by("word", F.struct("odds", "word")).alias("word"))
-               .groupBy("word").count().orderBy("word").collect())
+    best = W.partitionBy("node").orderBy(F.desc("odds"), "word")
+    guesses = (words.where("toxic = 1").join(counts, "word").withColumn("place", F.row_number().over(best))
+               .where(F.col("place") <= GUESSES).groupBy("word").agg(F.count("*").alias("count"), F.min("place").alias("place"))
+               .where("place = 1 or count > 1").orderBy("word").collect())
     bad = {r.word: r["count"] for r in guesses}
     clean = counts.where("fine > 0 and odds < 0.3").select("word", "fine")
     fine = {r.word: r.fine for part in (clean.orderBy(F.desc("fine"), "word").limit(FREQUENT_WORDS),

@@ -57,6 +57,14 @@ def test_toxic_texts_are_told_apart(spark, labelled, docs, no_docs, corpus):
     gapped = [(1, "the of sco.undrel and in"), (2, "he is an idixot and an idioot. wortthless"), (3, "the of and to in is that")]
     bad = {r.doc_id: r.score for r in model.score(spark.createDataFrame(gapped, "doc_id long, text string")).collect()}
     assert bad[1] > 0.5 and bad[2] > bad[3] and bad[3] < 0.5
+    # held-out insults with a letter or a mark put in
+    rng, toxic, altered = random.Random(8), rows.where("doc_id >= 480 and doc_id % 6 = 0").collect(), []
+    for r in toxic:
+        words = [w if w not in INSULTS else w[:at] + rng.choice("-.*xqz") + w[at:]
+                 for w in r.text.split(" ") for at in [rng.randrange(1, max(len(w), 2))]]
+        altered.append((r.doc_id, " ".join(words)))
+    found = model.score(spark.createDataFrame(altered, "doc_id long, text string")).where("score >= 0.5").count()
+    assert found >= 0.9 * len(toxic)
     scored = model.score(docs, score_col="toxicity")
     assert scored.columns == [*docs.columns, "toxicity"]
     got = scored.collect()
@@ -221,3 +229,17 @@ def test_pipeline_stages(spark, docs, corpus, labelled, tmp_path):
         nothing.write.parquet(f"{folder}/none-{stage.__name__}")
         nothing = stage(spark, spark.read.parquet(f"{folder}/none-{stage.__name__}"), folder)
     assert nothing.count() == 0
+
+
+def test_many_domains_and_clashing_names(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 20), i, i, i, "t") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _X0 long, _p0 long, _rate long, _times string")
+    domains = spark.createDataFrame([(i, f"d{i % 80}") for i in range(400)] + [(i, "large") for i in range(100)], "doc_id long, domain string")
+    model = mixing.fit_classifier(docs, domains)
+    assert len(model.domains) == mixing.MOST_DOMAINS and "large" in model.domains and mixing.OTHER in model.domains
+    assert "d79" in mixing.fit_classifier(docs, domains, named=("d79",)).domains
+    mix, _ = mixing.fit_mix(docs, domains.where("doc_id < 30"), least=1.0, most=3.0, rounds=2)
+    again = mix.repeat(docs)
+    assert again.columns == docs.columns
+    assert {tuple(r) for r in again.collect()} == set(rows)

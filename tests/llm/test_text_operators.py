@@ -2,16 +2,19 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from limnoscope.llm import chunk_dedup, common, jaccard_join, language_model, packing, repetition, suffix_dedup, token_counts
+from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -375,3 +378,39 @@ def test_chunk_report_shows_what_is_left(docs, corpus, no_docs):
                 parts, at = [*parts, raw[at:s.a]], s.b
             kept.append(b"".join([*parts, raw[at:]]).decode("utf-8", "ignore") == (r.text or ""))
         assert any(kept), doc_id
+
+
+def _thue_morse(bits: int) -> tuple[str, str]:
+    """A string and its complement that collide under every polynomial modulo 2**64."""
+    text = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_thue_morse_words_apart(spark):
+    one, other = _thue_morse(11)
+    hashes = common.word_hashes(*common.text_bytes(pa.array([f"{one} {other} {one}"])))[0]
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+    docs = spark.createDataFrame([(1, f"x {one} y z"), (2, f"x {other} y z"), (3, f"{one}\n{other}")], "doc_id long, text string")
+    assert {r.n_dup_lines for r in repetition.repetition_rules(docs).where("doc_id = 3").collect()} == {0}
+    kept = jaccard_join.keep_one(docs, size=3, percent=90)
+    assert kept.count() == 3
+
+
+def test_hash_of_a_span_does_not_depend_on_its_place():
+    rng = np.random.default_rng(2)
+    part = rng.integers(0, 256, 300).astype(np.uint8)
+    data = np.concatenate([part, rng.integers(0, 256, 70000).astype(np.uint8), part])
+    running = common.prefix_hash(data)
+    got = common.span_hash(running, np.array([0, len(data) - 300, 1]), np.array([300, len(data), 301]))
+    assert got[0] == got[1] != got[2]
+
+
+def test_columns_with_names_used_inside_stay(spark):
+    rng = random.Random(3)
+    passage = prose(rng, 200)
+    rows = [(i, f"{prose(rng, 50)} {passage} {prose(rng, 50)}", i, f"s{i}", [i]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _ROW long, _sha string, _spans array<long>")
+    for run in (jaccard_join.keep_one, suffix_dedup.remove_repeats, chunk_dedup.remove_chunks):
+        got = run(docs)
+        assert got.columns == docs.columns
+        assert {(r[0], r[2], r[3], r[4][0]) for r in got.collect()} <= {(i, i, f"s{i}", i) for i in range(6)}
