@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnoscope.llm import jaccard_join, mixing, packing, suffix_dedup, toxicity
-from limnoscope.llm.common import read_table
+from limnoscope.llm.common import free_names, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score, learned from the labels, is below one half."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return model.score(docs, score_col="_score").where("_score < 0.5").drop("_score")
+    score, = free_names(docs, "_score")
+    return model.score(docs, score_col=score).where(F.col(score) < 0.5).drop(score)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
